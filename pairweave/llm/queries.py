@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from pairweave.llm.decontam import op10_decontaminate
 from pairweave.llm.langid import op4_language_id
+from pairweave.llm.mixing import OP3_SQL, op3_mix_sources
+from pairweave.llm.quality_rules import op1_quality_rules
 from pairweave.llm.sstable import op7_token_shards
 
 QUERIES = {
+    "op1_quality_rules": op1_quality_rules,
+    "op3_mix_sources": op3_mix_sources,
     "op4_language_id": op4_language_id,
     "op7_token_shards": op7_token_shards,
     "op10_decontaminate": op10_decontaminate,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES = {"op3_mix_sources": OP3_SQL}
