@@ -5,6 +5,7 @@ from __future__ import annotations
 from pairweave.llm.decontam import op10_decontaminate
 from pairweave.llm.langid import op4_language_id
 from pairweave.llm.mixing import OP3_SQL, op3_mix_sources
+from pairweave.llm.neardup import op6_near_duplicates
 from pairweave.llm.quality_rules import op1_quality_rules
 from pairweave.llm.sstable import op7_token_shards
 
@@ -12,6 +13,7 @@ QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op3_mix_sources": op3_mix_sources,
     "op4_language_id": op4_language_id,
+    "op6_near_duplicates": op6_near_duplicates,
     "op7_token_shards": op7_token_shards,
     "op10_decontaminate": op10_decontaminate,
 }
