@@ -27,10 +27,13 @@ identifiers are all kept; an empty table gives no rows; other columns are not us
 from __future__ import annotations
 
 import bisect
+import itertools
 import os
+import re
 import struct
 import uuid
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -206,7 +209,9 @@ class Reader:
 
 
 #: Pieces kept by a worker before it forgets them: bounds its memory.
-MEMO = 400_000
+MEMO = 1_000_000
+#: A space before other white space: there the pre-tokeniser may cut elsewhere.
+_ODD = tuple(" " + c for c in map(chr, range(0x3001)) if c.isspace())
 _ENCODERS: dict[str, Encoder] = {}
 
 
@@ -214,7 +219,8 @@ class Encoder:
     """Encodes texts with a byte-level BPE of the ``tokenizers`` library.
 
     Its pre-tokeniser always cuts before a space that non-space follows, so a text's identifiers
-    are those of its pieces cut there, and each distinct piece is encoded only once.
+    are those of its pieces cut there. Each distinct piece is encoded once; texts are then
+    gathered from one flat array.
     """
 
     def __init__(self, path: str) -> None:
@@ -222,9 +228,12 @@ class Encoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.whole = special
-        self.memo: dict[str, bytes] = {}
+        self.whole = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.forget()
+
+    def forget(self) -> None:
+        self.index = defaultdict(itertools.count().__next__)
+        self.flat, self.ends, self.known = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), 0
 
     @classmethod
     def at(cls, path: str) -> Encoder:
@@ -232,57 +241,60 @@ class Encoder:
             _ENCODERS[path] = cls(path)
         return _ENCODERS[path]
 
-    def pieces(self, text: str) -> list[str]:
-        parts = text.split(" ")
-        out, spaces = [parts[0]], 0
-        for p in parts[1:]:
-            if p and not p[0].isspace():
-                out[-1] += " " * spaces
-                out.append(" " + p)
-                spaces = 0
-            elif p:
-                out[-1] += " " * (spaces + 1) + p
-                spaces = 0
-            else:
-                spaces += 1
-        out[-1] += " " * spaces
-        return out if out[0] else out[1:]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The identifiers of each text as little-endian u32 bytes."""
-        if len(self.memo) > MEMO:
-            self.memo.clear()
-        memo, cut, new = self.memo, [], {}
+    def plain(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+
+    def rest_of(self, text: str) -> tuple[str, list[str]]:
+        """The piece before the first cut, and the pieces after it without their leading space."""
+        if not any(o in text for o in _ODD) and not text.endswith(" "):
+            first, *rest = text.split(" ")
+            return first, rest
+        cuts = [m.start() for m in _CUT.finditer(text)]
+        pieces = [text[a + 1 : b] for a, b in zip(cuts, [*cuts[1:], len(text)])]
+        return text[: cuts[0]] if cuts else text, pieces
+
+    def _learn(self) -> None:
+        new = list(itertools.islice(reversed(self.index), len(self.index) - self.known))[::-1]
+        found = [e.ids for e in self.tokenizer.encode_batch_fast([" " + p for p in new], add_special_tokens=False)]
+        start = self.ends[self.known - 1] if self.known else 0
+        ends = start + np.cumsum([len(x) for x in found])
+        size = len(self.index)
+        if size > len(self.ends):
+            self.ends = np.concatenate((self.ends, np.zeros(size, np.int64)))
+        if ends[-1] > len(self.flat):
+            self.flat = np.concatenate((self.flat, np.zeros(int(ends[-1]), np.uint32)))
+        self.ends[self.known : size] = ends
+        self.flat[start : ends[-1]] = list(itertools.chain.from_iterable(found))
+        self.known = size
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The identifiers of each text."""
+        if self.known > MEMO:
+            self.forget()
+        look, firsts, owns = self.index.__getitem__, [], []
         for text in texts:
             if any(s in text for s in self.whole):
-                cut.append(None)
+                firsts.append(self.plain(text))
+                owns.append(np.zeros(0, np.int64))
                 continue
-            if "  " in text or " \n" in text or " \t" in text or " \r" in text or not text.isprintable() and _odd_space(text):
-                own = self.pieces(text)
-            else:
-                first, *rest = text.split(" ")
-                own = [first, *map(" ".__add__, rest)] if first else list(map(" ".__add__, rest))
-                if text.endswith(" ") or not first:
-                    own = self.pieces(text)
-            cut.append(own)
-            new.update(dict.fromkeys(own))
-        fresh = [p for p in new if p not in memo]
-        for p, e in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
-            memo[p] = np.array(e.ids, "<u4").tobytes()
-        return [
-            np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if own is None else b"".join(map(memo.__getitem__, own))
-            for t, own in zip(texts, cut, strict=True)
-        ]
-
-
-def _odd_space(text: str) -> bool:
-    """Whether a space is followed by any other white space."""
-    at = text.find(" ")
-    while at >= 0 and at + 1 < len(text):
-        if text[at + 1].isspace():
-            return True
-        at = text.find(" ", at + 1)
-    return False
+            first, rest = self.rest_of(text)
+            firsts.append(self.plain(first))
+            owns.append(np.fromiter(map(look, rest), np.int64, len(rest)))
+        if len(self.index) > self.known:
+            self._learn()
+        out = []
+        for first, own in zip(firsts, owns, strict=True):
+            if len(own):
+                ends = self.ends[own]
+                starts = np.where(own > 0, self.ends[own - 1], 0)
+                upto = np.cumsum(ends - starts)
+                at = np.arange(upto[-1]) + np.repeat(ends - upto, ends - starts)
+                first = np.concatenate((first, self.flat[at]))
+            out.append(first)
+        return out
+
+
+_CUT = re.compile(r" (?=\S)")
 
 
 def write_tokens(docs: DataFrame, tokenizer: str, path: str | None = None, end_id: int | None = 2, shard_bytes: int = 32 << 20) -> DataFrame:
@@ -317,7 +329,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str | None = None, end_i
                         writer = Writer(sink)
                     number = number + 1 if last == (doc_id,) else 0
                     last = (doc_id,)
-                    writer.add(make_key(doc_id, number), np.concatenate((np.frombuffer(ids, "<u4"), end)))
+                    writer.add(make_key(doc_id, number), np.concatenate((ids, end)))
         if writer is not None:
             writer.close()
             sink.close()
