@@ -132,18 +132,23 @@ def viterbi(scores: np.ndarray, penalty: float) -> np.ndarray:
     low = np.minimum(np.minimum.accumulate(np.vstack((np.zeros(k), gain[:-1])), 0), 0)
     if (gain - low).max() <= penalty / 2:
         return np.full(n, best)
-    back = np.zeros((n, k), np.int16)
-    value = scores[0].astype(np.float64)
-    own = np.arange(k)
-    for t in range(1, n):
-        top = int(value.argmax())
-        switch = value[top] - penalty > value
-        back[t] = np.where(switch, top, own)
-        value = np.where(switch, value[top] - penalty, value) + scores[t]
+    rows = scores.astype(np.float64).tolist()
+    back: list[tuple[int, list[bool]] | None] = [None] * n
+    value = rows[0]
+    for t in range(1, n):  # plain floats: k is small, and numpy's calls would cost more than the work
+        top = max(value)
+        least = top - penalty
+        if min(value) < least:
+            back[t] = (value.index(top), [x < least for x in value])
+            value = [(least if x < least else x) + y for x, y in zip(value, rows[t], strict=True)]
+        else:
+            value = [x + y for x, y in zip(value, rows[t], strict=True)]
     path = np.empty(n, np.int64)
-    path[-1] = value.argmax()
-    for t in range(n - 1, 0, -1):
-        path[t - 1] = back[t, path[t]]
+    at = value.index(max(value))
+    for t in range(n - 1, -1, -1):
+        path[t] = at
+        if (step := back[t]) is not None and step[1][at]:
+            at = step[0]
     return path
 
 
