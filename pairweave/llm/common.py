@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import itertools
 import tempfile
 import uuid
@@ -62,6 +63,12 @@ def materialize(df: DataFrame, path: str | None = None, partition_by: list[str]
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of frames that nothing refers to any more."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -90,15 +97,19 @@ class Vocabulary:
 
 
 def pack(a: np.ndarray) -> bytes:
-    """Byte planes of an integer array, most significant first: zero planes then compress to nothing."""
-    width = a.dtype.itemsize
-    return np.ascontiguousarray(a).view(np.uint8).reshape(-1, width).T[::-1].tobytes()
-
-
-def unpack(b: bytes, dtype) -> np.ndarray:
-    width = np.dtype(dtype).itemsize
-    planes = np.frombuffer(b, np.uint8).reshape(width, -1)[::-1]
-    return np.ascontiguousarray(planes.T).view(dtype).ravel()
+    """Unsigned integers as byte planes, most significant first and without zero planes at the front."""
+    planes = np.ascontiguousarray(a.astype("<u8")).view(np.uint8).reshape(-1, 8).T[::-1]
+    used = int(a.max()).bit_length() + 7 >> 3 if len(a) else 0
+    return bytes([used]) + len(a).to_bytes(8, "little") + planes[8 - used :].tobytes()
+
+
+def unpack(b: bytes) -> np.ndarray:
+    """What ``pack`` was given, as uint64."""
+    used, n = b[0], int.from_bytes(b[1:9], "little")
+    out = np.zeros((n, 8), np.uint8)
+    if used:
+        out[:, :used] = np.frombuffer(b, np.uint8, offset=9).reshape(used, n)[::-1].T
+    return out.view("<u8").ravel()
 
 
 def mix64(a: np.ndarray) -> np.ndarray:

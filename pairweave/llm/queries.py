@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pairweave.llm.decontam import op10_decontaminate
+from pairweave.llm.katz import op5_katz_scores
 from pairweave.llm.langid import op4_language_id
 from pairweave.llm.mixing import OP3_SQL, op3_mix_sources
 from pairweave.llm.neardup import op6_near_duplicates
@@ -13,6 +14,7 @@ QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op3_mix_sources": op3_mix_sources,
     "op4_language_id": op4_language_id,
+    "op5_katz_scores": op5_katz_scores,
     "op6_near_duplicates": op6_near_duplicates,
     "op7_token_shards": op7_token_shards,
     "op10_decontaminate": op10_decontaminate,
