@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pairweave.llm.bwt_dedup import op9_repeated_bytes
 from pairweave.llm.decontam import op10_decontaminate
 from pairweave.llm.katz import op5_katz_scores
 from pairweave.llm.langid import op4_language_id
@@ -17,6 +18,7 @@ QUERIES = {
     "op5_katz_scores": op5_katz_scores,
     "op6_near_duplicates": op6_near_duplicates,
     "op7_token_shards": op7_token_shards,
+    "op9_repeated_bytes": op9_repeated_bytes,
     "op10_decontaminate": op10_decontaminate,
 }
 
