@@ -227,8 +227,9 @@ def repeated_windows(strings: list[bytes], offs: list[int], counts: list[int], l
             if not len(stay):
                 order, common = np.zeros(0, np.int64), np.zeros(0, np.int64)
                 continue
-            low = np.minimum.reduceat(common, np.concatenate(([0], stay[:-1] + 1)))[: len(stay)] if len(stay) else common[:0]
-            order, common = order[stay], np.minimum(low, common[stay])
+            # a neighbour that leaves hands its common prefix on: the minimum up to each that stays
+            low = np.minimum.reduceat(common[: stay[-1] + 1], np.concatenate(([0], stay[:-1] + 1)))
+            order, common = order[stay], low
             common[0] = 0
     return [found[a : a + c] for a, c in zip(where, counts, strict=True)] if n else []
 
