@@ -10,9 +10,11 @@ from pairweave.llm.mixing import OP3_SQL, op3_mix_sources
 from pairweave.llm.neardup import op6_near_duplicates
 from pairweave.llm.quality_rules import op1_quality_rules
 from pairweave.llm.sstable import op7_token_shards
+from pairweave.llm.toxicity import op2_toxicity
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_toxicity": op2_toxicity,
     "op3_mix_sources": op3_mix_sources,
     "op4_language_id": op4_language_id,
     "op5_katz_scores": op5_katz_scores,
