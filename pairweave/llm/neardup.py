@@ -11,10 +11,14 @@ the tables. Links are confirmed on whole sets. The result is one row per documen
 
 No key's group is ever expanded into pairs. In each table key the smallest class is the pivot; all
 others are compared with it, first each with its smallest pivot, then with the others where the
-two are not yet in one component. Keys that then still hold several components go on with up to
-``fan`` new pivots per key and round, each compared with the members of other components, until no
-key holds untested pairs from different components. So the work is linear in the group for groups
-of true copies, and every pair that meets in a table is tested or already connected.
+two are not yet in one component. True copies of one text are one component by then. What is left
+are components that share keys but have no confirmed link yet (copies edited too much, chance
+meetings). Components that share at least two keys, or a key with others, form a group; within a
+group every document outside the largest component is compared with all others, ``block`` by
+``block`` documents at a time, by counting common shingles of all pairs of two blocks at once. (A
+pair of similarity 0.8 shares fewer than two keys, but one, with probability under 1e-4.) So the
+work is linear in the size of a group of copies, times its unlinked rest over the block size, and
+every pair that meets in the tables is compared or already connected.
 
 Scale: shuffled are 16-byte keys (tables ** 2 per class), one pass of the texts of candidates, and
 their sets (6 bytes a shingle) per comparison; hot pivots are split by the skew join of adaptive
@@ -163,7 +167,118 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return materialize(both.mapInArrow(run, "a long, b long, linked boolean"))
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, tables: int = 10, depth: int = 3, fan: int = 16) -> DataFrame:
+def _overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all sets of ``a`` with all of ``b``."""
+    na, nb = len(a), len(b)
+    out = np.zeros(na * nb, np.int64)
+    common = np.intersect1d(np.unique(np.concatenate(a)), np.unique(np.concatenate(b)), assume_unique=True)
+
+    def postings(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Owners ordered by shingle, the shingle of each, and where each shingle's owners begin."""
+        flat = np.concatenate(sets)
+        owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        at = np.searchsorted(common, flat).clip(max=len(common) - 1)
+        held = np.flatnonzero(common[at] == flat)
+        order = held[np.argsort(at[held], kind="stable")]
+        return owner[order], at[order], np.searchsorted(at[order], np.arange(len(common) + 1))
+
+    if not len(common):
+        return out.reshape(na, nb)
+    own_a, at_a, from_a = postings(a)
+    own_b, at_b, from_b = postings(b)
+    ca, cb = np.diff(from_a), np.diff(from_b)
+    dense = ca * cb * 64 > na * nb
+    number = np.cumsum(dense) - 1
+    for first in range(0, int(dense.sum()), 4096):  # frequent shingles by a product of 0/1 matrices
+        ma, mb = (np.zeros((n, 4096), np.float32) for n in (na, nb))
+        for m, own, at in ((ma, own_a, at_a), (mb, own_b, at_b)):
+            here = dense[at] & (number[at] >= first) & (number[at] < first + 4096)
+            m[own[here], number[at[here]] - first] = 1
+        out += np.rint(ma @ mb.T).astype(np.int64).ravel()
+    rare = np.flatnonzero(~dense)
+    cuts = np.searchsorted(np.cumsum(ca[rare] * cb[rare]), np.arange(0, int((ca[rare] * cb[rare]).sum()) + 1, 2_000_000), "right")
+    for part in np.split(rare, cuts[1:]):  # others by listing the pairs of owners
+        sizes = ca[part] * cb[part]
+        if not sizes.sum():
+            continue
+        which = np.repeat(np.arange(len(part)), sizes)
+        k = np.arange(len(which)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        x = own_a[from_a[part][which] + k // cb[part][which]]
+        y = own_b[from_b[part][which] + k % cb[part][which]]
+        out += np.bincount(x * nb + y, minlength=na * nb)
+    return out.reshape(na, nb)
+
+
+_LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
+def _block_links(rows: pa.Table, percent: int) -> pa.Table:
+    """Links that join components, from the groups' blocks of one task."""
+    order = np.lexsort((rows.column("node").to_numpy(), rows.column("team").to_numpy()))
+    rows = rows.take(pa.array(order))
+    team, node, root, left, right = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("team", "node", "root", "left", "right"))
+    sets = [_decode(x) for x in rows.column("s").to_pylist()]
+    size = np.array([len(x) for x in sets])
+    out = []
+    for own in np.split(np.arange(len(team)), np.flatnonzero(np.diff(team)) + 1):
+        a, b = own[left[own]], own[right[own]]
+        if not len(a) or not len(b):
+            continue
+        both = _overlaps([sets[i] for i in a], [sets[i] for i in b])
+        linked = (100 * both >= percent * (size[a][:, None] + size[b][None, :] - both)) & (root[a][:, None] != root[b][None, :])
+        x, y = np.nonzero(linked)
+        pairs = np.unique(np.sort(np.stack((root[a][x], root[b][y]), 1), 1), axis=0) if len(x) else np.zeros((0, 2), np.int64)
+        parent: dict[int, int] = {}
+
+        def top(k: int, parent: dict[int, int] = parent) -> int:
+            while (p := parent.get(k, k)) != k:
+                k = p
+            return k
+
+        for p, q in pairs.tolist():
+            if (u := top(p)) != (v := top(q)):
+                parent[max(u, v)] = min(u, v)
+                out.append({"a": p, "b": q})
+    return pa.Table.from_pylist(out, _LINKS)
+
+
+def _compare_blocks(met: DataFrame, labels: DataFrame, sets: DataFrame, percent: int, block: int) -> DataFrame:
+    """Links between the roots of components that share keys."""
+    held = met.select("key", "node").union(met.select("key", F.col("pivot").alias("node")).distinct())
+    sizes = held.join(labels, "node").groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
+    by_key = sizes.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.max(F.struct("n", "root")).alias("m")).filter("k > 1").select("key", "k", F.col("m.root").alias("hub"))
+    near = materialize(sizes.join(by_key, "key").filter("root != hub").groupBy("hub", "root").agg(F.count(F.lit(1)).alias("keys"), F.max("k").alias("k")))
+    near = near.filter("keys > 1 OR k > 2").select(F.col("hub").alias("a"), F.col("root").alias("b"))
+    roots = materialize(near.select("a").union(near.select("b")).distinct().select(F.col("a").alias("node"), F.col("a").alias("root")))
+    groups = connect(roots, near).select(F.col("node").alias("root"), F.col("root").alias("group"))
+    inside = materialize(labels.join(groups, "root"))
+    parts = inside.groupBy("group", "root").agg(F.count(F.lit(1)).alias("n"))
+    shape = parts.groupBy("group").agg(F.max(F.struct("n", "root")).alias("m"), F.sum("n").alias("total")).select("group", "total", F.col("m.root").alias("hub"), F.col("m.n").alias("n_hub"))
+    blocks = lambda n: F.ceil(n / F.lit(block)).cast("int")
+    shaped = inside.join(shape, "group").withColumn("nh", blocks(F.col("n_hub"))).withColumn("nr", blocks(F.col("total") - F.col("n_hub")))
+    small = F.col("total") <= block // 2
+    row = F.xxhash64("node")
+    spot = F.when(F.col("root") == F.col("hub"), F.pmod(row, "nh")).otherwise(F.pmod(row, "nr")).cast("int")
+
+    def tile(kind: str, i, j, left: bool, right: bool):
+        return F.struct(F.xxhash64("group", F.lit(kind), i, j).alias("team"), F.lit(left).alias("left"), F.lit(right).alias("right"))
+
+    every = lambda n, body: F.transform(F.sequence(F.lit(0), n - 1), body)
+    hub_tiles = every(F.col("nr"), lambda j: tile("h", F.col("spot"), j, True, False))
+    own_tiles = every(F.col("nh"), lambda i: tile("h", i, F.col("spot"), False, True))
+    rest_tiles = every(F.col("nr"), lambda j: F.struct(F.xxhash64("group", F.lit("r"), F.least("spot", j), F.greatest("spot", j)).alias("team"), (F.col("spot") <= j).alias("left"), (F.col("spot") >= j).alias("right")))
+    whole = F.array(F.struct(F.xxhash64("group").alias("team"), F.lit(True).alias("left"), F.lit(True).alias("right")))
+    tiles = F.when(small, whole).when(F.col("root") == F.col("hub"), hub_tiles).otherwise(F.concat(own_tiles, rest_tiles))
+    count = inside.count()
+    if not count:
+        return near.limit(0)
+    placed = shaped.withColumn("spot", spot).select("node", "root", small.alias("small"), F.explode(tiles).alias("t")).select("node", "root", "small", "t.*")
+    task = F.when(F.col("small"), F.pmod("team", F.lit(max(1, count // block)))).otherwise(F.col("team"))
+    tiled = placed.withColumn("task", task).join(sets, "node")
+    return materialize(tiled.select("task", "team", "node", "root", "left", "right", "s").groupBy("task").applyInArrow(lambda t: _block_links(t, percent), "a long, b long"))
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, tables: int = 10, depth: int = 3, block: int = 800) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept."""
     docs = docs.select("doc_id", "text")
     sketched = materialize(sketch(docs, width, tables, depth))
@@ -182,31 +297,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, tables:
         tested = _confirm(stars.groupBy(F.col("node").alias("b")).agg(F.min("pivot").alias("a")).select("a", "b"), sets, percent)
         labels = connect(labels, tested.filter("linked"))
 
-        def untested(pairs: DataFrame) -> DataFrame:
-            return materialize(pairs.distinct().join(tested, ["a", "b"], "left_anti"))
-
         def rooted(frame: DataFrame, by: str, name: str) -> DataFrame:
             return frame.join(labels.select(F.col("node").alias(by), F.col("root").alias(name)), by)
 
-        left = untested(rooted(rooted(stars, "node", "rb"), "pivot", "ra").filter("ra != rb").select(F.col("pivot").alias("a"), F.col("node").alias("b")))
-        while True:
-            if not left.isEmpty():
-                found = _confirm(left, sets, percent)
-                tested = materialize(tested.unionByName(found))
-                labels = connect(labels, found.filter("linked"))
-            # members of keys that hold several components; the pivots so far are done with
-            members = rooted(met.select("key", "node"), "node", "root")
-            mixed = members.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x != y").select("key")
-            members = materialize(members.join(mixed, "key"))
-            if members.isEmpty():
-                break
-            sizes = members.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
-            rank = F.row_number().over(Window.partitionBy("key").orderBy("n", "root", "node"))
-            ranked = materialize(members.join(sizes, ["key", "root"]).withColumn("rank", rank))
-            new = ranked.filter(F.col("rank") <= fan).select("key", F.col("node").alias("p"), F.col("root").alias("rp"), F.col("rank").alias("kp"))
-            crossed = ranked.join(new, "key").filter("rp != root AND kp < rank")
-            left = untested(crossed.select(F.least("p", "node").alias("a"), F.greatest("p", "node").alias("b")))
-            met = ranked.filter(F.col("rank") > fan).select("key", "node")
+        left = materialize(rooted(rooted(stars, "node", "rb"), "pivot", "ra").filter("ra != rb").select(F.col("pivot").alias("a"), F.col("node").alias("b")))
+        left = materialize(left.join(tested, ["a", "b"], "left_anti"))
+        labels = connect(labels, _confirm(left, sets, percent).filter("linked"))
+        labels = connect(labels, _compare_blocks(met, labels, sets, percent, block))
     roots = classes.select("digest", "node").join(labels, "node", "left").select("digest", F.coalesce("root", "node").alias("root"))
     joined = sketched.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("digest")).alias("digest")).join(roots, "digest", "left")
     component = F.coalesce("root", "doc_id")
