@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pairweave.llm.bwt_dedup import op9_repeated_bytes
+from pairweave.llm.compaction import OP8_SQL, op8_sharding
 from pairweave.llm.decontam import op10_decontaminate
 from pairweave.llm.katz import op5_katz_scores
 from pairweave.llm.langid import op4_language_id
@@ -20,8 +21,9 @@ QUERIES = {
     "op5_katz_scores": op5_katz_scores,
     "op6_near_duplicates": op6_near_duplicates,
     "op7_token_shards": op7_token_shards,
+    "op8_sharding": op8_sharding,
     "op9_repeated_bytes": op9_repeated_bytes,
     "op10_decontaminate": op10_decontaminate,
 }
 
-ORACLES = {"op3_mix_sources": OP3_SQL}
+ORACLES = {"op3_mix_sources": OP3_SQL, "op8_sharding": OP8_SQL}
