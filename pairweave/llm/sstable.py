@@ -282,16 +282,13 @@ class Encoder:
             owns.append(np.fromiter(map(look, rest), np.int64, len(rest)))
         if len(self.index) > self.known:
             self._learn()
-        out = []
-        for first, own in zip(firsts, owns, strict=True):
-            if len(own):
-                ends = self.ends[own]
-                starts = np.where(own > 0, self.ends[own - 1], 0)
-                upto = np.cumsum(ends - starts)
-                at = np.arange(upto[-1]) + np.repeat(ends - upto, ends - starts)
-                first = np.concatenate((first, self.flat[at]))
-            out.append(first)
-        return out
+        joined = np.concatenate(owns)
+        ends = self.ends[joined]
+        sizes = ends - np.where(joined > 0, self.ends[joined - 1], 0)
+        upto = np.cumsum(sizes)
+        flat = self.flat[np.arange(upto[-1] if len(upto) else 0) + np.repeat(ends - upto, sizes)]
+        cuts = np.concatenate(([0], upto))[np.cumsum([0, *map(len, owns)])]
+        return [np.concatenate((first, flat[a:b])) for first, a, b in zip(firsts, cuts[:-1], cuts[1:], strict=True)]
 
 
 _CUT = re.compile(r" (?=\S)")
