@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -97,10 +98,10 @@ class Vocabulary:
 
 
 def pack(a: np.ndarray) -> bytes:
-    """Unsigned integers as byte planes, most significant first and without zero planes at the front."""
+    """Unsigned integers as compressed byte planes, most significant first, without zero planes at the front."""
     planes = np.ascontiguousarray(a.astype("<u8")).view(np.uint8).reshape(-1, 8).T[::-1]
     used = int(a.max()).bit_length() + 7 >> 3 if len(a) else 0
-    return bytes([used]) + len(a).to_bytes(8, "little") + planes[8 - used :].tobytes()
+    return bytes([used]) + len(a).to_bytes(8, "little") + zstandard.ZstdCompressor(level=1).compress(planes[8 - used :].tobytes())
 
 
 def unpack(b: bytes) -> np.ndarray:
@@ -108,7 +109,8 @@ def unpack(b: bytes) -> np.ndarray:
     used, n = b[0], int.from_bytes(b[1:9], "little")
     out = np.zeros((n, 8), np.uint8)
     if used:
-        out[:, :used] = np.frombuffer(b, np.uint8, offset=9).reshape(used, n)[::-1].T
+        raw = zstandard.ZstdDecompressor().decompress(b[9:], max_output_size=used * n)
+        out[:, :used] = np.frombuffer(raw, np.uint8).reshape(used, n)[::-1].T
     return out.view("<u8").ravel()
 
 
