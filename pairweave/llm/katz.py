@@ -344,7 +344,7 @@ def katz_scores(docs: DataFrame, cut: int = 5, chunk_tokens: int = 1_500_000, sh
     """Learn from the rows of ``docs`` (doc_id, text, held) that aren't held and score all of them."""
     spark = docs.sparkSession
     chunks = _chunks(docs.select("doc_id", "text", F.coalesce("held", F.lit(False)).alias("held")), chunk_tokens)
-    size = chunks.agg(F.coalesce(F.sum(F.octet_length("tokens")), F.lit(0))).first()[0] // 3
+    size = chunks.agg(F.coalesce(F.sum(F.octet_length("tokens")), F.lit(0))).first()[0] // 2  # about the number of tokens
     shards = int(max(64, size // shard_tokens))
     by_shard = _ask_words(chunks, shards).groupBy("shard")
     words = materialize(by_shard.applyInArrow(_word_shard(cut, shards), _WORDS_DDL), partition_by=["kind"]).select(*_WORDS.names)
