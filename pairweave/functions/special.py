@@ -43,16 +43,16 @@ def _beta_fraction(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
     return h
 
 
-@F.pandas_udf("double")
-def _t_sf2(t: pd.Series, df: pd.Series) -> pd.Series:
-    return pd.Series(t_two_sided(t.to_numpy(float), df.to_numpy(float)))
-
-
 def corr_p_value(corr: Column, n: Column) -> Column:
     """Two-sided p of a correlation over n pairs: null below three pairs, but 0 once |corr| reaches 1."""
+
+    @F.pandas_udf("double")
+    def t_sf2(t: pd.Series, df: pd.Series) -> pd.Series:
+        return pd.Series(t_two_sided(t.to_numpy(float), df.to_numpy(float)))
+
     t = corr * F.sqrt(F.try_divide(n - 2, 1 - corr * corr))
     usable = (n >= 3) & (F.abs(corr) < 1)
-    p = F.when(usable, F.nanvl(_t_sf2(F.when(usable, t), F.when(usable, n - 2)), F.lit(None).cast("double")))
+    p = F.when(usable, F.nanvl(t_sf2(F.when(usable, t), F.when(usable, n - 2)), F.lit(None).cast("double")))
     return F.when(F.abs(corr) >= 1, F.lit(0.0)).otherwise(p)
 
 
