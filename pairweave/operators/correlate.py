@@ -40,7 +40,7 @@ def pair_rows(obs: DataFrame) -> DataFrame:
 def pearson_r(x: str, y: str) -> Column:
     """NULL for constants; never beyond -1 and 1."""
     r = F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
-    return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r))
+    return F.when(r.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)))  # both skip nulls
 
 
 def _on_grid(obs: DataFrame, found: DataFrame, method: str) -> DataFrame:

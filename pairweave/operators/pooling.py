@@ -38,7 +38,11 @@ def pool(corr: DataFrame, by: list[str] | None = None, min_studies_random: int =
     ``min_studies_random``, else its columns are NULL.
     """
     by = by or PAIR
-    r = F.greatest(F.lit(-NEAR_ONE), F.least(F.lit(NEAR_ONE), F.col("corr"))) if "corr" in corr.columns else F.lit(None)
+    if not {"corr", "z"} & set(corr.columns) or "n" not in corr.columns:
+        raise ValueError("pooling needs n and one of corr and z")
+    r = F.lit(None)
+    if "corr" in corr.columns:  # greatest and least skip nulls
+        r = F.when(F.col("corr").isNotNull(), F.greatest(F.lit(-NEAR_ONE), F.least(F.lit(NEAR_ONE), F.col("corr"))))
     z = F.coalesce(F.col("z"), F.atanh(r)) if "z" in corr.columns else F.atanh(r)
     rows = corr.withColumn("_z", z).filter(F.col("_z").isNotNull() & (F.col("n") > 3))
     total = lambda array, f: F.aggregate(array, F.lit(0.0), lambda a, x: a + f(x))

@@ -1,13 +1,20 @@
 """Fixed schemas of the tables that steps exchange."""
 
-from pyspark.sql.types import StructType
-
-OBSERVATIONS = StructType.fromDDL("study_id string, sample_id string, feature string, value double")
-RAW_OBSERVATIONS = StructType.fromDDL("study_id string, sample_id string, feature string, raw string")
-CORRELATIONS = StructType.fromDDL("feature_1 string, feature_2 string, method string, corr double, p_value double, n double, study_id string")
-POOLED = StructType.fromDDL(
-    "feature_1 string, feature_2 string, method string, n_studies long, z_fixed double, se_fixed double, r_fixed double, ci_r_fixed_low double, "
-    "ci_r_fixed_high double, Q double, df long, I2 double, tau2 double, z_random double, se_random double, r_random double, ci_r_random_low double, ci_r_random_high double"
-)
-EDGES = StructType.fromDDL("source string, target string, weight double, distance double, distance_signed double, r double, ci_low double, ci_high double")
-SETS = StructType.fromDDL("set_id string, set_name string, members array<string>")
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructField, StructType
+
+_KINDS = {"string": StringType(), "double": DoubleType(), "long": LongType(), "strings": ArrayType(StringType())}
+
+
+def _struct(**columns: str) -> StructType:
+    return StructType([StructField(name, _KINDS[kind]) for name, kind in columns.items()])
+
+
+_PAIR = {"feature_1": "string", "feature_2": "string", "method": "string"}
+_INTERVAL = lambda name: {f"{x}_{name}": "double" for x in ("z", "se", "r")} | {f"ci_r_{name}_{x}": "double" for x in ("low", "high")}
+
+OBSERVATIONS = _struct(study_id="string", sample_id="string", feature="string", value="double")
+RAW_OBSERVATIONS = _struct(study_id="string", sample_id="string", feature="string", raw="string")
+CORRELATIONS = _struct(**_PAIR, corr="double", p_value="double", n="double", study_id="string")
+POOLED = _struct(**_PAIR, n_studies="long", **_INTERVAL("fixed"), Q="double", df="long", I2="double", tau2="double", **_INTERVAL("random"))
+EDGES = _struct(source="string", target="string", **dict.fromkeys(("weight", "distance", "distance_signed", "r", "ci_low", "ci_high"), "double"))
+SETS = _struct(set_id="string", set_name="string", members="strings")
