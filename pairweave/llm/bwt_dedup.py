@@ -177,7 +177,7 @@ def _finer(held: DataFrame, block: int, length: int) -> DataFrame:
                 for q in range((off - m + 1) // block, off // block + 1):
                     # windows whose distance to the anchor is in [q * block, (q + 1) * block)
                     a, b = max(0, off - q * block - block + 1), min(m - 1, off - q * block)
-                    core = s[off - q * block : off - q * block - block + 1 + length]
+                    core = s[off - q * block : max(0, off - q * block - block + 1 + length)]
                     own = s[a : b + length]
                     key = _hash(str((x["key"], q, block)).encode(), core)
                     out.append({"key": key, "d": _hash(str((off - a, b - a)).encode(), own), "h": x["h"], "g": x["g"], "lo": x["lo"] + a, "m": b - a + 1, "off": off - a, "s": own})

@@ -102,6 +102,10 @@ class Model:
 
     def score(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Log posterior of each language for each word under a uniform prior, and whether it has a letter."""
+        parts = [self._score(words[a : a + 20_000]) for a in range(0, max(1, len(words)), 20_000)]
+        return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+
+    def _score(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         n, k = len(words), len(self.langs)
         script = scripts_of(words)
         out = np.zeros((n, k), np.float32)
@@ -114,7 +118,7 @@ class Model:
                 out[:, j] = np.add.reduceat(self.log_prob[bucket, j], starts)
             out /= len(ORDERS) * 0.5
             some = self.allowed[script] & (script >= 0)[:, None]
-            out = np.where(some | ~some.any(1, keepdims=True), out, -50)
+            out = np.where(some | ~some.any(1, keepdims=True), out, np.float32(-1e9))
             out -= out.max(1, keepdims=True)
             out -= np.log(np.exp(out).sum(1, keepdims=True))
             out = np.maximum(out, -8).astype(np.float32)

@@ -3,8 +3,8 @@
 Two collections of ``tables`` short sketches (``depth`` minimum hashes each) are computed per
 document; every pair (i, j) of a sketch of the first and one of the second collection is one table
 key, so tables ** 2 keys cost only 2 * tables * depth minimum hashes. Two documents of similarity s
-meet if each collection agrees somewhere: (1 - (1 - s ** depth) ** tables) ** 2, which is 0.9985 at
-s = 0.8 and over 0.9999 at 0.85 for the defaults, and 4e-6 at s = 0.1.
+meet if each collection agrees somewhere: (1 - (1 - s ** depth) ** tables) ** 2, which is 0.9999 at
+s = 0.8 for the defaults, and 2e-4 at s = 0.1.
 
 Documents with equal shingle sets are one class, found by a digest of the set; only classes enter
 the tables. Links are confirmed on whole sets. The result is one row per document.
@@ -105,8 +105,8 @@ def sketch(docs: DataFrame, width: int, tables: int, depth: int) -> DataFrame:
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            for first in range(0, part.num_rows, 1000):
-                piece = part.slice(first, 1000)
+            for first in range(0, part.num_rows, 500):
+                piece = part.slice(first, 500)
                 sets = shingle_sets(bytes_of(piece.column("text")), width)
                 some = [s for s in sets if len(s)]
                 made = iter(_sketches(some, tables, depth).view(np.int64).tolist() if some else [])
@@ -131,8 +131,8 @@ def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            for first in range(0, part.num_rows, 1000):
-                piece = part.slice(first, 1000)
+            for first in range(0, part.num_rows, 500):
+                piece = part.slice(first, 500)
                 sets = shingle_sets(bytes_of(piece.column("text")), width)
                 yield pa.RecordBatch.from_arrays([piece.column("doc_id").cast(pa.int64()), pa.array(map(_encode, sets), pa.binary())], schema=out)
 
@@ -148,7 +148,7 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         held: tuple[bytes, np.ndarray] = (b"", np.zeros(0, np.uint64))
         for part in parts:
             linked = []
-            for x, y in zip(part.column("sa").to_pylist(), part.column("sb").to_pylist(), strict=True):
+            for x, y in ((x.as_py(), y.as_py()) for x, y in zip(part.column("sa"), part.column("sb"), strict=True)):
                 if held[0] != x:
                     held = (x, _decode(x))
                 lo, hi = sorted((len(x), len(y)))
@@ -196,7 +196,7 @@ def _overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
             m[own[here], number[at[here]] - first] = 1
         out += np.rint(ma @ mb.T).astype(np.int64).ravel()
     rare = np.flatnonzero(~dense)
-    cuts = np.searchsorted(np.cumsum(ca[rare] * cb[rare]), np.arange(0, int((ca[rare] * cb[rare]).sum()) + 1, 2_000_000), "right")
+    cuts = np.searchsorted(np.cumsum(ca[rare] * cb[rare]), np.arange(0, int((ca[rare] * cb[rare]).sum()) + 1, 500_000), "right")
     for part in np.split(rare, cuts[1:]):  # others by listing the pairs of owners
         sizes = ca[part] * cb[part]
         if not sizes.sum():
@@ -278,7 +278,7 @@ def _compare_blocks(met: DataFrame, labels: DataFrame, sets: DataFrame, percent:
     return materialize(tiled.select("task", "team", "node", "root", "left", "right", "s").groupBy("task").applyInArrow(lambda t: _block_links(t, percent), "a long, b long"))
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, tables: int = 10, depth: int = 3, block: int = 800) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, tables: int = 14, depth: int = 3, block: int = 800) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept."""
     docs = docs.select("doc_id", "text")
     sketched = materialize(sketch(docs, width, tables, depth))
