@@ -228,11 +228,13 @@ class Encoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
+        self.model, self.tails = self.tokenizer.model, {}
         self.whole = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.forget()
 
     def forget(self) -> None:
         self.index = defaultdict(itertools.count().__next__)
+        self.tails.clear()
         self.flat, self.ends, self.known = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), 0
 
     @classmethod
@@ -253,9 +255,33 @@ class Encoder:
         pieces = [text[a + 1 : b] for a, b in zip(cuts, [*cuts[1:], len(text)])]
         return text[: cuts[0]] if cuts else text, pieces
 
+    def _word(self, piece: str) -> list[int] | None:
+        """Identifiers of a space, letters and then punctuation: the pre-tokeniser cuts it just there.
+
+        The model is asked directly, without the work of a whole encoding. None for other pieces.
+        """
+        base = piece.rstrip(_PUNCTUATION)
+        if not base.isalpha():
+            return None
+        tail = piece[len(base) :]
+        at = self.index.get(base, self.known) if tail else self.known
+        if at < self.known:
+            head = self.flat[self.ends[at - 1] if at else 0 : self.ends[at]].tolist()
+        else:
+            mapped = base if base.isascii() else base.encode().decode("latin-1").translate(_BYTE_CHARS)
+            head = [t.id for t in self.model.tokenize("\u0120" + mapped)]
+        if not tail:
+            return head
+        if tail not in self.tails:
+            self.tails[tail] = self.plain(tail).tolist()
+        return head + self.tails[tail]
+
     def _learn(self) -> None:
         new = list(itertools.islice(reversed(self.index), len(self.index) - self.known))[::-1]
-        found = [e.ids for e in self.tokenizer.encode_batch_fast([" " + p for p in new], add_special_tokens=False)]
+        found = [self._word(p) for p in new]
+        odd = [i for i, ids in enumerate(found) if ids is None]
+        for i, e in zip(odd, self.tokenizer.encode_batch_fast([" " + new[i] for i in odd], add_special_tokens=False), strict=True):
+            found[i] = e.ids
         start = self.ends[self.known - 1] if self.known else 0
         ends = start + np.cumsum([len(x) for x in found])
         size = len(self.index)
@@ -291,6 +317,10 @@ class Encoder:
         return [np.concatenate((first, flat[a:b])) for first, a, b in zip(firsts, cuts[:-1], cuts[1:], strict=True)]
 
 
+_PUNCTUATION = ".,;:!?*#$%&|<>()[]{}\"-_=+/"
+#: Byte-level BPE writes bytes that aren't printable in Latin-1 as the characters from 256 on.
+_ODD_BYTES = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255)]
+_BYTE_CHARS = {b: 256 + k for k, b in enumerate(_ODD_BYTES)}
 _CUT = re.compile(r" (?=\S)")
 
 
