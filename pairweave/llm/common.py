@@ -19,6 +19,9 @@ from pyspark.sql import functions as F
 #: White space that separates words; ``bytes.split()`` splits at just these.
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: DuckDB: the text with A-Z lowered.
+SQL_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
 _CREATED: list[tuple[SparkSession, str]] = []
 
 

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pairweave.llm.common import bytes_of, materialize, table
+from pairweave.llm.common import SQL_LOWER, bytes_of, materialize, table
 
 _NORMAL = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 _RUN = re.compile(rb"[^ ]+")
@@ -169,6 +169,21 @@ def op10_decontaminate(spark, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join(named, ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+OP10_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce({SQL_LOWER}, ''), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(coalesce({SQL_LOWER}, ''), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+sized AS (SELECT item_id, w, least(10, len(w)) AS k FROM b WHERE len(w) > 0),
+grams AS (SELECT DISTINCT item_id, k, array_to_string(w[i : i + k - 1], ' ') AS g FROM sized, unnest(range(1, len(w) - k + 2)) u(i)),
+places AS (SELECT r, i, k, array_to_string(w[i : i + k - 1], ' ') AS g FROM d, (SELECT DISTINCT k FROM grams), unnest(range(1, len(w) - k + 2)) u(i)),
+hits AS (SELECT r, i, k, item_id FROM places JOIN grams USING (k, g)),
+words AS (SELECT r, count(DISTINCT j) AS n_hit FROM (SELECT DISTINCT r, i, k FROM hits), unnest(range(i, i + k)) u(j) GROUP BY r),
+items AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT r, item_id::VARCHAR AS item FROM hits) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(names, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN words USING (r) LEFT JOIN items USING (r)
+"""
+
+
 def brute_force(texts: list[str | None], items: dict[str, str | None], window: int = 10) -> list[tuple[int, int, list[str]]]:
     """For tests: (n_words, n_hit, items) by comparing every window with every place."""
     out = []

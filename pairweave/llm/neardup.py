@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pairweave.llm.common import Vocabulary, bytes_of, materialize, mix64, table
+from pairweave.llm.common import SQL_LOWER, Vocabulary, bytes_of, materialize, mix64, table
 from pairweave.llm.components import connect
 
 _M = np.uint64(0x9E3779B97F4A7C15)
@@ -319,3 +319,19 @@ def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) ->
 
 def op6_near_duplicates(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=2)
+
+
+OP6_SQL = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(coalesce({SQL_LOWER}, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN [w[1]]
+        ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS s FROM d),
+c AS (SELECT s, len(s) AS n, min(doc_id) AS rep FROM s WHERE len(s) > 0 GROUP BY s),
+g AS (SELECT rep, n, unnest(s) AS x FROM c),
+l AS (SELECT a.rep AS a, b.rep AS b FROM g a JOIN g b ON a.x = b.x AND a.rep < b.rep AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+      GROUP BY ALL HAVING 100 * count(*) >= 80 * (any_value(a.n) + any_value(b.n) - count(*))),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT DISTINCT a AS rep, a AS other FROM e UNION SELECT r.rep, e.b FROM r JOIN e ON r.other = e.a),
+t AS (SELECT rep, min(other) AS root FROM r GROUP BY rep)
+SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, coalesce(t.root, c.rep, s.doc_id) AS component_id, s.doc_id = coalesce(t.root, c.rep, s.doc_id) AS kept
+FROM s LEFT JOIN c ON c.s = s.s AND len(s.s) > 0 LEFT JOIN t ON t.rep = c.rep
+"""

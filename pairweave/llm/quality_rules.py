@@ -137,3 +137,46 @@ def judge(counts: DataFrame, threshold: float = 0.5) -> DataFrame:
 def op1_quality_rules(spark, sf_dir: str) -> DataFrame:
     judged = judge(materialize(text_counts(table(spark, sf_dir, "documents"))))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def _sql_fit(x: str) -> str:
+    """SQL columns prior, good, bad from a list of structs (votes, g, b)."""
+    total = lambda c: f"list_sum(list_transform({x}, lambda e: e.{c}))"
+    both = f"({total('g')} + {total('b')})"
+    means = {"g": "[0.01, 0.49, 0.5]", "b": "[0.3, 0.5, 0.2]"}
+    cell = lambda c: f"coalesce(list_sum(list_transform(list_filter({x}, lambda e: e.votes[k // 3 + 1] = k % 3), lambda e: e.{c})), 0)"
+    side = lambda c: f"list_transform(range(0, 24), lambda k: ({cell(c)} + 0.1 * {both} * {means[c]}[k % 3 + 1]) / ({total(c)} + 0.1 * {both}))"
+    return f"({total('g')} + 1) / ({both} + 2) AS prior, {side('g')} AS good, {side('b')} AS bad"
+
+
+def _sql_belief(votes: str) -> str:
+    """SQL posterior of votes under the columns prior, good and bad."""
+    side = lambda name, share: f"({share} * list_product(list_transform({votes}, lambda v, r: {name}[(r - 1) * 3 + v + 1])))"
+    good, bad = side("good", "prior"), side("bad", "(1 - prior)")
+    return f"({good} / ({good} + {bad}))"
+
+
+OP1_SQL = rf"""
+WITH RECURSIVE t AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM documents),
+grams AS (SELECT r, i, count(*) OVER (PARTITION BY r, w[i], w[i + 1], w[i + 2]) AS k FROM t, unnest(range(1, len(w) - 1)) u(i)),
+covered AS (SELECT r, count(DISTINCT j) AS n FROM grams, unnest([i, i + 1, i + 2]) u(j) WHERE k > 1 GROUP BY r),
+c AS (SELECT r, doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols,
+    (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words, len(l) AS n_lines, length(regexp_replace(t, '[^\p{{Lu}}]+', '', 'g')) AS n_upper
+  FROM t LEFT JOIN covered USING (r)),
+v AS (SELECT *, CASE WHEN n_words = 0 THEN [1, 1, 1, 1, 1, 1, 1, 1] ELSE [
+    CASE WHEN 5 * n_symbols > n_words THEN 0 ELSE 1 END, CASE WHEN 25 * n_symbols > word_chars THEN 0 ELSE 1 END,
+    CASE WHEN 10 * n_dup_lines > 3 * n_lines THEN 0 ELSE 1 END, CASE WHEN 100 * n_repeat_words > 30 * n_words THEN 0 ELSE 1 END,
+    CASE WHEN word_chars < 3 * n_words OR word_chars > 12 * n_words THEN 0 ELSE 1 END, CASE WHEN 10 * n_upper > 4 * word_chars THEN 0 ELSE 1 END,
+    CASE WHEN 50 * n_symbols <= n_words AND 100 * n_repeat_words <= 15 * n_words AND 100 * n_upper <= 15 * word_chars AND 20 * n_dup_lines <= n_lines THEN 2 ELSE 1 END,
+    CASE WHEN n_words < 20 THEN 0 WHEN n_words >= 100 THEN 2 ELSE 1 END] END AS votes FROM c),
+p AS (SELECT list({{'votes': votes, 'n': n::DOUBLE}} ORDER BY votes) AS p FROM (SELECT votes, count(*) AS n FROM v GROUP BY votes)),
+em AS (
+  SELECT 0 AS i, {_sql_fit("x")} FROM (SELECT list_transform(p, lambda e: {{'votes': e.votes, 'g': e.n * CASE WHEN list_contains(e.votes, 0) THEN 0.05 ELSE 0.95 END, 'b': e.n * CASE WHEN list_contains(e.votes, 0) THEN 0.95 ELSE 0.05 END}}) AS x FROM p)
+  UNION ALL
+  SELECT i + 1, {_sql_fit("x")} FROM (SELECT i, list_transform(p, lambda e: {{'votes': e.votes, 'g': e.n * {_sql_belief("e.votes")}, 'b': e.n * (1 - {_sql_belief("e.votes")})}}) AS x FROM em, p WHERE i < 40)),
+q AS (SELECT votes, {_sql_belief("votes")} AS posterior FROM (SELECT DISTINCT votes FROM v), (SELECT * FROM em WHERE i = 40))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND posterior >= 0.5 AS kept
+FROM v JOIN q USING (votes)
+"""

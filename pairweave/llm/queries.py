@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pairweave.llm.bwt_dedup import op9_repeated_bytes
 from pairweave.llm.compaction import OP8_SQL, op8_sharding
-from pairweave.llm.decontam import op10_decontaminate
+from pairweave.llm.decontam import OP10_SQL, op10_decontaminate
 from pairweave.llm.katz import op5_katz_scores
 from pairweave.llm.langid import op4_language_id
 from pairweave.llm.mixing import OP3_SQL, op3_mix_sources
-from pairweave.llm.neardup import op6_near_duplicates
-from pairweave.llm.quality_rules import op1_quality_rules
+from pairweave.llm.neardup import OP6_SQL, op6_near_duplicates
+from pairweave.llm.quality_rules import OP1_SQL, op1_quality_rules
 from pairweave.llm.sstable import op7_token_shards
 from pairweave.llm.toxicity import op2_toxicity
 
@@ -26,4 +26,10 @@ QUERIES = {
     "op10_decontaminate": op10_decontaminate,
 }
 
-ORACLES = {"op3_mix_sources": OP3_SQL, "op8_sharding": OP8_SQL}
+ORACLES = {
+    "op1_quality_rules": OP1_SQL,
+    "op3_mix_sources": OP3_SQL,
+    "op6_near_duplicates": OP6_SQL,
+    "op8_sharding": OP8_SQL,
+    "op10_decontaminate": OP10_SQL,
+}
