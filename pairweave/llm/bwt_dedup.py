@@ -116,29 +116,53 @@ def _pieces(texts: list[bytes], length: int) -> Iterator[tuple[list[int], list[i
         yield rows, offsets, held
 
 
-_STRIP = pa.schema([("h", pa.int64()), ("g", pa.int64()), ("lo", pa.int64()), ("m", pa.int32()), ("off", pa.int32()), ("anchor", pa.int64()), ("d", pa.int64())])
-_STRIP_DDL = "h long, g long, lo long, m int, off int, anchor long, d long"
+_STRIP = pa.schema([("h", pa.int64()), ("g", pa.int64()), ("lo", pa.int64()), ("m", pa.int32()), ("off", pa.int32()), ("anchor", pa.int64()), ("d", pa.int64()), ("n", pa.int64())])
+_STRIP_DDL = "h long, g long, lo long, m int, off int, anchor long, d long, n long"
 
 
 def _all_strips(rows: DataFrame, length: int, gram: int) -> DataFrame:
+    """Strips, one row for each kind in a batch with its number there (n).
+
+    Strips that a batch holds more than once are settled there: their windows also come as rows
+    with a null anchor, runs that follow each other joined.
+    """
+
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             texts = bytes_of(part.column("text"))
-            h, g = part.column("h").to_numpy(), part.column("g").to_numpy()
+            found = []
             for own, offsets, held in _pieces(texts, length):
                 raw = np.frombuffer(b"".join(held), np.uint8)
-                if len(raw) < length:
-                    continue
-                starts = np.concatenate(([0], np.cumsum([len(x) for x in held])))
-                k, lo, m, off, anchor, d = strips(raw, starts, length, gram)
-                row = np.array(own)[k] if len(k) else k
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(h[row]), pa.array(g[row]), pa.array(lo + np.array(offsets)[k] if len(k) else lo), pa.array(m.astype(np.int32)), pa.array(off.astype(np.int32)), pa.array(anchor), pa.array(d)], schema=_STRIP
-                )
+                if len(raw) >= length:
+                    k, lo, *rest = strips(raw, np.concatenate(([0], np.cumsum([len(x) for x in held]))), length, gram)
+                    if len(k):
+                        found.append((np.array(own)[k], lo + np.array(offsets)[k], *rest))
+            del texts
+            if not found:
+                continue
+            row, lo, m, off, anchor, d = (np.concatenate(x) for x in zip(*found, strict=True))
+            h, g = part.column("h").to_numpy(), part.column("g").to_numpy()
+            order = np.lexsort((d, anchor))
+            fresh = np.concatenate(([True], (np.diff(anchor[order]) != 0) | (np.diff(d[order]) != 0)))
+            first = np.flatnonzero(fresh)
+            count = np.diff(np.concatenate((first, [len(order)])))
+            one = order[first]
+            yield _strip_rows(h[row[one]], g[row[one]], lo[one], m[one], off[one], anchor[one], d[one], count)
+            again = order[np.repeat(count > 1, count)]
+            if len(again):
+                again = again[np.lexsort((lo[again], row[again]))]
+                starts = np.flatnonzero(np.concatenate(([True], (np.diff(row[again]) != 0) | (lo[again][1:] != (lo + m)[again][:-1]))))
+                total, one = np.add.reduceat(m[again], starts), again[starts]
+                yield _strip_rows(h[row[one]], g[row[one]], lo[one], total, None, None, None, None)
 
     return rows.mapInArrow(run, _STRIP_DDL)
 
 
+def _strip_rows(*columns: np.ndarray | None) -> pa.RecordBatch:
+    rows = len(columns[0])
+    return pa.RecordBatch.from_arrays([pa.nulls(rows, f.type) if c is None else pa.array(c.astype(f.type.to_pandas_dtype())) for c, f in zip(columns, _STRIP, strict=True)], schema=_STRIP)
+
+
 _CUT = pa.schema([("key", pa.int64()), ("d", pa.int64()), ("h", pa.int64()), ("g", pa.int64()), ("lo", pa.int64()), ("m", pa.int32()), ("off", pa.int32()), ("s", pa.binary())])
 _CUT_DDL = "key long, d long, h long, g long, lo long, m int, off int, s binary"
 
@@ -270,7 +294,7 @@ def _sort_columns(held: DataFrame, rows: int, limit: int, length: int) -> DataFr
 
 def _settle(strings: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Windows of strings that are equal as wholes; and one string of each kind where a key has several kinds."""
-    kinds = materialize(strings.groupBy("key", "d").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("h", "g", "lo", "m", "off")).alias("r")))
+    kinds = materialize(strings.groupBy("key", "d").agg(F.sum("n").alias("n"), F.min(F.struct("h", "g", "lo", "m", "off")).alias("r")))
     equal = strings.join(kinds.filter("n > 1").select("key", "d"), ["key", "d"]).select("h", "g", "lo", "m")
     several = kinds.groupBy("key").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
     return equal, kinds.join(several, "key").select("key", "d", "r.*", "kinds")
@@ -280,26 +304,27 @@ def repeated_spans(rows: DataFrame, length: int = 200, gram: int = 80, limit: in
     """(h, g, lo, m): runs of m windows from lo on that also occur elsewhere. rows: h, g, text."""
     spark = rows.sparkSession
     made = materialize(_all_strips(rows, length, gram))
-    shared = made.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor")
-    strings = materialize(made.join(shared, "anchor").withColumnRenamed("anchor", "key"))
+    kinds = made.filter("anchor IS NOT NULL")
+    shared = kinds.groupBy("anchor").agg(F.sum("n").alias("n")).filter("n > 1").select("anchor")
+    strings = materialize(kinds.join(shared, "anchor").withColumnRenamed("anchor", "key"))
     release(spark)
     equal, several = _settle(strings)
-    found = [materialize(equal)]
+    found = [made.filter("anchor IS NULL").select("h", "g", "lo", "m"), materialize(equal)]
     several = materialize(several)
     release(spark)
     if several.isEmpty():
-        return found[0]
+        return found[0].unionByName(found[1])
     held = _fetch(rows, several.drop("d", "kinds"), length)
     sizes = several.select("key", "kinds").distinct()
     for block in (32, 8, 2, 1):
         large = materialize(sizes.filter(F.col("kinds") > limit).select("key"))
         if large.isEmpty():
             break
-        cut = _finer(held.join(large, "key", "left_semi"), block, length)
+        cut = _finer(held.join(large, "key", "left_semi"), block, length).withColumn("n", F.lit(1))
         equal, several = _settle(cut)
         found.append(materialize(equal))
         several = materialize(several)
-        kept = cut.join(several.select("key", "d", "h", "g", "lo"), ["key", "d", "h", "g", "lo"], "left_semi").dropDuplicates(["key", "d", "h", "g", "lo"])
+        kept = cut.drop("n").join(several.select("key", "d", "h", "g", "lo"), ["key", "d", "h", "g", "lo"], "left_semi").dropDuplicates(["key", "d", "h", "g", "lo"])
         held = materialize(held.join(large, "key", "left_anti").unionByName(kept))
         sizes = sizes.join(large, "key", "left_anti").unionByName(several.select("key", "kinds").distinct())
     count = held.count()
