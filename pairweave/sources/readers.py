@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import csv
+import io
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +15,7 @@ from pairweave.schemas import CORRELATIONS
 
 #: Cells that a CSV of measurements means as missing.
 MISSING = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
+_MISSING = frozenset(MISSING)
 #: Where a raw document may hold its measurements, in order of preference.
 BLOCKS = ["MS_METABOLITE_DATA", "NMR_METABOLITE_DATA"]
 
@@ -23,18 +29,27 @@ def read_study_list(spark: SparkSession, path: str) -> DataFrame:
 def read_study_matrices(spark: SparkSession, folder: str, suffix: str = "_combined.csv", parse: bool = True, below_limit: str = "zero") -> DataFrame:
     """Wide CSV files, one per study (samples x features, the sample's id first), as long observations.
 
-    Files have different columns, so each file is read with its own header; only headers are looked
-    at here, the cells stay distributed.
+    Files have different columns, so a file is parsed as a whole by the task that reads it, and
+    becomes rows of one schema: one plan, however many studies there are. A study has to fit a
+    task's memory; for larger ones see ``unpivot_matrix``.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", f"*{suffix}").load(folder).select("path").orderBy("path")
-    out = None
-    for (path,) in files.toLocalIterator():
-        study = path.rsplit("/", 1)[-1].removesuffix(suffix)
-        long = unpivot_matrix(spark.read.csv(path, header=True, inferSchema=False, nullValue=""), study)
-        out = long if out is None else out.unionByName(long)
-    if out is None:
-        out = spark.createDataFrame([], "study_id string, sample_id string, feature string, raw string")
-    return parse_cells(out, below_limit) if parse else out
+    files = spark.read.format("binaryFile").option("pathGlobFilter", f"*{suffix}").load(folder).select("path", "content")
+    out = pa.schema([(c, pa.string()) for c in ("study_id", "sample_id", "feature", "raw")])
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for path, content in zip(part.column("path").to_pylist(), part.column("content").to_pylist(), strict=True):
+                study = path.rsplit("/", 1)[-1].removesuffix(suffix)
+                lines = csv.reader(io.StringIO(content.decode("utf-8-sig")))
+                features = next(lines, [""])[1:]
+                for line in lines:
+                    if line:
+                        cells = [None if c in _MISSING else c for c in line[1:]] + [None] * (len(features) + 1 - len(line))
+                        n = len(features)
+                        yield pa.RecordBatch.from_arrays([pa.array([study] * n, pa.string()), pa.array([line[0]] * n, pa.string()), pa.array(features, pa.string()), pa.array(cells[:n], pa.string())], schema=out)
+
+    long = files.mapInArrow(run, "study_id string, sample_id string, feature string, raw string")
+    return parse_cells(long, below_limit) if parse else long
 
 
 def unpivot_matrix(wide: DataFrame, study_id: str) -> DataFrame:
