@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairweave.llm.common import materialize, table
+from pairweave.llm.common import materialize, set_aside, table
 from pairweave.llm.compaction import shard_corpus, sharded_rows
 from pairweave.llm.decontam import remove_contaminated
 from pairweave.llm.langid import held_out, identify, train
@@ -22,8 +22,10 @@ LEAST_LANGUAGE_SCORE = 0.35
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts in a language that can be told; texts without letters and hopeless mixtures go."""
-    found = identify(docs, train(docs.filter(~held_out())))
-    return found.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select(*docs.columns)
+    model = train(docs.filter(~held_out()))
+    docs, own = set_aside(docs, ("lang_pred", "score"))
+    found = identify(docs, model)
+    return found.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select(*own)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -32,7 +32,7 @@ def shared_dir(spark: SparkSession) -> str:
     checkpoint folder of the context and used from then on.
     """
     context = spark.sparkContext
-    base = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not base:
         base = tempfile.mkdtemp(prefix="pairweave-")
         context.setCheckpointDir(base)
@@ -67,6 +67,13 @@ def materialize(df: DataFrame, path: str | None = None, partition_by: list[str]
     return spark.read.schema(df.schema).parquet(path)
 
 
+def set_aside(docs: DataFrame, names) -> tuple[DataFrame, list]:
+    """``docs`` with columns named as in ``names`` renamed, and what to select to have all its columns back."""
+    taken = {n.lower() for n in names}
+    clash = {c: f"_own_{c}" for c in docs.columns if c.lower() in taken}
+    return docs.withColumnsRenamed(clash), [F.col(clash.get(c, c)).alias(c) for c in docs.columns]
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of frames that nothing refers to any more."""
     gc.collect()

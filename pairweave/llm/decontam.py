@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pairweave.llm.common import SQL_LOWER, bytes_of, materialize, table
+from pairweave.llm.common import SQL_LOWER, bytes_of, materialize, set_aside, table
 
 _NORMAL = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 _RUN = re.compile(rb"[^ ]+")
@@ -158,9 +158,9 @@ def _scanner(shipped, own: list[str], again: bool):
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_share: float = 0.0) -> DataFrame:
     """Rows of ``docs`` of which no larger share of words than ``max_share`` is hit."""
-    columns = docs.columns
+    docs, own = set_aside(docs, _FOUND_FIELDS)
     found = find_contamination(docs, benchmark, window)
-    return found.filter(F.col("n_hit") <= max_share * F.col("n_words")).select(*columns)
+    return found.filter(F.col("n_hit") <= max_share * F.col("n_words")).select(*own)
 
 
 def op10_decontaminate(spark, sf_dir: str) -> DataFrame:

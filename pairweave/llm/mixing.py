@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pairweave.llm.common import WORD, materialize, table
+from pairweave.llm.common import WORD, materialize, set_aside, table
 
 SEED = "7"
 _ADDED = ("size", "source_size", "target", "copies", "taken")
@@ -121,8 +121,9 @@ def mix(docs: DataFrame, epochs: int = 3, bucket_rows: int = 400, size: Column |
 
 def mixed_documents(docs: DataFrame, epochs: int = 3) -> DataFrame:
     """The mix itself: each document as often as it is taken."""
+    docs, own = set_aside(docs, _ADDED)
     mixed = mix(docs, epochs).filter(F.col("copies") > 0)
-    return mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    return mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*own)
 
 
 def op3_mix_sources(spark, sf_dir: str) -> DataFrame:

@@ -41,6 +41,7 @@ def test_documents_repeat(spark):
     docs = spark.createDataFrame([(1, "a b c", "s", 1), (2, "d " * 200, "t", 2)], "doc_id long, text string, source string, copies int")
     out = mixed_documents(docs)
     assert out.columns == docs.columns
+    assert {(r["doc_id"], r["copies"]) for r in out.collect()} <= {(1, 1), (2, 2)}  # the input's own column
     assert out.groupBy("doc_id").count().filter("count > 3").isEmpty()
     assert mixed_documents(docs.filter(F.lit(False))).count() == 0
 
