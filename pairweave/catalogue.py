@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairweave.functions.special import adjust_bh, corr_p_value
+from pairweave.functions.special import adjust_bh, adjust_p, corr_p_value
 from pairweave.operators import clean, cluster, correlate, enrich, graph, pooling, report
 from pairweave.plans import fixtures as fx
 from pairweave.plans.fixtures import LINES_SQL, RAW_SQL, SMALL_SQL, VECTORS_SQL
@@ -208,6 +208,16 @@ def kendall_pairs(spark, d):
     return rounded(correlate.kendall(five).select("feature_1", "feature_2", "study_id", "corr"))
 
 
+@query("one_pair", f"SELECT {r6('corr(l_quantity, l_extendedprice)', 'corr')}, count(*)::DOUBLE AS n FROM lineitem WHERE l_quantity IS NOT NULL AND l_extendedprice IS NOT NULL")
+def one_pair(spark, d):
+    return rounded(correlate.one_pair(fx.table(spark, d, "lineitem"), "l_quantity", "l_extendedprice", "pearson").select("corr", "n"))
+
+
+@query("studies_with_pairs", f"WITH {LINES_SQL} SELECT study_id, count(DISTINCT feature) AS features FROM obs GROUP BY 1 HAVING count(DISTINCT feature) > 1")
+def studies_with_pairs(spark, d):
+    return correlate.studies_with_pairs(fx.obs_lines(spark, d))
+
+
 @query("kendall_p_values")
 def kendall_p_values(spark, d):
     return rounded(correlate.kendall(fx.obs_lines(spark, d).filter(f"feature IN {_FIVE}")))
@@ -493,6 +503,17 @@ def bh_adjust(spark, d):
     return rounded(adjust_bh(_ora(spark).drop("padj"), "pval", "padj", ["cluster"], ["set_id"]).select("cluster", "set_id", "padj"))
 
 
+@query("adjust_holm", f"""WITH {_ORA} SELECT cluster, set_id, {r6('least(1.0, max(pval * (m - rank + 1)) OVER (PARTITION BY cluster ORDER BY rank ROWS UNBOUNDED PRECEDING))', 'padj')} FROM rk""")
+def adjust_holm(spark, d):
+    tests = _ora(spark).drop("padj").withColumn("pval", F.round("pval", 9))
+    return rounded(adjust_p(tests, "pval", "padj", ["cluster"], ["set_id"], "holm").select("cluster", "set_id", "padj"))
+
+
+@query("adjust_by", f"""WITH {_ORA} SELECT cluster, set_id, {r6('least(1.0, min(pval * m / rank * list_sum(list_transform(range(1, m + 1), lambda k: 1.0::DOUBLE / k))) OVER (PARTITION BY cluster ORDER BY rank DESC ROWS UNBOUNDED PRECEDING))', 'padj')} FROM rk""")
+def adjust_by(spark, d):
+    return rounded(adjust_p(_ora(spark).drop("padj"), "pval", "padj", ["cluster"], ["set_id"], "fdr_by").select("cluster", "set_id", "padj"))
+
+
 @query("enrich_clusters", f"WITH {_ORA} SELECT cluster, set_id, n_hits, {_cols(['padj'])} FROM ora WHERE padj < 0.6")
 def enrich_clusters(spark, d):
     found = enrich.enrich_clusters(fx.xref(spark), fx.clusters_of(fx.vector_nodes(spark)), fx.sets(spark), 0.6)

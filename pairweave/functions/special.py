@@ -57,15 +57,38 @@ def corr_p_value(corr: Column, n: Column) -> Column:
 
 
 def adjust_bh(tests: DataFrame, p: str, out: str, by: list[str], ties: list[str]) -> DataFrame:
-    """Benjamini-Hochberg: q of rank i is the least p * m / rank over ranks from i on, at most 1.
+    """Benjamini-Hochberg; see ``adjust_p``."""
+    return adjust_p(tests, p, out, by, ties, "fdr_bh")
 
-    Null p values are not tests: they keep a null and don't count. Adjusted within ``by``.
+
+def adjust_p(tests: DataFrame, p: str, out: str, by: list[str], ties: list[str], method: str = "fdr_bh") -> DataFrame:
+    """Adjusted p values within ``by``; null p values are not tests: they stay null and don't count.
+
+    With m tests and rank i: fdr_bh, the least p * m / j over ranks j from i on; fdr_by, the same
+    times 1 + 1/2 + ... + 1/m; simes-hochberg, the least p * (m - j + 1) over these; holm, the
+    largest p * (m - j + 1) over ranks up to i; holm-sidak, the same of 1 - (1 - p) ** (m - j + 1);
+    bonferroni, p * m; sidak, 1 - (1 - p) ** m. None exceeds 1.
     """
     group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    rank = F.row_number().over(group.orderBy(F.col(p).asc_nulls_last(), *ties))
-    ranked = tests.withColumn("_rank", rank).withColumn("_scaled", F.col(p) * F.count(p).over(group) / F.col("_rank"))
-    least = F.min("_scaled").over(group.orderBy(F.col("_rank").desc()).rowsBetween(Window.unboundedPreceding, 0))
-    return ranked.withColumn(out, F.when(F.col(p).isNotNull(), F.least(least, F.lit(1.0)))).drop("_rank", "_scaled")
+    order = group.orderBy(F.col(p).asc_nulls_last(), *ties)
+    m, i, x = F.count(p).over(group), F.row_number().over(order), F.col(p)
+    ranked = tests.withColumn("_m", m.cast("double")).withColumn("_i", i)
+    left = F.col("_m") - F.col("_i") + 1
+    harmonic = F.aggregate(F.sequence(F.lit(1), F.greatest(F.col("_m").cast("int"), F.lit(1))), F.lit(0.0), lambda a, k: a + 1.0 / k)
+    scaled = {
+        "fdr_bh": x * F.col("_m") / F.col("_i"), "fdr_by": x * F.col("_m") / F.col("_i") * harmonic, "simes-hochberg": x * left, "holm": x * left,
+        "holm-sidak": 1 - F.pow(1 - x, left), "bonferroni": x * F.col("_m"), "sidak": 1 - F.pow(1 - x, F.col("_m")),
+    }
+    if method not in scaled:
+        raise ValueError(f"unknown method {method!r}")
+    ranked = ranked.withColumn("_x", F.when(x.isNotNull(), scaled[method]))
+    if method in ("fdr_bh", "fdr_by", "simes-hochberg"):
+        value = F.min("_x").over(group.orderBy(F.col("_i").desc()).rowsBetween(Window.unboundedPreceding, 0))
+    elif method in ("holm", "holm-sidak"):
+        value = F.max("_x").over(group.orderBy("_i").rowsBetween(Window.unboundedPreceding, 0))
+    else:
+        value = F.col("_x")
+    return ranked.withColumn(out, F.when(x.isNotNull(), F.least(value, F.lit(1.0)))).drop("_m", "_i", "_x")
 
 
 def kendall_tau(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:

@@ -92,6 +92,19 @@ def kendall(obs: DataFrame) -> DataFrame:
     return full.select("feature_1", "feature_2", F.lit("kendall").alias("method"), clean("corr"), clean("p_value"), F.coalesce("n", F.lit(0)).cast("double").alias("n"), "study_id")
 
 
+def one_pair(df: DataFrame, x: str, y: str, method: str = "kendall") -> DataFrame:
+    """corr, p_value and n of two columns of a table, over rows with both."""
+    rows = df.select(F.monotonically_increasing_id().cast("string").alias("sample_id"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    both = F.explode(F.array(F.struct(F.lit("x").alias("feature"), F.col("x").alias("value")), F.struct(F.lit("y").alias("feature"), F.col("y").alias("value"))))
+    obs = rows.select(F.lit("").alias("study_id"), "sample_id", both.alias("b")).select("study_id", "sample_id", "b.*")
+    return correlations(obs, (method,)).select("corr", "p_value", "n")
+
+
+def studies_with_pairs(obs: DataFrame) -> DataFrame:
+    """study_id and its number of features; studies with fewer than two have no pair to correlate."""
+    return obs.groupBy("study_id").agg(F.count_distinct("feature").alias("features")).filter("features > 1")
+
+
 def correlations(obs: DataFrame, methods: tuple[str, ...] = ("pearson", "spearman")) -> DataFrame:
     """All methods with p values, in the exchange schema."""
     out = None

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pairweave.functions.special import adjust_bh
+from pairweave.functions.special import adjust_bh, adjust_p
 
 
 def set_members(sets: DataFrame, prefix: str | None = "C") -> DataFrame:
@@ -36,7 +36,7 @@ def hypergeometric_tail(k: Column, big_k: Column, n: Column, total: Column, log_
     return F.when(k <= 0, F.lit(1.0)).otherwise(F.least(tail, F.lit(1.0)))
 
 
-def over_representation(hits: DataFrame, sets: DataFrame, background: DataFrame | None = None, min_set_size: int = 2, prefix: str | None = None) -> DataFrame:
+def over_representation(hits: DataFrame, sets: DataFrame, background: DataFrame | None = None, min_set_size: int = 2, prefix: str | None = None, fdr_method: str = "fdr_bh") -> DataFrame:
     """Test every set in every cluster (hits: cluster, member_id) against a background (member_id).
 
     All sets with at least ``min_set_size`` members in the background are tested in each cluster
@@ -57,7 +57,7 @@ def over_representation(hits: DataFrame, sets: DataFrame, background: DataFrame
     full = grid.join(overlap, ["cluster", "set_id"], "left").withColumn("n_hits", F.coalesce("n_hits", F.lit(0).cast("long")))
     full = full.withColumn("pval", hypergeometric_tail(F.col("n_hits"), F.col("n_set"), F.col("n_drawn"), F.col("n_background"), F.col("_lf")))
     full = full.withColumn("hit_ids", F.coalesce("hit_ids", F.array().cast("array<string>")))
-    adjusted = adjust_bh(full, "pval", "padj", ["cluster"], ["set_id"])
+    adjusted = adjust_p(full, "pval", "padj", ["cluster"], ["set_id"], fdr_method)
     return adjusted.select("cluster", "set_id", "set_name", "n_hits", "n_set", "n_background", "pval", "hit_ids", "padj")
 
 

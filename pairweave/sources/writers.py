@@ -62,3 +62,11 @@ def write_enrichment(results: DataFrame, path: str) -> None:
 
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
+
+
+def write_page(spark, page: str, path: str) -> None:
+    """One page (HTML or SVG) as a file of this name, in any file system that Spark reaches."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True)
+    out.write(bytearray(page.encode()))
+    out.close()

@@ -173,7 +173,8 @@ def test_chain_and_pages(spark, tmp_path):
     assert out["abundance"].filter("abundance < 0 OR abundance > 1").count() == 0
     positions = cluster.layout(made["distances_signed"], seed=0)
     page = report.network_html(report.viewer_nodes(made["edges"], fx.annotation(spark)), made["edges"], positions)
-    assert page.count("canvas") >= 2 and "unknown" in page
+    writers.write_page(spark, page, str(tmp_path / "net.html"))
+    assert (tmp_path / "net.html").read_text() == page and page.count("canvas") >= 2 and "unknown" in page
     jac = cluster.cluster_jaccard(made["edges"], out["clusters"])
     page = report.cluster_html(cluster.cluster_sizes(out["clusters"]), report.cluster_edges(jac), cluster.cluster_layout(jac), out["abundance"])
     assert "<table>" in page

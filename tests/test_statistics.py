@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pairweave.functions.special import adjust_bh, corr_p_value, kendall_tau, t_two_sided
+from pairweave.functions.special import adjust_bh, adjust_p, corr_p_value, kendall_tau, t_two_sided
 from pairweave.operators import correlate, pooling
 
 
@@ -125,3 +125,24 @@ def test_bh(spark):
     for i, v in enumerate(p):
         want = None if v is None else min(min(s * 5 / (k + 1) for k, s in enumerate(some) if s >= v), 1.0)
         assert got[str(i)] == (None if want is None else pytest.approx(want))
+
+
+def test_other_adjustments(spark):
+    p = [0.01, 0.02, 0.03, 0.5]
+    df = spark.createDataFrame([(str(i), v) for i, v in enumerate(p)], "id string, p double")
+    got = lambda m: [r["q"] for r in adjust_p(df, "p", "q", [], ["id"], m).orderBy("id").collect()]
+    assert got("bonferroni") == pytest.approx([0.04, 0.08, 0.12, 1.0])
+    assert got("holm") == pytest.approx([0.04, 0.06, 0.06, 0.5])
+    assert got("simes-hochberg") == pytest.approx([0.04, 0.06, 0.06, 0.5])
+    assert got("sidak") == pytest.approx([1 - (1 - v) ** 4 for v in p])
+    assert got("holm-sidak")[0] == pytest.approx(1 - 0.99**4)
+    assert got("fdr_by") == pytest.approx([min(1, v * (1 + 1 / 2 + 1 / 3 + 1 / 4)) for v in got("fdr_bh")])
+    with pytest.raises(ValueError):
+        got("none")
+
+
+def test_one_pair(spark):
+    df = spark.createDataFrame([(1, 2.0), (2, 1.0), (3, 4.0), (4, 3.0), (5, 5.0), (None, 1.0)], "a int, b double")
+    assert correlate.one_pair(df, "a", "b").first()["corr"] == pytest.approx(0.6)
+    row = correlate.one_pair(df, "a", "b", "spearman").first()
+    assert row["corr"] == pytest.approx(0.8) and row["n"] == 5
