@@ -11,7 +11,7 @@ from pairweave.functions.special import adjust_bh, adjust_p, corr_p_value
 from pairweave.operators import clean, cluster, correlate, enrich, graph, pooling, report
 from pairweave.plans import fixtures as fx
 from pairweave.plans.fixtures import LINES_SQL, RAW_SQL, SMALL_SQL, VECTORS_SQL
-from pairweave.plans.scratch import checkpointed
+from pairweave.plans.scratch import checkpointed, materialized
 from pairweave.sources.readers import read_raw_blocks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -167,7 +167,8 @@ _RESULT = "SELECT feature_1, feature_2, '{m}' AS method, " + r6("corr", "corr")
 
 
 def _prepared(spark, d):
-    return clean.prepare(fx.obs_lines(spark, d))
+    """Written once: the grid, both sides of the pair join and the variance filter all read it."""
+    return materialized(clean.prepare(materialized(fx.obs_lines(spark, d))))
 
 
 @query("pearson_pairs", f"WITH {_PEARSON} {_RESULT.format(m='pearson')}")
@@ -273,12 +274,11 @@ _cols = lambda names: ", ".join(r6(c, c) for c in names)
 
 def _pool(corr, min_studies=4, **more):
     """A p value is there just where r is over at least three samples: pooling itself needs no p."""
-    rows = pooling.eligible(corr.withColumn("p_value", F.lit(0.0)))
-    return pooling.pool_new(pooling.with_enough_studies(rows, min_studies), None, **more)
+    return pooling.pool_new(pooling.eligible(corr.withColumn("p_value", F.lit(0.0))), None, min_studies=min_studies, **more)
 
 
 def _pooled_lines(spark, d, **more):
-    return _pool(correlate.pearson(_prepared(spark, d)), **more)
+    return _pool(correlate.pearson(_prepared(spark, d), all_pairs=False), **more)
 
 
 @query("pool_fixed", f"WITH {_POOLED_LINES} SELECT feature_1, feature_2, n_studies, {_cols(_FIXED)} FROM pooled")
@@ -334,7 +334,7 @@ _SMALL = _NET + ", " + SMALL_SQL
 
 
 def _edges(spark, d):
-    return graph.significant_edges(_pool(correlate.pearson(fx.obs_vectors(spark, d))))
+    return graph.significant_edges(_pool(correlate.pearson(fx.obs_vectors(spark, d), all_pairs=False)))
 
 
 @query("significant_edges", f"WITH {_POOLED_LINES}{_EDGES} SELECT source, target, {_cols(['r', 'ci_low', 'ci_high'])} FROM edges")

@@ -52,10 +52,12 @@ def _moments(rows: DataFrame, x: str, y: str) -> DataFrame:
     return rows.groupBy(*PAIR).agg(F.when(F.count(F.lit(1)) > 1, pearson_r(x, y)).alias("corr"), F.count(F.lit(1)).alias("n"))
 
 
-def pearson(obs: DataFrame, plan: str = "join") -> DataFrame:
-    """Pearson's r; ``plan``: "join" or "gram"."""
+def pearson(obs: DataFrame, plan: str = "join", all_pairs: bool = True) -> DataFrame:
+    """Pearson's r; ``plan``: "join" or "gram". Without ``all_pairs``, only pairs that share a sample."""
     found = _gram(obs) if plan == "gram" else _moments(pair_rows(obs), "x", "y")
-    return _on_grid(obs, found, "pearson")
+    if all_pairs:
+        return _on_grid(obs, found, "pearson")
+    return found.select("feature_1", "feature_2", F.lit("pearson").alias("method"), "corr", F.col("n").cast("double").alias("n"), "study_id")
 
 
 def spearman(obs: DataFrame) -> DataFrame:

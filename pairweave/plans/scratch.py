@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 
+import uuid
+
 from pyspark.sql import DataFrame
 
 
@@ -13,3 +15,16 @@ def checkpointed(df: DataFrame) -> DataFrame:
     if not context.getCheckpointDir():
         context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="pairweave-"))
     return df.checkpoint()
+
+
+def materialized(df: DataFrame) -> DataFrame:
+    """Write ``df`` as a Parquet table in the same folder and read it back.
+
+    For a table that several branches of one plan read: Spark would otherwise compute it in each.
+    """
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="pairweave-"))
+    path = f"{context.getCheckpointDir()}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pairweave.functions.special import adjust_bh
 from pairweave.operators import clean, cluster, correlate, enrich, graph, pooling
-from pairweave.plans.scratch import checkpointed
+from pairweave.plans.scratch import checkpointed, materialized
 
 
 def ingest(cells: DataFrame, name_map: DataFrame, ids: DataFrame, aliases: DataFrame | None = None, join: str = "outer", below_limit: str = "zero") -> DataFrame:
@@ -18,7 +18,7 @@ def ingest(cells: DataFrame, name_map: DataFrame, ids: DataFrame, aliases: DataF
 
 
 def correlate_studies(obs: DataFrame, methods: tuple[str, ...] = ("pearson", "spearman"), transform: str | None = "log", pqn: bool = False, keep_unmapped: bool = False, min_unique: int | None = 3) -> DataFrame:
-    return correlate.correlations(clean.prepare(obs, keep_unmapped, transform, pqn, min_unique), methods)
+    return correlate.correlations(materialized(clean.prepare(obs, keep_unmapped, transform, pqn, min_unique)), methods)
 
 
 def combine(corr: DataFrame, method: str) -> DataFrame:
