@@ -41,9 +41,9 @@ _SPECIAL = np.array([1, 2], np.uint64)
 
 _CHUNK = pa.schema(
     [("chunk", pa.int64()), ("shard", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("lengths", pa.binary())]
-    + [("tokens", pa.binary()), ("hashes", pa.binary()), ("counts", pa.binary())]
+    + [("tokens", pa.binary()), ("hashes", pa.binary()), ("spots", pa.binary()), ("counts", pa.binary())]
 )
-_CHUNK_DDL = "chunk long, shard int, doc_ids array<long>, held array<boolean>, lengths binary, tokens binary, hashes binary, counts binary"
+_CHUNK_DDL = "chunk long, shard int, doc_ids array<long>, held array<boolean>, lengths binary, tokens binary, hashes binary, spots binary, counts binary"
 
 
 def good_turing(seen: list[float], cut: int) -> np.ndarray:
@@ -102,7 +102,7 @@ def _chunks(docs: DataFrame, chunk_tokens: int) -> DataFrame:
             joined = np.concatenate(tokens)
             train = np.repeat(~np.array([h for _, h, _ in held]), lengths)
             row = {"chunk": number, "shard": -1, "doc_ids": [d for d, _, _ in held], "held": [h for _, h, _ in held], "lengths": pack(lengths)}
-            row |= {"tokens": pack(joined), "hashes": hashes.tobytes(), "counts": pack(np.bincount(joined[train], minlength=len(hashes)))}
+            row |= {"tokens": pack(joined), "hashes": hashes.tobytes(), "spots": spots_of(hashes).tobytes(), "counts": pack(np.bincount(joined[train], minlength=len(hashes)))}
             vocabulary, held, number = Vocabulary(), [], number + 1
             return pa.RecordBatch.from_pylist([row], _CHUNK)
 
@@ -121,6 +121,11 @@ def _chunks(docs: DataFrame, chunk_tokens: int) -> DataFrame:
     return materialize(docs.mapInArrow(run, _CHUNK_DDL))
 
 
+def spots_of(hashes: np.ndarray) -> np.ndarray:
+    """What decides a word's shard: the low half of its hash, as later steps need no more of it."""
+    return (hashes & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+
+
 _ASK = pa.schema([("shard", pa.int32()), ("chunk", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
 
 
@@ -129,7 +134,7 @@ def _ask_words(chunks: DataFrame, shards: int) -> DataFrame:
         for part in parts:
             for row in part.to_pylist():
                 hashes, counts = np.frombuffer(row["hashes"], np.uint64), unpack(row["counts"])
-                order, cuts = _deal(hashes % np.uint64(shards), shards)
+                order, cuts = _deal(spots_of(hashes) % np.uint32(shards), shards)
                 yield pa.RecordBatch.from_pylist(
                     [{"shard": s, "chunk": row["chunk"], "keys": hashes[order[a:b]].tobytes(), "counts": pack(counts[order[a:b]])} for s, (a, b) in enumerate(cuts) if a < b], _ASK
                 )
@@ -191,9 +196,9 @@ class Chunk:
     @classmethod
     def of(cls, rows: list[dict], shards: int) -> Chunk:
         row = next(r for r in rows if r["shard"] < 0)
-        hashes = np.frombuffer(row["hashes"], np.uint64)
-        order, cuts = _deal(hashes % np.uint64(shards), shards)
-        words, counts = np.zeros(len(hashes), np.uint64), np.zeros(len(hashes), np.int64)
+        spots = np.frombuffer(row["spots"], np.uint32)
+        order, cuts = _deal(spots % np.uint32(shards), shards)
+        words, counts = np.zeros(len(spots), np.uint64), np.zeros(len(spots), np.int64)
         for r in rows:
             if r["shard"] >= 0 and r["keys"] is not None:
                 a, b = cuts[r["shard"]]
@@ -355,7 +360,8 @@ def katz_scores(docs: DataFrame, cut: int = 5, chunk_tokens: int = 1_500_000, sh
     release(spark)
 
     answers = words.filter("kind = 'answer'").select("chunk", "shard", "keys", "counts")
-    known = chunks.unionByName(answers, allowMissingColumns=True)
+    payload = chunks.select("chunk", "shard", "doc_ids", "held", "lengths", "tokens", "spots")
+    known = payload.unionByName(answers, allowMissingColumns=True)
     requests = known.groupBy("chunk").applyInArrow(_ask_pairs(shards, hot), _PAIRS_DDL)
     pairs = materialize(requests.groupBy("shard").applyInArrow(_pair_shard(unigrams), _FOUND_DDL), partition_by=["kind"]).select(*_FOUND.names)
     counted = pairs.filter("kind = 'table'").agg(*seen).first()
