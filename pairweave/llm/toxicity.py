@@ -8,8 +8,8 @@ in a row) is its own restoration, so that only disguised words are decoded, each
 batch once.
 
 A word's evidence is the chance of toxicity of texts with that word or one of its prefixes, learned
-from labelled texts; a text's score is a logistic function of its three strongest words' evidence
-and of its length.
+from labelled texts; a text's score is a logistic function of the evidence of its three strongest
+words, of how many places hold strong ones, and of its length.
 
 Scale: one pass over the texts without any shuffle. Everything is learned from at most about
 ``max_rows`` labelled rows chosen by hash, joined as a broadcast of that bounded size.
@@ -151,12 +151,16 @@ class Model:
         return words, found
 
     def signals(self, texts: list[bytes | None]) -> np.ndarray:
-        """Text x (1, evidence of the three strongest distinct words, log of the length)."""
+        """Text x (1, evidence of the three strongest distinct words, log of the number of strong words' places,
+        log of the length, square of the strongest).
+
+        Evidence counts as in a noisy or: the logarithm of how much rarer harmless texts with the word are.
+        """
         vocabulary = Vocabulary()
         ids = [vocabulary.encode([] if t is None else t.lower().split()) for t in texts]
         words, evidence = self.tokens(vocabulary.words())
         single = np.array([len(w) == 1 for w in words], bool)
-        out = np.zeros((len(texts), 5))
+        out = np.zeros((len(texts), 7))
         out[:, 0] = 1
         for i, own in enumerate(ids):
             strong = sorted({int(k) for k in own[evidence[own] > 0]}, key=lambda k: (-evidence[k], k))
@@ -167,8 +171,10 @@ class Model:
                     if p := self.word(word):
                         found[word] = max(p, found.get(word, 0.0))
             top = sorted(found.values(), reverse=True)[:3]
-            out[i, 1 : 1 + len(top)] = [math.log((p + 0.02) / (1 - p + 0.02)) + 4 for p in top]
-            out[i, 4] = math.log1p(len(own))
+            out[i, 1 : 1 + len(top)] = [-math.log(1 - p + 0.01) for p in top]
+            out[i, 4] = math.log1p(float((evidence[own] > 0.6).sum()))
+            out[i, 5] = math.log1p(len(own))
+            out[i, 6] = out[i, 1] ** 2
         return out
 
     def score(self, signals: np.ndarray) -> np.ndarray:
