@@ -19,7 +19,6 @@ neutral; without any row to learn from, everything is ``und``; rows are kept as
 
 from __future__ import annotations
 
-import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -84,7 +83,7 @@ def scripts_of(words: list[bytes]) -> np.ndarray:
     out = np.full(len(words), _LATIN)
     for i, w in enumerate(words):
         if not w.isascii():
-            letters = [c for c in w.decode("utf-8", "replace") if c.isalpha() or unicodedata.category(c)[0] == "M"]
+            letters = [c for c in w.decode("utf-8", "replace") if c.isalpha()]
             odd = [ord(c) for c in letters if ord(c) > 127]
             out[i] = -1 if not letters else _SCRIPT_OF[np.searchsorted(_STARTS, odd[0], "right") - 1] if odd else _LATIN
     return out
