@@ -101,7 +101,7 @@ class Model:
 
     def score(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Log posterior of each language for each word under a uniform prior, and whether it has a letter."""
-        parts = [self._score(words[a : a + 20_000]) for a in range(0, max(1, len(words)), 20_000)]
+        parts = [self._score(words[a : a + 10_000]) for a in range(0, max(1, len(words)), 10_000)]
         return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
 
     def _score(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -207,8 +207,8 @@ def identify(docs: DataFrame, model: Model, penalty: float = 6.0, with_spans: bo
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shipped.value
         for part in parts:
-            for first in range(0, part.num_rows, 2000):
-                piece = part.slice(first, 2000)
+            for first in range(0, part.num_rows, 1000):
+                piece = part.slice(first, 1000)
                 vocabulary = Vocabulary()
                 ids = [vocabulary.encode(words_of(t)) for t in bytes_of(piece.column("text"))]
                 words = vocabulary.words()
