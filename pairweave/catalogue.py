@@ -221,7 +221,7 @@ def studies_with_pairs(spark, d):
 
 @query("kendall_p_values")
 def kendall_p_values(spark, d):
-    return rounded(correlate.kendall(fx.obs_lines(spark, d).filter(f"feature IN {_FIVE}")))
+    return rounded(correlate.kendall(fx.obs_lines(spark, d)))
 
 
 _THETA = "atan(abs(corr) * sqrt((n - 2) / (1 - corr * corr)) / sqrt(n - 2))"
