@@ -3,7 +3,9 @@
 A disguised word is seen as the output of a noisy channel: letters replaced by look-alike digits
 and signs, masked by a star, repeated, or set apart by separators or spaces. Its lattice of possible letters
 is decoded by Viterbi under a character trigram model, with a cost for each thing the channel did,
-and the restored word is scored. A word whose lattice has one path (letters only, none three times
+and the restored word is scored. Over a run of short pieces (up to three characters) the lattice also
+says which spaces were put in and which part words, each at a cost; a word of the run costs what the
+trigrams or its frequency say, whichever is less, and every word restored from several pieces is scored. A word whose lattice has one path (letters only, none three times
 in a row) is its own restoration, so that only disguised words are decoded, each distinct one of a
 batch once.
 
@@ -21,6 +23,7 @@ none); very long texts are read whole; repeated rows are kept.
 
 from __future__ import annotations
 
+import functools
 import itertools
 import math
 import re
@@ -43,6 +46,12 @@ MASKS, VOWELS = "*#%", "aeiou"
 SEPARATORS = ".-_~'`,:;/\\=^&"
 #: Costs (negative log probabilities) of what the channel did: look-alike, mask, dropped separator, repetition.
 COST_LOOK, COST_MASK, COST_DROP, COST_REPEAT = 1.0, 2.0, 0.3, 0.3
+#: What a space costs that is as expected, and one that isn't: between single characters it is dropped, else kept.
+COST_SPACE = (0.3, 1.0)
+#: What any letter costs at most as a word of its own.
+COST_LETTER = 4.0
+#: Characters of a piece at most.
+SHORT = 3
 _SIGN_RUN = re.compile(r"([^\w\s])\1{2,}")
 _DISGUISED = re.compile(r"([^\W\d_])\1\1|[\d@$!|+(<€£¡*#%]|(?:^|[._\-~*])\w[._\-~*]+\w(?:[._\-~*]|$)")
 _LETTER = re.compile(r"[^\W\d_]")
@@ -55,9 +64,12 @@ class CharModel:
 
     counts: Counter = field(default_factory=Counter)
     context: Counter = field(default_factory=Counter)
+    words: Counter = field(default_factory=Counter)
     letters: int = 40
 
     def add(self, word: str, n: int = 1) -> None:
+        self.words[word] += n
+        self.__dict__.pop("beginnings", None)
         padded = f"  {word} "
         for i in range(2, len(padded)):
             self.counts[padded[i - 2 : i + 1]] += n
@@ -66,6 +78,15 @@ class CharModel:
     def cost(self, before: str, letter: str) -> float:
         return -math.log((self.counts[before + letter] + 0.05) / (self.context[before] + 0.05 * self.letters))
 
+    @functools.cached_property
+    def beginnings(self) -> dict[str, float]:
+        """Beginnings of the words, with what a whole word costs by its frequency."""
+        total = math.log(max(1, self.words.total()))
+        whole = {c: COST_LETTER for c in {g[2] for g in self.counts} if c != " "}
+        for w, n in self.words.items():
+            whole[w] = min(total - math.log(n), whole.get(w, math.inf))
+        return dict.fromkeys((w[:k] for w in self.words for k in range(len(w))), math.inf) | whole
+
 
 def lattice(word: str) -> list[list[tuple[str, float]]]:
     """For each run of equal characters, the strings it may stand for and what the channel charges."""
@@ -102,6 +123,50 @@ def decode(word: str, model: CharModel) -> str:
     return min(best.values())[1].strip()
 
 
+def respace(pieces: list[str], model: CharModel) -> list[tuple[int, str]]:
+    """The likeliest words of a run of pieces, each with the number of pieces that it is made of; by Viterbi
+    over the last two letters and, as long as it begins a known word, all that there is of the word."""
+    known, cost = model.beginnings, functools.cache(model.cost)
+    again = [k for _, run in itertools.groupby(pieces) for n in [len(list(run))] for k in (range(n) if n > 2 else [0] * n)]
+
+    def put(states: dict, key: tuple, value: tuple) -> None:
+        if key not in states or value[0] < states[key][0]:
+            states[key] = value
+
+    def ended(last: str, word: str | None, spent: float, bare: float) -> float:
+        return min(spent + cost(last, " "), bare + known.get(word, math.inf))
+
+    # (last two letters, beginning of a known word or None): cost, cost without the letters of this word, path
+    best: dict[tuple, tuple] = {("  ", ""): (0.0, 0.0, None)}
+    for i, piece in enumerate(pieces):
+        if i:
+            after: dict[tuple, tuple] = {}
+            drop, keep = COST_SPACE if len(piece) == len(pieces[i - 1]) == 1 else COST_SPACE[::-1]
+            for (last, word), (spent, bare, path) in best.items():
+                put(after, (last, word), (spent + drop, bare + drop, path))
+                end = ended(last, word, spent, bare) + keep
+                put(after, ("  ", ""), (end, end, (path, " ")))
+            best = after
+        for edges in lattice(piece):
+            after = {}
+            for (last, word), (spent, bare, path) in best.items():
+                for text, charge in [*edges, ("", COST_REPEAT)] if again[i] and len(piece) == 1 else edges:
+                    total, end = spent + charge, last
+                    for c in text:
+                        total += cost(end, c)
+                        end = end[1] + c
+                    whole = None if word is None or word + text not in known else word + text
+                    put(after, (end, whole), (total, bare + charge, (path, text)))
+            best = after
+        best = {k: (spent, bare, (path, "\n")) for k, (spent, bare, path) in best.items()}  # the piece ends
+    path = min(((ended(*k, *v[:2]), v[2]) for k, v in best.items()), key=lambda x: x[0])[1]
+    texts = []
+    while path is not None:
+        path, text = path
+        texts.append(text)
+    return [(w.count("\n"), w.replace("\n", "")) for w in "".join(reversed(texts)).split(" ")]
+
+
 def disguised(word: str) -> bool:
     return _DISGUISED.search(word) is not None and _LETTER.search(word) is not None
 
@@ -129,6 +194,12 @@ def spaced(words: list[str]) -> list[str]:
     return out
 
 
+def pieces_of(words: list[str]) -> list[list[str]]:
+    """Runs of at least two short words, with a letter."""
+    runs = (list(run) for short, run in itertools.groupby(words, lambda w: 0 < len(w) <= SHORT) if short)
+    return [run for run in runs if len(run) > 1 and any(map(_LETTER.search, run))]
+
+
 @dataclass
 class Model:
     chars: CharModel
@@ -139,6 +210,23 @@ class Model:
     def word(self, word: str) -> float:
         return max((self.evidence.get(f, 0.0) for f in features(word)), default=0.0)
 
+    @functools.cached_property
+    def heads(self) -> set[str]:
+        """What a word with evidence begins with: four letters, or all of a shorter word."""
+        return {f.strip()[:4] for f in self.evidence}
+
+    def restored(self, pieces: list[str]) -> list[tuple[str, float]]:
+        """Words with evidence that pieces of a run make together. Runs of plain letters that hold none of these
+        words' beginnings at the beginning of a piece aren't decoded."""
+        joined = "".join(pieces)
+        if not _LETTER.search(joined):
+            return []
+        if joined.isalpha() and not _DISGUISED.search(joined):
+            starts = itertools.accumulate(map(len, pieces[:-1]), initial=0)
+            if not any(joined[i : i + k] in self.heads for i in starts for k in range(1, 5)):
+                return []
+        return [(w, p) for n, w in respace(pieces, self.chars) if n > 1 and (p := self.word(w))]
+
     def tokens(self, tokens: list[bytes]) -> tuple[list[str], np.ndarray]:
         """Trimmed tokens, and the evidence of each token as it stands or as restored."""
         words = [trim(t.decode("utf-8", "replace")) for t in tokens]
@@ -159,20 +247,26 @@ class Model:
         vocabulary = Vocabulary()
         ids = [vocabulary.encode([] if t is None else t.lower().split()) for t in texts]
         words, evidence = self.tokens(vocabulary.words())
-        single = np.array([len(w) == 1 for w in words], bool)
+        short = np.array([0 < len(w) <= SHORT for w in words], bool)
+        runs: dict[bytes, list[tuple[str, float]]] = {}
         out = np.zeros((len(texts), 7))
         out[:, 0] = 1
         for i, own in enumerate(ids):
             strong = sorted({int(k) for k in own[evidence[own] > 0]}, key=lambda k: (-evidence[k], k))
             found = {words[k]: evidence[k] for k in strong}
-            if single[own].sum() > 2:
-                for joined in spaced([words[k] if single[k] else "  " for k in own]):
-                    word = restore(joined, self.chars)
-                    if p := self.word(word):
-                        found[word] = max(p, found.get(word, 0.0))
+            places = int((evidence[own] > 0.6).sum())
+            edges = np.flatnonzero(np.diff(short[own], prepend=False, append=False))
+            for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
+                if b - a < 2:
+                    continue
+                if (key := own[a:b].tobytes()) not in runs:
+                    runs[key] = self.restored([words[k] for k in own[a:b]])
+                for word, p in runs[key]:
+                    found[word] = max(p, found.get(word, 0.0))
+                    places += p > 0.6
             top = sorted(found.values(), reverse=True)[:3]
             out[i, 1 : 1 + len(top)] = [-math.log(1 - p + 0.01) for p in top]
-            out[i, 4] = math.log1p(float((evidence[own] > 0.6).sum()))
+            out[i, 4] = math.log1p(places)
             out[i, 5] = math.log1p(len(own))
             out[i, 6] = out[i, 1] ** 2
         return out
@@ -276,8 +370,12 @@ def score_toxicity(docs: DataFrame, model: Model, with_restored: bool = False) -
                     listed = []
                     for t in texts:
                         tokens = (t or b"").decode("utf-8", "replace").split()
-                        joined = [x for x in tokens if disguised(trim(x))] + spaced([trim(x) for x in tokens])
-                        listed.append([{"token": x, "word": restore(x, m.chars)} for x in joined])
+                        found = [{"token": x, "word": restore(x, m.chars)} for x in tokens if disguised(trim(x))]
+                        for run in pieces_of([trim(x) for x in tokens]):
+                            at = iter(run)
+                            split = [(list(itertools.islice(at, n)), w) for n, w in respace(run, m.chars)]
+                            found += [{"token": " ".join(own), "word": w} for own, w in split if len(own) > 1]
+                        listed.append(found)
                     columns.append(pa.array(listed, pair))
                 yield pa.RecordBatch.from_arrays(columns, names=[*own, "score", *["restored"] * with_restored])
 
