@@ -1,14 +1,16 @@
 """Tables behind the figures, and small HTML files drawn from them.
 
-Figures are for what a person can look at: the writers collect at most ``limit`` rows.
+Figures are for what a person can look at: a page is one string on the driver and holds all rows of its
+tables, in order. With a ``limit``, a table of more rows is an error; nothing is cut.
 """
 
 from __future__ import annotations
 
 import html
 import json
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from pairweave.operators.graph import degrees
@@ -87,10 +89,17 @@ draw();
 </script>"""
 
 
-def network_html(nodes: DataFrame, edges: DataFrame, positions: DataFrame, title: str = "network", limit: int = 50_000) -> str:
+def _rows(df: DataFrame, limit: int | None) -> Iterator[Row]:
+    for k, row in enumerate((df if limit is None else df.limit(limit + 1)).toLocalIterator()):
+        if k == limit:
+            raise ValueError(f"more than {limit} rows to draw; raise limit or filter before")
+        yield row
+
+
+def network_html(nodes: DataFrame, edges: DataFrame, positions: DataFrame, title: str = "network", limit: int | None = None) -> str:
     """A page with a canvas and a legend: a click hides a class and its edges, a double click isolates it."""
-    rows = nodes.join(positions, "node_id").limit(limit).collect()
-    lines = viewer_edges(edges, positions, nodes).limit(limit).collect()
+    rows = list(_rows(nodes.join(positions, "node_id").orderBy("node_id"), limit))
+    lines = _rows(viewer_edges(edges, positions, nodes).orderBy("source", "target"), limit)
     classes = dict(sorted({r["code"]: r["class"] for r in rows}.items()))
     data = {
         "classes": list(classes.values()),
@@ -101,21 +110,22 @@ def network_html(nodes: DataFrame, edges: DataFrame, positions: DataFrame, title
     return _PAGE % {"title": html.escape(title), "data": json.dumps(data).replace("</", "<\\/")}
 
 
-def cluster_html(sizes: DataFrame, edges: DataFrame, positions: DataFrame, abundance: DataFrame | None = None, title: str = "clusters", limit: int = 5000) -> str:
+def cluster_html(sizes: DataFrame, edges: DataFrame, positions: DataFrame, abundance: DataFrame | None = None, title: str = "clusters", limit: int | None = None) -> str:
     """Clusters as circles (area by size), joined by lines (width by similarity), with the sets' abundance in a table."""
-    rows = sizes.join(positions, "cluster").orderBy("cluster").limit(limit).collect()
+    rows = list(_rows(sizes.join(positions, "cluster").orderBy("cluster"), limit))
     at = {r["cluster"]: r for r in rows}
+    place = {c: k for k, c in enumerate(at)}
     top = max((r["n"] for r in rows), default=1)
-    lines = [e for e in edges.limit(limit).collect() if e["cluster_i"] in at and e["cluster_j"] in at]
+    lines = [e for e in _rows(edges.orderBy("cluster_i", "cluster_j"), limit) if e["cluster_i"] in at and e["cluster_j"] in at]
     data = {
         "classes": [f"cluster {r['cluster']} (n={r['n']})" for r in rows],
         "colours": [PALETTE[k % len(PALETTE)] for k in range(len(rows))],
         "nodes": [{"x": r["x"], "y": r["y"], "r": 15 + 45 * (r["n"] / top) ** 0.5, "k": k} for k, r in enumerate(rows)],
-        "edges": [{"x0": at[e["cluster_i"]]["x"], "y0": at[e["cluster_i"]]["y"], "x1": at[e["cluster_j"]]["x"], "y1": at[e["cluster_j"]]["y"], "a": list(at).index(e["cluster_i"]), "b": list(at).index(e["cluster_j"]), "s": int(e["similarity"] >= 0), "w": e["width"]} for e in lines],
+        "edges": [{"x0": at[e["cluster_i"]]["x"], "y0": at[e["cluster_i"]]["y"], "x1": at[e["cluster_j"]]["x"], "y1": at[e["cluster_j"]]["y"], "a": place[e["cluster_i"]], "b": place[e["cluster_j"]], "s": int(e["similarity"] >= 0), "w": e["width"]} for e in lines],
     }
     page = _PAGE % {"title": html.escape(title), "data": json.dumps(data).replace("</", "<\\/")}
     if abundance is not None:
-        cells = abundance.orderBy("set_id", "cluster").limit(limit).collect()
+        cells = _rows(abundance.orderBy("set_id", "cluster"), limit)
         page += "<table>" + "".join(f"<tr><td>{html.escape(str(c['set_id']))}<td>{c['cluster']}<td>{c['abundance']:.3f}" for c in cells) + "</table>"
     return page
 
