@@ -16,16 +16,16 @@ from pairweave.llm.langid import held_out, identify, train
 from pairweave.llm.mixing import mixed_documents
 from pairweave.llm.neardup import drop_near_duplicates
 
-#: Texts whose language is less sure than this are rejected.
+#: Texts whose words' languages are less sure than this on average are rejected.
 LEAST_LANGUAGE_SCORE = 0.35
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts in a language that can be told; texts without letters and hopeless mixtures go."""
+    """Texts in a language that can be told, or in several; texts without letters, or with words that could be in any, go."""
     model = train(docs.filter(~held_out()))
-    docs, own = set_aside(docs, ("lang_pred", "score"))
-    found = identify(docs, model)
-    return found.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select(*own)
+    docs, own = set_aside(docs, ("lang_pred", "score", "confidence"))
+    found = identify(docs, model, with_confidence=True)
+    return found.filter((F.col("lang_pred") != "und") & (F.col("confidence") >= LEAST_LANGUAGE_SCORE)).select(*own)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

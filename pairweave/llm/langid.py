@@ -190,16 +190,17 @@ def train(docs: DataFrame, max_rows: int = 8000) -> Model:
     return Model(langs, counts[:BUCKETS], counts[BUCKETS:])
 
 
-def identify(docs: DataFrame, model: Model, penalty: float = 6.0, with_spans: bool = False) -> DataFrame:
+def identify(docs: DataFrame, model: Model, penalty: float = 6.0, with_spans: bool = False, with_confidence: bool = False) -> DataFrame:
     """``docs`` with lang_pred, score (share of letters so labelled, times the words' mean probability of it).
 
-    ``with_spans`` adds spans: language, first and last word of each run. Columns of ``docs`` with
-    these names are replaced.
+    ``with_spans`` adds spans: language, first and last word of each run; ``with_confidence`` adds confidence:
+    the words' mean probability of the languages of their spans, which no mixing lowers. Columns of ``docs``
+    with these names are replaced.
     """
-    names = ["lang_pred", "score"] + ["spans"] * with_spans
+    names = ["lang_pred", "score"] + ["spans"] * with_spans + ["confidence"] * with_confidence
     docs = docs.drop(*names)
     own = docs.columns
-    ddl = "lang_pred string, score double" + ", spans array<struct<lang:string,start:int,end:int>>" * with_spans
+    ddl = "lang_pred string, score double" + ", spans array<struct<lang:string,start:int,end:int>>" * with_spans + ", confidence double" * with_confidence
     schema = T.StructType(docs.schema.fields + T.StructType.fromDDL(ddl).fields)
     shipped = docs.sparkSession.sparkContext.broadcast(model)
     span = pa.list_(pa.struct([("lang", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
@@ -214,13 +215,14 @@ def identify(docs: DataFrame, model: Model, penalty: float = 6.0, with_spans: bo
                 words = vocabulary.words()
                 scores, lettered = m.score(words)
                 lengths = np.array([len(w) for w in words], np.int64)
-                lang, score, runs = [], [], []
+                lang, score, runs, sure = [], [], [], []
                 for own_ids in ids:
                     own_ids = own_ids[lettered[own_ids]] if len(own_ids) and len(m.langs) else own_ids[:0]
                     if not len(own_ids):
                         lang.append("und")
                         score.append(0.0)
                         runs.append([])
+                        sure.append(0.0)
                         continue
                     s = scores[own_ids]
                     path = viterbi(s, penalty)
@@ -228,10 +230,11 @@ def identify(docs: DataFrame, model: Model, penalty: float = 6.0, with_spans: bo
                     j = int(weight.argmax())
                     lang.append(m.langs[j])
                     score.append(float(weight[j] / weight.sum() * np.exp(s[path == j, j]).mean()))
+                    sure.append(float(np.exp(s[np.arange(len(path)), path]).mean()) if with_confidence else 0.0)
                     cuts = np.concatenate(([0], np.flatnonzero(np.diff(path)) + 1, [len(path)])) if with_spans else []
                     runs.append([{"lang": m.langs[path[a]], "start": int(a), "end": int(b)} for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
                 columns = [piece.column(c) for c in own] + [pa.array(lang, pa.string()), pa.array(score, pa.float64())]
-                yield pa.RecordBatch.from_arrays(columns + [pa.array(runs, span)] * with_spans, names=[*own, *names])
+                yield pa.RecordBatch.from_arrays(columns + [pa.array(runs, span)] * with_spans + [pa.array(sure, pa.float64())] * with_confidence, names=[*own, *names])
 
     return docs.mapInArrow(run, schema)
 
