@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -135,6 +136,19 @@ def mix64(a: np.ndarray) -> np.ndarray:
     return a
 
 
+def slices(part: pa.RecordBatch, rows: int = 500, size: int = 2 << 20, column: str = "text") -> Iterator[pa.RecordBatch]:
+    """Parts of a batch of at most ``rows`` rows and about ``size`` bytes of ``column``; a longer row is a part of its own."""
+    lengths = pc.fill_null(pc.binary_length(part.column(column).cast(pa.binary())), 0).to_numpy(zero_copy_only=False)
+    start = held = 0
+    for i, n in enumerate(lengths.tolist()):
+        if i > start and (i - start >= rows or held + n > size):
+            yield part.slice(start, i - start)
+            start, held = i, 0
+        held += n
+    if start < part.num_rows:
+        yield part.slice(start)
+
+
 def batches(rows: Iterator[dict], schema: pa.Schema, size: int = 2000) -> Iterator[pa.RecordBatch]:
     """Group dict rows into record batches."""
     while chunk := list(itertools.islice(rows, size)):

@@ -20,8 +20,10 @@ second key splits an identifier with very many rows. Shards are written under at
 into the shared folder, and only the names in the manifest, which Spark commits, are ever read: a
 task that is run again leaves no trace. Readers get whole shards.
 
-Cases: null text encodes as empty (only the end identifier); a null doc_id sorts first; repeated
-identifiers are all kept; an empty table gives no rows; other columns are not used.
+Cases: null text encodes as empty (only the end identifier); a null doc_id sorts first; an identifier
+that is no integer is a TypeError; repeated identifiers are all kept, in the order of their texts'
+hashes; a very long text is one entry, whatever the block's size; an empty table gives no rows; other
+columns, also ones named as those of the result, are not used.
 """
 
 from __future__ import annotations
@@ -43,7 +45,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pairweave.llm.common import bytes_of, materialize, shared_dir, table
+from pairweave.llm.common import materialize, shared_dir, slices, table
 
 _MAGIC = b"PWSST001"
 _FOOTER = struct.Struct("<6QI4x8s")
@@ -208,10 +210,13 @@ class Reader:
         self.source.close()
 
 
-#: Pieces kept by a worker before it forgets them: bounds its memory.
-MEMO = 1_000_000
+#: Bytes that the pieces kept by a worker may take, about: it then forgets the later half of them.
+MEMO = 64 << 20
+#: Bytes of a kept piece beside its characters: its entries in the table, its number and its identifiers.
+_ENTRY = 200
 #: A space before other white space: there the pre-tokeniser may cut elsewhere.
 _ODD = tuple(" " + c for c in map(chr, range(0x3001)) if c.isspace())
+_ODD_ASCII = tuple(o for o in _ODD if o.isascii())
 _ENCODERS: dict[str, Encoder] = {}
 
 
@@ -219,8 +224,9 @@ class Encoder:
     """Encodes texts with a byte-level BPE of the ``tokenizers`` library.
 
     Its pre-tokeniser always cuts before a space that non-space follows, so a text's identifiers
-    are those of its pieces cut there. Each distinct piece is encoded once; texts are then
-    gathered from one flat array.
+    are those of its pieces cut there. Pieces are encoded once and kept, up to ``MEMO`` bytes of
+    them; texts are then gathered from one flat array. Frequent pieces are met early, so that the
+    later half of what is kept goes when there is too much.
     """
 
     def __init__(self, path: str) -> None:
@@ -232,10 +238,14 @@ class Encoder:
         self.whole = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.forget()
 
-    def forget(self) -> None:
-        self.index = defaultdict(itertools.count().__next__)
+    def forget(self, keep: int = 0) -> None:
+        """All pieces but the ``keep`` first ones."""
+        kept = list(itertools.islice(self.index, keep)) if keep else []
+        flat, ends = (self.flat[: self.ends[keep - 1]].copy(), self.ends[:keep].copy()) if keep else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+        self.index = defaultdict(itertools.count(keep).__next__, zip(kept, range(keep), strict=True))
         self.tails.clear()
-        self.flat, self.ends, self.known = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), 0
+        self.flat, self.ends, self.known = flat, ends, keep
+        self.held = sum(map(len, kept)) + _ENTRY * keep
 
     @classmethod
     def at(cls, path: str) -> Encoder:
@@ -248,7 +258,7 @@ class Encoder:
 
     def rest_of(self, text: str) -> tuple[str, list[str]]:
         """The piece before the first cut, and the pieces after it without their leading space."""
-        if not any(o in text for o in _ODD) and not text.endswith(" "):
+        if not any(o in text for o in (_ODD_ASCII if text.isascii() else _ODD)) and not text.endswith(" "):
             first, *rest = text.split(" ")
             return first, rest
         cuts = [m.start() for m in _CUT.finditer(text)]
@@ -286,16 +296,19 @@ class Encoder:
         ends = start + np.cumsum([len(x) for x in found])
         size = len(self.index)
         if size > len(self.ends):
-            self.ends = np.concatenate((self.ends, np.zeros(size, np.int64)))
+            self.ends = np.concatenate((self.ends, np.zeros(size - len(self.ends) + (size >> 2), np.int64)))
         if ends[-1] > len(self.flat):
-            self.flat = np.concatenate((self.flat, np.zeros(int(ends[-1]), np.uint32)))
+            self.flat = np.concatenate((self.flat, np.zeros(int(ends[-1]) - len(self.flat) + (int(ends[-1]) >> 2), np.uint32)))
+        self.held += sum(map(len, new)) + _ENTRY * len(new)
         self.ends[self.known : size] = ends
         self.flat[start : ends[-1]] = list(itertools.chain.from_iterable(found))
         self.known = size
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The identifiers of each text."""
-        if self.known > MEMO:
+        if self.held > MEMO:
+            self.forget(self.known // 2)
+        if self.held > MEMO:
             self.forget()
         look, firsts, owns = self.index.__getitem__, [], []
         for text in texts:
@@ -331,10 +344,12 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str | None = None, end_i
     text that a shard holds, about.
     """
     spark = docs.sparkSession
+    if dict(docs.dtypes)["doc_id"] not in ("tinyint", "smallint", "int", "bigint"):
+        raise TypeError("doc_id must be an integer: keys hold eight bytes")
     path = path or f"{shared_dir(spark)}/shards"
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)) + F.count(F.lit(1)) * 16).first()[0]
     shards = int(max(1, -(-total // shard_bytes)))
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("text").alias("h"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("text").alias("h"))
     rows = rows.repartitionByRange(shards, "doc_id", "h").sortWithinPartitions("doc_id", "h").drop("h")
     out = pa.schema([("shard", pa.int32()), ("path", pa.string()), ("documents", pa.int64()), ("identifiers", pa.int64())])
     end = np.zeros(0, "<u4") if end_id is None else np.array([end_id], "<u4")
@@ -347,8 +362,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str | None = None, end_i
         name = f"shard-{shard:06d}-{uuid.uuid4().hex}.sst"
         writer, last, number, sink = None, (), 0, None
         for part in parts:
-            for k in range(0, part.num_rows, 500):
-                own = part.slice(k, 500)
+            for own in slices(part):
                 for doc_id, ids in zip(own.column("doc_id").to_pylist(), encoder.encode(own.column("text").to_pylist()), strict=True):
                     if writer is None:
                         files.create_dir(folder, recursive=True)

@@ -50,3 +50,52 @@ def test_round_trip(spark, path):
 def test_empty(spark, path):
     docs = spark.createDataFrame([], "doc_id long, text string, start long")
     assert read_tokens(write_tokens(docs, path)).count() == 0
+
+
+def test_memo_is_bounded_by_bytes(path, monkeypatch):
+    from tokenizers import Tokenizer
+
+    from pairweave.llm import sstable
+
+    monkeypatch.setattr(sstable, "MEMO", 50_000)
+    plain, fast, rng = Tokenizer.from_file(path), Encoder(path), np.random.default_rng(2)
+    for _ in range(40):
+        texts = [" ".join("".join(rng.choice(list("abcde"), rng.integers(1, 9))) for _ in range(60)) + " " + "y" * 3000 for _ in range(3)]
+        assert [x.tolist() for x in fast.encode(texts)] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+        assert fast.held <= 50_000 + sum(len(t) + 200 * len(t.split()) for t in texts)
+        assert len(fast.index) == fast.known
+
+
+def test_slices_are_bounded_by_bytes():
+    import pyarrow as pa
+
+    from pairweave.llm.common import slices
+
+    texts = ["x" * n for n in (10, 10, 500, 1, 1, 1)] + [None]
+    parts = list(slices(pa.RecordBatch.from_pydict({"text": texts}), rows=3, size=20))
+    assert [p.column("text").to_pylist() for p in parts] == [texts[:2], texts[2:3], texts[3:6], texts[6:]]
+    assert list(slices(pa.RecordBatch.from_pydict({"text": pa.array([], pa.string())}))) == []
+
+
+def test_query_against_whole_texts(spark, path):
+    import zlib
+
+    from tokenizers import Tokenizer
+
+    from pairweave.llm.sstable import op7_token_shards
+
+    folder = "/root/testdata/sf0.001"
+    plain, at, want = Tokenizer.from_file(path), 0, []
+    for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").orderBy("doc_id").collect():
+        ids = np.array([*plain.encode(r["text"] or "", add_special_tokens=False).ids, 2], "<u4")
+        want.append((r["doc_id"], at, len(ids), zlib.crc32(ids.tobytes())))
+        at += len(ids)
+    got = op7_token_shards(spark, folder).select("doc_id", "start", "n_tokens", "ids_crc32").orderBy("start").collect()
+    assert [tuple(r) for r in got] == want
+
+
+def test_identifiers_must_be_integers(spark, path):
+    with pytest.raises(TypeError):
+        write_tokens(spark.createDataFrame([("a", "b")], "doc_id string, text string"), path)
+    docs = spark.createDataFrame([(1, "a b", "x")], "doc_id int, text string, start string")
+    assert [r["n_tokens"] for r in read_tokens(write_tokens(docs, path)).collect()] == [3]
