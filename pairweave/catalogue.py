@@ -11,7 +11,7 @@ from pairweave.functions.special import adjust_bh, adjust_p, corr_p_value
 from pairweave.operators import clean, cluster, correlate, enrich, graph, pooling, report
 from pairweave.plans import fixtures as fx
 from pairweave.plans.fixtures import LINES_SQL, RAW_SQL, SMALL_SQL, VECTORS_SQL
-from pairweave.plans.scratch import checkpointed, materialized
+from pairweave.plans.scratch import materialized
 from pairweave.sources.readers import read_raw_blocks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -377,7 +377,7 @@ sp(source, target, d) USING KEY (source, target) AS (SELECT DISTINCT u, u, 0.0::
 
 @query("shortest_paths", f"WITH RECURSIVE {_NET}{_PATHS} SELECT source, target, {r6('d', 'd')} FROM sp")
 def shortest_paths(spark, d):
-    return rounded(graph.scenario_distances(checkpointed(_edges(spark, d)), "posonly"))
+    return rounded(graph.scenario_distances(materialized(_edges(spark, d)), "posonly"))
 
 
 _DIRECT = """, direct AS (SELECT a.node_id AS source, b.node_id AS target, CASE WHEN a.node_id = b.node_id THEN 0.0 ELSE coalesce(e.distance_signed, f.distance_signed, 0.5) END AS d
@@ -400,7 +400,7 @@ def symmetrize(spark, d):
 
 
 def _largest(spark, d):
-    edges = checkpointed(graph.positive_edges(_edges(spark, d)))
+    edges = materialized(graph.positive_edges(_edges(spark, d)))
     return graph.restrict_connected(graph.shortest_paths(edges), edges, "largest")
 
 
@@ -421,7 +421,7 @@ def tsne_layout(spark, d):
 
 @query("cluster_layout")
 def cluster_layout(spark, d):
-    edges = checkpointed(_edges(spark, d))
+    edges = materialized(_edges(spark, d))
     return cluster.cluster_layout(cluster.cluster_jaccard(edges, fx.clusters_of(graph.nodes_of(edges))))
 
 
@@ -458,7 +458,7 @@ def cluster_jaccard(spark, d):
 
 @query("jaccard_permutation")
 def jaccard_permutation(spark, d):
-    edges = checkpointed(_edges(spark, d))
+    edges = materialized(_edges(spark, d))
     return rounded(cluster.permutation_test(edges, fx.clusters_of(graph.nodes_of(edges)), permutations=999))
 
 
@@ -571,7 +571,7 @@ cd AS (SELECT class, (row_number() OVER (ORDER BY class) - 1)::INT AS code FROM
 
 @query("viewer_nodes", f"WITH {_SMALL}{_VIEW} SELECT node_id, class, code, degree, {r6('3 + 19 * sqrt(degree / (SELECT max(degree) FROM dg))', 'marker_size')} FROM vw JOIN cd USING (class)")
 def viewer_nodes(spark, d):
-    return rounded(report.viewer_nodes(checkpointed(_edges(spark, d)), fx.annotation(spark)))
+    return rounded(report.viewer_nodes(materialized(_edges(spark, d)), fx.annotation(spark)))
 
 
 _POS = ", ps AS (SELECT node_id, round(sin(k), 4) AS x, round(cos(k), 4) AS y FROM vnodes)"
@@ -580,7 +580,7 @@ _POS = ", ps AS (SELECT node_id, round(sin(k), 4) AS x, round(cos(k), 4) AS y FR
 @query("viewer_edges", f"""WITH {_SMALL}{_VIEW}{_POS} SELECT source, target, a.x + 0.0 AS x_source, a.y + 0.0 AS y_source, b.x + 0.0 AS x_target, b.y + 0.0 AS y_target, c.code AS code_source, e.code AS code_target, (r >= 0)::INT AS positive
 FROM edges JOIN ps a ON a.node_id = source JOIN ps b ON b.node_id = target JOIN vw v ON v.node_id = source JOIN cd c ON c.class = v.class JOIN vw u ON u.node_id = target JOIN cd e ON e.class = u.class""")
 def viewer_edges(spark, d):
-    edges = checkpointed(_edges(spark, d))
+    edges = materialized(_edges(spark, d))
     k = fx.numbered("node_id")
     positions = fx.vector_nodes(spark).select("node_id", F.sin(k).alias("x"), F.cos(k).alias("y"))
     return rounded(report.viewer_edges(edges, positions, report.viewer_nodes(edges, fx.annotation(spark))))
@@ -588,12 +588,12 @@ def viewer_edges(spark, d):
 
 @query("binned_edges", f"WITH {_NET}, l AS (SELECT min(r) AS lo, max(r) AS hi FROM edges) SELECT source, target, least(14, greatest(0, trunc((r - lo) / CASE WHEN hi = lo THEN 1 ELSE hi - lo END * 15)))::INT AS bin FROM edges, l")
 def binned_edges(spark, d):
-    return report.binned_edges(checkpointed(_edges(spark, d)), "r")
+    return report.binned_edges(materialized(_edges(spark, d)), "r")
 
 
 @query("visible_edges", f"WITH {_SMALL}{_VIEW} SELECT source, target FROM edges JOIN vw a ON a.node_id = source JOIN vw b ON b.node_id = target WHERE a.class IN ('class 1', 'class 2') AND b.class IN ('class 1', 'class 2')")
 def visible_edges(spark, d):
-    edges = checkpointed(_edges(spark, d))
+    edges = materialized(_edges(spark, d))
     nodes = report.viewer_nodes(edges, fx.annotation(spark))
     both = edges.join(nodes.select(F.col("node_id").alias("source"), F.col("class").alias("a")), "source").join(nodes.select(F.col("node_id").alias("target"), F.col("class").alias("b")), "target")
     return both.filter(graph.is_edge_visible(["class 1", "class 2"], F.col("a"), F.col("b"))).select("source", "target")

@@ -6,15 +6,17 @@ edges: source < target, weight, distance, distance_signed, r, ci_low, ci_high; o
 from __future__ import annotations
 
 import heapq
-from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairweave.plans.scratch import checkpointed
+from pairweave.operators.components import connect
+from pairweave.plans.scratch import materialized
 
 
 def significant_edges(pooled: DataFrame) -> DataFrame:
@@ -51,18 +53,10 @@ def degrees(edges: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node_id and component (its smallest node): least labels spread and jump until none changes."""
-    both = checkpointed(edges.select("source", "target").union(edges.select("target", "source")).distinct())
-    labels = checkpointed(nodes_of(edges).select("node_id", F.col("node_id").alias("component")))
-    while True:
-        near = both.join(labels.withColumnRenamed("node_id", "target"), "target").groupBy("source").agg(F.min("component").alias("c"))
-        spread = labels.join(near.withColumnRenamed("source", "node_id"), "node_id", "left")
-        spread = spread.select("node_id", "component", F.least("component", F.coalesce("c", "component")).alias("c"))
-        jump = labels.select(F.col("node_id").alias("c"), F.col("component").alias("cc"))
-        after = checkpointed(spread.join(jump, "c", "left").select("node_id", F.col("component").alias("old"), F.least("c", F.coalesce("cc", "c")).alias("component")))
-        if after.filter("old != component").isEmpty():
-            return labels
-        labels = after.select("node_id", "component")
+    """node_id and component (its smallest node)."""
+    labels = nodes_of(edges).select(F.col("node_id").alias("node"), F.col("node_id").alias("root"))
+    found = connect(labels, edges.select(F.col("source").alias("a"), F.col("target").alias("b")))
+    return found.select(F.col("node").alias("node_id"), F.col("root").alias("component"))
 
 
 def direct_distances(edges: DataFrame, weight: str = "distance") -> DataFrame:
@@ -75,53 +69,77 @@ def direct_distances(edges: DataFrame, weight: str = "distance") -> DataFrame:
     return grid.join(both, ["source", "target"], "left").select("source", "target", d.alias("d"))
 
 
-def shortest_paths(edges: DataFrame, weight: str = "distance", max_edges: int = 2_000_000) -> DataFrame:
+@dataclass(frozen=True)
+class Adjacency:
+    """A graph as arrays: the neighbours of node i are ends[starts[i] : starts[i + 1]]."""
+
+    names: pa.Array
+    starts: np.ndarray
+    ends: np.ndarray
+    weights: np.ndarray
+
+    @classmethod
+    def of(cls, links: pa.Table) -> Adjacency:
+        names = pc.unique(pa.chunked_array([*links.column("source").chunks, *links.column("target").chunks], pa.string())).sort()
+        u, v = (pc.index_in(links.column(c), names).to_numpy().astype(np.int32) for c in ("source", "target"))
+        w = links.column("w").to_numpy()
+        begin, ends, weights = np.concatenate((u, v)), np.concatenate((v, u)), np.concatenate((w, w))
+        order = np.argsort(begin, kind="stable")
+        return cls(names, np.searchsorted(begin[order], np.arange(len(names) + 1)), ends[order], weights[order])
+
+    def paths(self, source: int) -> tuple[np.ndarray, np.ndarray]:
+        """Nodes that ``source`` reaches, and the lengths of the shortest paths there, by Dijkstra."""
+        best, heap, done = {source: 0.0}, [(0.0, source)], set()
+        while heap:
+            d, u = heapq.heappop(heap)
+            if u in done:
+                continue
+            done.add(u)
+            near = slice(self.starts[u], self.starts[u + 1])
+            for v, w in zip(self.ends[near].tolist(), self.weights[near].tolist(), strict=True):
+                if d + w < best.get(v, float("inf")):
+                    best[v] = d + w
+                    heapq.heappush(heap, (d + w, v))
+        return np.fromiter(best.keys(), np.int64, len(best)), np.fromiter(best.values(), float, len(best))
+
+
+def shortest_paths(edges: DataFrame, weight: str = "distance", max_bytes: int = 64 << 20) -> DataFrame:
     """Lengths of shortest paths between connected nodes, both directions and the diagonal.
 
-    Up to ``max_edges`` edges every task holds the graph and runs Dijkstra from its share of the
-    sources; a larger graph is relaxed by joins until nothing gets shorter.
+    A graph whose arrays and names take up to ``max_bytes`` is shipped to every task, which runs
+    Dijkstra from its share of the sources; the paths of a larger graph get shorter by joins until
+    no row changes. Both give the same lengths but for the order in which a path's weights add up.
     """
-    links = edges.select("source", "target", F.col(weight).alias("w"))
-    if links.count() > max_edges:
+    links = materialized(edges.select("source", "target", F.col(weight).alias("w")))
+    size = links.agg(F.coalesce(F.sum(F.octet_length("source") + F.octet_length("target") + 24), F.lit(0))).first()[0]
+    if size > max_bytes:
         return _relaxed(links)
-    graph = defaultdict(list)
-    for u, v, w in links.toLocalIterator():
-        graph[u].append((v, w))
-        graph[v].append((u, w))
-    shipped = edges.sparkSession.sparkContext.broadcast(dict(graph))
+    graph = Adjacency.of(links.toArrow())
+    shipped = edges.sparkSession.sparkContext.broadcast(graph)
+    out = pa.schema([("source", pa.string()), ("target", pa.string()), ("d", pa.float64())])
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         near = shipped.value
         for part in parts:
-            for source in part["node_id"]:
-                best, heap, done = {source: 0.0}, [(0.0, source)], set()
-                while heap:
-                    d, u = heapq.heappop(heap)
-                    if u in done:
-                        continue
-                    done.add(u)
-                    for v, w in near.get(u, ()):
-                        if d + w < best.get(v, float("inf")):
-                            best[v] = d + w
-                            heapq.heappush(heap, (d + w, v))
-                yield pd.DataFrame({"source": source, "target": list(best), "d": list(best.values())})
+            for source in part.column("id").to_pylist():
+                to, d = near.paths(source)
+                yield pa.RecordBatch.from_arrays([near.names.take(pa.array(np.full(len(to), source))), near.names.take(pa.array(to)), pa.array(d)], schema=out)
 
-    nodes = nodes_of(edges)
-    return nodes.repartition(nodes.sparkSession.sparkContext.defaultParallelism, "node_id").mapInPandas(run, "source string, target string, d double")
+    spark = edges.sparkSession
+    sources = spark.range(0, len(graph.names), 1, max(1, min(len(graph.names), 4 * spark.sparkContext.defaultParallelism)))
+    return sources.mapInArrow(run, "source string, target string, d double")
 
 
 def _relaxed(links: DataFrame) -> DataFrame:
-    both = checkpointed(links.union(links.select("target", "source", "w")))
-    best = checkpointed(nodes_of(links).select(F.col("node_id").alias("source"), F.col("node_id").alias("target"), F.lit(0.0).alias("d")))
-    total = None
-    while True:
-        step = best.join(both.select(F.col("source").alias("target"), F.col("target").alias("next"), "w"), "target")
-        longer = step.select("source", F.col("next").alias("target"), (F.col("d") + F.col("w")).alias("d"))
-        best = checkpointed(best.union(longer).groupBy("source", "target").agg(F.min("d").alias("d")))
-        now = best.agg(F.count(F.lit(1)), F.sum("d")).first()
-        if now == total:
-            return best
-        total = now
+    """Rounds extend the paths that the round before has made shorter, by one edge, until there is none."""
+    both = materialized(links.union(links.select("target", "source", "w")).select(F.col("source").alias("target"), F.col("target").alias("next"), "w"))
+    best = materialized(nodes_of(links).select(F.col("node_id").alias("source"), F.col("node_id").alias("target"), F.lit(0.0).alias("d")))
+    changed = best
+    while not changed.isEmpty():
+        longer = changed.join(both, "target").groupBy("source", F.col("next").alias("target")).agg(F.min(F.col("d") + F.col("w")).alias("e"))
+        changed = materialized(longer.join(best, ["source", "target"], "left").filter("d IS NULL OR e < d").select("source", "target", F.col("e").alias("d")))
+        best = materialized(best.union(changed).groupBy("source", "target").agg(F.min("d").alias("d")))
+    return best
 
 
 def symmetrize(distances: DataFrame) -> DataFrame:

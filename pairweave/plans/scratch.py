@@ -2,29 +2,54 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
-
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+_CREATED: list[tuple[SparkSession, str]] = []
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in ``spark.checkpoint.dir``; a temporary folder where none is set (tests)."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="pairweave-"))
-    return df.checkpoint()
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder under ``spark.checkpoint.dir``, which driver and executors share.
+
+    Where that setting is absent, a session on one machine (tests) gets a temporary folder; on a
+    cluster it is an error, as executors would write to their own disks.
+    """
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not base:
+        if context.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the whole cluster shares")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="pairweave-"))
+        base = context.getCheckpointDir()
+    path = f"{base.rstrip('/')}/pairweave/{uuid.uuid4().hex}"
+    _CREATED.append((spark, path))
+    return path
+
+
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder made by ``shared_folder``."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@atexit.register
+def _drop_all() -> None:
+    for spark, path in _CREATED:
+        try:
+            if spark.sparkContext._jsc is not None:
+                drop_folder(spark, path)
+        except Exception:  # the session has ended; the folder stays for its owner to clear
+            return
 
 
 def materialized(df: DataFrame) -> DataFrame:
-    """Write ``df`` as a Parquet table in the same folder and read it back.
+    """Write ``df`` as a Parquet table into shared space and read it back.
 
-    For a table that several branches of one plan read: Spark would otherwise compute it in each.
+    Cuts lineage as a reliable checkpoint does, but computes its input once; it survives lost executors.
     """
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="pairweave-"))
-    path = f"{context.getCheckpointDir()}/tables/{uuid.uuid4().hex}"
+    path = shared_folder(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

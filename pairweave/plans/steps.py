@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pairweave.functions.special import adjust_bh
 from pairweave.operators import clean, cluster, correlate, enrich, graph, pooling
-from pairweave.plans.scratch import checkpointed, materialized
+from pairweave.plans.scratch import materialized
 
 
 def ingest(cells: DataFrame, name_map: DataFrame, ids: DataFrame, aliases: DataFrame | None = None, join: str = "outer", below_limit: str = "zero") -> DataFrame:
@@ -33,7 +33,7 @@ def pool_method(corr: DataFrame, method: str = "pearson", min_studies: int = 4,
 
 def network(pooled: DataFrame, annotation: DataFrame, scenarios: tuple[str, ...] = ("abs", "signed", "posonly")) -> dict[str, DataFrame]:
     """edges, nodes, and the distances of each scenario."""
-    edges = checkpointed(graph.significant_edges(pooled))
+    edges = materialized(graph.significant_edges(pooled))
     out = {"edges": edges, "nodes": graph.annotated_nodes(edges, annotation)}
     return out | {f"distances_{s}": graph.scenario_distances(edges, s) for s in scenarios}
 

@@ -36,7 +36,7 @@ def test_paths_against_floyd(spark, edges):
         d[i, j] = min(d[i, j], d[i, k] + d[k, j])
     want = {k: v for k, v in d.items() if v < np.inf}
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
-    by_joins = square(graph.shortest_paths(edges, max_edges=0))
+    by_joins = square(graph.shortest_paths(edges, max_bytes=0))
     assert by_joins.keys() == want.keys() and all(by_joins[k] == pytest.approx(want[k]) for k in want)
 
 
@@ -97,6 +97,48 @@ def test_linkage(method):
     assert "<svg" in report.dendrogram_svg([tuple(s[:3]) for s in steps_.astype(object)], [str(i) for i in range(14)])
 
 
+@pytest.mark.parametrize("method", ["ward", "average"])
+def test_linkage_on_tables(spark, method):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(13, 3))
+    d = np.linalg.norm(x[:, None] - x[None], axis=2)
+    rows = [(f"n{i:02d}", f"n{j:02d}", float(d[i, j])) for i in range(13) for j in range(13)]
+    distances = spark.createDataFrame(rows, "source string, target string, d double")
+    dense, tables = ([tuple(r) for r in cluster.linkage_table(distances, method, max_nodes=m).orderBy("step").collect()] for m in (100, 5))
+    assert [r[:3] + r[4:] for r in dense] == [r[:3] + r[4:] for r in tables] and np.allclose([r[3] for r in dense], [r[3] for r in tables])
+    by_matrix, by_tables = ({r["node_id"]: r["cluster"] for r in cluster.cluster_nodes(distances, 4, method, max_nodes=m).collect()} for m in (100, 5))
+    assert by_matrix == by_tables
+    with pytest.raises(ValueError):
+        cluster.cluster_nodes(distances.filter("source != 'n03' OR target != 'n05'").filter("source != 'n05' OR target != 'n03'"), 4, max_nodes=5)
+
+
+def test_weights_between_clusters():
+    rng = np.random.default_rng(2)
+    w = rng.normal(size=(12, 12))
+    w = np.triu(w * (rng.random((12, 12)) < 0.5), 1)
+    u, v = np.nonzero(w)
+    labels = rng.integers(0, 4, (5, 12))
+    for label, got in zip(labels, cluster.between_clusters(u, v, w[u, v], labels, 4, cells=12), strict=True):
+        whole = w + w.T
+        assert np.allclose(got, [[whole[np.ix_(label == a, label == b)].sum() for b in range(4)] for a in range(4)])
+
+
+def test_permutation_parts(spark, edges):
+    nodes = [r["node_id"] for r in graph.nodes_of(edges).orderBy("node_id").collect()]
+    clusters = spark.createDataFrame([(n, i % 3 + 1) for i, n in enumerate(nodes)], "node_id string, cluster int")
+    one = cluster.permutation_test(edges, clusters, permutations=40, blocks=1).orderBy("cluster_i", "cluster_j").collect()
+    many = cluster.permutation_test(edges, clusters, permutations=40, part_edges=3, blocks=7).orderBy("cluster_i", "cluster_j").collect()
+    assert [(r[0], r[1], r[3]) for r in one] == [(r[0], r[1], r[3]) for r in many]
+    assert all(a[2] == pytest.approx(b[2]) for a, b in zip(one, many, strict=True))
+
+
+def test_relaxed_paths_stop_by_rows(spark):
+    ring = [(f"k{i:02d}", f"k{(i + 1) % 12:02d}", 0.9 - 1e-13 * i) for i in range(12)]
+    e = edges_of(spark, ring)
+    a, b = square(graph.shortest_paths(e)), square(graph.shortest_paths(e, max_bytes=0))
+    assert a.keys() == b.keys() and all(a[k] == pytest.approx(b[k], abs=1e-15) for k in a)
+
+
 def test_jaccard_and_permutation(spark):
     e = edges_of(spark, [("a", "c", 0.5), ("a", "d", -0.5), ("b", "e", 0.25), ("a", "b", 0.9)])
     clusters = spark.createDataFrame([("a", 1), ("b", 1), ("c", 2), ("d", 2), ("e", 3), ("z", 4)], "node_id string, cluster int")
