@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import math
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def t_two_sided(t: np.ndarray, df: np.ndarray) -> np.ndarray:
@@ -61,14 +63,20 @@ def adjust_bh(tests: DataFrame, p: str, out: str, by: list[str], ties: list[str]
     return adjust_p(tests, p, out, by, ties, "fdr_bh")
 
 
-def adjust_p(tests: DataFrame, p: str, out: str, by: list[str], ties: list[str], method: str = "fdr_bh") -> DataFrame:
+def adjust_p(tests: DataFrame, p: str, out: str, by: list[str], ties: list[str], method: str = "fdr_bh", alpha: float = 0.05) -> DataFrame:
     """Adjusted p values within ``by``; null p values are not tests: they stay null and don't count.
 
     With m tests and rank i: fdr_bh, the least p * m / j over ranks j from i on; fdr_by, the same
     times 1 + 1/2 + ... + 1/m; simes-hochberg, the least p * (m - j + 1) over these; holm, the
     largest p * (m - j + 1) over ranks up to i; holm-sidak, the same of 1 - (1 - p) ** (m - j + 1);
-    bonferroni, p * m; sidak, 1 - (1 - p) ** m. None exceeds 1.
+    bonferroni, p * m; sidak, 1 - (1 - p) ** m; hommel, the least level at which Hommel's closed test
+    of Simes tests rejects; fdr_tsbh and fdr_tsbky, fdr_bh times the share of tests that it does not
+    reject in a first stage at ``alpha`` (at alpha / (1 + alpha), and times 1 + alpha). None exceeds 1.
     """
+    if method == "hommel":
+        return _adjust_hommel(tests, p, out, by)
+    if method in ("fdr_tsbh", "fdr_tsbky"):
+        return _adjust_two_stage(tests, p, out, by, ties, alpha, method == "fdr_tsbky")
     group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
     order = group.orderBy(F.col(p).asc_nulls_last(), *ties)
     m, i, x = F.count(p).over(group), F.row_number().over(order), F.col(p)
@@ -91,20 +99,92 @@ def adjust_p(tests: DataFrame, p: str, out: str, by: list[str], ties: list[str],
     return ranked.withColumn(out, F.when(x.isNotNull(), F.least(value, F.lit(1.0)))).drop("_m", "_i", "_x")
 
 
+def _adjust_two_stage(tests: DataFrame, p: str, out: str, by: list[str], ties: list[str], alpha: float, bky: bool) -> DataFrame:
+    group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    first, factor = (alpha / (1 + alpha), 1 + alpha) if bky else (alpha, 1.0)
+    staged = adjust_p(tests, p, "_bh", by, ties, "fdr_bh")
+    staged = staged.withColumn("_m", F.count("_bh").over(group)).withColumn("_r", F.count_if(F.col("_bh") <= first).over(group))
+    share = F.when((F.col("_r") == 0) | (F.col("_r") == F.col("_m")), 1.0).otherwise(1 - F.col("_r") / F.col("_m"))
+    return staged.withColumn(out, F.least(F.col("_bh") * share * factor, F.when(F.col("_bh").isNotNull(), 1.0))).drop("_bh", "_m", "_r")
+
+
+def hommel(p: np.ndarray) -> np.ndarray:
+    """Hommel's adjusted p values of ascending ``p``.
+
+    A set of k tests is rejected at its Simes level. For each k the least favourable sets hold the
+    k largest p values, or the k - 1 largest and the test itself.
+    """
+    m = len(p)
+    out, place = p.astype(float), np.arange(m)
+    for k in range(m, 1, -1):
+        level = (k * p[m - k :] / np.arange(1, k + 1)).min()
+        out = np.maximum(out, np.minimum(level, np.where(place < m - k, k * p, np.inf)))
+    return np.minimum(out, 1)
+
+
+def _adjust_hommel(tests: DataFrame, p: str, out: str, by: list[str]) -> DataFrame:
+    """Quadratic in the tests of a group, which one task holds."""
+    schema = T.StructType([f for f in tests.schema.fields if f.name != out] + [T.StructField(out, T.DoubleType())])
+
+    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
+        value = pdf[p].to_numpy(float)
+        order = np.argsort(value, kind="stable")[: int((~np.isnan(value)).sum())]
+        found = np.full(len(value), None, object)
+        found[order] = hommel(value[order])
+        return pdf.drop(columns=[out], errors="ignore").assign(**{out: found})
+
+    return tests.groupBy(*by).applyInPandas(kernel, schema)
+
+
+def normal_quantile(share: Column) -> Column:
+    """z with P(Z <= z) = share; NULL outside (0, 1)."""
+
+    @F.pandas_udf("double")
+    def ppf(x: pd.Series) -> pd.Series:
+        quantile = NormalDist().inv_cdf
+        return pd.Series([quantile(v) if 0 < v < 1 else None for v in x.to_numpy(float)], dtype=float)
+
+    found = ppf(share.cast("double"))
+    return F.nanvl(found, F.lit(None).cast("double"))
+
+
+def inversions(ranks: np.ndarray) -> int:
+    """Pairs i < j with ranks[i] > ranks[j], bit by bit from the highest: O(n log n).
+
+    Values that agree in the higher bits stand together in their original order; of two of them the
+    bit decides, so each one-bit counts the zero-bits of its group behind it.
+    """
+    ranks = np.asarray(ranks, np.int64)
+    total, order = 0, np.arange(len(ranks))
+    for bit in range(int(ranks.max(initial=0)).bit_length() - 1, -1, -1):
+        values = ranks[order]
+        one = (values >> bit & 1).astype(bool)
+        high = values >> bit + 1
+        start = np.concatenate(([True], high[1:] != high[:-1]))
+        ones = np.cumsum(one)
+        before = ones - one  # ones in front, in all groups so far
+        base = before[start][np.cumsum(start) - 1]
+        total += int((before - base)[~one].sum())
+        order = order[np.lexsort((one, high))]
+    return total
+
+
 def kendall_tau(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """tau-b and its two-sided p: exact without ties up to 33 pairs, else normal with tie-corrected variance."""
+    """tau-b and its two-sided p: exact without ties up to 33 pairs, else normal with tie-corrected variance.
+
+    With the pairs in order of x (of y where x ties), discordant ones are inversions of y.
+    """
     n = len(x)
     if n < 2:
         return math.nan, math.nan
-    balance = 0.0
-    for a in range(0, n, 512):
-        balance += float((np.sign(x[a : a + 512, None] - x) * np.sign(y[a : a + 512, None] - y)).sum())
-    balance /= 2
+    (rx, nx), (ry, ny) = (np.unique(v, return_inverse=True, return_counts=True)[1:] for v in (x, y))
+    tx, ty = nx.astype(float), ny.astype(float)
+    txy = np.unique(rx * np.int64(len(ny)) + ry, return_counts=True)[1].astype(float)
     pairs = n * (n - 1) / 2
-    tx, ty = (np.unique(v, return_counts=True)[1].astype(float) for v in (x, y))
-    same_x, same_y = (float((t * (t - 1) / 2).sum()) for t in (tx, ty))
+    same_x, same_y, same_both = (float((t * (t - 1) / 2).sum()) for t in (tx, ty, txy))
     if same_x == pairs or same_y == pairs:
         return math.nan, math.nan
+    balance = pairs - same_x - same_y + same_both - 2.0 * inversions(ry[np.lexsort((ry, rx))])
     tau = max(-1.0, min(1.0, balance / math.sqrt((pairs - same_x) * (pairs - same_y))))
     if same_x == 0 and same_y == 0 and (n <= 33 or min(pairs + balance, pairs - balance) / 2 <= 1):
         return tau, _exact_kendall(n, int(min(pairs + balance, pairs - balance) / 2))

@@ -8,16 +8,24 @@ The default plan joins a study's cells with themselves by sample and aggregates
 needs one shuffle by (study, sample), and moments are combined before the second shuffle. With many
 features per study the joined rows (samples x features ** 2 / 2) dominate; ``gram`` then computes
 blocks of pairs as matrix products.
+
+Spearman and Kendall work on blocks of pairs too: a task holds the cells of two blocks of features of
+a study, so a cell is sent once per block and not once per feature. Ranks are taken within a pair's
+complete samples, from one order per feature.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairweave.functions.special import corr_p_value, kendall_tau
+from pairweave.operators.clean import finite
 
 PAIR = ["study_id", "feature_1", "feature_2"]
 
@@ -60,19 +68,44 @@ def pearson(obs: DataFrame, plan: str = "join", all_pairs: bool = True) -> DataF
     return found.select("feature_1", "feature_2", F.lit("pearson").alias("method"), "corr", F.col("n").cast("double").alias("n"), "study_id")
 
 
-def spearman(obs: DataFrame) -> DataFrame:
-    """Pearson's r of average ranks, ranked within each pair's complete samples.
+def spearman(obs: DataFrame, block: int = 32) -> DataFrame:
+    """Pearson's r of average ranks, ranked within each pair's complete samples."""
+
+    def kernel(x: np.ndarray, y: np.ndarray, same: bool) -> tuple[np.ndarray, ...]:
+        n, r = np.zeros((x.shape[1], y.shape[1])), np.full((x.shape[1], y.shape[1]), np.nan)
+        sides = [Ranked(x), Ranked(y)]
+        for i, j in np.ndindex(n.shape):
+            if same and i >= j:
+                continue
+            both = sides[0].present[:, i] & sides[1].present[:, j]
+            n[i, j] = k = int(both.sum())
+            if k > 1:
+                a, b = sides[0].ranks(i, both), sides[1].ranks(j, both)
+                a, b = a - (k + 1) / 2, b - (k + 1) / 2
+                spread = np.sqrt((a @ a) * (b @ b))
+                r[i, j] = np.clip(a @ b / spread, -1, 1) if spread else np.nan
+        return r, n
+
+    return _on_grid(obs, _by_blocks(obs, kernel, ("corr",), block), "spearman")
 
-    In a study without a missing cell these are the ranks within the feature, which are taken once.
-    """
-    cells = obs.filter(F.col("value").isNotNull())
-    shape = cells.groupBy("study_id").agg(F.count(F.lit(1)).alias("cells"), F.count_distinct("sample_id").alias("s"), F.count_distinct("feature").alias("f"))
-    full = shape.filter("cells = s * f").select("study_id")
-    ranked = cells.join(full, "study_id", "left_semi").withColumn("value", average_rank(["study_id", "feature"], "value"))
-    fast = _moments(pair_rows(ranked), "x", "y")
-    rows = pair_rows(cells.join(full, "study_id", "left_anti"))
-    slow = rows.withColumn("rx", average_rank(PAIR, "x")).withColumn("ry", average_rank(PAIR, "y"))
-    return _on_grid(obs, fast.unionByName(_moments(slow, "rx", "ry")), "spearman")
+
+class Ranked:
+    """Columns with missing cells: which are there, and for each the order of its values and where they tie."""
+
+    def __init__(self, x: np.ndarray) -> None:
+        self.present = ~np.isnan(x)
+        self.order = np.argsort(x, axis=0, kind="stable")
+        held = np.take_along_axis(x, self.order, 0)
+        self.group = np.cumsum(np.vstack((np.zeros(x.shape[1], bool), held[1:] != held[:-1])), 0)
+
+    def ranks(self, column: int, rows: np.ndarray) -> np.ndarray:
+        """Average ranks from 1 among ``rows`` (a mask), in the order of rows; no new sort is needed."""
+        order = self.order[:, column]
+        kept = rows[order]
+        _, tie, count = np.unique(self.group[kept, column], return_inverse=True, return_counts=True)
+        out = np.empty(len(rows))
+        out[order[kept]] = (np.cumsum(count) - (count - 1) / 2)[tie]
+        return out[rows]
 
 
 def average_rank(by: list[str], value: str) -> Column:
@@ -80,26 +113,50 @@ def average_rank(by: list[str], value: str) -> Column:
     return F.rank().over(Window.partitionBy(*by).orderBy(value)) + (F.count(F.lit(1)).over(Window.partitionBy(*by, value)) - 1) / F.lit(2.0)
 
 
-def kendall(obs: DataFrame) -> DataFrame:
-    """tau-b with its p value; one Arrow group per pair, whose size is the number of samples."""
+def kendall(obs: DataFrame, block: int = 16) -> DataFrame:
+    """tau-b with its p value: n log n for the n samples of a pair."""
 
-    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-        tau, p = kendall_tau(pdf["x"].to_numpy(float), pdf["y"].to_numpy(float))
-        first = pdf.iloc[0]
-        return pd.DataFrame({**{c: [first[c]] for c in PAIR}, "corr": [tau], "p_value": [p], "n": [len(pdf)]})
+    def kernel(x: np.ndarray, y: np.ndarray, same: bool) -> tuple[np.ndarray, ...]:
+        n, tau, p = np.zeros((x.shape[1], y.shape[1])), *(np.full((x.shape[1], y.shape[1]), np.nan) for _ in "tp")
+        for i, j in np.ndindex(n.shape):
+            if same and i >= j:
+                continue
+            both = ~(np.isnan(x[:, i]) | np.isnan(y[:, j]))
+            n[i, j] = both.sum()
+            tau[i, j], p[i, j] = kendall_tau(x[both, i], y[both, j])
+        return tau, p, n
 
-    found = pair_rows(obs).groupBy(*PAIR).applyInPandas(kernel, "study_id string, feature_1 string, feature_2 string, corr double, p_value double, n long")
-    clean = lambda c: F.nanvl(c, F.lit(None).cast("double")).alias(c)
-    full = pair_grid(obs).join(found, PAIR, "left")
-    return full.select("feature_1", "feature_2", F.lit("kendall").alias("method"), clean("corr"), clean("p_value"), F.coalesce("n", F.lit(0)).cast("double").alias("n"), "study_id")
+    full = pair_grid(obs).join(_by_blocks(obs, kernel, ("corr", "p_value"), block), PAIR, "left")
+    return full.select("feature_1", "feature_2", F.lit("kendall").alias("method"), "corr", "p_value", F.coalesce("n", F.lit(0)).cast("double").alias("n"), "study_id")
 
 
 def one_pair(df: DataFrame, x: str, y: str, method: str = "kendall") -> DataFrame:
-    """corr, p_value and n of two columns of a table, over rows with both."""
-    rows = df.select(F.monotonically_increasing_id().cast("string").alias("sample_id"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
-    both = F.explode(F.array(F.struct(F.lit("x").alias("feature"), F.col("x").alias("value")), F.struct(F.lit("y").alias("feature"), F.col("y").alias("value"))))
-    obs = rows.select(F.lit("").alias("study_id"), "sample_id", both.alias("b")).select("study_id", "sample_id", "b.*")
-    return correlations(obs, (method,)).select("corr", "p_value", "n")
+    """corr, p_value and n of two columns of a table, over rows with both; one row, corr NULL where it isn't defined.
+
+    Pearson's r is one aggregate. Spearman's ranks come from counts of equal values, whose running
+    sums one task takes over the distinct values; Kendall's tau needs all rows in order in one task.
+    """
+    rows = df.select(finite(F.col(x).cast("double")).alias("x"), finite(F.col(y).cast("double")).alias("y")).filter("x IS NOT NULL AND y IS NOT NULL")
+    if method == "kendall":
+
+        def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
+            tau, p = kendall_tau(pdf["x"].to_numpy(float), pdf["y"].to_numpy(float))
+            return pd.DataFrame({"corr": [tau], "p_value": [p], "n": [float(len(pdf))]})
+
+        found = rows.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(kernel, "corr double, p_value double, n double")
+        total = rows.agg(F.count(F.lit(1)).cast("double").alias("n"))
+        nan = lambda c: F.nanvl(c, F.lit(None).cast("double")).alias(c)
+        return total.join(found, "n", "left").select(nan("corr"), nan("p_value"), "n")
+    if method == "spearman":
+        for c in "xy":
+            upto = Window.orderBy(c).rowsBetween(Window.unboundedPreceding, -1)  # one row per distinct value
+            counts = rows.groupBy(c).agg(F.count(F.lit(1)).alias("k"))
+            ranks = counts.select(c, (F.coalesce(F.sum("k").over(upto), F.lit(0)) + (F.col("k") + 1) / 2).alias("r"))
+            rows = rows.join(ranks, c).withColumn(c, F.col("r")).drop("r")
+    elif method != "pearson":
+        raise ValueError(f"unknown method {method!r}")
+    found = rows.agg(F.when(F.count(F.lit(1)) > 1, pearson_r("x", "y")).alias("corr"), F.count(F.lit(1)).cast("double").alias("n"))
+    return found.select("corr", corr_p_value(F.col("corr"), F.col("n")).alias("p_value"), "n")
 
 
 def studies_with_pairs(obs: DataFrame) -> DataFrame:
@@ -122,36 +179,55 @@ def correlations(obs: DataFrame, methods: tuple[str, ...] = ("pearson", "spearma
     return out
 
 
-def _gram(obs: DataFrame, block: int = 256) -> DataFrame:
-    """Moments of pairs from masked matrix products, for blocks of ``block`` x ``block`` features."""
-    order = F.dense_rank().over(Window.partitionBy("study_id").orderBy("feature"))
-    features = obs.select("study_id", "feature").distinct().withColumn("b", ((order - 1) / block).cast("int"))
-    last = features.groupBy("study_id").agg(F.max("b").alias("last"))
-    cells = obs.filter(F.col("value").isNotNull()).join(features, ["study_id", "feature"]).join(last, "study_id")
+def _by_blocks(obs: DataFrame, kernel: Callable, names: tuple[str, ...], block: int) -> DataFrame:
+    """PAIR, ``names`` and n (long) of each two features of a study.
+
+    Features are numbered in order within a study and cut into blocks. For each two blocks a task has
+    the cells of both, as two arrays of samples by features (NaN where missing), and
+    ``kernel(x, y, same)`` returns an array of features by features for each of ``names``, then n;
+    ``same``: x and y are one block. Pairs without a common sample have no row.
+    """
+    order = F.row_number().over(Window.partitionBy("study_id").orderBy("feature")) - 1
+    features = obs.select("study_id", "feature").distinct().withColumn("f", order.cast("int"))
+    last = features.groupBy("study_id").agg(F.floor(F.max("f") / F.lit(block)).cast("int").alias("last"))
+    cells = obs.filter(F.col("value").isNotNull()).join(features, ["study_id", "feature"]).join(last, "study_id").withColumn("b", F.floor(F.col("f") / F.lit(block)).cast("int"))
     both = F.transform(F.sequence(F.lit(0), F.col("last")), lambda k: F.struct(F.least("b", k).alias("i"), F.greatest("b", k).alias("j")))
-    dealt = cells.withColumn("t", F.explode(both)).select("study_id", "t.i", "t.j", "sample_id", "feature", "b", "value")
-
-    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-        i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
-        wide = pdf.pivot_table(index="sample_id", columns="feature", values="value", aggfunc="first")
-        blocks = pdf.drop_duplicates("feature").set_index("feature")["b"]
-        a, b = ([c for c in wide.columns if blocks[c] == k] for k in (i, j))
-        if not a or not b:
-            return pd.DataFrame({c: [] for c in (*PAIR, "corr", "n")})
-        centre = wide - wide.mean()
-        x, y = centre[a].to_numpy(), centre[b].to_numpy()
+    dealt = cells.withColumn("t", F.explode(both)).select("study_id", "t.i", "t.j", "sample_id", "feature", "f", "value")
+    out = pa.schema([("study_id", pa.string()), ("feature_1", pa.string()), ("feature_2", pa.string())] + [(c, pa.float64()) for c in names] + [("n", pa.int64())])
+
+    def run(group: pa.Table) -> pa.Table:
+        i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
+        samples = group.column("sample_id").combine_chunks().dictionary_encode()
+        row, column = samples.indices.to_numpy(), group.column("f").to_numpy()
+        wide = np.full((len(samples.dictionary), 2 * block), np.nan)
+        wide[row, column % block + block * (column // block == j) * (i != j)] = group.column("value").to_numpy()
+        x, y = (wide[:, :block], wide[:, :block]) if i == j else (wide[:, :block], wide[:, block:])
+        found = kernel(x, y, i == j)
+        a, b = np.nonzero((found[-1] > 0) & ((np.arange(block)[:, None] < np.arange(block)) | (i != j)))
+        numbers, at = np.unique(column, return_index=True)
+        name = dict(zip(numbers.tolist(), group.column("feature").take(pa.array(at)).to_pylist(), strict=True))
+        columns = [pa.array([group.column("study_id")[0].as_py()] * len(a), pa.string())]
+        columns += [pa.array([name[k] for k in ends], pa.string()) for ends in ((a + i * block).tolist(), (b + j * block).tolist())]
+        for c in found[:-1]:
+            columns.append(pa.array(c[a, b], pa.float64(), from_pandas=True))  # NaN becomes NULL
+        return pa.Table.from_arrays([*columns, pa.array(found[-1][a, b].astype(np.int64))], schema=out)
+
+    ddl = "study_id string, feature_1 string, feature_2 string, " + ", ".join(f"{c} double" for c in names) + ", n long"
+    return dealt.groupBy("study_id", "i", "j").applyInArrow(run, ddl)
+
+
+def _gram(obs: DataFrame, block: int = 256) -> DataFrame:
+    """Moments of pairs from masked matrix products."""
+
+    def kernel(x: np.ndarray, y: np.ndarray, same: bool) -> tuple[np.ndarray, ...]:
         mx, my = ~np.isnan(x), ~np.isnan(y)
-        x, y = np.nan_to_num(x), np.nan_to_num(y)
+        x, y = (np.nan_to_num(v - np.nansum(v, 0) / np.maximum(1, m.sum(0))) for v, m in ((x, mx), (y, my)))
         n = mx.T.astype(float) @ my
         sx, sy, sxy = x.T @ my, mx.T @ y, x.T @ y
         vx, vy = (x * x).T @ my, mx.T @ (y * y)
         with np.errstate(all="ignore"):
             spread = np.sqrt(np.maximum(0, vx - sx * sx / n) * np.maximum(0, vy - sy * sy / n))
             flat = (vx - sx * sx / n <= 1e-13 * vx) | (vy - sy * sy / n <= 1e-13 * vy) | (n < 2)
-            r = np.where(flat, np.nan, np.clip((sxy - sx * sy / n) / spread, -1, 1))
-        u, v = np.meshgrid(np.array(a, object), np.array(b, object), indexing="ij")
-        keep = (u < v).astype(bool)
-        return pd.DataFrame({"study_id": pdf["study_id"].iloc[0], "feature_1": u[keep], "feature_2": v[keep], "corr": r[keep], "n": n[keep].astype(int)})
+            return np.where(flat, np.nan, np.clip((sxy - sx * sy / n) / spread, -1, 1)), n
 
-    found = dealt.groupBy("study_id", "i", "j").applyInPandas(kernel, "study_id string, feature_1 string, feature_2 string, corr double, n long")
-    return found.withColumn("corr", F.nanvl("corr", F.lit(None).cast("double")))
+    return _by_blocks(obs, kernel, ("corr",), block)

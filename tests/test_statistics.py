@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pairweave.functions.special import adjust_bh, adjust_p, corr_p_value, kendall_tau, t_two_sided
+from pairweave.functions.special import adjust_bh, adjust_p, corr_p_value, hommel, inversions, kendall_tau, normal_quantile, t_two_sided
 from pairweave.operators import correlate, pooling
 
 
@@ -146,3 +146,89 @@ def test_one_pair(spark):
     assert correlate.one_pair(df, "a", "b").first()["corr"] == pytest.approx(0.6)
     row = correlate.one_pair(df, "a", "b", "spearman").first()
     assert row["corr"] == pytest.approx(0.8) and row["n"] == 5
+    assert row["p_value"] == pytest.approx(correlate.one_pair(df, "a", "b", "spearman").first()["p_value"])
+    ties = spark.createDataFrame([(1, 1.0), (1, 2.0), (2, 2.0), (2, float("nan")), (3, 5.0)], "a int, b double")
+    both = [(1, 1.0), (1, 2.0), (2, 2.0), (3, 5.0)]
+    rank = lambda v: [sum(o < w for o in v) + (sum(o == w for o in v) + 1) / 2 for w in v]
+    assert correlate.one_pair(ties, "a", "b", "spearman").first()["corr"] == pytest.approx(np.corrcoef(rank([x for x, _ in both]), rank([y for _, y in both]))[0, 1])
+    for method in ("pearson", "spearman", "kendall"):
+        row = correlate.one_pair(df.limit(0), "a", "b", method).first()
+        assert row["n"] == 0 and row["corr"] is None and row["p_value"] is None
+
+
+def test_inversions():
+    rng = np.random.default_rng(4)
+    for n in (0, 1, 2, 7, 60):
+        v = rng.integers(0, max(1, n // 2) + 1, n)
+        assert inversions(v) == sum(a > b for a, b in itertools.combinations(v.tolist(), 2))
+
+
+def test_kendall_against_pairs():
+    rng = np.random.default_rng(6)
+    for n in (2, 5, 40, 300):
+        x, y = rng.integers(0, n, n).astype(float), rng.normal(size=n).round(1)
+        sign = [(np.sign(a - b), np.sign(c - d)) for (a, c), (b, d) in itertools.combinations(zip(x, y, strict=True), 2)]
+        spread = math.sqrt(sum(u != 0 for u, _ in sign) * sum(v != 0 for _, v in sign))
+        tau = kendall_tau(x, y)[0]
+        assert math.isnan(tau) if not spread else tau == pytest.approx(sum(u * v for u, v in sign) / spread)
+
+
+@pytest.mark.parametrize("block", [2, 3, 32])
+def test_spearman_and_kendall_blocks(spark, block):
+    rng = np.random.default_rng(8)
+    table = {f"f{k}": [None if rng.random() < 0.3 else float(x) for x in rng.integers(0, 6, 25)] for k in range(7)} | {"g": [None] * 25}
+    obs = long(spark, table)
+    rank = lambda v: [sum(o < w for o in v) + (sum(o == w for o in v) + 1) / 2 for w in v]
+    rho, tau = by_pair(correlate.spearman(obs, block)), by_pair(correlate.kendall(obs, block))
+    assert len(rho) == len(tau) == 28
+    for (a, b), r in rho.items():
+        both = [(x, y) for x, y in zip(table[a], table[b], strict=True) if x is not None and y is not None]
+        assert r["n"] == tau[a, b]["n"] == len(both)
+        if both:
+            want = np.corrcoef(rank([x for x, _ in both]), rank([y for _, y in both]))[0, 1]
+            assert r["corr"] == pytest.approx(want)
+            got = kendall_tau(*np.array(both).T)
+            assert (tau[a, b]["corr"], tau[a, b]["p_value"]) == (pytest.approx(got[0]), pytest.approx(got[1]))
+        else:
+            assert r["corr"] is None and tau[a, b]["corr"] is None
+
+
+def test_near_constant_columns_by_both_plans(spark):
+    table = {"a": [1.0, 1.0, 1.0, 1.0], "b": [1.0, 1.0, 1.0, 1.0 + 1e-4], "c": [3.0, 1.0, 2.0, 5.0], "d": [1e9, 1e9, 1e9, 1e9 + 1]}
+    x, y = (by_pair(correlate.pearson(long(spark, table), plan)) for plan in ("join", "gram"))
+    for k in x:
+        assert x[k]["corr"] == (None if y[k]["corr"] is None else pytest.approx(y[k]["corr"], abs=1e-6)), k
+
+
+def hommel_by_sets(p):
+    """The closed test: the largest Simes level of all sets that hold the test."""
+    n, out = len(p), np.array(p, float)
+    for size in range(1, n + 1):
+        for own in itertools.combinations(range(n), size):
+            level = min(size * v / (j + 1) for j, v in enumerate(sorted(p[i] for i in own)))
+            for i in own:
+                out[i] = max(out[i], level)
+    return np.minimum(out, 1)
+
+
+def test_hommel():
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 5, 8):
+        p = np.sort(rng.random(n) ** 3)
+        assert np.allclose(hommel(p), hommel_by_sets(p.tolist()))
+
+
+def test_two_stage_and_hommel_by_group(spark):
+    p = [0.001, 0.01, 0.02, 0.3, 0.9, None]
+    df = spark.createDataFrame([(str(i), g, v) for g in "ab" for i, v in enumerate(p)], "id string, g string, p double")
+    got = lambda m: [r["q"] for r in adjust_p(df, "p", "q", ["g"], ["id"], m).filter("g = 'b'").orderBy("id").collect()]
+    bh = got("fdr_bh")
+    assert got("fdr_tsbh") == [None if v is None else pytest.approx(min(1, v * 2 / 5)) for v in bh]  # three of five are rejected
+    assert got("fdr_tsbky") == [None if v is None else pytest.approx(min(1, v * 2 / 5 * 1.05)) for v in bh]
+    assert got("hommel")[:5] == pytest.approx(hommel(np.array(p[:5], float)).tolist()) and got("hommel")[5] is None
+
+
+def test_normal_quantile(spark):
+    df = spark.createDataFrame([(0.5,), (0.975,), (0.0,), (None,)], "p double")
+    got = [r["z"] for r in df.select(normal_quantile(F.col("p")).alias("z")).collect()]
+    assert got[0] == pytest.approx(0) and got[1] == pytest.approx(1.959964, abs=1e-6) and got[2] is None and got[3] is None
