@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pairweave.functions.special import adjust_bh, adjust_p, corr_p_value
 from pairweave.operators import clean, cluster, correlate, enrich, graph, pooling, report
 from pairweave.plans import fixtures as fx
-from pairweave.plans.fixtures import LINES_SQL, RAW_SQL, SMALL_SQL, VECTORS_SQL
+from pairweave.plans.fixtures import LINES_SQL, PARTS_SQL, RAW_SQL, SMALL_SQL, VECTORS_SQL
 from pairweave.plans.scratch import materialized
 from pairweave.sources.readers import read_raw_blocks
 
@@ -122,10 +122,10 @@ def dedupe_mean(spark, d):
     return rounded(clean.average_duplicates(fx.obs_analyses(spark, d)))
 
 
-@query("low_variance_filter", f"""WITH {LINES_SQL}, few AS (SELECT study_id, feature FROM obs GROUP BY ALL HAVING count(DISTINCT value) >= 40)
+@query("low_variance_filter", f"""WITH {LINES_SQL}, few AS (SELECT study_id, feature FROM obs GROUP BY ALL HAVING count(DISTINCT value) >= 72)
 SELECT study_id, sample_id, feature, value FROM obs SEMI JOIN few USING (study_id, feature)""")
 def low_variance_filter(spark, d):
-    return clean.drop_low_variance(fx.obs_lines(spark, d), 40).select("study_id", "sample_id", "feature", "value")
+    return clean.drop_low_variance(fx.obs_lines(spark, d), 72).select("study_id", "sample_id", "feature", "value")
 
 
 @query("pqn_normalize", f"""WITH {LINES_SQL}, s AS (SELECT *, value / sum(value) OVER (PARTITION BY study_id, sample_id) AS share FROM obs),
@@ -196,17 +196,34 @@ def spearman_complete(spark, d):
     return rounded(correlate.spearman(fx.obs_vectors(spark, d)))
 
 
-_FIVE = "('RM0000011', 'RM0000012', 'RM0000013', 'RM0000014', 'RM0000015')"
-_KENDALL = f"""{LINES_SQL}, five AS (SELECT study_id, sample_id, feature, value FROM obs WHERE feature IN {_FIVE}){_ROWS.format(t='five')},
+_KENDALL = f"""{LINES_SQL}{_ROWS.format(t='obs')},
 ix AS (SELECT *, row_number() OVER (PARTITION BY study_id, feature_1, feature_2) AS i FROM pr),
-cr AS (SELECT a.study_id, a.feature_1, a.feature_2, sum(sign(a.x - b.x) * sign(a.y - b.y)) / sqrt(sum(abs(sign(a.x - b.x))) * sum(abs(sign(a.y - b.y)))) AS corr
-  FROM ix a JOIN ix b ON a.study_id = b.study_id AND a.feature_1 = b.feature_1 AND a.feature_2 = b.feature_2 AND a.i < b.i GROUP BY ALL)"""
+sg AS (SELECT a.study_id, a.feature_1, a.feature_2, sum(sign(a.x - b.x) * sign(a.y - b.y)) AS s, sum(abs(sign(a.x - b.x))) AS ux, sum(abs(sign(a.y - b.y))) AS uy
+  FROM ix a JOIN ix b ON a.study_id = b.study_id AND a.feature_1 = b.feature_1 AND a.feature_2 = b.feature_2 AND a.i < b.i GROUP BY ALL),
+kt AS (SELECT study_id, feature_1, feature_2, s / nullif(sqrt(ux * uy), 0) AS corr, s, ux, uy FROM sg)"""
 
 
-@query("kendall_pairs", f"WITH {_KENDALL} SELECT feature_1, feature_2, study_id, {r6('corr', 'corr')} FROM cr")
+@query("kendall_pairs", f"WITH {_KENDALL} SELECT feature_1, feature_2, study_id, {r6('corr', 'corr')} FROM grid LEFT JOIN kt USING (study_id, feature_1, feature_2)")
 def kendall_pairs(spark, d):
-    five = fx.obs_lines(spark, d).filter(f"feature IN {_FIVE}")
-    return rounded(correlate.kendall(five).select("feature_1", "feature_2", "study_id", "corr"))
+    return rounded(correlate.kendall(materialized(fx.obs_lines(spark, d))).select("feature_1", "feature_2", "study_id", "corr"))
+
+
+# Tie-corrected normal p, or counts of permutations by inversions (without ties, up to 33 samples).
+_ties = lambda c: f"SELECT study_id, feature_1, feature_2, sum(t * (t - 1) * (2 * t + 5)) AS v_{c}, sum(t * (t - 1)) AS a_{c}, sum(t * (t - 1) * (t - 2)) AS b_{c} FROM (SELECT study_id, feature_1, feature_2, count(*)::DOUBLE AS t FROM pr GROUP BY study_id, feature_1, feature_2, {c}) GROUP BY ALL"
+_KENDALL_P = f"""{_KENDALL}, tx AS ({_ties('x')}), ty AS ({_ties('y')}), pn AS (SELECT study_id, feature_1, feature_2, count(*)::DOUBLE AS n FROM pr GROUP BY ALL),
+ways(k, p) AS (SELECT 1, [CASE WHEN c = 0 THEN 1.0::DOUBLE ELSE 0 END for c in range(0, 265)]
+  UNION ALL SELECT k + 1, [list_sum(p[greatest(1, c - k + 1) : c + 1]) / (k + 1) for c in range(0, 265)] FROM ways WHERE k < 33),
+kp AS (SELECT kt.*, n, (a_x + a_y = 0 AND n <= 33) AS exact, least(n * (n - 1) / 2 + s, n * (n - 1) / 2 - s) / 2 AS c,
+  abs(s) / sqrt((n * (n - 1) * (2 * n + 5) - v_x - v_y) / 18 + a_x * a_y / (2 * n * (n - 1)) + CASE WHEN n > 2 THEN b_x * b_y / (9 * n * (n - 1) * (n - 2)) ELSE 0 END) / sqrt(2) AS z
+  FROM kt JOIN tx USING (study_id, feature_1, feature_2) JOIN ty USING (study_id, feature_1, feature_2) JOIN pn USING (study_id, feature_1, feature_2)),
+pv AS (SELECT kp.*, CASE WHEN corr IS NULL THEN NULL WHEN exact THEN least(1, 2 * list_sum(p[1 : c::INT + 1])) WHEN z < 1e-12 THEN 1 WHEN z > 6 THEN 0
+  ELSE 1 - 2 / sqrt(pi()) * exp(-z * z) * list_sum([exp(2 * j * ln(2) + lgamma(j + 1) - lgamma(2 * j + 2) + (2 * j + 1) * ln(z)) for j in range(0, 200)]) END AS p_value
+  FROM kp LEFT JOIN ways ON k = n::INT AND exact)"""
+
+
+@query("kendall_p_values", f"WITH RECURSIVE {_KENDALL_P} SELECT feature_1, feature_2, 'kendall' AS method, {r6('pv.corr', 'corr')}, {r6('p_value', 'p_value')}, coalesce(pn.n, 0.0) AS n, study_id FROM grid LEFT JOIN pn USING (study_id, feature_1, feature_2) LEFT JOIN pv USING (study_id, feature_1, feature_2)")
+def kendall_p_values(spark, d):
+    return rounded(correlate.kendall(materialized(fx.obs_lines(spark, d))))
 
 
 @query("one_pair", f"SELECT {r6('corr(l_quantity, l_extendedprice)', 'corr')}, count(*)::DOUBLE AS n FROM lineitem WHERE l_quantity IS NOT NULL AND l_extendedprice IS NOT NULL")
@@ -214,14 +231,9 @@ def one_pair(spark, d):
     return rounded(correlate.one_pair(fx.table(spark, d, "lineitem"), "l_quantity", "l_extendedprice", "pearson").select("corr", "n"))
 
 
-@query("studies_with_pairs", f"WITH {LINES_SQL} SELECT study_id, count(DISTINCT feature) AS features FROM obs GROUP BY 1 HAVING count(DISTINCT feature) > 1")
+@query("studies_with_pairs", "SELECT 'ST' || l_orderkey AS study_id, count(DISTINCT p_brand) AS features FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1 HAVING count(DISTINCT p_brand) > 1")
 def studies_with_pairs(spark, d):
-    return correlate.studies_with_pairs(fx.obs_lines(spark, d))
-
-
-@query("kendall_p_values")
-def kendall_p_values(spark, d):
-    return rounded(correlate.kendall(fx.obs_lines(spark, d)))
+    return correlate.studies_with_pairs(fx.obs_orders(spark, d))
 
 
 _THETA = "atan(abs(corr) * sqrt((n - 2) / (1 - corr * corr)) / sqrt(n - 2))"
@@ -273,8 +285,9 @@ _cols = lambda names: ", ".join(r6(c, c) for c in names)
 
 
 def _pool(corr, min_studies=4, **more):
-    """A p value is there just where r is over at least three samples: pooling itself needs no p."""
-    return pooling.pool_new(pooling.eligible(corr.withColumn("p_value", F.lit(0.0))), None, min_studies=min_studies, **more)
+    """The p value is that of the correlation: pairs without one are not pooled."""
+    with_p = corr.withColumn("p_value", corr_p_value(F.col("corr"), F.col("n")))
+    return pooling.pool_new(pooling.eligible(with_p), None, min_studies=min_studies, **more)
 
 
 def _pooled_lines(spark, d, **more):
@@ -296,9 +309,11 @@ def pool_random(spark, d):
     return rounded(_pooled_lines(spark, d).select("feature_1", "feature_2", "n_studies", *_RANDOM))
 
 
-@query("pool_min_studies", f"WITH {_PEARSON}{_pool_sql(7)} SELECT feature_1, feature_2, n_studies, {_cols(_FIXED[:1] + _RANDOM)} FROM pooled")
+@query("pool_min_studies", f"WITH {_PEARSON.replace('>= 3)', '>= 72)')}{_pool_sql(5)} SELECT feature_1, feature_2, n_studies, {_cols(_FIXED[:1] + _RANDOM)} FROM pooled")
 def pool_min_studies(spark, d):
-    return rounded(_pooled_lines(spark, d, min_studies=7).select("feature_1", "feature_2", "n_studies", "z_fixed", *_RANDOM))
+    """Features with few distinct values go, so that pairs are in two to seven studies."""
+    varied = materialized(clean.prepare(materialized(fx.obs_lines(spark, d)), min_unique=72))
+    return rounded(_pool(correlate.pearson(varied, all_pairs=False), 5).select("feature_1", "feature_2", "n_studies", "z_fixed", *_RANDOM))
 
 
 @query("pool_distribution", f"WITH {_POOLED_LINES} SELECT feature_1, feature_2, {r6('coalesce(z_random, z_fixed)', 'loc')}, {r6('coalesce(se_random, se_fixed)', 'scale')} FROM pooled")
@@ -314,7 +329,7 @@ def pool_sampling(spark, d):
 @query("pool_resume", f"WITH {_POOLED_LINES} SELECT feature_1, feature_2, n_studies, {_cols(['z_fixed'])} FROM pooled")
 def pool_resume(spark, d):
     """Half of the pairs are there; the others are added."""
-    rows = pooling.with_enough_studies(pooling.eligible(correlate.pearson(_prepared(spark, d)).withColumn("p_value", F.lit(0.0))))
+    rows = pooling.with_enough_studies(pooling.eligible(correlate.correlations(_prepared(spark, d), ("pearson",))))
     existing = pooling.pool(rows.filter("feature_1 < 'RM0000030'"))
     return rounded(pooling.pool_new(rows, existing, overwrite=False).select("feature_1", "feature_2", "n_studies", "z_fixed"))
 
@@ -432,15 +447,15 @@ def cluster_block_means(spark, d):
     return rounded(cluster.block_means(distances, fx.clusters_of(fx.vector_nodes(spark))))
 
 
-@query("cluster_composition", f"""WITH {SMALL_SQL}, c AS (SELECT cluster, coalesce(super_class, 'unknown') AS class, count(*) AS n FROM clusters LEFT JOIN annotation ON feature = node_id GROUP BY ALL)
+@query("cluster_composition", f"""WITH {PARTS_SQL}, c AS (SELECT cluster, coalesce(super_class, 'unknown') AS class, count(*) AS n FROM clusters LEFT JOIN annotation ON feature = node_id GROUP BY ALL)
 SELECT cluster, class, n, {r6('100.0 * n / sum(n) OVER (PARTITION BY cluster)', 'percent')} FROM c""")
 def cluster_composition(spark, d):
-    return rounded(cluster.composition(fx.clusters_of(fx.vector_nodes(spark)), fx.annotation(spark)))
+    return rounded(cluster.composition(fx.part_clusters(spark, d), fx.part_annotation(spark, d)))
 
 
-@query("cluster_sizes", f"WITH {SMALL_SQL} SELECT cluster, count(*) AS n FROM clusters GROUP BY 1")
+@query("cluster_sizes", f"WITH {PARTS_SQL} SELECT cluster, count(*) AS n FROM clusters GROUP BY 1")
 def cluster_sizes(spark, d):
-    return cluster.cluster_sizes(fx.clusters_of(fx.vector_nodes(spark)))
+    return cluster.cluster_sizes(fx.part_clusters(spark, d))
 
 
 _JACCARD = """, bt AS (SELECT least(a.cluster, b.cluster) AS cluster_i, greatest(a.cluster, b.cluster) AS cluster_j, sum(r) AS w FROM edges JOIN clusters a ON a.node_id = source JOIN clusters b ON b.node_id = target WHERE a.cluster <> b.cluster GROUP BY ALL),
@@ -474,7 +489,7 @@ def cluster_edges(spark, d):
 
 # --- enrichment -----------------------------------------------------------------------------------
 
-_ORA = SMALL_SQL + """
+_ORA = PARTS_SQL + """
 , hits AS (SELECT DISTINCT cluster, member_id FROM clusters JOIN xref ON feature = node_id WHERE member_id IS NOT NULL),
 bg AS (SELECT DISTINCT member_id FROM hits), inside AS (SELECT DISTINCT set_id, set_name, member_id FROM members SEMI JOIN bg USING (member_id)),
 tested AS (SELECT set_id, set_name, count(*) AS n_set FROM inside GROUP BY ALL HAVING count(*) >= 2),
@@ -488,55 +503,56 @@ rk AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY round(pval, 9)
 ora AS (SELECT *, least(1.0, min(pval * m / rank) OVER (PARTITION BY cluster ORDER BY rank DESC ROWS UNBOUNDED PRECEDING)) AS padj FROM rk)"""
 
 
-def _ora(spark):
-    found = enrich.cluster_members(fx.xref(spark), fx.clusters_of(fx.vector_nodes(spark)))
-    return enrich.over_representation(found, fx.sets(spark), found)
+def _ora(spark, d):
+    """Read by several branches of a plan, so written once."""
+    found = materialized(enrich.cluster_members(fx.part_xref(spark, d), fx.part_clusters(spark, d)))
+    return enrich.over_representation(found, materialized(fx.part_sets(spark, d)), found)
 
 
 @query("ora", f"WITH {_ORA} SELECT cluster, set_id, set_name, n_hits, n_set, n_background, {_cols(['pval', 'padj'])}, coalesce(array_to_string(hit_ids, ';'), '') AS hit_ids FROM ora")
 def ora(spark, d):
-    return rounded(enrich.flat_results(_ora(spark)))
+    return rounded(enrich.flat_results(_ora(spark, d)))
 
 
 @query("bh_adjust", f"WITH {_ORA} SELECT cluster, set_id, {_cols(['padj'])} FROM ora")
 def bh_adjust(spark, d):
-    return rounded(adjust_bh(_ora(spark).drop("padj"), "pval", "padj", ["cluster"], ["set_id"]).select("cluster", "set_id", "padj"))
+    return rounded(adjust_bh(_ora(spark, d).drop("padj"), "pval", "padj", ["cluster"], ["set_id"]).select("cluster", "set_id", "padj"))
 
 
 @query("adjust_holm", f"""WITH {_ORA} SELECT cluster, set_id, {r6('least(1.0, max(pval * (m - rank + 1)) OVER (PARTITION BY cluster ORDER BY rank ROWS UNBOUNDED PRECEDING))', 'padj')} FROM rk""")
 def adjust_holm(spark, d):
-    tests = _ora(spark).drop("padj").withColumn("pval", F.round("pval", 9))
+    tests = _ora(spark, d).drop("padj").withColumn("pval", F.round("pval", 9))
     return rounded(adjust_p(tests, "pval", "padj", ["cluster"], ["set_id"], "holm").select("cluster", "set_id", "padj"))
 
 
 @query("adjust_by", f"""WITH {_ORA} SELECT cluster, set_id, {r6('least(1.0, min(pval * m / rank * list_sum(list_transform(range(1, m + 1), lambda k: 1.0::DOUBLE / k))) OVER (PARTITION BY cluster ORDER BY rank DESC ROWS UNBOUNDED PRECEDING))', 'padj')} FROM rk""")
 def adjust_by(spark, d):
-    return rounded(adjust_p(_ora(spark).drop("padj"), "pval", "padj", ["cluster"], ["set_id"], "fdr_by").select("cluster", "set_id", "padj"))
+    return rounded(adjust_p(_ora(spark, d).drop("padj"), "pval", "padj", ["cluster"], ["set_id"], "fdr_by").select("cluster", "set_id", "padj"))
 
 
 @query("enrich_clusters", f"WITH {_ORA} SELECT cluster, set_id, n_hits, {_cols(['padj'])} FROM ora WHERE padj < 0.6")
 def enrich_clusters(spark, d):
-    found = enrich.enrich_clusters(fx.xref(spark), fx.clusters_of(fx.vector_nodes(spark)), fx.sets(spark), 0.6)
+    found = enrich.enrich_clusters(fx.part_xref(spark, d), fx.part_clusters(spark, d), fx.part_sets(spark, d), 0.6)
     return rounded(found.select("cluster", "set_id", "n_hits", "padj"))
 
 
 @query("top_sets", f"WITH {_ORA} SELECT set_id, set_name, {r6('min(padj)', 'best_padj')} FROM ora GROUP BY ALL ORDER BY round(min(padj), 9), set_id LIMIT 5")
 def top_sets(spark, d):
-    rounded_padj = _ora(spark).withColumn("padj", F.round("padj", 9))
+    rounded_padj = _ora(spark, d).withColumn("padj", F.round("padj", 9))
     return rounded(enrich.top_sets(rounded_padj, 5).select("set_id", "set_name", "best_padj"))
 
 
-@query("set_abundance", f"""WITH {SMALL_SQL}, fo AS (SELECT cluster, member_id FROM clusters JOIN xref ON feature = node_id WHERE member_id IS NOT NULL),
+@query("set_abundance", f"""WITH {PARTS_SQL}, fo AS (SELECT cluster, member_id FROM clusters JOIN xref ON feature = node_id WHERE member_id IS NOT NULL),
 kn AS (SELECT cluster, count(*) AS known FROM fo GROUP BY 1), mp AS (SELECT cluster, set_id, count(*) AS mapped FROM fo JOIN members USING (member_id) GROUP BY ALL)
 SELECT c.cluster, s.set_id, {r6('coalesce(coalesce(mapped, 0)::DOUBLE / known, 0)', 'abundance')} FROM (SELECT DISTINCT cluster FROM clusters) c, sets s
 LEFT JOIN kn ON kn.cluster = c.cluster LEFT JOIN mp ON mp.cluster = c.cluster AND mp.set_id = s.set_id""")
 def set_abundance(spark, d):
-    return rounded(enrich.set_abundance(fx.xref(spark), fx.clusters_of(fx.vector_nodes(spark)), fx.sets(spark)))
+    return rounded(enrich.set_abundance(fx.part_xref(spark, d), fx.part_clusters(spark, d), fx.part_sets(spark, d)))
 
 
 @query("set_significance", f"WITH {_ORA} SELECT c.cluster, s.set_id, coalesce(padj < 0.6, false) AS significant FROM (SELECT DISTINCT cluster FROM clusters) c, sets s LEFT JOIN ora ON ora.cluster = c.cluster AND ora.set_id = s.set_id")
 def set_significance(spark, d):
-    return enrich.set_significance(_ora(spark), fx.clusters_of(fx.vector_nodes(spark)), fx.sets(spark), 0.6)
+    return enrich.set_significance(_ora(spark, d), fx.part_clusters(spark, d), fx.part_sets(spark, d), 0.6)
 
 
 _GSEA = VECTORS_SQL + ", " + SMALL_SQL + """
@@ -554,7 +570,7 @@ def _scores(spark, d):
 
 @query("gsea_es", f"WITH {_GSEA} SELECT set_id, size::BIGINT AS size, {r6('CASE WHEN abs(min(run)) > abs(max(run)) THEN min(run) ELSE max(run) END', 'es')} FROM ru GROUP BY ALL")
 def gsea_es(spark, d):
-    return rounded(enrich.enrichment_scores(_scores(spark, d), fx.sets(spark)))
+    return rounded(enrich.enrichment_scores(_scores(spark, d), fx.sets(spark)).select("set_id", "size", "es"))
 
 
 @query("gsea_permutation")

@@ -39,9 +39,10 @@ def standardize_names(raw: DataFrame, name_map: DataFrame, ids: DataFrame, alias
 
     name_map (raw_name, ref_name), ids (ref_name, feature), aliases (ref_name, feature). Without a
     reference name the feature is UNMAPPED: and the raw name; else the id, the alias's id, or the
-    bare reference name, in this order.
+    bare reference name, in this order. Of several ids of a name the largest counts (``read_lookup``
+    has settled duplicates of a file before, the last one counting); an id that is NULL or empty is none.
     """
-    ids = ids.groupBy("ref_name").agg(F.max("feature").alias("_id"))
+    ids = ids.filter("feature != ''").groupBy("ref_name").agg(F.max("feature").alias("_id"))
     named = raw.join(name_map, "raw_name", "left").join(ids, "ref_name", "left")
     alias = F.lit(None).cast("string")
     if aliases is not None:

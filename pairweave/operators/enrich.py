@@ -13,7 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pairweave.functions.special import adjust_bh, adjust_p
+from pairweave.functions.special import adjust_p
+from pairweave.plans.scratch import materialized
 
 
 def set_members(sets: DataFrame, prefix: str | None = "C") -> DataFrame:
@@ -27,13 +28,37 @@ def cluster_members(xref: DataFrame, clusters: DataFrame) -> DataFrame:
     return clusters.join(xref.select(F.col("feature").alias("node_id"), "member_id"), "node_id").filter(F.col("member_id").isNotNull())
 
 
-def hypergeometric_tail(k: Column, big_k: Column, n: Column, total: Column, log_factorial: Column) -> Column:
-    """P(X >= k) of k hits among n draws, with big_k marked of ``total``; log_factorial[i] = ln i!."""
-    choose = lambda a, b: F.get(log_factorial, a.cast("int")) - F.get(log_factorial, b.cast("int")) - F.get(log_factorial, (a - b).cast("int"))
-    low, high = F.greatest(k, n - (total - big_k)), F.least(big_k, n)
-    term = lambda i: F.exp(choose(big_k, i) + choose(total - big_k, n - i) - choose(total, n))
-    tail = F.aggregate(F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<bigint>")), F.lit(0.0), lambda a, i: a + term(i))
-    return F.when(k <= 0, F.lit(1.0)).otherwise(F.least(tail, F.lit(1.0)))
+_LOG_FACTORIALS = [np.zeros(1)]
+
+
+def log_factorials(n: int) -> np.ndarray:
+    """ln 0!, ln 1!, ... at least up to ln n!; kept in each Python worker."""
+    if n >= len(_LOG_FACTORIALS[0]):
+        _LOG_FACTORIALS[0] = np.concatenate(([0.0], np.cumsum(np.log(np.arange(1, 2 * n + 1, dtype=float)))))
+    return _LOG_FACTORIALS[0]
+
+
+def hypergeometric_tail(k: Column, big_k: Column, n: Column, total: Column) -> Column:
+    """P(X >= k) of k hits among n draws, with big_k marked of ``total``."""
+
+    @F.pandas_udf("double")
+    def tail(k: pd.Series, big_k: pd.Series, n: pd.Series, total: pd.Series) -> pd.Series:
+        lf = log_factorials(int(total.max()) if len(total) else 0)
+        choose = lambda a, b: lf[a] - lf[b] - lf[a - b]
+        out = np.ones(len(k))
+        for row, (x, marked, drawn, whole) in enumerate(zip(k.tolist(), big_k.tolist(), n.tolist(), total.tolist(), strict=True)):
+            if x > 0:
+                i = np.arange(max(x, drawn - (whole - marked)), min(marked, drawn) + 1)
+                out[row] = min(1.0, float(np.exp(choose(marked, i) + choose(whole - marked, drawn - i) - choose(whole, drawn)).sum()))
+        return pd.Series(out)
+
+    return tail(*(c.cast("long") for c in (k, big_k, n, total)))
+
+
+def outside_background(hits: DataFrame, background: DataFrame) -> DataFrame:
+    """cluster, member_id of the hits that a test against ``background`` (member_id) leaves out."""
+    known = background.select("member_id").filter(F.col("member_id").isNotNull())
+    return hits.select("cluster", "member_id").distinct().join(known, "member_id", "left_anti").select("cluster", "member_id")
 
 
 def over_representation(hits: DataFrame, sets: DataFrame, background: DataFrame | None = None, min_set_size: int = 2, prefix: str | None = None, fdr_method: str = "fdr_bh") -> DataFrame:
@@ -41,7 +66,7 @@ def over_representation(hits: DataFrame, sets: DataFrame, background: DataFrame
 
     All sets with at least ``min_set_size`` members in the background are tested in each cluster
     that has a hit there, also with no overlap (p = 1), and adjusted within the cluster. Without a
-    background it is all members of all sets.
+    background it is all members of all sets. Hits outside it don't count (see ``outside_background``).
     """
     members = set_members(sets, prefix)
     background = (members if background is None else background).select("member_id").filter(F.col("member_id").isNotNull()).distinct()
@@ -51,11 +76,9 @@ def over_representation(hits: DataFrame, sets: DataFrame, background: DataFrame
     sizes = drawn.groupBy("cluster").agg(F.count(F.lit(1)).alias("n_drawn"))
     overlap = drawn.join(inside, "member_id").groupBy("cluster", "set_id").agg(F.count(F.lit(1)).alias("n_hits"), F.array_sort(F.collect_set("member_id")).alias("hit_ids"))
     total = background.agg(F.count(F.lit(1)).alias("n_background"))
-    factorials = F.aggregate(F.sequence(F.lit(1), F.greatest("n_background", F.lit(1))), F.array(F.lit(0.0)), lambda a, i: F.concat(a, F.array(F.element_at(a, -1) + F.ln(i.cast("double")))))
-    one = total.withColumn("_lf", factorials)  # one row
-    grid = sizes.crossJoin(F.broadcast(one)).crossJoin(tested)  # every cluster is tested against every set
+    grid = sizes.crossJoin(F.broadcast(total)).crossJoin(tested)  # one row; and every cluster is tested against every set
     full = grid.join(overlap, ["cluster", "set_id"], "left").withColumn("n_hits", F.coalesce("n_hits", F.lit(0).cast("long")))
-    full = full.withColumn("pval", hypergeometric_tail(F.col("n_hits"), F.col("n_set"), F.col("n_drawn"), F.col("n_background"), F.col("_lf")))
+    full = full.withColumn("pval", hypergeometric_tail(F.col("n_hits"), F.col("n_set"), F.col("n_drawn"), F.col("n_background")))
     full = full.withColumn("hit_ids", F.coalesce("hit_ids", F.array().cast("array<string>")))
     adjusted = adjust_p(full, "pval", "padj", ["cluster"], ["set_id"], fdr_method)
     return adjusted.select("cluster", "set_id", "set_name", "n_hits", "n_set", "n_background", "pval", "hit_ids", "padj")
@@ -98,12 +121,13 @@ def flat_results(results: DataFrame) -> DataFrame:
 
 
 def ranking(scores: DataFrame) -> DataFrame:
-    """member_id, score with duplicates averaged and nulls dropped."""
+    """member_id, score with duplicates averaged and nulls dropped: one row per member."""
     return scores.filter(F.col("score").isNotNull()).groupBy("member_id").agg(F.avg("score").alias("score"))
 
 
 def enrichment_scores(scores: DataFrame, sets: DataFrame, min_size: int = 2, max_size: int = 500, prefix: str | None = "C") -> DataFrame:
-    """set_id, size, es: the extreme of the running sum over the ranking, up by |score| at members, down elsewhere.
+    """set_id, set_name, size, es, lead: the extreme of the running sum over the ranking, up by |score| at members,
+    down elsewhere; and the members up to it (from it on, if it is negative) by rank.
 
     Only the ranks of members matter: between two members the sum falls linearly, so its extremes
     are at a member or just before one. Each set is a window over its own members.
@@ -111,31 +135,45 @@ def enrichment_scores(scores: DataFrame, sets: DataFrame, min_size: int = 2, max
     ranked = ranking(scores)
     order = Window.orderBy(F.desc("score"), "member_id")
     ranked = ranked.withColumn("rank", F.row_number().over(order)).withColumn("total", F.count(F.lit(1)).over(Window.partitionBy()))
-    own = ranked.join(set_members(sets, prefix).select("set_id", "member_id"), "member_id")
+    own = ranked.join(set_members(sets, prefix), "member_id")
     group = Window.partitionBy("set_id")
     upto = group.orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     own = own.withColumn("size", F.count(F.lit(1)).over(group)).filter((F.col("size") >= min_size) & (F.col("size") <= max_size) & (F.col("size") < F.col("total")))
     own = own.withColumn("hit", F.try_divide(F.sum(F.abs("score")).over(upto), F.sum(F.abs("score")).over(group)))
     own = own.withColumn("step", F.try_divide(F.abs("score"), F.sum(F.abs("score")).over(group)))
     own = own.withColumn("miss", (F.col("rank") - F.row_number().over(group.orderBy("rank"))) / (F.col("total") - F.col("size")))
-    high, low = F.max(F.col("hit") - F.col("miss")), F.min(F.col("hit") - F.col("step") - F.col("miss"))
-    return own.groupBy("set_id", "size").agg(high.alias("h"), low.alias("l")).select("set_id", "size", F.when(F.abs("l") > F.abs("h"), F.col("l")).otherwise(F.col("h")).alias("es"))
+    own = own.withColumn("up", F.col("hit") - F.col("miss")).withColumn("down", F.col("hit") - F.col("step") - F.col("miss"))
+    found = own.groupBy("set_id", "set_name", "size").agg(
+        F.max(F.struct("up", (-F.col("rank")).alias("rank"))).alias("h"), F.min(F.struct("down", "rank")).alias("l"), F.array_sort(F.collect_list(F.struct("rank", "member_id"))).alias("members")
+    )  # a set has at most max_size members
+    below = F.abs("l.down") > F.abs("h.up")
+    lead = F.filter("members", lambda m: F.when(below, m.rank >= F.col("l.rank")).otherwise(m.rank <= -F.col("h.rank")))
+    return found.select("set_id", "set_name", "size", F.when(below, F.col("l.down")).otherwise(F.col("h.up")).alias("es"), F.transform(lead, lambda m: m.member_id).alias("lead"))
+
 
+def ranked_enrichment(scores: DataFrame, sets: DataFrame, permutations: int = 1000, seed: int = 0, max_members: int = 20_000_000, **limits) -> DataFrame:
+    """set_id, set_name, size, es, nes, p, q, lead: against random sets of the same size, by sign.
 
-def ranked_enrichment(scores: DataFrame, sets: DataFrame, permutations: int = 1000, seed: int = 0, **limits) -> DataFrame:
-    """set_id, size, es, nes, p, q: against random sets of the same size, by sign.
+    nes is es over the mean of its size's null scores of the same sign; p the share of these beyond
+    es; q (the false discovery rate) the share of all sets' null scores of that sign, normalised too,
+    that are beyond nes, over the share of the sets' own ones.
 
-    Null distributions depend on the size alone; each distinct size is one task's work on the ranking.
+    Null distributions depend on the size alone; each distinct size is one task's work on the ranking's
+    scores, 8 bytes a member, which are shipped; more than ``max_members`` are an error. The null scores
+    of all sizes (at most max_size times ``permutations``) are put together on the driver.
     """
-    found = enrichment_scores(scores, sets, **limits)
-    values = np.array([r["score"] for r in ranking(scores).orderBy(F.desc("score"), "member_id").select("score").toLocalIterator()])
+    found = materialized(enrichment_scores(scores, sets, **limits))
+    ranked = materialized(ranking(scores))
+    if ranked.count() > max_members:
+        raise ValueError(f"more than {max_members} members")
+    values = ranked.orderBy(F.desc("score"), "member_id").select("score").toArrow().column("score").to_numpy()
     shipped = scores.sparkSession.sparkContext.broadcast(np.abs(values))
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         weight = shipped.value
         n = len(weight)
         for part in parts:
-            for size in part["size"]:
+            for size, sets in zip(part["size"], part["sets"], strict=True):
                 rng = np.random.default_rng([seed, int(size)])
                 null = np.empty(permutations)
                 for i in range(permutations):
@@ -144,12 +182,49 @@ def ranked_enrichment(scores: DataFrame, sets: DataFrame, permutations: int = 10
                     miss = (at - np.arange(size)) / (n - size)
                     up, down = (np.cumsum(w) - miss).max(), (np.cumsum(w) - w - miss).min()
                     null[i] = down if abs(down) > abs(up) else up
-                yield pd.DataFrame({"size": [size], "null": [null.tolist()]})
+                yield pd.DataFrame({"size": [size], "sets": [sets], "null": [null.tolist()]})
 
-    sizes = found.select("size").distinct()
-    nulls = sizes.mapInPandas(run, "size long, null array<double>")
+    sizes = found.groupBy("size").agg(F.count(F.lit(1)).alias("sets"))
+    nulls = materialized(sizes.mapInPandas(run, "size long, sets long, null array<double>"))
     same = F.filter("null", lambda x: F.when(F.col("es") >= 0, x >= 0).otherwise(x < 0))
     mean = F.try_divide(F.aggregate(same, F.lit(0.0), lambda a, x: a + x), F.size(same))
     beyond = F.size(F.filter(same, lambda x: F.abs(x) >= F.abs("es")))
-    scored = found.join(nulls, "size").withColumn("nes", F.try_divide("es", F.abs(mean))).withColumn("p", F.try_divide(beyond, F.size(same)))
-    return adjust_bh(scored.drop("null"), "p", "q", [], ["set_id"])
+    scored = found.join(nulls.drop("sets"), "size").withColumn("nes", F.try_divide("es", F.abs(mean))).withColumn("p", F.try_divide(beyond, F.size(same))).drop("null")
+    pooled = _null_shares(nulls.toPandas())
+
+    @F.pandas_udf("double")
+    def null_share(nes: pd.Series) -> pd.Series:
+        return pd.Series(_share_beyond(pooled, nes.to_numpy(float)))
+
+    up = F.col("nes") >= 0
+    side = Window.partitionBy(up)  # one row per set
+    own = F.count("nes").over(side.orderBy(F.abs("nes").desc()).rangeBetween(Window.unboundedPreceding, Window.currentRow)) / F.count("nes").over(side)
+    q = F.least(F.lit(1.0), F.try_divide(F.nanvl(null_share("nes"), F.lit(None).cast("double")), own))
+    return scored.withColumn("q", F.when(F.col("nes").isNotNull(), q)).select("set_id", "set_name", "size", "es", "nes", "p", "q", "lead")
+
+
+def _null_shares(nulls: pd.DataFrame) -> dict[bool, tuple[np.ndarray, np.ndarray]]:
+    """By sign (True: not negative): the normalised null scores' sizes in ascending order, and the weight from each on."""
+    out = {}
+    for up in (True, False):
+        sizes, weights = [], []
+        for sets, null in zip(nulls["sets"], nulls["null"], strict=True):
+            null = np.asarray(null)
+            own = np.abs(null[(null >= 0) == up])
+            if len(own) and own.mean() > 0:
+                sizes.append(own / own.mean())
+                weights.append(np.full(len(own), float(sets)))
+        flat, weight = (np.concatenate(x) if x else np.zeros(0) for x in (sizes, weights))
+        order = np.argsort(flat)
+        out[up] = (flat[order], np.cumsum(weight[order][::-1])[::-1])
+    return out
+
+
+def _share_beyond(pooled: dict[bool, tuple[np.ndarray, np.ndarray]], nes: np.ndarray) -> np.ndarray:
+    out = np.full(len(nes), np.nan)
+    for up, (flat, weight) in pooled.items():
+        own = (nes >= 0) == up if up else nes < 0
+        if len(flat):
+            at = np.searchsorted(flat, np.abs(nes[own]) - 1e-12)
+            out[own] = np.append(weight, 0.0)[at] / weight[0]
+    return out

@@ -14,11 +14,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", "l_quantity", "l_shipdate", "l_returnflag")
+    lines = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", "l_quantity", "l_shipdate", "l_linenumber")
     parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand")
     feature = F.concat(F.lit("RM"), F.lpad(F.regexp_extract("p_brand", r"(\d+)", 1), 7, "0"))
     joined = lines.join(parts, "l_partkey")
-    return joined.select(F.concat(F.lit("ST"), F.year("l_shipdate").cast("string")).alias("study_id"), F.col("l_returnflag").alias("analysis_id"), F.col("l_suppkey").cast("string").alias("sample_id"), feature.alias("feature"), "l_quantity")
+    return joined.select(F.concat(F.lit("ST"), F.year("l_shipdate").cast("string")).alias("study_id"), F.col("l_linenumber").cast("string").alias("analysis_id"), F.col("l_suppkey").cast("string").alias("sample_id"), feature.alias("feature"), "l_quantity")
 
 
 def obs_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,7 +27,7 @@ def obs_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def obs_analyses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same, by return flag as the analysis."""
+    """The same, by line number as the analysis: few samples miss the higher ones."""
     return _lines(spark, sf_dir).groupBy("study_id", "analysis_id", "sample_id", "feature").agg(F.sum("l_quantity").alias("value"))
 
 
@@ -47,6 +47,44 @@ def obs_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.select(F.concat(F.lit("ST"), (F.col("vec_id") % 8).cast("string")).alias("study_id"), F.col("vec_id").cast("string").alias("sample_id"), feature.alias("feature"), F.col("e").cast("double").alias("value"))
 
 
+def obs_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each order a study of its own, with as many features as brands: often only one."""
+    lines = table(spark, sf_dir, "lineitem").select("l_partkey", F.concat(F.lit("ST"), F.col("l_orderkey").cast("string")).alias("study_id"))
+    return lines.join(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("feature")), "l_partkey").select("study_id", "feature")
+
+
+def part_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """node_id, cluster: parts by how often they are ordered, in six clusters."""
+    sold = table(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(F.count(F.lit(1)).alias("k"))
+    return sold.select(part_id("l_partkey").alias("node_id"), (F.col("k") % 6 + 1).cast("int").alias("cluster"))
+
+
+def part_id(key: str):
+    return F.concat(F.lit("RM"), F.lpad(F.col(key).cast("string"), 7, "0"))
+
+
+def part_annotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """feature, super_class: the part's type; small parts have none."""
+    return table(spark, sf_dir, "part").filter("p_size > 5").select(part_id("p_partkey").alias("feature"), F.col("p_type").alias("super_class"))
+
+
+def _member():
+    return F.concat(F.lit("C"), F.lpad(F.floor(F.col("p_partkey") / 2).cast("string"), 6, "0"))
+
+
+def part_xref(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """feature, member_id: two parts share one; large parts have none."""
+    parts = table(spark, sf_dir, "part")
+    return parts.select(part_id("p_partkey").alias("feature"), F.when(F.col("p_size") <= 45, _member()).alias("member_id"))
+
+
+def part_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The members of each brand and of each brand's single sizes."""
+    parts = table(spark, sf_dir, "part").select("p_brand", "p_size", _member().alias("m"))
+    by = lambda name, key: parts.groupBy(key.alias("set_id")).agg(F.array_sort(F.collect_set("m")).alias("members")).select("set_id", F.concat(F.lit(name), "set_id").alias("set_name"), "members")
+    return by("brand ", F.col("p_brand")).union(by("brand and size ", F.concat_ws(" ", "p_brand", (F.col("p_size") % 4).cast("string"))))
+
+
 def numbered(feature: str):
     return F.substring(feature, 3, 7).cast("int")
 
@@ -84,7 +122,7 @@ def sets(spark: SparkSession) -> DataFrame:
 
 
 LINES_SQL = r"""
-lines AS (SELECT 'ST' || year(l_shipdate) AS study_id, l_returnflag AS analysis_id, l_suppkey::VARCHAR AS sample_id,
+lines AS (SELECT 'ST' || year(l_shipdate) AS study_id, l_linenumber::VARCHAR AS analysis_id, l_suppkey::VARCHAR AS sample_id,
   'RM' || lpad(regexp_extract(p_brand, '(\d+)', 1), 7, '0') AS feature, l_quantity FROM lineitem JOIN part ON l_partkey = p_partkey),
 obs AS (SELECT study_id, sample_id, feature, sum(l_quantity) AS value, count(*) AS k FROM lines GROUP BY ALL)"""
 
@@ -109,3 +147,13 @@ members AS (SELECT 'S' || lpad(s::VARCHAR, 2, '0') AS set_id, 'set ' || s AS set
   FROM range(1, 13) a(s), range(0, 105) b(m)
   WHERE (s <= 10 AND m < 20 AND m % (s + 1) = 0) OR (s = 11 AND m = 1) OR (s = 12 AND m >= 100)),
 sets AS (SELECT DISTINCT set_id, set_name FROM members)"""
+
+PARTS_SQL = """
+pclusters AS (SELECT 'RM' || lpad(l_partkey::VARCHAR, 7, '0') AS node_id, (count(*) % 6 + 1)::INT AS cluster FROM lineitem GROUP BY l_partkey),
+clusters AS (SELECT * FROM pclusters),
+annotation AS (SELECT 'RM' || lpad(p_partkey::VARCHAR, 7, '0') AS feature, p_type AS super_class FROM part WHERE p_size > 5),
+pm AS (SELECT p_partkey, p_brand, p_size, 'C' || lpad((p_partkey // 2)::VARCHAR, 6, '0') AS m FROM part),
+xref AS (SELECT 'RM' || lpad(p_partkey::VARCHAR, 7, '0') AS feature, CASE WHEN p_size <= 45 THEN m END AS member_id FROM pm),
+members AS (SELECT DISTINCT p_brand AS set_id, 'brand ' || p_brand AS set_name, m AS member_id FROM pm
+  UNION SELECT DISTINCT p_brand || ' ' || (p_size % 4), 'brand and size ' || p_brand || ' ' || (p_size % 4), m FROM pm),
+sets AS (SELECT DISTINCT set_id, set_name FROM members)"""

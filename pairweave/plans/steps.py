@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pairweave.functions.special import adjust_bh
 from pairweave.operators import clean, cluster, correlate, enrich, graph, pooling
 from pairweave.plans.scratch import materialized
+from pairweave.sources import writers
 
 
 def ingest(cells: DataFrame, name_map: DataFrame, ids: DataFrame, aliases: DataFrame | None = None, join: str = "outer", below_limit: str = "zero") -> DataFrame:
@@ -21,6 +22,13 @@ def correlate_studies(obs: DataFrame, methods: tuple[str, ...] = ("pearson", "sp
     return correlate.correlations(materialized(clean.prepare(obs, keep_unmapped, transform, pqn, min_unique)), methods)
 
 
+def correlate_missing(obs: DataFrame, path: str, methods: tuple[str, ...] = ("pearson", "spearman"), **options) -> None:
+    """Correlate and write, per method, the studies that aren't under ``path`` yet."""
+    for method in methods:
+        todo = materialized(writers.without_correlated(obs, path, method))
+        writers.write_correlations(correlate_studies(todo, (method,), **options), path, overwrite=True)
+
+
 def combine(corr: DataFrame, method: str) -> DataFrame:
     return corr.filter(F.col("method") == method).orderBy("feature_1", "feature_2", "study_id")
 

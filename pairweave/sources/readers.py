@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import csv
-import io
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairweave.operators.clean import parse_cells
@@ -15,7 +15,6 @@ from pairweave.schemas import CORRELATIONS
 
 #: Cells that a CSV of measurements means as missing.
 MISSING = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
-_MISSING = frozenset(MISSING)
 #: Where a raw document may hold its measurements, in order of preference.
 BLOCKS = ["MS_METABOLITE_DATA", "NMR_METABOLITE_DATA"]
 
@@ -29,26 +28,30 @@ def read_study_list(spark: SparkSession, path: str) -> DataFrame:
 def read_study_matrices(spark: SparkSession, folder: str, suffix: str = "_combined.csv", parse: bool = True, below_limit: str = "zero") -> DataFrame:
     """Wide CSV files, one per study (samples x features, the sample's id first), as long observations.
 
-    Files have different columns, so a file is parsed as a whole by the task that reads it, and
-    becomes rows of one schema: one plan, however many studies there are. A study has to fit a
-    task's memory; for larger ones see ``unpivot_matrix``.
+    Files have different columns, so lines are split into cells (quotes are undone) and meet their
+    file's names, which are its first line: one plan, however many studies there are, and a large file
+    is read by many tasks. A cell must not contain a line break. The second of two equal names counts
+    as a feature of that name too; cells beyond the names are passed over, missing ones are NULL.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", f"*{suffix}").load(folder).select("path", "content")
-    out = pa.schema([(c, pa.string()) for c in ("study_id", "sample_id", "feature", "raw")])
+    lines = spark.read.option("pathGlobFilter", f"*{suffix}").text(folder)
+    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))  # in order within a file
+    lines = lines.select("value", F.col("_metadata.file_path").alias("path"), place.alias("place")).filter("value != ''")
+    out = pa.schema([("path", pa.string()), ("block", pa.int64()), ("line", pa.int64()), ("cells", pa.list_(pa.string()))])
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            for path, content in zip(part.column("path").to_pylist(), part.column("content").to_pylist(), strict=True):
-                study = path.rsplit("/", 1)[-1].removesuffix(suffix)
-                lines = csv.reader(io.StringIO(content.decode("utf-8-sig")))
-                features = next(lines, [""])[1:]
-                for line in lines:
-                    if line:
-                        cells = [None if c in _MISSING else c for c in line[1:]] + [None] * (len(features) + 1 - len(line))
-                        n = len(features)
-                        yield pa.RecordBatch.from_arrays([pa.array([study] * n, pa.string()), pa.array([line[0]] * n, pa.string()), pa.array(features, pa.string()), pa.array(cells[:n], pa.string())], schema=out)
-
-    long = files.mapInArrow(run, "study_id string, sample_id string, feature string, raw string")
+            cells = [next(csv.reader([line]), []) for line in part.column("value").to_pylist()]
+            place = part.column("place")
+            yield pa.RecordBatch.from_arrays([part.column("path"), place.field("block"), place.field("line"), pa.array(cells, out.field("cells").type)], schema=out)
+
+    split = lines.mapInArrow(run, "path string, block long, line long, cells array<string>")
+    first = split.filter("block = 0").groupBy("path").agg(F.min(F.struct("block", "line", "cells")).alias("first"))  # one row per study
+    joined = split.join(first, "path").filter("line != first.line OR block != first.block")
+    study = F.regexp_replace(F.element_at(F.split("path", "/"), -1), F.lit(re.escape(suffix) + "$"), F.lit(""))
+    names = F.slice("first.cells", 2, 100_000_000)
+    pairs = F.transform(names, lambda name, k: F.struct(name.alias("feature"), F.get("cells", k + 1).alias("raw")))
+    long = joined.select(F.url_decode(F.replace(study, F.lit("+"), F.lit("%2B"))).alias("study_id"), F.col("cells")[0].alias("sample_id"), F.explode(pairs).alias("c"))
+    long = long.select("study_id", "sample_id", "c.feature", F.when(~F.col("c.raw").isin(MISSING), F.col("c.raw")).alias("raw"))
     return parse_cells(long, below_limit) if parse else long
 
 
@@ -79,15 +82,59 @@ def read_raw_blocks(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     return cells.filter("sample_id != 'Metabolite'"), bad
 
 
+def _listed(body: Column, fields: str) -> Column:
+    """The objects of a response: one object that has the first of ``fields`` itself, or an object of objects, by key."""
+    first = fields.split()[0]
+    one, many = F.from_json(body, f"struct<{fields}>"), F.from_json(body, f"map<string, struct<{fields}>>")
+    return F.when(F.get_json_object(body, f"$.{first.rstrip(':')}").isNotNull(), F.array(one)).otherwise(F.map_values(many))
+
+
+def read_analysis_ids(responses: DataFrame) -> DataFrame:
+    """study_id, analysis_id from responses (study_id, body): one analysis as an object, several as an object of objects."""
+    rows = responses.select("study_id", F.explode(_listed(F.col("body"), "analysis_id: string")).alias("a"))
+    return rows.select("study_id", "a.analysis_id").filter("analysis_id IS NOT NULL")
+
+
+def read_name_maps(responses: DataFrame) -> DataFrame:
+    """analysis_id, raw_name, ref_name ('' where unmapped) from responses (analysis_id, body) of the same two shapes.
+
+    An empty response has no rows; of one raw name's rows in an analysis the last counts.
+    """
+    listed = _listed(F.col("body"), "metabolite_name: string, refmet_name: string")
+    rows = responses.select("analysis_id", F.posexplode(listed).alias("k", "m")).filter("m.metabolite_name IS NOT NULL")
+    last = rows.groupBy("analysis_id", F.col("m.metabolite_name").alias("raw_name")).agg(F.max_by("m.refmet_name", "k").alias("ref_name"))
+    return last.withColumn("ref_name", F.coalesce("ref_name", F.lit("")))
+
+
+def read_matches(responses: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Aliases (ref_name, feature) and names without a match, from responses (ref_name, status, body) of a name search.
+
+    No match: status 404, an empty body, or an id that is missing, empty or "-". Any other status from
+    400 on is neither: it has to be asked again.
+    """
+    asked = responses.filter("status IS NULL OR status < 400 OR status = 404")
+    feature = F.when(F.coalesce("status", F.lit(200)) != 404, F.get_json_object("body", "$.refmet_id"))
+    read = asked.select("ref_name", F.when(~feature.isin("", "-"), feature).alias("feature"))
+    return read.filter("feature IS NOT NULL"), read.filter("feature IS NULL").select("ref_name")
+
+
 def read_lookup(spark: SparkSession, path: str, key: str, value: str) -> DataFrame:
-    """Two columns of a CSV; of rows with one key the largest value counts."""
-    table = spark.read.csv(path, header=True).select(key, value).filter(F.col(key).isNotNull())
-    return table.groupBy(key).agg(F.max(value).alias(value))
+    """Two columns of a CSV; of rows with one key the last of the file counts."""
+    return _by_line(spark, path).filter(F.col(key).isNotNull()).groupBy(key).agg(F.max_by(value, "_line").alias(value))
+
+
+def _by_line(spark: SparkSession, path: str) -> DataFrame:
+    """A CSV with _line: what orders its lines (files by name)."""
+    place = F.struct(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("l"))
+    return spark.read.csv(path, header=True).withColumn("_line", place)
 
 
 def read_annotation(spark: SparkSession, path: str, id_column: str) -> DataFrame:
-    """All columns of an annotation CSV, its id renamed to feature, one row per id."""
-    return spark.read.csv(path, header=True).withColumnRenamed(id_column, "feature").dropDuplicates(["feature"])
+    """All columns of an annotation CSV, its id renamed to feature, one row per id: the first of the file."""
+    table = _by_line(spark, path).withColumnRenamed(id_column, "feature")
+    rest = [c for c in table.columns if c not in ("feature", "_line")]
+    first = table.groupBy("feature").agg(F.min_by(F.struct(*rest), "_line").alias("r")) if rest else table.select("feature").distinct()
+    return first.select("feature", *(F.col("r")[c].alias(c) for c in rest))
 
 
 def read_correlations(spark: SparkSession, *paths: str) -> DataFrame:

@@ -20,6 +20,12 @@ def write_correlations(corr: DataFrame, path: str, overwrite: bool = False) -> N
     corr.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy("method", "study_id").parquet(path)
 
 
+def without_correlated(obs: DataFrame, path: str, method: str) -> DataFrame:
+    """Observations of the studies that have no correlations by ``method`` under ``path`` yet: filtered before any work."""
+    done = existing_keys(obs.sparkSession, path, ["method", "study_id"])
+    return obs if done is None else obs.join(done.filter(F.col("method") == method).select("study_id"), "study_id", "left_anti")
+
+
 def existing_keys(spark, path: str, keys: list[str]) -> DataFrame | None:
     """The partitions of a table that is there, from its folder names."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)

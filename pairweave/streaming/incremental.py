@@ -9,16 +9,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from pairweave.plans.steps import correlate_studies
+from pairweave.plans.steps import correlate_missing
 from pairweave.schemas import OBSERVATIONS
-from pairweave.sources.writers import write_correlations
 
 
 def follow_studies(spark: SparkSession, inbox: str, out: str, checkpoint: str, **options) -> StreamingQuery:
     """Correlate the studies of every Parquet file that lands in ``inbox`` until none is left."""
 
     def one(batch: DataFrame, _: int) -> None:
-        write_correlations(correlate_studies(batch, **options), out)
+        correlate_missing(batch, out, **options)
 
     arrivals = spark.readStream.schema(OBSERVATIONS).parquet(inbox)
     return arrivals.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

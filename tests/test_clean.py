@@ -90,3 +90,42 @@ def test_raw_blocks(spark):
     cells, bad = read_raw_blocks(docs)
     assert {(r["sample_id"], r["raw_name"], r["raw"]) for r in cells.collect()} == {("a", "m", "1"), ("b", "m", "x")}
     assert {r["analysis_id"]: r["reason"] for r in bad.collect()} == {"2": "no block", "3": "no names", "4": "no block"}
+
+
+def test_large_matrices_are_split(spark, tmp_path):
+    from pairweave.sources.readers import read_study_matrices
+
+    header = 'sample,"1,2-diol",b'
+    (tmp_path / "ST 1+_combined.csv").write_text("\ufeff" + header + "\n" + "".join(f'"s{i}",{i},<LOD\n' for i in range(3000)))
+    (tmp_path / "ST2_combined.csv").write_text("sample\nx\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        out = read_study_matrices(spark, str(tmp_path))
+        rows = out.collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len(rows) == 6000 and {r["feature"] for r in rows} == {"1,2-diol", "b"} and {r["study_id"] for r in rows} == {"ST 1+"}
+    assert sorted(r["value"] for r in rows if r["feature"] == "1,2-diol") == [float(i) for i in range(3000)]
+
+
+def test_last_line_counts(spark, tmp_path):
+    from pairweave.sources.readers import read_annotation, read_lookup
+
+    (tmp_path / "names.csv").write_text("id,name,k\nRM9,a,1\nRM2,b,2\nRM1,a,3\n,c,4\n")
+    assert {r["name"]: r["id"] for r in read_lookup(spark, str(tmp_path / "names.csv"), "name", "id").collect()} == {"a": "RM1", "b": "RM2", "c": None}
+    table = read_annotation(spark, str(tmp_path / "names.csv"), "name")
+    assert table.columns == ["feature", "id", "k"] and {r["feature"]: r["k"] for r in table.collect()} == {"a": "1", "b": "2", "c": "4"}
+
+
+def test_responses(spark):
+    from pairweave.sources.readers import read_analysis_ids, read_matches, read_name_maps
+
+    ids = spark.createDataFrame([("s", '{"study_id":"s","analysis_id":"AN1"}'), ("t", '{"1":{"analysis_id":"AN2"},"2":{"analysis_id":"AN3"}}'), ("u", "[]"), ("v", None)], "study_id string, body string")
+    assert sorted(map(tuple, read_analysis_ids(ids).collect())) == [("s", "AN1"), ("t", "AN2"), ("t", "AN3")]
+    maps = spark.createDataFrame(
+        [("1", '{"metabolite_name":"x","refmet_name":"X"}'), ("2", '{"1":{"metabolite_name":"x","refmet_name":"A"},"2":{"metabolite_name":"y"},"3":{"metabolite_name":"x","refmet_name":"B"}}'), ("3", "[]"), ("4", "{}")],
+        "analysis_id string, body string",
+    )
+    assert sorted(map(tuple, read_name_maps(maps).collect())) == [("1", "x", "X"), ("2", "x", "B"), ("2", "y", "")]
+    found, none = read_matches(spark.createDataFrame([("a", 200, '{"refmet_id":"RM1"}'), ("b", 404, "gone"), ("c", 200, '{"refmet_id":"-"}'), ("d", 200, "[]"), ("e", 500, ""), ("f", None, '{"refmet_id":""}')], "ref_name string, status int, body string"))
+    assert [tuple(r) for r in found.collect()] == [("a", "RM1")] and sorted(r[0] for r in none.collect()) == ["b", "c", "d", "f"]

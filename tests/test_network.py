@@ -180,6 +180,44 @@ def test_gsea(spark):
     got = {r["set_id"]: r for r in enrich.ranked_enrichment(scores, sets, permutations=200).collect()}
     assert set(got) == {"top", "low"} and got["top"]["es"] == pytest.approx(1.0) and got["low"]["es"] == pytest.approx(-1.0)
     assert got["top"]["nes"] > 0 > got["low"]["nes"] and 0 <= got["top"]["q"] <= 1
+    assert got["top"]["lead"] == ["C0", "C1"] and got["low"]["lead"] == ["C8", "C9"] and got["low"]["set_name"] == "l"
+    with pytest.raises(ValueError):
+        enrich.ranked_enrichment(scores, sets, max_members=3)
+
+
+def test_discovery_rate():
+    import pandas as pd
+
+    rng = np.random.default_rng(1)
+    nulls = pd.DataFrame({"sets": [2, 1], "null": [list(rng.normal(size=30)), list(rng.normal(size=30) * 3)]})
+    pooled, nes = enrich._null_shares(nulls), np.array([0.4, -0.9, 2.5])
+    normal = [(x / np.mean([abs(y) for y in null if (y >= 0) == (x >= 0)]), k) for k, null in zip(nulls["sets"], nulls["null"], strict=True) for x in null]
+    want = [sum(k for x, k in normal if x * v >= 0 and abs(x) >= abs(v)) / sum(k for x, k in normal if x * v >= 0) for v in nes]
+    assert np.allclose(enrich._share_beyond(pooled, nes), want)
+
+
+def test_background(spark):
+    hits = spark.createDataFrame([(1, "C1"), (1, "X"), (1, "X"), (2, None)], "cluster int, member_id string")
+    known = spark.createDataFrame([("C1",), (None,)], "member_id string")
+    assert {tuple(r) for r in enrich.outside_background(hits.filter("member_id IS NOT NULL"), known).collect()} == {(1, "X")}
+
+
+def test_large_background_tail(spark):
+    n = 200_000
+    df = spark.createDataFrame([(3, 50, 100, n), (0, 5, 5, 10), (60, 60, 60, n)], "k long, m long, d long, n long")
+    got = [r["p"] for r in df.select(enrich.hypergeometric_tail(*(F.col(c) for c in "kmdn")).alias("p")).collect()]
+    from math import comb
+
+    assert got[0] == pytest.approx(float(sum(comb(50, i) * comb(n - 50, 100 - i) for i in range(3, 51)) / comb(n, 100)), rel=1e-6) and got[1] == 1.0 and 0 <= got[2] < 1e-100
+
+
+def test_existing_studies_are_skipped_before_the_work(spark, tmp_path):
+    rows = [(s, str(i), f, float(i * k % 7)) for s in ("s1", "s2") for i in range(6) for k, f in enumerate(("a", "b", "c"), 2)]
+    obs, path = spark.createDataFrame(rows, "study_id string, sample_id string, feature string, value double"), str(tmp_path / "corr")
+    steps.correlate_missing(obs.filter("study_id = 's1'"), path, ("pearson",), min_unique=None)
+    assert {r["study_id"] for r in writers.without_correlated(obs, path, "pearson").collect()} == {"s2"} and writers.without_correlated(obs, path, "kendall").count() == 36
+    steps.correlate_missing(obs, path, ("pearson", "kendall"), min_unique=None)
+    assert spark.read.parquet(path).groupBy("method", "study_id").count().count() == 4
 
 
 def test_files(spark, tmp_path, edges):
