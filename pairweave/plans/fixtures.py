@@ -14,11 +14,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", "l_quantity", "l_shipdate", "l_linenumber")
+    lines = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", "l_quantity", "l_shipdate", "l_linenumber", "l_returnflag")
     parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand")
     feature = F.concat(F.lit("RM"), F.lpad(F.regexp_extract("p_brand", r"(\d+)", 1), 7, "0"))
     joined = lines.join(parts, "l_partkey")
-    return joined.select(F.concat(F.lit("ST"), F.year("l_shipdate").cast("string")).alias("study_id"), F.col("l_linenumber").cast("string").alias("analysis_id"), F.col("l_suppkey").cast("string").alias("sample_id"), feature.alias("feature"), "l_quantity")
+    return joined.select(F.concat(F.lit("ST"), F.year("l_shipdate").cast("string")).alias("study_id"), F.concat(F.col("l_returnflag"), F.col("l_linenumber").cast("string")).alias("analysis_id"), F.col("l_suppkey").cast("string").alias("sample_id"), feature.alias("feature"), "l_quantity")
 
 
 def obs_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,7 +27,7 @@ def obs_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def obs_analyses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same, by line number as the analysis: few samples miss the higher ones."""
+    """The same, by return flag and line number as the analysis: some samples miss one."""
     return _lines(spark, sf_dir).groupBy("study_id", "analysis_id", "sample_id", "feature").agg(F.sum("l_quantity").alias("value"))
 
 
@@ -122,7 +122,7 @@ def sets(spark: SparkSession) -> DataFrame:
 
 
 LINES_SQL = r"""
-lines AS (SELECT 'ST' || year(l_shipdate) AS study_id, l_linenumber::VARCHAR AS analysis_id, l_suppkey::VARCHAR AS sample_id,
+lines AS (SELECT 'ST' || year(l_shipdate) AS study_id, l_returnflag || l_linenumber AS analysis_id, l_suppkey::VARCHAR AS sample_id,
   'RM' || lpad(regexp_extract(p_brand, '(\d+)', 1), 7, '0') AS feature, l_quantity FROM lineitem JOIN part ON l_partkey = p_partkey),
 obs AS (SELECT study_id, sample_id, feature, sum(l_quantity) AS value, count(*) AS k FROM lines GROUP BY ALL)"""
 
