@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import atexit
 import gc
 import itertools
-import tempfile
-import uuid
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,57 +14,49 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pairweave.plans.scratch import drop_folder, shared_folder
+
 #: White space that separates words; ``bytes.split()`` splits at just these.
 WORD = r"[^\x20\x09-\x0D]+"
 
 #: DuckDB: the text with A-Z lowered.
 SQL_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
-_CREATED: list[tuple[SparkSession, str]] = []
+_TABLES: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder under ``spark.checkpoint.dir``, which driver and executors share.
-
-    Where that setting is absent (tests on one machine) a temporary folder is set as the
-    checkpoint folder of the context and used from then on.
-    """
-    context = spark.sparkContext
-    base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if not base:
-        base = tempfile.mkdtemp(prefix="pairweave-")
-        context.setCheckpointDir(base)
-        base = context.getCheckpointDir()
-    path = f"{base.rstrip('/')}/pairweave/{uuid.uuid4().hex}"
-    _CREATED.append((spark, path))
-    return path
+    """A new folder under ``spark.checkpoint.dir``, which driver and executors share; see ``shared_folder``."""
+    return shared_folder(spark)
 
 
 def drop_shared(spark: SparkSession, path: str) -> None:
     """Delete a folder made by ``shared_dir``."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-
-
-@atexit.register
-def _drop_all() -> None:
-    for spark, path in _CREATED:
-        try:
-            if spark.sparkContext._jsc is not None:
-                drop_shared(spark, path)
-        except Exception:  # the session has ended; the folder stays for its owner to clear
-            return
+    drop_folder(spark, path)
 
 
 def materialize(df: DataFrame, path: str | None = None, partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` as Parquet into shared space and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = path or shared_dir(spark)
+    _TABLES.append((spark, path))
     writer = df.write.mode("errorifexists").option("compression", "zstd")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settle(make: Callable[[], DataFrame]) -> DataFrame:
+    """Write what ``make`` returns, and delete the tables that ``materialize`` wrote on the way."""
+    before = len(_TABLES)
+    made = make()
+    own = _TABLES[before:]
+    del _TABLES[before:]
+    out = materialize(made)
+    for spark, path in own:
+        drop_shared(spark, path)
+    return out
+
+
 def set_aside(docs: DataFrame, names) -> tuple[DataFrame, list]:
     """``docs`` with columns named as in ``names`` renamed, and what to select to have all its columns back."""
     taken = {n.lower() for n in names}

@@ -9,24 +9,31 @@ s = 0.8 for the defaults, and 2e-4 at s = 0.1.
 Documents with equal shingle sets are one class, found by a digest of the set; only classes enter
 the tables. Links are confirmed on whole sets. The result is one row per document.
 
-No key's group is ever expanded into pairs. In each table key the smallest class is the pivot; all
-others are compared with it, first each with its smallest pivot, then with the others where the
-two are not yet in one component. True copies of one text are one component by then. What is left
-are components that share keys but have no confirmed link yet (copies edited too much, chance
-meetings). Components that share at least two keys, or a key with others, form a group; within a
-group every document outside the largest component is compared with all others, ``block`` by
-``block`` documents at a time, by counting common shingles of all pairs of two blocks at once. (A
-pair of similarity 0.8 shares fewer than two keys, but one, with probability under 1e-4.) So the
-work is linear in the size of a group of copies, times its unlinked rest over the block size, and
-every pair that meets in the tables is compared or already connected.
-
-Scale: shuffled are 16-byte keys (tables ** 2 per class), one pass of the texts of candidates, and
-their sets (6 bytes a shingle) per comparison; hot pivots are split by the skew join of adaptive
-execution, and minima are combined before shuffles. Every step is written to shared space.
+In each table key the smallest class is the pivot; all others are compared with it, first each with
+its smallest pivot, then with the others where the two are not yet in one component. True copies of
+one text are one component by then. What is left are keys in which several components meet without a
+confirmed link yet (copies edited too much, chance meetings), and there only documents that share
+such a key are compared:
+
+- in a key of at most ``few`` documents, each two of different components, once whatever the number
+  of their keys: a number of pairs in proportion to the chance meetings;
+- in a larger key, the components that share it with its largest one, their hub. The documents
+  outside a hub are compared with it and with each other ``block`` by ``block`` at a time, by counting
+  common shingles of all pairs of two blocks at once. Hubs are not chained into larger groups.
+
+So every pair that meets in the tables is compared or already connected, and no key's group is ever
+expanded into all its pairs.
+
+Scale: shuffled are 16-byte keys (tables ** 2 per class) twice, one pass of the texts of candidates,
+and their sets (6 bytes a shingle) per comparison. A key's pivot is a minimum, combined before the
+shuffle; the join that brings it to the key's documents is split by adaptive execution where a key
+is hot. Every step is written to shared space, and deleted when the components are known.
 
 Cases: null text, empty text and text without words have no shingles and stay alone; a text of one
-word has one shingle; rows with a null identifier stay alone, with a null component, and are kept;
-rows with one identifier are one document; an empty table gives an empty result.
+word has one shingle; very long texts are read whole; ties (several pivots, hubs of one size) go to
+the smallest or largest identifier; rows with a null identifier stay alone, with a null component,
+and are kept; rows with one identifier are one document, and ``drop_near_duplicates`` keeps one of
+them; an empty table gives an empty result; other columns are not used, whatever their names.
 """
 
 from __future__ import annotations
@@ -37,11 +44,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairweave.llm.common import SQL_LOWER, Vocabulary, bytes_of, materialize, mix64, table
-from pairweave.llm.components import connect
+from pairweave.llm.common import SQL_LOWER, Vocabulary, bytes_of, materialize, mix64, settle, slices, table
+from pairweave.operators.components import connect
 
 _M = np.uint64(0x9E3779B97F4A7C15)
 _PLANES = 6
@@ -105,8 +112,7 @@ def sketch(docs: DataFrame, width: int, tables: int, depth: int) -> DataFrame:
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            for first in range(0, part.num_rows, 500):
-                piece = part.slice(first, 500)
+            for piece in slices(part):
                 sets = shingle_sets(bytes_of(piece.column("text")), width)
                 some = [s for s in sets if len(s)]
                 made = iter(_sketches(some, tables, depth).view(np.int64).tolist() if some else [])
@@ -131,8 +137,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            for first in range(0, part.num_rows, 500):
-                piece = part.slice(first, 500)
+            for piece in slices(part):
                 sets = shingle_sets(bytes_of(piece.column("text")), width)
                 yield pa.RecordBatch.from_arrays([piece.column("doc_id").cast(pa.int64()), pa.array(map(_encode, sets), pa.binary())], schema=out)
 
@@ -242,18 +247,35 @@ def _block_links(rows: pa.Table, percent: int) -> pa.Table:
     return pa.Table.from_pylist(out, _LINKS)
 
 
-def _compare_blocks(met: DataFrame, labels: DataFrame, sets: DataFrame, percent: int, block: int) -> DataFrame:
-    """Links between the roots of components that share keys."""
-    held = met.select("key", "node").union(met.select("key", F.col("pivot").alias("node")).distinct())
+def _chance_pairs(met: DataFrame, labels: DataFrame, few: int) -> DataFrame:
+    """(a, b), a < b: documents of different components that share a key of at most ``few`` documents.
+
+    Pairs with the key's pivot are left out: they have been compared.
+    """
+    small = met.filter(F.col("n") <= few)
+    held = small.select("key", "node", "pivot").union(small.select("key", F.col("pivot").alias("node"), "pivot").distinct()).join(labels, "node")
+    mixed = held.groupBy("key").agg(F.collect_list(F.struct("node", "root")).alias("own"), F.min("pivot").alias("pivot"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo != hi")
+    rest = F.filter("own", lambda x: x.node != F.col("pivot"))
+    mates = lambda x: F.transform(F.filter(F.col("rest"), lambda y: (y.node > x.node) & (y.root != x.root)), lambda y: F.struct(x.node.alias("a"), y.node.alias("b")))
+    pairs = mixed.withColumn("rest", rest).select(F.explode(F.flatten(F.transform("rest", mates))).alias("p"))
+    return pairs.select("p.*").distinct()
+
+
+def _hub_groups(met: DataFrame, labels: DataFrame, few: int) -> DataFrame:
+    """(root, group): components that share a key of more than ``few`` documents with its largest one, and that one."""
+    large = met.filter(F.col("n") > few)
+    held = large.select("key", "node").union(large.select("key", F.col("pivot").alias("node")).distinct())
     sizes = held.join(labels, "node").groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
-    by_key = sizes.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.max(F.struct("n", "root")).alias("m")).filter("k > 1").select("key", "k", F.col("m.root").alias("hub"))
-    near = materialize(sizes.join(by_key, "key").filter("root != hub").groupBy("hub", "root").agg(F.count(F.lit(1)).alias("keys"), F.max("k").alias("k")))
-    near = near.filter("keys > 1 OR k > 2").select(F.col("hub").alias("a"), F.col("root").alias("b"))
-    roots = materialize(near.select("a").union(near.select("b")).distinct().select(F.col("a").alias("node"), F.col("a").alias("root")))
-    groups = connect(roots, near).select(F.col("node").alias("root"), F.col("root").alias("group"))
+    hubs = sizes.groupBy("key").agg(F.max(F.struct("n", "root")).alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo != hi").select("key", F.col("m.root").alias("group"))
+    near = sizes.join(hubs, "key").select("root", "group").distinct()
+    return materialize(near)
+
+
+def _compare_blocks(groups: DataFrame, labels: DataFrame, sets: DataFrame, percent: int, block: int) -> DataFrame:
+    """Links between the roots of a group's components (see ``_hub_groups``)."""
     inside = materialize(labels.join(groups, "root"))
-    parts = inside.groupBy("group", "root").agg(F.count(F.lit(1)).alias("n"))
-    shape = parts.groupBy("group").agg(F.max(F.struct("n", "root")).alias("m"), F.sum("n").alias("total")).select("group", "total", F.col("m.root").alias("hub"), F.col("m.n").alias("n_hub"))
+    parts = inside.groupBy("group").agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("root") == F.col("group")).alias("n_hub"))
+    shape = parts.select("group", "total", F.col("group").alias("hub"), "n_hub")
     blocks = lambda n: F.ceil(n / F.lit(block)).cast("int")
     shaped = inside.join(shape, "group").withColumn("nh", blocks(F.col("n_hub"))).withColumn("nr", blocks(F.col("total") - F.col("n_hub")))
     small = F.col("total") <= block // 2
@@ -271,39 +293,51 @@ def _compare_blocks(met: DataFrame, labels: DataFrame, sets: DataFrame, percent:
     tiles = F.when(small, whole).when(F.col("root") == F.col("hub"), hub_tiles).otherwise(F.concat(own_tiles, rest_tiles))
     count = inside.count()
     if not count:
-        return near.limit(0)
+        return groups.select(F.col("root").alias("a"), F.col("group").alias("b"))
     placed = shaped.withColumn("spot", spot).select("node", "root", small.alias("small"), F.explode(tiles).alias("t")).select("node", "root", "small", "t.*")
     task = F.when(F.col("small"), F.pmod("team", F.lit(max(1, count // block)))).otherwise(F.col("team"))
     tiled = placed.withColumn("task", task).join(sets, "node")
     return materialize(tiled.select("task", "team", "node", "root", "left", "right", "s").groupBy("task").applyInArrow(lambda t: _block_links(t, percent), "a long, b long"))
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, tables: int = 14, depth: int = 3, block: int = 800) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept."""
-    docs = docs.select("doc_id", "text")
-    sketched = materialize(sketch(docs, width, tables, depth))
-    known = sketched.filter(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
-    classes = materialize(known.groupBy("digest").agg(F.min(F.struct("doc_id", "a", "b")).alias("m")).select("digest", F.col("m.doc_id").alias("node"), "m.a", "m.b"))
+def _meetings(classes: DataFrame, tables: int) -> DataFrame:
+    """key, node, pivot (the key's smallest node) and n (its number of nodes), for the other nodes of keys with several."""
     pairs_of_tables = F.flatten(F.transform("a", lambda x, i: F.transform("b", lambda y, j: F.xxhash64(i * tables + j, x, y))))
     keyed = classes.select("node", F.explode(pairs_of_tables).alias("key"))
-    pivot = F.first("node").over(Window.partitionBy("key").orderBy("node").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    met = materialize(keyed.withColumn("pivot", pivot).filter("pivot != node"))
+    pivots = materialize(keyed.groupBy("key").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    return materialize(keyed.join(pivots, "key").filter("pivot != node"))
 
+
+def _components(docs: DataFrame, classes: DataFrame, width: int, percent: int, tables: int, block: int, few: int) -> DataFrame:
+    """(node, root) of the classes that meet another."""
+    met = _meetings(classes, tables)
     nodes = materialize(met.select("node").union(met.select("pivot")).distinct())
     labels = nodes.select("node", F.col("node").alias("root"))
-    if not nodes.isEmpty():
-        sets = _sets(docs, nodes, width)
-        stars = materialize(met.groupBy("pivot", "node").agg(F.count(F.lit(1)).alias("n")))
-        tested = _confirm(stars.groupBy(F.col("node").alias("b")).agg(F.min("pivot").alias("a")).select("a", "b"), sets, percent)
-        labels = connect(labels, tested.filter("linked"))
-
-        def rooted(frame: DataFrame, by: str, name: str) -> DataFrame:
-            return frame.join(labels.select(F.col("node").alias(by), F.col("root").alias(name)), by)
-
-        left = materialize(rooted(rooted(stars, "node", "rb"), "pivot", "ra").filter("ra != rb").select(F.col("pivot").alias("a"), F.col("node").alias("b")))
-        left = materialize(left.join(tested, ["a", "b"], "left_anti"))
-        labels = connect(labels, _confirm(left, sets, percent).filter("linked"))
-        labels = connect(labels, _compare_blocks(met, labels, sets, percent, block))
+    if nodes.isEmpty():
+        return labels
+    sets = _sets(docs, nodes, width)
+    stars = materialize(met.groupBy("pivot", "node").agg(F.count(F.lit(1)).alias("n")))
+    tested = _confirm(stars.groupBy(F.col("node").alias("b")).agg(F.min("pivot").alias("a")).select("a", "b"), sets, percent)
+    labels = connect(labels, tested.filter("linked"))
+
+    def rooted(frame: DataFrame, by: str, name: str) -> DataFrame:
+        return frame.join(labels.select(F.col("node").alias(by), F.col("root").alias(name)), by)
+
+    left = materialize(rooted(rooted(stars, "node", "rb"), "pivot", "ra").filter("ra != rb").select(F.col("pivot").alias("a"), F.col("node").alias("b")))
+    left = materialize(left.join(tested, ["a", "b"], "left_anti"))
+    labels = connect(labels, _confirm(left, sets, percent).filter("linked"))
+    chance = materialize(_chance_pairs(met, labels, few).join(stars.select(F.col("pivot").alias("a"), F.col("node").alias("b")), ["a", "b"], "left_anti"))
+    labels = connect(labels, _confirm(chance, sets, percent).filter("linked"))
+    return connect(labels, _compare_blocks(_hub_groups(met, labels, few), labels, sets, percent, block))
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, tables: int = 14, depth: int = 3, block: int = 800, few: int = 32) -> DataFrame:
+    """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept."""
+    docs = docs.select("doc_id", "text")
+    sketched = materialize(sketch(docs, width, tables, depth))
+    known = sketched.filter(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
+    classes = materialize(known.groupBy("digest").agg(F.min(F.struct("doc_id", "a", "b")).alias("m")).select("digest", F.col("m.doc_id").alias("node"), "m.a", "m.b"))
+    labels = settle(lambda: _components(docs, classes, width, percent, tables, block, few))
     roots = classes.select("digest", "node").join(labels, "node", "left").select("digest", F.coalesce("root", "node").alias("root"))
     joined = sketched.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("digest")).alias("digest")).join(roots, "digest", "left")
     component = F.coalesce("root", "doc_id")
@@ -311,10 +345,17 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, tables:
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """Rows of ``docs`` without those whose group has a document with a smaller identifier."""
-    judged = near_duplicates(docs, width, percent)
-    gone = judged.filter(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Rows of ``docs`` without those whose group has a document with a smaller identifier.
+
+    Of several rows with one identifier one stays (the one whose text has the smallest hash); rows
+    without an identifier all stay.
+    """
+    judged = near_duplicates(docs, width, percent).filter(F.col("doc_id").isNotNull())
+    by_id = materialize(judged.groupBy("doc_id").agg(F.min("kept").alias("kept"), F.count(F.lit(1)).alias("k")).filter("NOT kept OR k > 1"))
+    single = docs.join(by_id.select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    several = docs.join(by_id.filter("kept").select("doc_id"), "doc_id", "left_semi")
+    one = several.groupBy(F.col("doc_id").alias("_id")).agg(F.min_by(F.struct(*docs.columns), F.struct(F.xxhash64("text"), F.col("text"))).alias("_row"))
+    return single.unionByName(one.select(*(F.col("_row")[c].alias(c) for c in docs.columns)))
 
 
 def op6_near_duplicates(spark, sf_dir: str) -> DataFrame:
