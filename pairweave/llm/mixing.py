@@ -3,33 +3,42 @@
 Documents of a source are shuffled (by a hash of the identifier) and each copy of a document gets
 a virtual finish time: the source's tokens up to its end, over the source's target. The copies of
 all sources are put in the order of their finish times and the order is cut where the total budget
-is used up. A second and third copy follow when a source's target exceeds its size.
+is used up. A second and third copy follow when a source's target exceeds its size. ``mix`` says how
+often each document is taken and when its first copy finishes; ``mixed_documents`` writes the copies
+in the global order, range-sorted by finish time.
 
 Targets: the total of all sizes is shared by weight (1, 2, 3 repeating over the sources in code
 point order, null last); no target exceeds ``epochs`` times its source's size, and what is above
 is shared again by weight among the others.
 
-Scale: no window ever spans a source or the whole order. Within a source, documents fall into
-buckets by the shuffle key; sums per (source, bucket) give each bucket's offset, so a source with
-a third of all rows is split as evenly as the rest. Finish times are uniform in tokens by
-construction, so the global order is dealt into ranges of equal width; sums per range find the
-range that holds the cut, and only this range is sorted. What the driver receives is one row: the
-last copy taken.
+Scale: within a source, documents fall into at most 4096 buckets by the shuffle key, so that a source
+with a third of all rows is dealt as evenly as the rest. Running sums are taken in two levels: one
+task per source adds up its buckets' sums, one per bucket its documents' sizes (three narrow columns,
+sorted with spilling). To find the cut, copies are counted in 4096 ranges of finish times, in each of
+which the tokens are about the same by construction; the range that holds the cut is divided again
+until few copies are left, and only these are sorted. Windows over all sources have one row per
+source. Joined to the documents are tables of sources and buckets, which don't grow with the rows;
+the driver receives one row per range, and the last copy taken.
 
 Cases: null text has size 0; null source is a source of its own; texts of size 0 are taken 0 words;
-a document taken twice has its words counted twice; repeated rows are separate documents; an empty
-table gives an empty result; columns of the input with the names added here are replaced.
+very long texts are one document; a document taken twice has its words counted twice; ties of finish
+times are broken by source, shuffle key, identifier and copy; repeated rows are separate documents;
+an empty table gives an empty result; columns of the input with the names added here are replaced by
+``mix`` and kept by ``mixed_documents``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from pairweave.llm.common import WORD, materialize, set_aside, table
 
 SEED = "7"
-_ADDED = ("size", "source_size", "target", "copies", "taken")
+_ADDED = ("size", "source_size", "target", "copies", "taken", "finish")
+#: Digits of the shuffle key that make a bucket at most; ranges of finish times in which copies are counted.
+DIGITS, RANGES = 3, 4096
 _KEY = ["_absent", "_source"]
 
 
@@ -64,71 +73,97 @@ def share_targets(sizes: DataFrame, epochs: int = 3, weights: tuple[int, ...] =
     return filled.select(*_KEY, "source_size", target.alias("target"))
 
 
-def mix(docs: DataFrame, epochs: int = 3, bucket_rows: int = 400, size: Column | None = None) -> DataFrame:
-    """``docs`` (doc_id, text, source, ...) with size, source_size, target, copies and taken.
+def _timed(rows: DataFrame, offsets: DataFrame) -> DataFrame:
+    """With _upto, the source's tokens up to a document's end, and the columns of ``offsets``."""
+    upto = Window.partitionBy(*_KEY, "_bucket").orderBy("_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    held = rows.withColumn("_upto", F.sum("size").over(upto)).join(offsets, [*_KEY, "_bucket"])
+    return held.withColumn("_upto", F.col("_upto") + F.col("_offset"))
 
-    ``size``: the tokens of a document, words if not given. All columns are kept.
+
+def _finish(epoch: int) -> Column:
+    end = (F.lit(epoch) * F.col("source_size") + F.col("_upto")).cast("double")
+    return F.when(F.col("target") > 0, F.try_divide(end, F.col("target"))).otherwise(0.0)
+
+
+def _place(epoch: int) -> Column:
+    return F.struct(_finish(epoch).alias("f"), *(F.col(c).alias(c) for c in (*_KEY, "_key", "doc_id")), F.lit(epoch).alias("epoch"))
+
+
+def _cut(placed: DataFrame, budget: int, few: int) -> Row | None:
+    """The first copy (its place) with which the sizes in order exceed ``budget``; None if there is none.
+
+    placed: f, p (the place) and size. Sums per range narrow down where it is.
     """
+    low, high, before = 0.0, 4.0, 0
+    while True:
+        width = (high - low) / RANGES
+        here = placed.filter((F.col("f") >= low) & (F.col("f") < high)).withColumn("_range", F.least(F.lit(RANGES - 1), F.floor((F.col("f") - low) / width)))
+        total = before
+        for r in sorted(here.groupBy("_range").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).collect()):  # at most RANGES rows
+            if total + r["size"] > budget:
+                break
+            total += r["size"]
+        else:
+            return None
+        inside = here.filter(F.col("_range") == r["_range"])
+        before, start = total, low + r["_range"] * width
+        if r["n"] <= few or not low < start + width < high:
+            order = Window.orderBy("p").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+            over = inside.withColumn("_upto", F.lit(before) + F.sum("size").over(order)).filter(F.col("_upto") > budget)
+            return over.agg(F.min("p").alias("p")).first()["p"]
+        ends = inside.agg(F.min("f").alias("lo"), F.max("f").alias("hi")).first()  # the copies' own limits: no rounding loses one
+        low, high = ends["lo"], float(np.nextafter(ends["hi"], np.inf))
+
+
+def _mixed(docs: DataFrame, epochs: int, bucket_rows: int, size: Column | None, few: int) -> tuple[DataFrame, list[Column]]:
+    """``docs`` with sizes, keys and times; and for each copy of a document whether it is taken."""
     size = word_count() if size is None else size
     narrow = materialize(docs.select("doc_id", "source", size.alias("size")))
     rows = narrow.count()
     digits = 0
-    while rows > bucket_rows * 16**digits:
+    while rows > bucket_rows * 16**digits and digits < DIGITS:
         digits += 1
     keyed = _keyed(narrow, F.col("size"), digits)
     sums = materialize(keyed.groupBy(*_KEY, "_bucket").agg(F.sum("size").alias("_sum")))
     targets = share_targets(sums.groupBy(*_KEY).agg(F.sum("_sum").alias("source_size")), epochs)
     earlier = Window.partitionBy(*_KEY).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.withColumn("_offset", F.coalesce(F.sum("_sum").over(earlier), F.lit(0))).drop("_sum").join(targets, _KEY)
-    offsets = materialize(offsets)
-
-    def timed(rows: DataFrame) -> DataFrame:
-        upto = Window.partitionBy(*_KEY, "_bucket").orderBy("_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        held = rows.withColumn("_upto", F.sum("size").over(upto)).join(offsets, [*_KEY, "_bucket"])
-        return held.withColumn("_upto", F.col("_upto") + F.col("_offset"))
-
-    def finish(epoch: int) -> Column:
-        end = (F.lit(epoch) * F.col("source_size") + F.col("_upto")).cast("double")
-        return F.when(F.col("target") > 0, F.try_divide(end, F.col("target"))).otherwise(0.0)
-
-    def place(epoch: int) -> Column:
-        return F.struct(finish(epoch).alias("f"), *(F.col(c).alias(c) for c in (*_KEY, "_key", "doc_id")), F.lit(epoch).alias("epoch"))
-
-    placed = materialize(timed(keyed).filter(F.col("size") > 0).select(F.explode(F.array(*map(place, range(epochs)))).alias("p"), "size"))
+    offsets = materialize(sums.withColumn("_offset", F.coalesce(F.sum("_sum").over(earlier), F.lit(0))).drop("_sum").join(targets, _KEY))
+    copies = F.explode(F.array(*map(_place, range(epochs)))).alias("p")
+    placed = materialize(_timed(keyed, offsets).filter(F.col("size") > 0).select(copies, "size").select(F.col("p.f").alias("f"), "p", "size").filter("f <= 2"))
     budget = sums.agg(F.coalesce(F.sum("_sum"), F.lit(0))).first()[0]
-    ranges = max(64, rows // 200)
-    ranged = placed.withColumn("_range", F.floor(F.least(F.col("p.f"), F.lit(4.0)) * ranges))
-    running = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # one row per range
-    by_range = ranged.filter(F.col("p.f") <= 2).groupBy("_range").agg(F.sum("size").alias("_sum")).withColumn("_upto", F.sum("_sum").over(running))
-    cut = by_range.filter(F.col("_upto") > budget).orderBy("_range").first()
-    last = None
-    if cut is not None:
-        first = F.lit(cut["_upto"] - cut["_sum"])
-        order = Window.orderBy("p").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        within = ranged.filter(F.col("_range") == cut["_range"]).withColumn("_upto", first + F.sum("size").over(order))
-        last = within.filter(F.col("_upto") > budget).agg(F.min("p").alias("p")).first()["p"]
+    last = _cut(placed, budget, few)
     wide = _keyed(docs, size, digits) if set(docs.columns) - {"doc_id", "source", "text", "size"} or "text" in docs.columns else keyed
-    taken = timed(wide)
     if last is None:  # every copy up to the time of the last range fits the budget
-        copies = sum((finish(e) <= 2).cast("int") for e in range(epochs))
+        taken = [_finish(e) <= 2 for e in range(epochs)]
     else:
         end = F.struct(*(F.lit(last[c]).cast(t).alias(c) for c, t in (("f", "double"), ("_absent", "boolean"), ("_source", "string"), ("_key", "string"), ("doc_id", "long"), ("epoch", "int"))))
-        copies = sum((place(e) < end).cast("int") for e in range(epochs))
-    taken = taken.withColumn("copies", F.when(F.col("size") > 0, copies).otherwise(0).cast("int")).withColumn("taken", F.col("size") * F.col("copies"))
-    own = [c for c in docs.columns if c not in _ADDED]
-    return taken.select(*own, *_ADDED)
+        taken = [_place(e) < end for e in range(epochs)]
+    return _timed(wide, offsets), [(F.col("size") > 0) & t for t in taken]
+
+
+def mix(docs: DataFrame, epochs: int = 3, bucket_rows: int = 400, size: Column | None = None, few: int = 100_000) -> DataFrame:
+    """``docs`` (doc_id, text, source, ...) with size, source_size, target, copies, taken, and finish of the first copy.
+
+    ``size``: the tokens of a document, words if not given. All columns are kept.
+    """
+    rows, taken = _mixed(docs, epochs, bucket_rows, size, few)
+    rows = rows.withColumn("copies", sum(t.cast("int") for t in taken)).withColumn("taken", F.col("size") * F.col("copies")).withColumn("finish", _finish(0))
+    return rows.select(*(c for c in docs.columns if c not in _ADDED), *_ADDED)
 
 
-def mixed_documents(docs: DataFrame, epochs: int = 3) -> DataFrame:
-    """The mix itself: each document as often as it is taken."""
+def mixed_documents(docs: DataFrame, epochs: int = 3, few: int = 100_000) -> DataFrame:
+    """The mix itself: each document as often as it is taken, in the global order of finish times."""
     docs, own = set_aside(docs, _ADDED)
-    mixed = mix(docs, epochs).filter(F.col("copies") > 0)
-    return mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*own)
+    rows, taken = _mixed(docs, epochs, 400, None, few)
+    copies = F.array_compact(F.array(*(F.when(t, _place(e)) for e, t in enumerate(taken))))
+    placed = rows.withColumn("_place", F.explode(copies)).select(*own, "_place")
+    order = ["_place.f", *(f"_place.{c}" for c in (*_KEY, "_key", "doc_id", "epoch"))]
+    return placed.repartitionByRange(*order).sortWithinPartitions(*order).drop("_place")
 
 
 def op3_mix_sources(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", word_count().alias("size"))
-    return mix(docs, size=F.col("size")).select("doc_id", "size", "source_size", "target", "taken")
+    return mix(docs, size=F.col("size")).select("doc_id", "size", "source_size", "target", "taken", "finish")
 
 
 OP3_SQL = rf"""
@@ -159,6 +194,7 @@ o AS (
          (SELECT sum(size) FROM d) AS budget
   FROM c),
 k AS (SELECT doc_id, absent, src, size, count(*) AS copies FROM o WHERE total <= budget GROUP BY ALL)
-SELECT p.doc_id, p.size, p.source_size::BIGINT AS source_size, p.target, (p.size * coalesce(k.copies, 0))::BIGINT AS taken
+SELECT p.doc_id, p.size, p.source_size::BIGINT AS source_size, p.target, (p.size * coalesce(k.copies, 0))::BIGINT AS taken,
+       CASE WHEN target > 0 THEN upto::DOUBLE / target ELSE 0 END AS finish
 FROM p LEFT JOIN k ON p.doc_id = k.doc_id AND p.absent = k.absent AND p.src = k.src AND p.size = k.size
 """
