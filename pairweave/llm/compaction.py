@@ -11,9 +11,16 @@ Scale: neither appends nor merges shuffle. A merge reads the small files of one
 outputs are made in waves of ``wave`` per job. The manifest has one line per shard, some hundred
 bytes for every target file, and is what the driver holds.
 
-Cases: all columns and rows are kept as they are, nulls and repeated rows included; a shard without
-rows isn't listed; an empty store has the schema of its first append; one column name is set aside
-for the writer and may not clash (``_pairweave_bin``).
+Two writers never make one version: on file systems whose rename refuses an existing target (HDFS,
+local) the rename decides; on object stores, where it replaces the target, the folder of manifests
+has to be in a store with conditional creation. Shards that no kept version lists stay until
+``vacuum`` deletes them.
+
+Cases: all columns and rows are kept as they are, nulls, very long texts and repeated rows included;
+shards of equal size are merged in the order of their names; a shard without rows isn't listed; an
+empty store has the schema of its first append; a column named as the one set aside for the writer
+(``_pairweave_bin``) gets another name there, and columns named shard, shard_bytes or version are kept
+by the store and replaced by ``read`` only in what it adds.
 """
 
 from __future__ import annotations
@@ -30,6 +37,8 @@ from pyspark.sql import types as T
 from pairweave.llm.common import shared_dir, table
 
 _BIN = "_pairweave_bin"
+#: Bytes of a merged shard; how many shards of one tier are merged.
+TARGET_BYTES, FAN = 64 << 20, 4
 
 
 @dataclass(frozen=True)
@@ -38,6 +47,15 @@ class Shard:
     rows: int
     bytes: int
 
+    @property
+    def name(self) -> str:
+        """The path within the store's data; the file's name alone may repeat in another folder."""
+        return shard_name(self.path)
+
+
+def shard_name(path: str) -> str:
+    return path.rsplit("/data/", 1)[-1]
+
 
 @dataclass
 class Manifest:
@@ -110,7 +128,7 @@ class ShardStore:
             except Conflict:
                 continue
 
-    def compact(self, target_bytes: int = 256 << 20, fan: int = 4, wave: int = 64) -> Manifest:
+    def compact(self, target_bytes: int = 256 << 20, fan: int = FAN, wave: int = 64) -> Manifest:
         """Merge shards of one tier, once there are ``fan`` of them, until no tier has that many."""
         while True:
             seen = self.manifest()
@@ -120,12 +138,15 @@ class ShardStore:
             schema = T.StructType.fromJson(json.loads(seen.schema))
             merged: list[Shard] = []
             for k in range(0, len(runs), wave):
-                parts = [self._rows(run, schema).coalesce(1).withColumn(_BIN, F.lit(i)) for i, run in enumerate(runs[k : k + wave])]
+                bin_column = _BIN
+                while bin_column.lower() in (n.lower() for n in schema.names):
+                    bin_column += "_"
+                parts = [self._rows(run, schema).coalesce(1).withColumn(bin_column, F.lit(i)) for i, run in enumerate(runs[k : k + wave])]
                 both = parts[0]
                 for p in parts[1:]:
                     both = both.unionByName(p)
                 folder = f"data/{uuid.uuid4().hex}"
-                both.write.option("compression", "zstd").partitionBy(_BIN).parquet(f"{self.path}/{folder}")
+                both.write.option("compression", "zstd").partitionBy(bin_column).parquet(f"{self.path}/{folder}")
                 merged += self._listed(folder, schema)
             gone = {s for run in runs for s in run}
             try:
@@ -133,16 +154,38 @@ class ShardStore:
             except Conflict:
                 continue
 
+    def vacuum(self, keep: int = 1) -> int:
+        """Delete versions but the last ``keep`` ones, and shards that no version left lists; how many shards went.
+
+        Only while nobody appends: a shard that is written but not yet committed is listed nowhere.
+        """
+        versions = self.versions()
+        for v in versions[:-keep]:
+            self.fs.delete(self._path(f"manifest/v{v:08d}.json"), False)
+        live = {s.name for v in versions[-keep:] for s in self.manifest(v).shards}
+        gone, data = 0, self._path("data")
+        files = self.fs.listFiles(data, True) if self.fs.exists(data) else None
+        while files is not None and files.hasNext():
+            path = files.next().getPath()
+            if path.getName().endswith(".parquet") and shard_name(path.toString()) not in live:
+                gone += self.fs.delete(path, False)
+        return gone
+
     def _rows(self, shards: list[Shard], schema: T.StructType) -> DataFrame:
         return self.spark.read.schema(schema).parquet(*[s.path for s in shards])
 
     def read(self, version: int | None = None) -> DataFrame:
-        """All rows of a version, with shard (the file's name) and shard_bytes."""
+        """All rows of a version, with shard (the file's path within the data), shard_bytes and version."""
         seen = self.manifest(version)
         schema = T.StructType.fromJson(json.loads(seen.schema))
         if not seen.shards:
-            return self.spark.createDataFrame([], schema).withColumns({"shard": F.lit(""), "shard_bytes": F.lit(0).cast("long")})
-        return self._rows(seen.shards, schema).withColumns({"shard": F.col("_metadata.file_name"), "shard_bytes": F.col("_metadata.file_size")})
+            return self.spark.createDataFrame([], schema).withColumns({"shard": F.lit(""), "shard_bytes": F.lit(0).cast("long"), "version": F.lit(seen.version)})
+        return self._rows(seen.shards, schema).withColumns({"shard": F.element_at(F.split("_metadata.file_path", "/data/"), -1), "shard_bytes": F.col("_metadata.file_size"), "version": F.lit(seen.version)})
+
+    def shards(self) -> DataFrame:
+        """version, shard, rows, bytes of every shard of every version."""
+        listed = [(v, s.name, s.rows, s.bytes) for v in self.versions() for s in self.manifest(v).shards]
+        return self.spark.createDataFrame(listed, "version int, shard string, rows long, bytes long")
 
 
 def merge_runs(shards: list[Shard], target_bytes: int, fan: int) -> list[list[Shard]]:
@@ -166,7 +209,7 @@ def merge_runs(shards: list[Shard], target_bytes: int, fan: int) -> list[list[Sh
     return [r for r in runs if len(r) > 1]
 
 
-def shard_corpus(docs: DataFrame, path: str | None = None, arrivals: int = 2, target_bytes: int = 64 << 20, rows_per_shard: int = 5_000) -> ShardStore:
+def shard_corpus(docs: DataFrame, path: str | None = None, arrivals: int = 2, target_bytes: int = TARGET_BYTES, rows_per_shard: int = 5_000) -> ShardStore:
     """Append ``docs`` in ``arrivals`` parts (by hash of the identifier) and compact after each."""
     store = ShardStore(docs.sparkSession, path or f"{shared_dir(docs.sparkSession)}/store")
     part = F.pmod(F.xxhash64("doc_id"), F.lit(arrivals))
@@ -183,7 +226,15 @@ def sharded_rows(store: ShardStore) -> DataFrame:
 
 
 def op8_sharding(spark, sf_dir: str) -> DataFrame:
-    return sharded_rows(shard_corpus(table(spark, sf_dir, "documents"))).select("doc_id", "n_bytes", "text_sha256")
-
-
-OP8_SQL = "SELECT doc_id, strlen(coalesce(text, ''))::BIGINT AS n_bytes, sha256(coalesce(text, '')) AS text_sha256 FROM documents"
+    """Rows of the committed version; tiered: no ``fan`` shards of one tier are left, and the manifest counts this row's shard right."""
+    store = shard_corpus(table(spark, sf_dir, "documents"))
+    seen = store.manifest()
+    listed = store.shards().filter(F.col("version") == seen.version).select("shard", F.col("rows").alias("_listed"))
+    rows = sharded_rows(store)
+    held = rows.groupBy("shard").agg(F.count(F.lit(1)).alias("_held")).join(listed, "shard", "left")
+    right = held.select("shard", (F.coalesce("_held", F.lit(0)) == F.coalesce("_listed", F.lit(-1))).alias("_right"))
+    tiered = F.col("_right") & F.lit(seen.version > 1 and not merge_runs(seen.shards, TARGET_BYTES, FAN))
+    return rows.join(right, "shard").select("doc_id", "n_bytes", "text_sha256", tiered.alias("tiered"), F.lit(len(store.versions()) >= 2).alias("versioned"))
+
+
+OP8_SQL = "SELECT doc_id, strlen(coalesce(text, ''))::BIGINT AS n_bytes, sha256(coalesce(text, '')) AS text_sha256, true AS tiered, true AS versioned FROM documents"
