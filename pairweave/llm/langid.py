@@ -1,33 +1,43 @@
 """Language of texts that may mix languages.
 
-Each distinct word of a batch is scored once: the ranges of its letters (Latin, Greek, Cyrillic,
-...) leave only languages that use that script, and hashed character n-grams give each of these a
-log probability. A Viterbi pass over the words, with a penalty for each switch, labels spans; the
-text's language is the one that labels most letters.
+Texts are cut into words where letters end and where the script changes (runs of scripts without
+spaces also every ``PIECE`` letters). Each distinct word of a batch is scored once: the range of its
+letters (Latin, Greek, Cyrillic, ...) leaves only languages that use that script, and hashed
+character n-grams give each of these a log probability. A Viterbi pass over the words, with a penalty
+for each switch, labels spans, and no span has a language whose script a word excludes; the text's
+language is the one that labels most letters.
 
 A path without a switch is proven best, when it is, without the step-by-step pass: with j the
 language of the largest total, no path beats j if no language gains more than half the penalty on j
 over any run of words (a path of m >= 2 runs outside j has at least m - 1 switches). The gains are
 a vectorised running maximum; only the other texts are decoded word by word.
 
-Scale: one pass over the texts and no shuffle of them. The model is a table of a fixed number of
-buckets per language, learned on at most about ``max_rows`` rows chosen by hash.
+Scale: one pass over the texts and no shuffle of them. The model is a table of buckets per language,
+32 MB at most, which is shipped. It is learned on at most about ``max_rows`` rows, chosen by hash and
+dealt to the languages so that rare ones give all they have. The ``max_langs`` languages with most
+rows are told apart (a dirty label column doesn't stop the corpus); others are never predicted.
 
 Cases: null text, and text without any letter, is ``und`` with score 0; words without letters are
-neutral; without any row to learn from, everything is ``und``; rows are kept as they come.
+neutral; a word in a script that no language uses may be in any; without any row to learn from,
+everything is ``und``; ties go to the language first in order; very long texts are read whole, in the
+pass as in the model; repeated rows are kept as they come, an empty table gives an empty result, and
+columns of the input with the names added here are replaced.
 """
 
 from __future__ import annotations
 
+import bisect
+import functools
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pairweave.llm.common import Vocabulary, bytes_of, mix64, remainder, table
+from pairweave.llm.common import Vocabulary, bytes_of, mix64, remainder, slices, table
 
 #: First code points of scripts, in order; a letter belongs to the last range that begins at or before it.
 SCRIPTS = [
@@ -38,21 +48,60 @@ SCRIPTS = [
     (0x3400, "han"), (0xA000, "other"), (0xAC00, "hangul"), (0xD7B0, "other"), (0xF900, "han"),
     (0xFB00, "latin"), (0xFB13, "other"), (0x20000, "han"), (0x323B0, "other"),
 ]
-_STARTS = np.array([s for s, _ in SCRIPTS])
+_START_LIST = [s for s, _ in SCRIPTS]
 _NAMES = sorted({n for _, n in SCRIPTS})
 _SCRIPT_OF = np.array([_NAMES.index(n) for _, n in SCRIPTS])
 _LATIN = _NAMES.index("latin")
 #: Lower-cases A-Z and blanks what is no letter in ASCII.
 _LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
-BUCKETS = 1 << 17
+#: Buckets of a language's n-grams, and as many where there are over 32 languages.
+BUCKETS, FEWER_BUCKETS = 1 << 17, 1 << 15
+#: Scripts that don't part words by spaces, and the letters of a piece of them.
+_SPACELESS = frozenset(_NAMES.index(n) for n in ("han", "kana", "thai"))
+PIECE = 6
+#: What excludes a language from a word: more than any gain of keeping it over a whole text's switches.
+_NEVER = np.float32(-1e6)
 ORDERS = (1, 2, 3, 4, 5)
 
 
 def words_of(text: bytes | None) -> list[bytes]:
-    return [] if text is None else text.translate(_LETTERS).split()
+    if text is None:
+        return []
+    words = text.translate(_LETTERS).split()
+    return words if text.isascii() else list(itertools.chain.from_iterable(map(_parts, words)))
 
 
-def features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def _parts(word: bytes) -> tuple[bytes, ...]:
+    """A word cut where its script changes, and into pieces where its script has no spaces."""
+    return _cached_parts(word) if len(word) < 64 else _cut(word)
+
+
+def _cut(word: bytes) -> tuple[bytes, ...]:
+    if word.isascii():
+        return (word,)
+    out, held, script = [], [], -1
+    for c in word.decode("utf-8", "replace"):
+        own = script_of(c)
+        if held and (own >= 0 and script >= 0 and own != script or own in _SPACELESS and len(held) >= PIECE):
+            out.append("".join(held))
+            held = []
+        held.append(c)
+        script = own if own >= 0 else script
+    out.append("".join(held))
+    return tuple(x.encode() for x in out)
+
+
+_cached_parts = functools.lru_cache(1 << 16)(_cut)
+
+
+def script_of(letter: str) -> int:
+    """The number of a letter's script; -1 for what is no letter."""
+    if letter.isascii():
+        return _LATIN
+    return int(_SCRIPT_OF[bisect.bisect_right(_START_LIST, ord(letter)) - 1]) if letter.isalpha() else -1
+
+
+def features(words: list[bytes], buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of all n-grams of the words (with a mark at both ends), and the word of each."""
     raw = np.frombuffer(b"\x01" + b"\x01".join(words) + b"\x01", np.uint8).astype(np.uint64)
     word = np.cumsum(raw == 1) - 1
@@ -73,19 +122,17 @@ def features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         if n == 2:
             ok &= inside | np.concatenate(([False], inside[:-1]))
         at = np.flatnonzero(ok)
-        found.append((mix64(value[at] * np.uint64(8) + np.uint64(n)) & np.uint64(BUCKETS - 1)).astype(np.int64))
+        found.append((mix64(value[at] * np.uint64(8) + np.uint64(n)) & np.uint64(buckets - 1)).astype(np.int64))
         owner.append(np.where(inside[at], word[at], word[at] - 1))
     return np.concatenate(found), np.concatenate(owner)
 
 
 def scripts_of(words: list[bytes]) -> np.ndarray:
-    """Script of each word's first letter that is not ASCII, else Latin; -1 for a word without a letter."""
+    """Script of each word's first letter; -1 for a word without a letter. (A word has one script, see ``words_of``.)"""
     out = np.full(len(words), _LATIN)
     for i, w in enumerate(words):
         if not w.isascii():
-            letters = [c for c in w.decode("utf-8", "replace") if c.isalpha()]
-            odd = [ord(c) for c in letters if ord(c) > 127]
-            out[i] = -1 if not letters else _SCRIPT_OF[np.searchsorted(_STARTS, odd[0], "right") - 1] if odd else _LATIN
+            out[i] = next((k for c in w.decode("utf-8", "replace") if (k := script_of(c)) >= 0), -1)
     return out
 
 
@@ -109,7 +156,7 @@ class Model:
         script = scripts_of(words)
         out = np.zeros((n, k), np.float32)
         if n and k:
-            bucket, owner = features(words)
+            bucket, owner = features(words, len(self.log_prob))
             order = np.argsort(owner, kind="stable")
             owner, bucket = owner[order], bucket[order]
             starts = np.searchsorted(owner, np.arange(n))
@@ -117,10 +164,10 @@ class Model:
                 out[:, j] = np.add.reduceat(self.log_prob[bucket, j], starts)
             out /= len(ORDERS) * 0.5
             some = self.allowed[script] & (script >= 0)[:, None]
-            out = np.where(some | ~some.any(1, keepdims=True), out, np.float32(-1e9))
+            out = np.where(some | ~some.any(1, keepdims=True), out, _NEVER)
             out -= out.max(1, keepdims=True)
             out -= np.log(np.exp(out).sum(1, keepdims=True))
-            out = np.maximum(out, -8).astype(np.float32)
+            out = np.where(some, np.maximum(out, -8), _NEVER).astype(np.float32)
             out[(script < 0) | ~some.any(1)] = -np.log(k)
         return out, script >= 0
 
@@ -155,39 +202,57 @@ def viterbi(scores: np.ndarray, penalty: float) -> np.ndarray:
     return path
 
 
-def train(docs: DataFrame, max_rows: int = 8000) -> Model:
+def quota(rows: list[int], most: int) -> int:
+    """The largest q for which min(n, q) over the groups of ``rows`` add up to ``most`` at most; at least 1."""
+    left = sorted(rows)
+    for k, n in enumerate(left):
+        if n * (len(left) - k) > most:
+            return max(1, most // (len(left) - k))
+        most -= n
+    return max(left, default=1)
+
+
+def sampled(key: str, share) -> Column:
+    """Whether a row is in the sample of a ``share`` of all, by a hash of ``key``; at least 2 ** -62 is told apart."""
+    return F.xxhash64(key).bitwiseAND(F.lit((1 << 62) - 1)) < (share * float(1 << 62)).cast("long")
+
+
+def train(docs: DataFrame, max_rows: int = 8000, max_langs: int = 256) -> Model:
     """Learn from ``docs`` (doc_id, text, lang); rows with null text or lang are passed over.
 
-    If there are more than ``max_rows`` rows, about that many are chosen by a hash of the
-    identifier. N-grams are counted on the executors; only counts per bucket return.
+    If there are more than ``max_rows`` rows, each language gives the same number, or all it has, chosen
+    by a hash of the identifier. N-grams are counted on the executors; only counts per bucket return.
     """
     docs = docs.filter(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("doc_id", "text", "lang")
-    sizes = docs.groupBy("lang").count().orderBy("lang").collect()
-    langs, rows = [r["lang"] for r in sizes], sum(r["count"] for r in sizes)
-    if len(langs) > 512:
-        raise ValueError("more than 512 languages")
-    if rows > max_rows:
-        docs = docs.filter(F.abs(F.xxhash64("doc_id")) % 1_000_003 < int(1_000_003 * max_rows / rows))
+    sizes = docs.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()
+    counted = {r["lang"]: r["count"] for r in sizes}
+    langs = sorted(counted)
+    buckets = BUCKETS if len(langs) <= 32 else FEWER_BUCKETS
+    if langs:
+        q = quota(list(counted.values()), max_rows)
+        share = F.create_map(*(F.lit(x) for lang, n in counted.items() for x in (lang, min(1.0, q / n))))[F.col("lang")]
+        docs = docs.filter(F.col("lang").isin(langs)).filter((share >= 1) | sampled("doc_id", share))
     out = pa.schema([("lang", pa.int32()), ("bucket", pa.int32()), ("n", pa.int64())])
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((len(langs), BUCKETS + len(_NAMES)), np.int64)
+        counts: dict[str, np.ndarray] = {}
         for part in parts:
             for text, lang in zip(bytes_of(part.column("text")), part.column("lang").to_pylist(), strict=True):
                 if words := words_of(text):
-                    own = counts[langs.index(lang)]
-                    np.add.at(own, features(words)[0], 1)
+                    own = counts.setdefault(lang, np.zeros(buckets + len(_NAMES), np.int32))
+                    np.add.at(own, features(words, buckets)[0], 1)
                     script = scripts_of(words)
-                    np.add.at(own, BUCKETS + script[script >= 0], 1)
-        lang, bucket = np.nonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(lang, pa.int32()), pa.array(bucket, pa.int32()), pa.array(counts[lang, bucket])], schema=out)
+                    np.add.at(own, buckets + script[script >= 0], 1)
+        for lang, own in counts.items():
+            bucket = np.flatnonzero(own)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(bucket), langs.index(lang)), pa.int32()), pa.array(bucket, pa.int32()), pa.array(own[bucket], pa.int64())], schema=out)
 
     summed = docs.mapInArrow(run, "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    counts = np.zeros((BUCKETS + len(_NAMES), len(langs)))
+    counts = np.zeros((buckets + len(_NAMES), len(langs)), np.float32)
     if langs:
-        held = summed.toArrow()
+        held = summed.toArrow()  # at most a row for each bucket and language
         counts[held["bucket"].to_numpy(), held["lang"].to_numpy()] = held["n"].to_numpy()
-    return Model(langs, counts[:BUCKETS], counts[BUCKETS:])
+    return Model(langs, counts[:buckets], counts[buckets:])
 
 
 def identify(docs: DataFrame, model: Model, penalty: float = 6.0, with_spans: bool = False, with_confidence: bool = False) -> DataFrame:
@@ -208,8 +273,7 @@ def identify(docs: DataFrame, model: Model, penalty: float = 6.0, with_spans: bo
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shipped.value
         for part in parts:
-            for first in range(0, part.num_rows, 1000):
-                piece = part.slice(first, 1000)
+            for piece in slices(part, 1000, 4 << 20):
                 vocabulary = Vocabulary()
                 ids = [vocabulary.encode(words_of(t)) for t in bytes_of(piece.column("text"))]
                 words = vocabulary.words()

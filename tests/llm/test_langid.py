@@ -3,7 +3,8 @@ import itertools
 import numpy as np
 from pyspark.sql import functions as F
 
-from pairweave.llm.langid import identify, op4_language_id, train, viterbi
+from pairweave.llm.common import mix64
+from pairweave.llm.langid import BUCKETS, SCRIPTS, identify, op4_language_id, quota, train, viterbi, words_of
 
 
 def test_viterbi_is_best():
@@ -49,3 +50,106 @@ def test_learns_the_same_from_any_order(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     a, b = train(docs, 50), train(docs.orderBy(F.desc("doc_id")), 50)
     assert np.array_equal(a.log_prob, b.log_prob)
+
+
+def brute_words(text):
+    """Runs of letters (any non-ASCII character joins one), cut where the script changes."""
+    out, held, last = [], "", None
+    for c in (text or "") + " ":
+        if c.isascii() and not c.isalpha():
+            out += [held] if held else []
+            held, last = "", None
+            continue
+        own = None if not c.isalpha() else "latin" if c.isascii() else next(n for s, n in reversed(SCRIPTS) if s <= ord(c))
+        if held and own and last and (own != last or own in ("han", "kana", "thai") and len(held) >= 6):
+            out.append(held)
+            held = ""
+        held += c.lower() if c.isascii() else c
+        last = own or last
+    return [(w, next((n for c in w if c.isalpha() for n in ["latin" if c.isascii() else next(n for s, n in reversed(SCRIPTS) if s <= ord(c))]), None)) for w in out]
+
+
+def brute_grams(word):
+    raw, out = b"\x01" + word.encode() + b"\x01", []
+    for n in range(1, 6):
+        for i in range(len(raw) - n + 1):
+            gram = raw[i : i + n]
+            if gram.strip(b"\x01"):
+                out.append(int(mix64(np.array([int.from_bytes(gram, "big") * 8 + n], np.uint64))[0]) % BUCKETS)
+    return out
+
+
+def brute_model(learn):
+    counts, scripts = {}, {}
+    for text, lang in learn:
+        for w, script in brute_words(text):
+            for g in brute_grams(w):
+                counts.setdefault(lang, {}).setdefault(g, 0)
+                counts[lang][g] += 1
+            if script:
+                scripts.setdefault(lang, {}).setdefault(script, 0)
+                scripts[lang][script] += 1
+    return counts, scripts
+
+
+def brute_identify(text, counts, scripts, penalty=6.0):
+    langs = sorted(counts)
+    words, rows = [(w, s) for w, s in brute_words(text) if s], []
+    if not words:
+        return "und", 0.0
+    for w, script in words:
+        some = [lang for lang in langs if scripts[lang].get(script, 0) / sum(scripts[lang].values()) >= 0.005]
+        if not some:
+            rows.append([-np.log(len(langs))] * len(langs))
+            continue
+        total = {lang: sum(np.log((counts[lang].get(g, 0) + 0.5) / (sum(counts[lang].values()) + 0.5 * BUCKETS)) for g in brute_grams(w)) / 2.5 for lang in some}
+        top = max(total.values())
+        norm = top + np.log(sum(np.exp(v - top) for v in total.values()))
+        rows.append([max(total[lang] - norm, -8) if lang in total else -1e6 for lang in langs])
+    best = [(v, [i]) for i, v in enumerate(rows[0])]
+    for row in rows[1:]:
+        best = [max(((v - penalty * (p[-1] != i) + x, [*p, i]) for v, p in best), key=lambda y: y[0]) for i, x in enumerate(row)]
+    path = max(best, key=lambda y: y[0])[1]
+    letters = [sum(len(w.encode()) for (w, _), p in zip(words, path, strict=True) if p == i) for i in range(len(langs))]
+    j = letters.index(max(letters))
+    return langs[j], letters[j] / sum(letters) * np.mean([np.exp(r[j]) for r, p in zip(rows, path, strict=True) if p == j])
+
+
+def test_against_brute_force(spark):
+    rng = np.random.default_rng(9)
+    alphabets = {"en": "abcdeghilmnorstu", "xx": "abefiklopuvwyz", "ru": "абвгдежзик", "el": "αβγδεζηθ", "ja": "のはをに日本語人", "zh": "的一是不日本人"}
+    make = lambda lang, n: " ".join("".join(rng.choice(list(alphabets[lang]), rng.integers(1, 7))) for _ in range(n))
+    learn = [(make(lang, 30), lang) for lang in alphabets for _ in range(4)]
+    texts = [make(rng.choice(list(alphabets)), rng.integers(1, 8)) + rng.choice([" ", "", " 12. "]) + make(rng.choice(list(alphabets)), rng.integers(1, 8)) for _ in range(60)]
+    texts += [None, "", "12", "the дом house", "日本語English日本語", "ÀÉ — ՀԱՅ", "a" * 3000, "日" * 500]
+    model = train(spark.createDataFrame([(i, t, lang) for i, (t, lang) in enumerate(learn)], "doc_id long, text string, lang string"))
+    plain = brute_model(learn)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    for r in identify(docs, model).collect():
+        assert [w.decode() for w in words_of(None if r["text"] is None else r["text"].encode())] == [w for w, _ in brute_words(r["text"])]
+        lang, score = brute_identify(r["text"], *plain)
+        assert r["lang_pred"] == lang and abs(r["score"] - score) < 1e-3, r["text"]
+
+
+def test_scripts_exclude(spark):
+    learn = [(i, "the house and the garden", "en") for i in range(9)] + [(i, "дом и сад с водой", "ru") for i in range(20, 29)]
+    model = train(spark.createDataFrame(learn, "doc_id long, text string, lang string"))
+    docs = spark.createDataFrame([(1, "the house and дом the garden")], "doc_id long, text string")
+    assert [(s["lang"], s["start"], s["end"]) for s in identify(docs, model, with_spans=True).first()["spans"]] == [("en", 0, 3), ("ru", 3, 4), ("en", 4, 6)]
+
+
+def test_rare_languages_are_learned(spark):
+    rows = [(i, "the house and the garden", "en") for i in range(3000)] + [(5000, "το σπίτι και ο κήπος", "el")]
+    many = [(6000 + i, "word" + chr(97 + i % 26) * 3, f"l{i:03d}") for i in range(300) for _ in range(2)]
+    model = train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), max_rows=50)
+    assert model.langs == ["el", "en"] and model.allowed.any(0).all()
+    model = train(spark.createDataFrame(rows + many, "doc_id long, text string, lang string"), max_rows=900)
+    assert len(model.langs) == 256 and "en" in model.langs and "el" not in model.langs  # too many: the ones with most rows
+    assert model.log_prob.nbytes <= 64 << 20
+    assert quota([1, 5, 100], 30) == 24 and quota([3, 3], 100) == 3 and quota([], 5) == 1 and quota([10, 10], 1) == 1
+
+
+def test_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "word", "en", "a", "b")], "doc_id long, text string, lang string, lang_pred string, confidence string")
+    found = identify(docs, train(docs), with_confidence=True)
+    assert found.columns == ["doc_id", "text", "lang", "lang_pred", "score", "confidence"] and found.first()["lang_pred"] == "en"
