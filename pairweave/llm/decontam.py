@@ -8,13 +8,19 @@ Normal form: ASCII upper case is lowered; a word is a maximal run of ASCII lette
 and non-ASCII characters. Words are joined by single spaces, with a space at both ends, so that a
 window can only match whole words.
 
-Scale: documents are never shuffled. The automaton is shipped to the executors, so the size of the
-benchmark is checked first: windows beyond ``max_bytes`` of text are dealt to several automata,
-which are applied one after the other, each pass reading the table the pass before has written.
+Scale: documents are never shuffled. The automaton is shipped to the executors, where 1 MB of windows
+takes about 50 MB of each Python worker, so the size of the benchmark is checked first. Where its
+windows are more than ``max_bytes`` of text, a first pass over the documents looks their 64-bit hashes
+up (8 bytes a window, in ranges of ``max_hashes``) and only windows that some document has by their
+hash enter the automaton, which then decides. Should these still be more than ``max_bytes``, they are
+dealt to several automata, applied one after the other, each pass reading the table of the one before.
 
 Cases: null text has no words; null benchmark text and items without words match nothing; an item
 with a null identifier counts in ``n_items`` but has no name to list; rows of the benchmark with
-the same identifier count as one item; repeated document rows are kept as they are.
+the same identifier count as one item; windows of several items are one pattern of all of them;
+repeated document rows are kept as they are; very long texts are scanned whole; an empty table on
+either side is no error; columns of the input with the names added here are replaced by
+``find_contamination`` and kept by ``remove_contaminated``.
 """
 
 from __future__ import annotations
@@ -23,19 +29,21 @@ import hashlib
 import re
 import uuid
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pairweave.llm.common import SQL_LOWER, bytes_of, materialize, set_aside, table
+from pairweave.llm.common import SQL_LOWER, bytes_of, materialize, mix64, set_aside, table
 
 _NORMAL = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 _RUN = re.compile(rb"[^ ]+")
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 _SPANS = "array<struct<start:int,end:int>>"
 
 
@@ -92,11 +100,59 @@ def spans(text: bytes, hit: np.ndarray) -> list[tuple[int, int]]:
     return [(int(starts[places[a][0]]), int(starts[places[b - 1][1]])) for a, b in edges.reshape(-1, 2)]
 
 
-def _blocks(benchmark: DataFrame, window: int, max_bytes: int) -> Iterator[list[tuple[bytes, tuple]]]:
-    """Windows with the items they come from, in blocks of a bounded size; items are numbered within a block."""
+def _hashed(words: list[bytes], sizes: Iterable[int]) -> Iterator[tuple[int, np.ndarray]]:
+    """For each of ``sizes``, hashes of all runs of that many words."""
+    own = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    for n in sizes:
+        rolled = np.full(max(0, len(own) - n + 1), np.uint64(n))
+        for k in range(n if len(rolled) else 0):
+            rolled = mix64(rolled * _MIX + own[k : len(own) - n + 1 + k])
+        yield n, rolled
+
+
+def _present(docs: DataFrame, benchmark: DataFrame, window: int, max_hashes: int) -> set[int]:
+    """Hashes of the benchmark's windows that occur in ``docs``."""
+    out = pa.schema([("n", pa.int32()), ("h", pa.int64())])
+
+    def listed(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for text in bytes_of(part.column("text")):
+                words = normal_words(text)
+                for n, h in _hashed(words, (min(window, len(words)),) if words else ()):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), n), pa.int32()), pa.array(h.view(np.int64))], schema=out)
+
+    wanted = materialize(benchmark.select("text").mapInArrow(listed, "n int, h long").distinct())
+    sizes = sorted(r["n"] for r in wanted.select("n").distinct().collect())
+    ranges = -(-wanted.count() // max_hashes)
+    found: set[int] = set()
+    for k in range(ranges):
+        part = wanted.filter(F.pmod(F.col("h"), F.lit(ranges)) == k).select("h").toArrow().column("h").to_numpy()
+        shipped = docs.sparkSession.sparkContext.broadcast(np.sort(part.view(np.uint64)))
+
+        def seen(parts: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
+            held = shipped.value
+            for part in parts:
+                own: set[int] = set()
+                for text in bytes_of(part.column("text")):
+                    for _, h in _hashed(normal_words(text), sizes):
+                        at = np.searchsorted(held, h).clip(max=len(held) - 1)
+                        own.update(h[held[at] == h].view(np.int64).tolist())
+                yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.int64())], names=["h"])
+
+        met = docs.select("text").mapInArrow(seen, "h long").distinct()
+        found.update(met.toArrow().column("h").to_pylist())  # at most the benchmark's own windows
+    return found
+
+
+def _blocks(benchmark: DataFrame, window: int, max_bytes: int, present: set[int] | None = None) -> Iterator[list[tuple[bytes, tuple]]]:
+    """Windows (of those with a hash in ``present``) with the items they come from, in blocks of a bounded size."""
     held, size = defaultdict(set), 0
     for row in benchmark.select(F.col("item_id").cast("string"), F.col("text").cast("binary")).toLocalIterator():
         for w in windows(None if row[1] is None else bytes(row[1]), window):
+            if present is not None:
+                words = w.split()
+                if next(_hashed(words, (len(words),)))[1].view(np.int64)[0] not in present:
+                    continue
             size += 0 if w in held else len(w)
             held[w].add(row[0])
         if size > max_bytes:
@@ -105,7 +161,7 @@ def _blocks(benchmark: DataFrame, window: int, max_bytes: int) -> Iterator[list[
     yield [(w, tuple(x)) for w, x in held.items()]
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_bytes: int = 32 << 20) -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_bytes: int = 4 << 20, max_hashes: int = 4 << 20) -> DataFrame:
     """``docs`` with n_words, n_hit (words inside any window's occurrence), items, n_items and spans.
 
     Columns of ``docs`` with these names are replaced.
@@ -116,7 +172,12 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10,
     own = docs.columns
     schema = T.StructType(docs.schema.fields + T.StructType.fromDDL(", ".join(f"{k} {v}" for k, v in _FOUND_FIELDS.items())).fields)
     found = docs
-    for k, block in enumerate(_blocks(benchmark, window, max_bytes)):
+    if benchmark.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0] * window > max_bytes:
+        kept = _present(docs, benchmark, window, max_hashes)
+        blocks = _blocks(benchmark, window, max_bytes, kept)
+    else:
+        blocks = _blocks(benchmark, window, max_bytes)
+    for k, block in enumerate(blocks):
         if k:
             found = materialize(found)
         found = found.mapInArrow(_scanner(spark.sparkContext.broadcast(block), own, bool(k)), schema)

@@ -31,6 +31,15 @@ def test_cases(spark):
     same(spark, texts, items)
     same(spark, texts, items, window=3)
     same(spark, texts, items, window=3, max_bytes=8)  # several automata
+    same(spark, texts, items, window=3, max_bytes=60, max_hashes=4)  # windows looked up first, in several ranges
+
+
+def test_long_text_and_clashing_columns(spark):
+    text = "x y z " * 30_000 + "the quick brown fox " + "x y z " * 30_000
+    docs = docs_of(spark, [(1, text, "own")])
+    row = find_contamination(docs, items_of(spark, [(1, "the quick brown fox")])).first()
+    assert row["n_words"] == 180_004 and row["n_hit"] == 4 and [text[s["start"] : s["end"]] for s in row["spans"]] == ["the quick brown fox"]
+    assert remove_contaminated(docs, items_of(spark, [(1, "nowhere")])).first()["n_words"] == "own"
 
 
 def test_spans_map_back(spark):
