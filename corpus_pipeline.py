@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairweave.llm.common import materialize, set_aside, table
+from pairweave.llm.common import set_aside, settle, table
 from pairweave.llm.compaction import shard_corpus, sharded_rows
 from pairweave.llm.decontam import remove_contaminated
 from pairweave.llm.langid import held_out, identify, train
@@ -29,7 +29,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One text, with the smallest identifier, of each group of near-duplicates (5 words, 0.8)."""
+    """One text, with the smallest identifier, of each group of near-duplicates (5 words, 0.8); one row per identifier."""
     return drop_near_duplicates(docs)
 
 
@@ -39,7 +39,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each text as often as the mix takes it."""
+    """Each text as often as the mix takes it, in the mix's order."""
     return mixed_documents(docs)
 
 
@@ -58,11 +58,12 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages applied to documents; tables that a stage has written on the way go once its output is written."""
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir))
+        docs = settle(lambda stage=stage, docs=docs: stage(spark, docs, sf_dir))
     return docs
 
 
-#: SQL can't express the language model; ``tests/llm`` holds a brute-force version.
+#: SQL can't express the language model; ``tests/llm`` holds a brute-force version of each stage.
 ORACLE_SQL = None
