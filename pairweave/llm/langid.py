@@ -7,10 +7,11 @@ character n-grams give each of these a log probability. A Viterbi pass over the
 for each switch, labels spans, and no span has a language whose script a word excludes; the text's
 language is the one that labels most letters.
 
-A path without a switch is proven best, when it is, without the step-by-step pass: with j the
-language of the largest total, no path beats j if no language gains more than half the penalty on j
-over any run of words (a path of m >= 2 runs outside j has at least m - 1 switches). The gains are
-a vectorised running maximum; only the other texts are decoded word by word.
+A path without a switch is proven best, when it is, without the step-by-step pass. Let j be the
+language of the largest total, and a run's gain what its language gains on j there. No path beats j
+if no run gains more than the penalty, and no first and last run together do: of a path that meets j
+each run outside j has a switch of its own, and of one that doesn't each run but the first or last.
+The gains are vectorised running maxima; only the other texts are decoded word by word.
 
 Scale: one pass over the texts and no shuffle of them. The model is a table of buckets per language,
 32 MB at most, which is shipped. It is learned on at most about ``max_rows`` rows, chosen by hash and
@@ -54,6 +55,8 @@ _SCRIPT_OF = np.array([_NAMES.index(n) for _, n in SCRIPTS])
 _LATIN = _NAMES.index("latin")
 #: Lower-cases A-Z and blanks what is no letter in ASCII.
 _LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
+#: Bytes of characters before the first letter that isn't Latin (U+0370), and those that continue one.
+_ONLY_LATIN = bytes(range(0xCD))
 #: Buckets of a language's n-grams, and as many where there are over 32 languages.
 BUCKETS, FEWER_BUCKETS = 1 << 17, 1 << 15
 #: Scripts that don't part words by spaces, and the letters of a piece of them.
@@ -68,7 +71,7 @@ def words_of(text: bytes | None) -> list[bytes]:
     if text is None:
         return []
     words = text.translate(_LETTERS).split()
-    return words if text.isascii() else list(itertools.chain.from_iterable(map(_parts, words)))
+    return list(itertools.chain.from_iterable(map(_parts, words))) if text.translate(None, _ONLY_LATIN) else words
 
 
 def _parts(word: bytes) -> tuple[bytes, ...]:
@@ -179,8 +182,9 @@ def viterbi(scores: np.ndarray, penalty: float) -> np.ndarray:
     if k == 1 or n == 0:
         return np.zeros(n, np.int64)
     gain = np.cumsum(scores - scores[:, best : best + 1], 0, dtype=np.float64)
-    low = np.minimum(np.minimum.accumulate(np.vstack((np.zeros(k), gain[:-1])), 0), 0)
-    if (gain - low).max() <= penalty / 2:
+    low = np.minimum.accumulate(np.vstack((np.zeros(k), gain[:-1])), 0)
+    ends = max(0.0, gain.max()) + max(0.0, (gain[-1] - low[-1]).max())
+    if (gain - low).max() <= penalty and ends <= penalty:
         return np.full(n, best)
     rows = scores.astype(np.float64).tolist()
     back: list[tuple[int, list[bool]] | None] = [None] * n

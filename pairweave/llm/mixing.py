@@ -11,7 +11,7 @@ Targets: the total of all sizes is shared by weight (1, 2, 3 repeating over the
 point order, null last); no target exceeds ``epochs`` times its source's size, and what is above
 is shared again by weight among the others.
 
-Scale: within a source, documents fall into at most 4096 buckets by the shuffle key, so that a source
+Scale: within a source, documents fall into 4096 buckets by the shuffle key, so that a source
 with a third of all rows is dealt as evenly as the rest. Running sums are taken in two levels: one
 task per source adds up its buckets' sums, one per bucket its documents' sizes (three narrow columns,
 sorted with spilling). To find the cut, copies are counted in 4096 ranges of finish times, in each of
@@ -37,7 +37,7 @@ from pairweave.llm.common import WORD, materialize, set_aside, table
 
 SEED = "7"
 _ADDED = ("size", "source_size", "target", "copies", "taken", "finish")
-#: Digits of the shuffle key that make a bucket at most; ranges of finish times in which copies are counted.
+#: Digits of the shuffle key that make a bucket; ranges of finish times in which copies are counted.
 DIGITS, RANGES = 3, 4096
 _KEY = ["_absent", "_source"]
 
@@ -115,14 +115,10 @@ def _cut(placed: DataFrame, budget: int, few: int) -> Row | None:
         low, high = ends["lo"], float(np.nextafter(ends["hi"], np.inf))
 
 
-def _mixed(docs: DataFrame, epochs: int, bucket_rows: int, size: Column | None, few: int) -> tuple[DataFrame, list[Column]]:
+def _mixed(docs: DataFrame, epochs: int, digits: int, size: Column | None, few: int) -> tuple[DataFrame, list[Column]]:
     """``docs`` with sizes, keys and times; and for each copy of a document whether it is taken."""
     size = word_count() if size is None else size
     narrow = materialize(docs.select("doc_id", "source", size.alias("size")))
-    rows = narrow.count()
-    digits = 0
-    while rows > bucket_rows * 16**digits and digits < DIGITS:
-        digits += 1
     keyed = _keyed(narrow, F.col("size"), digits)
     sums = materialize(keyed.groupBy(*_KEY, "_bucket").agg(F.sum("size").alias("_sum")))
     targets = share_targets(sums.groupBy(*_KEY).agg(F.sum("_sum").alias("source_size")), epochs)
@@ -141,12 +137,12 @@ def _mixed(docs: DataFrame, epochs: int, bucket_rows: int, size: Column | None,
     return _timed(wide, offsets), [(F.col("size") > 0) & t for t in taken]
 
 
-def mix(docs: DataFrame, epochs: int = 3, bucket_rows: int = 400, size: Column | None = None, few: int = 100_000) -> DataFrame:
+def mix(docs: DataFrame, epochs: int = 3, digits: int = DIGITS, size: Column | None = None, few: int = 100_000) -> DataFrame:
     """``docs`` (doc_id, text, source, ...) with size, source_size, target, copies, taken, and finish of the first copy.
 
     ``size``: the tokens of a document, words if not given. All columns are kept.
     """
-    rows, taken = _mixed(docs, epochs, bucket_rows, size, few)
+    rows, taken = _mixed(docs, epochs, digits, size, few)
     rows = rows.withColumn("copies", sum(t.cast("int") for t in taken)).withColumn("taken", F.col("size") * F.col("copies")).withColumn("finish", _finish(0))
     return rows.select(*(c for c in docs.columns if c not in _ADDED), *_ADDED)
 
@@ -154,7 +150,7 @@ def mix(docs: DataFrame, epochs: int = 3, bucket_rows: int = 400, size: Column |
 def mixed_documents(docs: DataFrame, epochs: int = 3, few: int = 100_000) -> DataFrame:
     """The mix itself: each document as often as it is taken, in the global order of finish times."""
     docs, own = set_aside(docs, _ADDED)
-    rows, taken = _mixed(docs, epochs, 400, None, few)
+    rows, taken = _mixed(docs, epochs, DIGITS, None, few)
     copies = F.array_compact(F.array(*(F.when(t, _place(e)) for e, t in enumerate(taken))))
     placed = rows.withColumn("_place", F.explode(copies)).select(*own, "_place")
     order = ["_place.f", *(f"_place.{c}" for c in (*_KEY, "_key", "doc_id", "epoch"))]

@@ -302,8 +302,10 @@ def _compare_blocks(groups: DataFrame, labels: DataFrame, sets: DataFrame, perce
 
 def _meetings(classes: DataFrame, tables: int) -> DataFrame:
     """key, node, pivot (the key's smallest node) and n (its number of nodes), for the other nodes of keys with several."""
+    # a class becomes tables ** 2 keys: enough tasks for a hash table of a task's keys to fit
+    parts = max(1, min(20_000, -(-classes.count() * tables**2 // 1_000_000)))
     pairs_of_tables = F.flatten(F.transform("a", lambda x, i: F.transform("b", lambda y, j: F.xxhash64(i * tables + j, x, y))))
-    keyed = classes.select("node", F.explode(pairs_of_tables).alias("key"))
+    keyed = classes.repartition(parts, "node").select("node", F.explode(pairs_of_tables).alias("key"))
     pivots = materialize(keyed.groupBy("key").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("n")).filter("n > 1"))
     return materialize(keyed.join(pivots, "key").filter("pivot != node"))
 

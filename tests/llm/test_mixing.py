@@ -15,11 +15,11 @@ def against_sql(rows, got):
     assert sorted((tuple(r[n] for n in names) for r in got), key=key) == [tuple(w) for w in want]
 
 
-@pytest.mark.parametrize(("bucket_rows", "few"), [(2, 1), (400, 100_000), (2, 5)])
-def test_against_sql(spark, bucket_rows, few):
+@pytest.mark.parametrize(("digits", "few"), [(2, 1), (3, 100_000), (0, 5)])
+def test_against_sql(spark, digits, few):
     rows = [(i, "w " * (i * 7 % 23), ["a", "b", "c", None, "é", "tiny"][0 if i % 3 == 0 else i % 6]) for i in range(200)] + [(900, None, "a"), (901, "", "empty")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    against_sql(rows, mix(docs, bucket_rows=bucket_rows, few=few).collect())
+    against_sql(rows, mix(docs, digits=digits, few=few).collect())
 
 
 def test_driver_tables(spark):
@@ -68,4 +68,4 @@ def test_written_in_order(spark):
 def test_one_source_of_ties(spark):
     rows = [(i, "a b", "s") for i in range(500)] + [(1000, "word " * 40_000, "t")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    against_sql(rows, mix(docs, few=1, bucket_rows=1).collect())
+    against_sql(rows, mix(docs, few=1, digits=1).collect())
