@@ -1,24 +1,31 @@
 """Toxicity of texts whose words may be disguised.
 
-A disguised word is seen as the output of a noisy channel: letters replaced by look-alike digits
-and signs, masked by a star, repeated, or set apart by separators or spaces. Its lattice of possible letters
-is decoded by Viterbi under a character trigram model, with a cost for each thing the channel did,
-and the restored word is scored. Over a run of short pieces (up to three characters) the lattice also
-says which spaces were put in and which part words, each at a cost; a word of the run costs what the
-trigrams or its frequency say, whichever is less, and every word restored from several pieces is scored. A word whose lattice has one path (letters only, none three times
-in a row) is its own restoration, so that only disguised words are decoded, each distinct one of a
-batch once.
-
-A word's evidence is the chance of toxicity of texts with that word or one of its prefixes, learned
-from labelled texts; a text's score is a logistic function of the evidence of its three strongest
-words, of how many places hold strong ones, and of its length.
-
-Scale: one pass over the texts without any shuffle. Everything is learned from at most about
-``max_rows`` labelled rows chosen by hash, joined as a broadcast of that bounded size.
-
-Cases: null and empty texts have no evidence and get the score of that; null labels teach nothing;
-without a toxic and a harmless text to learn from the score is the share of toxic labels (0 if
-none); very long texts are read whole; repeated rows are kept.
+A disguised word is seen as the output of a noisy channel: letters replaced by look-alike digits,
+signs and letters of other scripts, masked by a star, repeated, or set apart by separators, spaces or
+invisible characters. Its lattice of possible letters is decoded by Viterbi under a character trigram
+model and a list of known words (a word costs what the trigrams or its frequency say, whichever is
+less), with a cost for each thing the channel did, and the restored word is scored in place of what
+stands there. Over a run of short pieces (up to three characters) the lattice also says which spaces
+were put in and which part words, each at a cost; every word restored from several pieces is scored.
+A word whose lattice has one path (letters of one script, none three times in a row) is its own
+restoration, so that only disguised words are decoded, each distinct one of a batch once; a letter
+written twice is undone if that makes the beginning of a word with evidence.
+
+The trigrams are counted over the Latin words of all texts to learn from. A word's evidence is the
+chance of toxicity of texts with that restored word or one of its prefixes, learned from labelled
+texts; a text's score is a logistic function of the evidence of its three strongest words, of how many
+places hold strong ones, and of its length.
+
+Scale: two passes over the texts without any shuffle of them, one to count trigrams (an aggregate of
+the size of the alphabet) and one to score. Labels are learned from at most about ``max_rows`` labelled
+rows chosen by hash (where there are more, toxic ones are kept up to a half of it), joined as a broadcast of that
+bounded size.
+
+Cases: null and empty texts have no evidence and get the score of that; null labels teach nothing, of
+several labels of a document the toxic one counts; without a toxic and a harmless text to learn from
+the score is the share of toxic labels (0 if none); very long texts are read whole; ties between
+readings go to the first in order of letters; repeated rows are kept, an empty table gives an empty
+result; columns of the input named score and restored are replaced.
 """
 
 from __future__ import annotations
@@ -37,15 +44,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pairweave.llm.common import Vocabulary, bytes_of, materialize, table
-from pairweave.llm.langid import held_out
+from pairweave.llm.common import Vocabulary, bytes_of, materialize, slices, table
+from pairweave.llm.langid import _LETTERS, held_out, sampled
 
 #: Letters that digits and signs may stand for.
 LOOKS_LIKE = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "<": "c", "€": "e", "£": "l", "¡": "i"}
+#: Latin letters that letters of other scripts may stand for, in words that mix scripts: Cyrillic, Greek.
+FOREIGN = dict(zip("аеорсхукмтвніѕј", "aeopcxykmtbhisj", strict=True)) | dict(zip("αοεικνρτυχ", "aoeikvptux", strict=True))
+#: Characters that can't be seen.
+INVISIBLE = "\u200b\u200c\u200d\u2060\ufeff\u00ad"
 MASKS, VOWELS = "*#%", "aeiou"
 SEPARATORS = ".-_~'`,:;/\\=^&"
 #: Costs (negative log probabilities) of what the channel did: look-alike, mask, dropped separator, repetition.
 COST_LOOK, COST_MASK, COST_DROP, COST_REPEAT = 1.0, 2.0, 0.3, 0.3
+#: What a letter of another script costs, and a letter written twice that should stand once.
+COST_FOREIGN, COST_TWICE = 0.3, 1.0
 #: What a space costs that is as expected, and one that isn't: between single characters it is dropped, else kept.
 COST_SPACE = (0.3, 1.0)
 #: What any letter costs at most as a word of its own.
@@ -55,7 +68,13 @@ SHORT = 3
 _SIGN_RUN = re.compile(r"([^\w\s])\1{2,}")
 _DISGUISED = re.compile(r"([^\W\d_])\1\1|[\d@$!|+(<€£¡*#%]|(?:^|[._\-~*])\w[._\-~*]+\w(?:[._\-~*]|$)")
 _LETTER = re.compile(r"[^\W\d_]")
+_ODD = re.compile(f"[{INVISIBLE}{''.join(FOREIGN)}]")
+_UNSEEN = re.compile(f"[{INVISIBLE}]")
+_TWICE = re.compile(r"([^\W\d_])\1")
+_LATIN = re.compile(r"[a-z]")
 PREFIXES = range(4, 9)
+#: How much likelier a disguised word is one that tells than its share of the words written in letters.
+DISGUISED_MORE = 20
 
 
 @dataclass
@@ -97,30 +116,24 @@ def lattice(word: str) -> list[list[tuple[str, float]]]:
             out.append([(v, COST_MASK) for v in VOWELS] + [("", COST_MASK)])
         elif c in SEPARATORS or c.isspace():
             out.append([("", COST_DROP * min(n, 3))])
+        elif c in INVISIBLE:
+            out.append([("", 0.0)])
+        elif plain := FOREIGN.get(c):
+            out.append([(plain * k, COST_FOREIGN * k + COST_REPEAT * (n - k)) for k in sorted({1, min(n, 2)})])
         elif looks := LOOKS_LIKE.get(c):
-            out.append([(v * k, COST_LOOK * k + COST_REPEAT * (n - k)) for v in looks for k in {1, min(n, 2)}] + [("", 2 * COST_LOOK)])
+            out.append([(v * k, COST_LOOK * k + COST_REPEAT * (n - k)) for v in looks for k in sorted({1, min(n, 2)})] + [("", 2 * COST_LOOK)])
         elif n > 2:
             out.append([(c, COST_REPEAT * (n - 1)), (c + c, COST_REPEAT * (n - 2))])
+        elif n == 2 and c.isalpha():
+            out.append([(c + c, 0.0), (c, COST_TWICE)])
         else:
             out.append([(c * n, 0.0)])
     return out
 
 
 def decode(word: str, model: CharModel) -> str:
-    """The likeliest plain word, by Viterbi over the last two letters."""
-    best: dict[str, tuple[float, str]] = {"  ": (0.0, "")}
-    for edges in [*lattice(word), [(" ", 0.0)]]:
-        after: dict[str, tuple[float, str]] = {}
-        for state, (spent, path) in best.items():
-            for text, charge in edges:
-                cost, last = spent + charge, state
-                for c in text:
-                    cost += model.cost(last, c)
-                    last = last[1] + c
-                if last not in after or (cost, path + text) < after[last]:
-                    after[last] = (cost, path + text)
-        best = after
-    return min(best.values())[1].strip()
+    """The likeliest plain word."""
+    return respace([word], model)[0][1]
 
 
 def respace(pieces: list[str], model: CharModel) -> list[tuple[int, str]]:
@@ -168,6 +181,10 @@ def respace(pieces: list[str], model: CharModel) -> list[tuple[int, str]]:
 
 
 def disguised(word: str) -> bool:
+    if word.isascii():
+        return _DISGUISED.search(word) is not None and _LETTER.search(word) is not None
+    if _ODD.search(word) and (_UNSEEN.search(word) or _LATIN.search(word)):
+        return True
     return _DISGUISED.search(word) is not None and _LETTER.search(word) is not None
 
 
@@ -228,14 +245,15 @@ class Model:
         return [(w, p) for n, w in respace(pieces, self.chars) if n > 1 and (p := self.word(w))]
 
     def tokens(self, tokens: list[bytes]) -> tuple[list[str], np.ndarray]:
-        """Trimmed tokens, and the evidence of each token as it stands or as restored."""
+        """Trimmed tokens, and the evidence of each token as restored."""
         words = [trim(t.decode("utf-8", "replace")) for t in tokens]
         found = np.zeros(len(words))
         for i, w in enumerate(words):
-            p = self.word(w)
-            if not w.isalpha() and disguised(w) or w.isalpha() and _DISGUISED.search(w):
-                p = max(p, self.word(decode(w, self.chars)))
-            found[i] = p
+            if disguised(w):
+                w = decode(w, self.chars)
+            elif _TWICE.search(w) and not self.word(w) and _TWICE.sub(r"\1", w)[:4] in self.heads:
+                w = decode(w, self.chars)
+            found[i] = self.word(w)
         return words, found
 
     def signals(self, texts: list[bytes | None]) -> np.ndarray:
@@ -277,12 +295,12 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(signals @ self.weights, -30, 30)))
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30) -> np.ndarray:
+def _logistic(x: np.ndarray, y: np.ndarray, each: np.ndarray, ridge: float = 1.0, rounds: int = 30) -> np.ndarray:
     w = np.zeros(x.shape[1])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        hessian = x.T @ (x * (p * (1 - p))[:, None]) + ridge * np.eye(len(w))
-        w = w - np.linalg.solve(hessian, x.T @ (p - y) + ridge * w)
+        hessian = x.T @ (x * (each * p * (1 - p))[:, None]) + ridge * np.eye(len(w))
+        w = w - np.linalg.solve(hessian, x.T @ (each * (p - y)) + ridge * w)
     return w
 
 
@@ -312,30 +330,70 @@ def _count(docs: DataFrame, only: set[str] | None, model: CharModel | None) -> D
     return docs.mapInArrow(run, "toxic int, feature string, n long").groupBy("toxic", "feature").agg(F.sum("n").alias("n"))
 
 
+def learn_letters(docs: DataFrame) -> CharModel:
+    """Trigrams of the Latin words (two letters or more) of all ``docs`` (text); only counts per trigram return."""
+    out = pa.schema([("gram", pa.int64()), ("n", pa.int64())])
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for piece in slices(part, 5000, 8 << 20):
+                words = Counter(itertools.chain.from_iterable(t.translate(_LETTERS).split() for t in bytes_of(piece.column("text")) if t))
+                kept = [(w.decode("utf-8", "replace"), n) for w, n in words.items() if len(w) > 1]
+                kept = [(w, n) for w, n in kept if w.isascii() or (w.isalpha() and max(w) < "\u0250")]
+                if not kept:
+                    continue
+                codes = np.frombuffer("".join(f"  {w} " for w, _ in kept).encode("utf-32-le"), np.uint32).astype(np.int64)
+                sizes = np.array([len(w) for w, _ in kept])
+                starts = np.cumsum(sizes + 3) - sizes - 3
+                at = np.arange(int((sizes + 1).sum())) + np.repeat(starts - np.cumsum(sizes + 1) + sizes + 1, sizes + 1)
+                grams, which = np.unique(codes[at] << 42 | codes[at + 1] << 21 | codes[at + 2], return_inverse=True)
+                n = np.bincount(which, np.repeat([n for _, n in kept], sizes + 1)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(grams), pa.array(n)], schema=out)
+
+    summed = docs.select("text").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).orderBy("gram").toArrow()
+    model = CharModel()
+    for gram, n in zip(summed["gram"].to_pylist(), summed["n"].to_pylist(), strict=True):
+        text = "".join(chr(gram >> k & (1 << 21) - 1) for k in (42, 21, 0))
+        model.counts[text] += n
+        model.context[text[:2]] += n
+    return model
+
+
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = 12000) -> Model:
-    """Learn from labelled rows: docs (doc_id, text), labels (doc_id, toxic 0 or 1)."""
+    """Learn letters from all ``docs`` (doc_id, text), the rest from labelled ones: labels (doc_id, toxic 0 or 1)."""
     labels = labels.filter("toxic IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    rows = labels.count()
-    if rows > max_rows:
-        labels = labels.filter(F.abs(F.xxhash64("doc_id")) % 1_000_003 < int(1_000_003 * max_rows / rows))
+    rows = {r["toxic"]: r["count"] for r in labels.groupBy("toxic").count().collect()}
+    of_toxic, of_harmless = 1.0, 1.0
+    if sum(rows.values()) > max_rows:
+        of_toxic = min(1.0, max_rows / 2 / max(1, rows.get(1, 0)))
+        of_harmless = min(1.0, max(max_rows / 2, max_rows - rows.get(1, 0)) / max(1, rows.get(0, 0)))
+        share = F.when(F.col("toxic") == 1, of_toxic).otherwise(of_harmless)
+        labels = labels.filter((share >= 1) | sampled("doc_id", share))
+    each = of_toxic / of_harmless  # harmless texts that one in the sample stands for, where a toxic one stands for itself
     labelled = materialize(docs.filter("text IS NOT NULL").select("doc_id", "text").join(F.broadcast(labels), "doc_id"))
     texts = {r["toxic"]: r["count"] for r in labelled.groupBy("toxic").count().collect()}
     toxic, harmless = texts.get(1, 0), texts.get(0, 0)
-    share = toxic / max(1, toxic + harmless)
-    chars = CharModel()
+    share = toxic / max(1, toxic + harmless * each)
     if not toxic or not harmless:
-        return Model(chars, {}, np.zeros(0), share)
+        return Model(CharModel(), {}, np.zeros(0), share)
+    chars = learn_letters(docs)
     least = max(2, toxic // 400)
-    common = {r["feature"]: r["n"] for r in _count(labelled.filter("toxic = 1"), None, None).filter(F.col("n") >= least).toLocalIterator()}
-    against = {r["feature"]: r["n"] for r in _count(labelled.filter("toxic = 0"), set(common), None).toLocalIterator()}
-    evidence = {}
-    for f, n in common.items():
-        low = _lower_bound(n, n + against.get(f, 0))
-        if low > min(0.9, 2.5 * share) and low > 0.3:
-            evidence[f] = low
-    for f, n in common.items():  # the letters of words: of all, and of those that tell most once more
+
+    def counted(model: CharModel | None) -> tuple[dict[str, int], dict[str, float]]:
+        """Features of at least ``least`` toxic texts, and in how many toxic and harmless texts they are."""
+        common = {r["feature"]: r["n"] for r in _count(labelled.filter("toxic = 1"), None, model).filter(F.col("n") >= least).toLocalIterator()}
+        return common, {r["feature"]: r["n"] * each for r in _count(labelled.filter("toxic = 0"), set(common), model).toLocalIterator()}
+
+    def strength(n: int, against: float) -> float:
+        low = _lower_bound(n, n + against)
+        return low if low > min(0.9, 2.5 * share) and low > 0.3 else 0.0
+
+    common, against = counted(None)
+    for f, n in sorted(common.items()):  # known words are those written in letters; a disguise goes for words that tell
         if f.endswith(" ") and f[:-1].isalpha():
-            chars.add(f[:-1], n + 20 * n * (f in evidence))
+            chars.words[f[:-1]] = n + against.get(f, 0) + DISGUISED_MORE * n * (strength(n, against.get(f, 0)) > 0)
+    common, against = counted(chars)
+    evidence = {f: p for f, n in sorted(common.items()) if (p := strength(n, against.get(f, 0)))}
     model = Model(chars, evidence, np.zeros(0), share)
     shipped = docs.sparkSession.sparkContext.broadcast(model)
     out = pa.schema([("x", pa.list_(pa.float64())), ("toxic", pa.int32())])
@@ -347,7 +405,8 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 12000) -> Model:
 
     seen = labelled.mapInArrow(run, "x array<double>, toxic int").toPandas()  # at most about max_rows rows
     order = np.lexsort((seen["toxic"], *np.array(seen["x"].tolist()).T))
-    model.weights = _logistic(np.array(seen["x"].tolist())[order], seen["toxic"].to_numpy(float)[order])
+    y = seen["toxic"].to_numpy(float)[order]
+    model.weights = _logistic(np.array(seen["x"].tolist())[order], y, np.where(y > 0, 1.0, each))
     return model
 
 
@@ -362,8 +421,7 @@ def score_toxicity(docs: DataFrame, model: Model, with_restored: bool = False) -
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shipped.value
         for part in parts:
-            for first in range(0, part.num_rows, 5000):
-                piece = part.slice(first, 5000)
+            for piece in slices(part, 5000, 8 << 20):
                 texts = bytes_of(piece.column("text"))
                 columns = [piece.column(c) for c in own] + [pa.array(m.score(m.signals(texts)))]
                 if with_restored:
