@@ -9,7 +9,7 @@ stands there. Over a run of short pieces (up to three characters) the lattice al
 were put in and which part words, each at a cost; every word restored from several pieces is scored.
 A word whose lattice has one path (letters of one script, none three times in a row) is its own
 restoration, so that only disguised words are decoded, each distinct one of a batch once; a letter
-written twice is undone if that makes the beginning of a word with evidence.
+written twice is undone if that makes a word with evidence.
 
 The trigrams are counted over the Latin words of all texts to learn from. A word's evidence is the
 chance of toxicity of texts with that restored word or one of its prefixes, learned from labelled
@@ -136,11 +136,21 @@ def decode(word: str, model: CharModel) -> str:
     return respace([word], model)[0][1]
 
 
+def _again(pieces: list[str]) -> list[int]:
+    """How many equal pieces are in front of each, in rows of three or more."""
+    return [k for _, run in itertools.groupby(pieces) for n in [len(list(run))] for k in (range(n) if n > 2 else [0] * n)]
+
+
+def _edges(piece: str, again: int) -> list[list[tuple[str, float]]]:
+    """The lattice of a piece of a run; a letter set apart that repeats the one before may stand for nothing."""
+    out = lattice(piece)
+    return [[*edges, ("", COST_REPEAT)] for edges in out] if again and len(piece) == 1 else out
+
+
 def respace(pieces: list[str], model: CharModel) -> list[tuple[int, str]]:
     """The likeliest words of a run of pieces, each with the number of pieces that it is made of; by Viterbi
     over the last two letters and, as long as it begins a known word, all that there is of the word."""
-    known, cost = model.beginnings, functools.cache(model.cost)
-    again = [k for _, run in itertools.groupby(pieces) for n in [len(list(run))] for k in (range(n) if n > 2 else [0] * n)]
+    known, cost, again = model.beginnings, functools.cache(model.cost), _again(pieces)
 
     def put(states: dict, key: tuple, value: tuple) -> None:
         if key not in states or value[0] < states[key][0]:
@@ -160,10 +170,10 @@ def respace(pieces: list[str], model: CharModel) -> list[tuple[int, str]]:
                 end = ended(last, word, spent, bare) + keep
                 put(after, ("  ", ""), (end, end, (path, " ")))
             best = after
-        for edges in lattice(piece):
+        for edges in _edges(piece, again[i]):
             after = {}
             for (last, word), (spent, bare, path) in best.items():
-                for text, charge in [*edges, ("", COST_REPEAT)] if again[i] and len(piece) == 1 else edges:
+                for text, charge in edges:
                     total, end = spent + charge, last
                     for c in text:
                         total += cost(end, c)
@@ -225,6 +235,8 @@ class Model:
     share: float
 
     def word(self, word: str) -> float:
+        if word[:4] not in self.heads:
+            return 0.0
         return max((self.evidence.get(f, 0.0) for f in features(word)), default=0.0)
 
     @functools.cached_property
@@ -232,16 +244,39 @@ class Model:
         """What a word with evidence begins with: four letters, or all of a shorter word."""
         return {f.strip()[:4] for f in self.evidence}
 
+    @functools.cached_property
+    def stems(self) -> set[str]:
+        """What the features with evidence begin with."""
+        return {f[:k] for f in self.evidence for k in range(len(f))}
+
+    def may_tell(self, pieces: list[str]) -> bool:
+        """Whether any reading of a run of pieces has a word with evidence, from the beginning of a piece on."""
+        edges, known, stems = [_edges(p, again) for p, again in zip(pieces, _again(pieces), strict=True)], self.evidence, self.stems
+        for i in range(len(pieces)):
+            states = {""}
+            for piece in edges[i:]:
+                for choices in piece:
+                    after = set()
+                    for state in states:
+                        for text, _ in choices:
+                            read = state + text
+                            if read in known or len(text) > 1 and read[:-1] in known:
+                                return True
+                            if read in stems:
+                                after.add(read)
+                    states = after
+                    if not states:
+                        break
+                if not states:
+                    break
+                if any(state + " " in known for state in states):
+                    return True
+        return False
+
     def restored(self, pieces: list[str]) -> list[tuple[str, float]]:
-        """Words with evidence that pieces of a run make together. Runs of plain letters that hold none of these
-        words' beginnings at the beginning of a piece aren't decoded."""
-        joined = "".join(pieces)
-        if not _LETTER.search(joined):
+        """Words with evidence that pieces of a run make together. Runs that can't have any aren't decoded."""
+        if not any(map(_LETTER.search, pieces)) or not self.may_tell(pieces):
             return []
-        if joined.isalpha() and not _DISGUISED.search(joined):
-            starts = itertools.accumulate(map(len, pieces[:-1]), initial=0)
-            if not any(joined[i : i + k] in self.heads for i in starts for k in range(1, 5)):
-                return []
         return [(w, p) for n, w in respace(pieces, self.chars) if n > 1 and (p := self.word(w))]
 
     def tokens(self, tokens: list[bytes]) -> tuple[list[str], np.ndarray]:
@@ -250,8 +285,8 @@ class Model:
         found = np.zeros(len(words))
         for i, w in enumerate(words):
             if disguised(w):
-                w = decode(w, self.chars)
-            elif _TWICE.search(w) and not self.word(w) and _TWICE.sub(r"\1", w)[:4] in self.heads:
+                w = decode(w, self.chars) if self.may_tell([w]) else ""
+            elif _TWICE.search(w) and _TWICE.sub(r"\1", w) + " " in self.evidence:
                 w = decode(w, self.chars)
             found[i] = self.word(w)
         return words, found

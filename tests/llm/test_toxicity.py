@@ -83,7 +83,7 @@ def brute_signals(text, model):
     doubled = lambda w: "".join(c for c, _ in itertools.groupby(w))
     found, places = {}, 0
     for w in words:
-        p = model.word(decode(w, model.chars) if disguised(w) or (doubled(w) != w and not model.word(w) and doubled(w)[:4] in model.heads) else w)
+        p = model.word(decode(w, model.chars) if disguised(w) or (doubled(w) != w and doubled(w) + " " in model.evidence) else w)
         if p:
             found[w] = max(p, found.get(w, 0))
         places += p > 0.6
