@@ -22,10 +22,12 @@ share, in steps down to single windows, which are equal as wholes: no group grow
 
 Scale: shuffled are the anchors (about 2 / (length - gram) rows a byte), the text once to fetch the
 candidates' bytes, and once to remove spans. Counts are combined before shuffles, hot keys in joins
-are split by adaptive execution, and every step is written to shared space.
+are salted or split by adaptive execution, and every step is written to shared space.
 
-Cases: null text is empty; texts shorter than ``length`` keep all; repeated rows repeat each other's
-bytes; null and repeated identifiers are kept apart by row keys from identifier and text.
+Cases: null text is empty; texts shorter than ``length`` keep all; very long texts are read in pieces
+that overlap, so that no window is lost; equal hashes of grams go to the leftmost; repeated rows
+repeat each other's bytes; null and repeated identifiers are kept apart by row keys from identifier
+and text; an empty table gives an empty result; other columns are not used, whatever their names.
 """
 
 from __future__ import annotations
@@ -41,6 +43,8 @@ from pyspark.sql import functions as F
 from pairweave.llm.common import bytes_of, materialize, mix64, release, table
 
 _BITS = 20
+#: Parts of a key in a join.
+_SALTS = 8
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0x5851F42D4C957F2D
 _POWERS: list[np.ndarray] = []
@@ -297,7 +301,9 @@ def _settle(strings: DataFrame) -> tuple[DataFrame, DataFrame]:
     kinds = materialize(strings.groupBy("key", "d").agg(F.sum("n").alias("n"), F.min(F.struct("h", "g", "lo", "m", "off")).alias("r")))
     equal = strings.join(kinds.filter("n > 1").select("key", "d"), ["key", "d"]).select("h", "g", "lo", "m")
     several = kinds.groupBy("key").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
-    return equal, kinds.join(several, "key").select("key", "d", "r.*", "kinds")
+    salted = several.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))  # a key's kinds go to several tasks
+    dealt = kinds.withColumn("salt", F.pmod(F.xxhash64("d"), F.lit(_SALTS)).cast("int"))
+    return equal, dealt.join(salted, ["key", "salt"]).select("key", "d", "r.*", "kinds")
 
 
 def repeated_spans(rows: DataFrame, length: int = 200, gram: int = 80, limit: int = 500) -> DataFrame:

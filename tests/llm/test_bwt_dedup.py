@@ -76,3 +76,15 @@ def test_columns_of_one_collection():
     strings, offs, counts = [b"abcdeXfgh", b"bcdeXfg", b"zzdeXqq"], [5, 4, 4], [4, 2, 2]
     found = repeated_windows(strings, offs, counts, 6)
     assert [f.tolist() for f in found] == [[False, True, True, False], [True, True], [False, False]]
+
+
+def test_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "q" * 30, "own", 5), (2, "w" * 10, "own", 5)], "doc_id long, text string, kept string, h int")
+    assert sorted((r["doc_id"], r["n_removed"]) for r in remove_repeats(docs, 20, 8).collect()) == [(1, 30), (2, 0)]
+
+
+def test_many_kinds_of_one_key(spark):
+    rng = random.Random(3)
+    core = "".join(rng.choice("abcdefgh") for _ in range(60))
+    texts = ["".join(rng.choice("klmnop") for _ in range(30)) + core + "".join(rng.choice("klmnop") for _ in range(30)) for _ in range(70)]
+    assert run(spark, texts, 40, 16, limit=9) == brute(texts, 40)
