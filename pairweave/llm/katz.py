@@ -14,12 +14,17 @@ tokens. Each chunk asks for its distinct words and then for its distinct pairs;
 shards of the tables by hash, packed as byte planes, and the answers come back in the order of the
 request. A context with more than a share of a shard (``the`` may hold a twentieth of all pairs) is
 dealt over several shards by the second word; its sums are put together from all of them. The
-number of shards grows with the input, the size of a shard doesn't. Both tables (words, pairs) are
+number of shards grows with the input, the size of a shard doesn't. Chunks times shards is the number
+of requests: it grows with the square of the tokens until a request holds one key, and from there (at
+some terabytes) with the tokens, so that for much larger corpora ``chunk_tokens`` and
+``shard_tokens`` should grow with the memory of an executor. Both tables (words, pairs) are
 written, partitioned by kind and shard; the driver receives counts of counts only.
 
 Words are told apart by 64-bit hashes. Cases: null text is empty and consists of its end token; a
 null identifier belongs to the training texts; with nothing to learn from, every token has
-probability one; repeated rows count as often as they come; an empty table gives an empty result.
+probability one; repeated rows count as often as they come; a very long text is part of one chunk,
+which it may make longer; words of one count share their discount (there are no other ties); an empty
+table gives an empty result; other columns are not used, whatever their names.
 """
 
 from __future__ import annotations

@@ -82,3 +82,11 @@ def test_tables_and_sums(spark):
 
 def test_empty(spark):
     assert katz_scores(spark.createDataFrame([], "doc_id long, text string, held boolean")).count() == 0
+
+
+def test_long_text_and_clashing_columns(spark):
+    texts = ["a b c " * 40_000, "a b d", "é " * 3, None]
+    docs = spark.createDataFrame([(i, t, i == 1, "own", "own") for i, t in enumerate(texts)], "doc_id long, text string, held boolean, score string, chunk string")
+    got = {r["doc_id"]: r for r in katz_scores(docs, chunk_tokens=1000).collect()}
+    model = Brute(texts, [False, True, False, False])
+    assert all(got[i]["n_tokens"] == len(own) and got[i]["score"] == pytest.approx(model.score(own), rel=1e-9) for i, own in enumerate(model.tokens))
