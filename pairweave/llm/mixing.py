@@ -76,7 +76,7 @@ def share_targets(sizes: DataFrame, epochs: int = 3, weights: tuple[int, ...] =
 def _timed(rows: DataFrame, offsets: DataFrame) -> DataFrame:
     """With _upto, the source's tokens up to a document's end, and the columns of ``offsets``."""
     upto = Window.partitionBy(*_KEY, "_bucket").orderBy("_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    held = rows.withColumn("_upto", F.sum("size").over(upto)).join(offsets, [*_KEY, "_bucket"])
+    held = rows.withColumn("_upto", F.sum("size").over(upto)).join(offsets.hint("merge"), [*_KEY, "_bucket"])  # both sides are dealt by these keys
     return held.withColumn("_upto", F.col("_upto") + F.col("_offset"))
 
 
