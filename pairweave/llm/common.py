@@ -70,7 +70,19 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+#: The bytes of an Arrow batch: Spark's default, and what is set in its place.
+_BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Smaller Arrow batches for this session, unless it has set a size: ten thousand texts take up to 64 MB at
+    several places of an executor at once."""
+    if spark.conf.get(_BATCH, "67108864b") == "67108864b":
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
