@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairweave.llm.common import set_aside, settle, table
+from pairweave.llm.common import bounded_batches, set_aside, settle, table
 from pairweave.llm.compaction import shard_corpus, sharded_rows
 from pairweave.llm.decontam import remove_contaminated
 from pairweave.llm.langid import held_out, identify, train
@@ -22,6 +22,7 @@ LEAST_LANGUAGE_SCORE = 0.35
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts in a language that can be told, or in several; texts without letters, or with words that could be in any, go."""
+    bounded_batches(spark)
     model = train(docs.filter(~held_out()))
     docs, own = set_aside(docs, ("lang_pred", "score", "confidence"))
     found = identify(docs, model, with_confidence=True)
@@ -30,6 +31,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One text, with the smallest identifier, of each group of near-duplicates (5 words, 0.8); one row per identifier."""
+    bounded_batches(spark)
     return drop_near_duplicates(docs)
 
 
