@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pairweave.llm.bpe import op11_byte_bpe
 from pairweave.llm.bwt_dedup import op9_repeated_bytes
 from pairweave.llm.compaction import OP8_SQL, op8_sharding
 from pairweave.llm.decontam import OP10_SQL, op10_decontaminate
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_sharding": op8_sharding,
     "op9_repeated_bytes": op9_repeated_bytes,
     "op10_decontaminate": op10_decontaminate,
+    "op11_byte_bpe": op11_byte_bpe,
 }
 
 ORACLES = {
