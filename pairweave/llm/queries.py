@@ -6,6 +6,7 @@ from pairweave.llm.bpe import op11_byte_bpe
 from pairweave.llm.bwt_dedup import op9_repeated_bytes
 from pairweave.llm.compaction import OP8_SQL, op8_sharding
 from pairweave.llm.decontam import OP10_SQL, op10_decontaminate
+from pairweave.llm.hard_negatives import OP12_SQL, op12_hard_negatives
 from pairweave.llm.katz import op5_katz_scores
 from pairweave.llm.langid import op4_language_id
 from pairweave.llm.mixing import OP3_SQL, op3_mix_sources
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_repeated_bytes": op9_repeated_bytes,
     "op10_decontaminate": op10_decontaminate,
     "op11_byte_bpe": op11_byte_bpe,
+    "op12_hard_negatives": op12_hard_negatives,
 }
 
 ORACLES = {
@@ -34,4 +36,5 @@ ORACLES = {
     "op6_near_duplicates": OP6_SQL,
     "op8_sharding": OP8_SQL,
     "op10_decontaminate": OP10_SQL,
+    "op12_hard_negatives": OP12_SQL,
 }
