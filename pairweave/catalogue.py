@@ -11,8 +11,9 @@ from pairweave.functions.special import adjust_bh, adjust_p, corr_p_value
 from pairweave.operators import clean, cluster, correlate, enrich, graph, pooling, report
 from pairweave.plans import fixtures as fx
 from pairweave.plans.fixtures import LINES_SQL, PARTS_SQL, RAW_SQL, SMALL_SQL, VECTORS_SQL
-from pairweave.plans.scratch import materialized
-from pairweave.sources.readers import read_raw_blocks
+from pairweave.plans.scratch import materialized, shared_folder
+from pairweave.sources.readers import read_raw_blocks, read_study_matrices
+from pairweave.sources.writers import refresh_pool_state
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -181,6 +182,14 @@ def pearson_gram(spark, d):
     return rounded(correlate.pearson(_prepared(spark, d), plan="gram"))
 
 
+@query("study_matrix_pairs", f"WITH {fx.MATRIX_SQL}{_ROWS.format(t='wide')}{_CORR} {_RESULT.format(m='pearson')}")
+def study_matrix_pairs(spark, d):
+    """CSV files with repeated names of columns and repeated sample ids, written and read again."""
+    folder = shared_folder(spark)
+    fx.matrix_files(spark, d, folder)
+    return rounded(correlate.pearson(materialized(read_study_matrices(spark, folder, ".txt", study="/study=([^/]+)/")), "gram"))
+
+
 _RANKS = """, rk AS (SELECT study_id, feature_1, feature_2,
   rank() OVER (PARTITION BY study_id, feature_1, feature_2 ORDER BY x) + (count(*) OVER (PARTITION BY study_id, feature_1, feature_2, x) - 1) / 2.0 AS x,
   rank() OVER (PARTITION BY study_id, feature_1, feature_2 ORDER BY y) + (count(*) OVER (PARTITION BY study_id, feature_1, feature_2, y) - 1) / 2.0 AS y FROM pr)"""
@@ -334,6 +343,18 @@ def pool_resume(spark, d):
     return rounded(pooling.pool_new(rows, existing, overwrite=False).select("feature_1", "feature_2", "n_studies", "z_fixed"))
 
 
+@query("pool_merge", f"WITH {_POOLED_LINES} SELECT feature_1, feature_2, n_studies, {_cols(_FIXED + _RANDOM)} FROM pooled")
+def pool_merge(spark, d):
+    """Three refreshes of a stored state: the first studies, one of them as of half of its samples; then that one whole; then the rest."""
+    whole = _prepared(spark, d)
+    with_p = lambda obs: pooling.eligible(correlate.pearson(obs, all_pairs=False).withColumn("p_value", corr_p_value(F.col("corr"), F.col("n"))))
+    path, study = shared_folder(spark), F.col("study_id")
+    refresh_pool_state(with_p(whole.filter((study < "ST1997") & ((study != "ST1996") | (F.col("sample_id").cast("int") % 2 == 0)))), path)
+    refresh_pool_state(with_p(whole.filter(study == "ST1996")), path)
+    refresh_pool_state(with_p(whole.filter(study >= "ST1997")), path)
+    return rounded(pooling.pool_from_state(spark.read.parquet(path), min_studies=4).select("feature_1", "feature_2", "n_studies", *_FIXED, *_RANDOM))
+
+
 @query("pool_limit", f"WITH {_POOLED_LINES} SELECT feature_1, feature_2, n_studies, {_cols(['z_fixed'])} FROM pooled ORDER BY 1, 2 LIMIT 10")
 def pool_limit(spark, d):
     return rounded(_pooled_lines(spark, d, limit=10).select("feature_1", "feature_2", "n_studies", "z_fixed"))

@@ -79,9 +79,21 @@ def merge_analyses(obs: DataFrame, samples: DataFrame | None = None, how: str =
     return obs.join(everywhere.join(analyses, ["study_id", "k"]).select("study_id", "sample_id"), ["study_id", "sample_id"], "left_semi")
 
 
+def row_key(obs: DataFrame) -> Column:
+    """What tells a study's rows apart: row_id where there is one (sample ids of a file may repeat), else sample_id."""
+    return F.coalesce("row_id", "sample_id") if "row_id" in obs.columns else F.col("sample_id")
+
+
 def average_duplicates(obs: DataFrame) -> DataFrame:
-    """One value per (study, sample, feature): the mean of those present."""
-    return obs.groupBy("study_id", "sample_id", "feature").agg(F.avg("value").alias("value"))
+    """One value per (study, row, feature): the mean of those present."""
+    keys = [c for c in ("study_id", "sample_id", "row_id", "feature") if c in obs.columns]
+    return obs.groupBy(*keys).agg(F.avg("value").alias("value"))
+
+
+def unique_cells(obs: DataFrame) -> DataFrame:
+    """study_id, row, feature, value: cells with a value, repeated ones of a row as their mean; dealt by (study_id, row)."""
+    cells = obs.filter(F.col("value").isNotNull()).select("study_id", row_key(obs).alias("row"), "feature", "value")
+    return cells.repartition("study_id", "row").groupBy("study_id", "row", "feature").agg(F.avg("value").alias("value"))
 
 
 def drop_low_variance(obs: DataFrame, min_unique: int | None = 3) -> DataFrame:
@@ -98,13 +110,14 @@ def normalize_pqn(obs: DataFrame) -> DataFrame:
     Each value as a share of its sample's sum; over the feature's median share; the sample's median
     of these quotients divides the sample's values. Unmapped features take part.
     """
-    sample = Window.partitionBy("study_id", "sample_id")
+    obs = obs.withColumn("_row", row_key(obs))
+    sample = Window.partitionBy("study_id", "_row")
     shares = obs.withColumn("_share", F.try_divide("value", F.sum("value").over(sample)))
     typical = shares.groupBy("study_id", "feature").agg(F.median("_share").alias("_typical"))
     quotients = shares.join(typical, ["study_id", "feature"]).withColumn("_quotient", F.try_divide("_share", "_typical"))
-    dilution = quotients.groupBy("study_id", "sample_id").agg(F.median("_quotient").alias("_dilution"))
-    out = obs.join(dilution, ["study_id", "sample_id"], "left")
-    return out.withColumn("value", F.try_divide("value", "_dilution")).drop("_dilution")
+    dilution = quotients.groupBy("study_id", "_row").agg(F.median("_quotient").alias("_dilution"))
+    out = obs.join(dilution, ["study_id", "_row"], "left")
+    return out.withColumn("value", F.try_divide("value", "_dilution")).drop("_dilution", "_row")
 
 
 def transform_values(obs: DataFrame, transform: str | None) -> DataFrame:

@@ -1,17 +1,18 @@
 """Correlation of all pairs of features within each study.
 
-obs: study_id, sample_id, feature, value (NULL missing; one row per cell). Every result has one row
-per unordered pair of the study's features, feature_1 < feature_2, with n co-observed samples; corr
-is NULL where it isn't defined.
+obs: study_id, sample_id, feature, value (NULL missing), and row_id where sample ids may repeat. Every
+result has one row per unordered pair of the study's features, feature_1 < feature_2, with n co-observed
+rows; corr is NULL where it isn't defined. Every plan tells rows apart by ``clean.row_key`` and takes
+the mean of repeated cells of a row first, so that all plans agree.
 
-The default plan joins a study's cells with themselves by sample and aggregates moments: the join
-needs one shuffle by (study, sample), and moments are combined before the second shuffle. With many
-features per study the joined rows (samples x features ** 2 / 2) dominate; ``gram`` then computes
-blocks of pairs as matrix products.
+The default plan joins a study's cells with themselves by row and aggregates moments: the join
+needs one shuffle by (study, row), and moments are combined before the second shuffle. With many
+features per study the joined rows (rows x features ** 2 / 2) dominate; ``gram`` then computes
+blocks of pairs as matrix products over slices of rows (``moments``).
 
 Spearman and Kendall work on blocks of pairs too: a task holds the cells of two blocks of features of
 a study, so a cell is sent once per block and not once per feature. Ranks are taken within a pair's
-complete samples, from one order per feature.
+complete rows, from one order per feature.
 """
 
 from __future__ import annotations
@@ -25,7 +26,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairweave.functions.special import corr_p_value, kendall_tau
-from pairweave.operators.clean import finite
+from pairweave.operators.clean import finite, unique_cells
+from pairweave.operators.moments import dealt_blocks, merge_moments, moments_r, partial_moments
 
 PAIR = ["study_id", "feature_1", "feature_2"]
 
@@ -38,11 +40,9 @@ def pair_grid(obs: DataFrame) -> DataFrame:
 
 
 def pair_rows(obs: DataFrame) -> DataFrame:
-    """Samples in which both features of a pair have values: study, pair, x, y."""
-    seen = obs.filter(F.col("value").isNotNull())
-    left = seen.select("study_id", "sample_id", F.col("feature").alias("feature_1"), F.col("value").alias("x"))
-    right = seen.select("study_id", "sample_id", F.col("feature").alias("feature_2"), F.col("value").alias("y"))
-    return left.join(right, ["study_id", "sample_id"]).filter("feature_1 < feature_2")
+    """Rows in which both features of a pair have values: study, pair, x, y."""
+    left, right = (unique_cells(obs).select("study_id", "row", F.col("feature").alias(f"feature_{k}"), F.col("value").alias(v)) for k, v in ((1, "x"), (2, "y")))
+    return left.join(right, ["study_id", "row"]).filter("feature_1 < feature_2")
 
 
 def pearson_r(x: str, y: str) -> Column:
@@ -61,8 +61,10 @@ def _moments(rows: DataFrame, x: str, y: str) -> DataFrame:
 
 
 def pearson(obs: DataFrame, plan: str = "join", all_pairs: bool = True) -> DataFrame:
-    """Pearson's r; ``plan``: "join" or "gram". Without ``all_pairs``, only pairs that share a sample."""
-    found = _gram(obs) if plan == "gram" else _moments(pair_rows(obs), "x", "y")
+    """Pearson's r; ``plan``: "join" or "gram". Without ``all_pairs``, only pairs that share a row."""
+    if plan not in ("join", "gram"):
+        raise ValueError(f"unknown plan {plan!r}")
+    found = merge_moments(partial_moments(obs)).select(*PAIR, moments_r().alias("corr"), "n") if plan == "gram" else _moments(pair_rows(obs), "x", "y")
     if all_pairs:
         return _on_grid(obs, found, "pearson")
     return found.select("feature_1", "feature_2", F.lit("pearson").alias("method"), "corr", F.col("n").cast("double").alias("n"), "study_id")
@@ -187,17 +189,12 @@ def _by_blocks(obs: DataFrame, kernel: Callable, names: tuple[str, ...], block:
     ``kernel(x, y, same)`` returns an array of features by features for each of ``names``, then n;
     ``same``: x and y are one block. Pairs without a common sample have no row.
     """
-    order = F.row_number().over(Window.partitionBy("study_id").orderBy("feature")) - 1
-    features = obs.select("study_id", "feature").distinct().withColumn("f", order.cast("int"))
-    last = features.groupBy("study_id").agg(F.floor(F.max("f") / F.lit(block)).cast("int").alias("last"))
-    cells = obs.filter(F.col("value").isNotNull()).join(features, ["study_id", "feature"]).join(last, "study_id").withColumn("b", F.floor(F.col("f") / F.lit(block)).cast("int"))
-    both = F.transform(F.sequence(F.lit(0), F.col("last")), lambda k: F.struct(F.least("b", k).alias("i"), F.greatest("b", k).alias("j")))
-    dealt = cells.withColumn("t", F.explode(both)).select("study_id", "t.i", "t.j", "sample_id", "feature", "f", "value")
+    dealt = dealt_blocks(obs, block)
     out = pa.schema([("study_id", pa.string()), ("feature_1", pa.string()), ("feature_2", pa.string())] + [(c, pa.float64()) for c in names] + [("n", pa.int64())])
 
     def run(group: pa.Table) -> pa.Table:
         i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
-        samples = group.column("sample_id").combine_chunks().dictionary_encode()
+        samples = group.column("row").combine_chunks().dictionary_encode()
         row, column = samples.indices.to_numpy(), group.column("f").to_numpy()
         wide = np.full((len(samples.dictionary), 2 * block), np.nan)
         wide[row, column % block + block * (column // block == j) * (i != j)] = group.column("value").to_numpy()
@@ -214,20 +211,3 @@ def _by_blocks(obs: DataFrame, kernel: Callable, names: tuple[str, ...], block:
 
     ddl = "study_id string, feature_1 string, feature_2 string, " + ", ".join(f"{c} double" for c in names) + ", n long"
     return dealt.groupBy("study_id", "i", "j").applyInArrow(run, ddl)
-
-
-def _gram(obs: DataFrame, block: int = 256) -> DataFrame:
-    """Moments of pairs from masked matrix products."""
-
-    def kernel(x: np.ndarray, y: np.ndarray, same: bool) -> tuple[np.ndarray, ...]:
-        mx, my = ~np.isnan(x), ~np.isnan(y)
-        x, y = (np.nan_to_num(v - np.nansum(v, 0) / np.maximum(1, m.sum(0))) for v, m in ((x, mx), (y, my)))
-        n = mx.T.astype(float) @ my
-        sx, sy, sxy = x.T @ my, mx.T @ y, x.T @ y
-        vx, vy = (x * x).T @ my, mx.T @ (y * y)
-        with np.errstate(all="ignore"):
-            spread = np.sqrt(np.maximum(0, vx - sx * sx / n) * np.maximum(0, vy - sy * sy / n))
-            flat = (vx - sx * sx / n <= 1e-13 * vx) | (vy - sy * sy / n <= 1e-13 * vy) | (n < 2)
-            return np.where(flat, np.nan, np.clip((sxy - sx * sy / n) / spread, -1, 1)), n
-
-    return _by_blocks(obs, kernel, ("corr",), block)

@@ -38,16 +38,29 @@ def pool(corr: DataFrame, by: list[str] | None = None, min_studies_random: int =
     ``min_studies_random``, else its columns are NULL.
     """
     by = by or PAIR
+    rows = _fisher(corr)
+    return _effects(rows.groupBy(*by).agg(F.collect_list(_weighed()).alias("s")), by, min_studies_random, min_studies)
+
+
+def _fisher(corr: DataFrame) -> DataFrame:
+    """Rows that can be pooled, with their Fisher z in _z."""
     if not {"corr", "z"} & set(corr.columns) or "n" not in corr.columns:
         raise ValueError("pooling needs n and one of corr and z")
     r = F.lit(None)
     if "corr" in corr.columns:  # greatest and least skip nulls
         r = F.when(F.col("corr").isNotNull(), F.greatest(F.lit(-NEAR_ONE), F.least(F.lit(NEAR_ONE), F.col("corr"))))
     z = F.coalesce(F.col("z"), F.atanh(r)) if "z" in corr.columns else F.atanh(r)
-    rows = corr.withColumn("_z", z).filter(F.col("_z").isNotNull() & (F.col("n") > 3))
+    return corr.withColumn("_z", z).filter(F.col("_z").isNotNull() & (F.col("n") > 3))
+
+
+def _weighed() -> Column:
+    return F.struct((F.col("n") - 3.0).alias("w"), F.col("_z").alias("z"))
+
+
+def _effects(held: DataFrame, by: list[str], min_studies_random: int, min_studies: int) -> DataFrame:
+    """Pooled columns from ``s``, the weights and z of a pair's studies."""
     total = lambda array, f: F.aggregate(array, F.lit(0.0), lambda a, x: a + f(x))
-    # the order of a sum must not depend on the shuffle
-    held = rows.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct((F.col("n") - 3.0).alias("w"), F.col("_z").alias("z")))).alias("s"))
+    held = held.withColumn("s", F.array_sort("s"))  # the order of a sum must not depend on the shuffle
     held = held.withColumn("n_studies", F.size("s").cast("long")).filter(F.col("n_studies") >= min_studies)
     held = held.withColumn("sw", total("s", lambda x: x.w)).withColumn("z_fixed", total("s", lambda x: x.w * x.z) / F.col("sw")).withColumn("se_fixed", 1 / F.sqrt("sw"))
     several = F.col("n_studies") >= 2
@@ -78,6 +91,37 @@ def pool_new(corr: DataFrame, existing: DataFrame | None, overwrite: bool = True
     return fresh if existing is None or overwrite else existing.unionByName(fresh, allowMissingColumns=True)
 
 
+def pool_state(corr: DataFrame, buckets: int = 64) -> DataFrame:
+    """What pooling needs of each pair: feature_1, feature_2, studies (study_id, w, z) and bucket.
+
+    States of disjoint studies add up (``merge_states``), so that a new study doesn't need the
+    correlations of the others. ``bucket`` is that of feature_1. Of rows of one pair and study the
+    greatest (w, z) counts.
+    """
+    rows = _fisher(corr).groupBy(*PAIR, "study_id").agg(F.max(_weighed()).alias("x"))
+    held = rows.groupBy(*PAIR).agg(F.array_sort(F.collect_list(F.struct("study_id", "x.w", "x.z"))).alias("studies"))
+    return held.withColumn("bucket", F.pmod(F.xxhash64("feature_1"), F.lit(buckets)).cast("int"))
+
+
+def merge_states(old: DataFrame, new: DataFrame, refreshed: DataFrame) -> DataFrame:
+    """``old`` without the studies of ``refreshed`` (study_id), and with those of ``new``; one shuffle by pair.
+
+    A pair that loses its last study stays with none, so that a table's partition can be replaced whole.
+    """
+    entry = old.select(*PAIR, "bucket", F.explode_outer("studies").alias("e")).select(*PAIR, "bucket", "e.*")
+    gone = refreshed.select("study_id").distinct().withColumn("gone", F.lit(True))
+    kept = entry.join(gone, "study_id", "left").withColumns({c: F.when(F.col("gone").isNull(), F.col(c)) for c in ("study_id", "w", "z")}).drop("gone")
+    added = new.select(*PAIR, "bucket", F.explode("studies").alias("e")).select(*PAIR, "bucket", "e.*")
+    studies = F.array_sort(F.collect_list(F.when(F.col("study_id").isNotNull(), F.struct("study_id", "w", "z"))))  # nulls aren't collected
+    return kept.unionByName(added).groupBy(*PAIR, "bucket").agg(studies.alias("studies")).select(*PAIR, "studies", "bucket")
+
+
+def pool_from_state(state: DataFrame, min_studies_random: int = 4, min_studies: int = 1) -> DataFrame:
+    """What ``pool`` gives for all the studies of a state."""
+    held = state.select(*PAIR, F.transform("studies", lambda e: F.struct(e.w.alias("w"), e.z.alias("z"))).alias("s"))
+    return _effects(held, PAIR, min_studies_random, max(1, min_studies))
+
+
 def pooled_distribution(pooled: DataFrame) -> DataFrame:
     """Location and scale of the pooled z: the random effect's if there is one."""
     return pooled.withColumn("loc", F.coalesce("z_random", "z_fixed")).withColumn("scale", F.coalesce("se_random", "se_fixed"))

@@ -40,6 +40,21 @@ def obs_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw.unionByName(extra)
 
 
+def matrix_files(spark: SparkSession, sf_dir: str, folder: str) -> None:
+    """The same as wide CSV files, study=.../part-*.csv: a line per supplier, whose ids are halved and so repeat, and
+    a column per brand, whose numbers are halved and so repeat too; lines without a value are cells that are empty."""
+    obs = obs_lines(spark, sf_dir)
+    brands = obs.groupBy().agg(F.array_sort(F.collect_set("feature")).alias("brands"))  # as many as there are brands
+    half = lambda c: F.floor(c.cast("int") / 2).cast("int").cast("string")
+    names = F.transform("brands", lambda b: F.concat(F.lit("RM"), F.lpad(half(F.substring(b, 3, 7)), 7, "0")))
+    heads = obs.select("study_id").distinct().crossJoin(brands).select("study_id", F.lit("").alias("k"), F.concat_ws(",", F.lit("sample"), names).alias("value"))
+    cells = obs.groupBy("study_id", "sample_id").agg(F.map_from_entries(F.collect_list(F.struct("feature", "value"))).alias("m")).crossJoin(brands)
+    values = F.transform("brands", lambda b: F.coalesce(F.try_element_at("m", b).cast("string"), F.lit("")))
+    rows = cells.select("study_id", F.col("sample_id").alias("k"), F.concat_ws(",", half(F.col("sample_id")), values).alias("value"))
+    every = heads.union(rows).withColumn("study", F.col("study_id")).repartition("study").sortWithinPartitions("study", "k")
+    every.select("study", "value").write.partitionBy("study").option("lineSep", "\n").text(folder)
+
+
 def obs_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Studies are eighths of the vectors, samples vectors, features positions: no cell is missing."""
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("i", "e"))
@@ -126,6 +141,13 @@ lines AS (SELECT 'ST' || year(l_shipdate) AS study_id, l_returnflag || l_linenum
   'RM' || lpad(regexp_extract(p_brand, '(\d+)', 1), 7, '0') AS feature, l_quantity FROM lineitem JOIN part ON l_partkey = p_partkey),
 obs AS (SELECT study_id, sample_id, feature, sum(l_quantity) AS value, count(*) AS k FROM lines GROUP BY ALL)"""
 
+MATRIX_SQL = (
+    LINES_SQL
+    + """, named AS (SELECT feature, 'RM' || lpad((substr(feature, 3)::INT // 2)::VARCHAR, 7, '0') AS base, row_number() OVER (PARTITION BY substr(feature, 3)::INT // 2 ORDER BY feature) AS nth
+  FROM (SELECT DISTINCT feature FROM obs)),
+wide AS (SELECT study_id, sample_id, base || CASE WHEN nth > 1 THEN '.' || (nth - 1) ELSE '' END AS feature, value FROM obs JOIN named USING (feature))"""
+)
+
 RAW_SQL = (
     LINES_SQL
     + ", raw0 AS (SELECT study_id, sample_id, feature, CASE WHEN k = 1 THEN ["

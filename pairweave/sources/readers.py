@@ -7,7 +7,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from pairweave.operators.clean import parse_cells
@@ -25,33 +25,108 @@ def read_study_list(spark: SparkSession, path: str) -> DataFrame:
     return table.select(F.col(f"`{table.columns[0]}`").alias("study_id")).filter("study_id IS NOT NULL")
 
 
-def read_study_matrices(spark: SparkSession, folder: str, suffix: str = "_combined.csv", parse: bool = True, below_limit: str = "zero") -> DataFrame:
+#: A complete quoted cell at the start of a cell; the rest of a quoted cell up to its closing quote.
+_QUOTED, _CLOSING = r'(?:^|(?<=,))"[^"]*+(?:""[^"]*+)*+"(?!")', r'^[^"]*+(?:""[^"]*+)*+"(?!")'
+
+
+def _states(before: WindowSpec, upto: WindowSpec, plain: Column, quoted: Column, entry: Column) -> Column:
+    """Whether what stands before each row leaves a quoted cell open.
+
+    Each row maps the state it meets to one it leaves (``plain`` if it meets none, ``quoted`` if it
+    meets an open cell): it sets it, keeps it or turns it round. The state is what the last row left
+    that sets it (or ``entry``), turned round as often as rows since then do.
+    """
+    turns = (plain & ~quoted).cast("int")
+    count = F.coalesce(F.sum(turns).over(before), F.lit(0))
+    last = F.last(F.when(plain == quoted, F.struct(plain.cast("int").alias("left"), F.sum(turns).over(upto).alias("turns"))), ignorenulls=True).over(before)
+    return F.when(last.isNotNull(), (last["left"] + count - last["turns"]) % 2 == 1).otherwise((entry.cast("int") + count) % 2 == 1)
+
+
+def _records(lines: DataFrame) -> DataFrame:
+    """path, block, line and value of records: lines, joined where a quoted cell holds line breaks.
+
+    Files are cut into splits at any line, also within a quoted cell. Lines of files in which no line
+    leaves a cell open are records as they are. In the others, each split's lines give the state at its
+    end for both states at its start; a window over the splits of a file (a row each) settles these,
+    and then the lines. Only lines of records of several lines are shuffled by record.
+    """
+    opens = lambda text: F.regexp_replace(text, _QUOTED, "").rlike('(^|,)"')
+    has = F.contains("value", F.lit('"'))
+    after = F.when(F.col("value").rlike(_CLOSING), opens(F.regexp_replace("value", _CLOSING, "x"))).otherwise(True)
+    lines = lines.withColumns({"plain": has & opens(F.col("value")), "quoted": ~has | after})
+    torn = lines.filter("plain").select("path").distinct()  # a row per file that has line breaks in cells
+    whole = lines.join(torn, "path", "left_anti").select("path", "block", "line", "value")
+    odd = lines.join(torn, "path", "left_semi")
+
+    in_split = Window.partitionBy("path", "block").orderBy("line")
+    split_rows = in_split.rowsBetween(Window.unboundedPreceding, -1), in_split.rowsBetween(Window.unboundedPreceding, 0)
+    state = lambda w, entry: _states(*w, F.col("plain"), F.col("quoted"), entry)
+    leave = lambda c: F.when(c, F.col("quoted")).otherwise(F.col("plain"))
+    tried = odd.withColumns({"e0": state(split_rows, F.lit(False)), "e1": state(split_rows, F.lit(True))})
+    ends = tried.groupBy("path", "block").agg(F.max_by(leave(F.col("e0")), "line").alias("plain"), F.max_by(leave(F.col("e1")), "line").alias("quoted"))
+    in_file = Window.partitionBy("path").orderBy("block")
+    file_rows = in_file.rowsBetween(Window.unboundedPreceding, -1), in_file.rowsBetween(Window.unboundedPreceding, 0)
+    entry = ends.select("path", "block", state(file_rows, F.lit(False)).alias("entry"))
+    told = tried.join(entry, ["path", "block"]).withColumn("inside", F.when(F.col("entry"), F.col("e1")).otherwise(F.col("e0")))
+    told = told.withColumns({"starts": (~F.col("inside")).cast("long"), "alone": ~F.col("inside") & ~F.col("plain")})
+    # records are numbered by the lines that start one: in the split, and in the splits before
+    starts = told.groupBy("path", "block").agg(F.sum("starts").alias("k")).select("path", "block", F.coalesce(F.sum("k").over(file_rows[0]), F.lit(0)).alias("first"))
+    numbered = told.withColumn("k", F.sum("starts").over(split_rows[1])).join(starts, ["path", "block"])
+    pieces = numbered.filter(~F.col("alone")).groupBy("path", (F.col("first") + F.col("k")).alias("record")).agg(F.array_sort(F.collect_list(F.struct("block", "line", "value"))).alias("p"))
+    joined = pieces.select("path", F.col("p")[0]["block"].alias("block"), F.col("p")[0]["line"].alias("line"), F.array_join(F.col("p.value"), "\n").alias("value"))
+    return whole.unionByName(told.filter("alone").select(*whole.columns)).unionByName(joined).filter("value != ''")
+
+
+def _distinct_names(cells: list[str]) -> list[str]:
+    """Names of columns after the first: one that is empty is "Unnamed: place", a repeated one gets .1, .2, ..."""
+    names, taken = [], set(cells[1:])
+    for place, name in enumerate(cells[1:], 1):
+        own, k = name or f"Unnamed: {place}", 0
+        while own in names or (k and own in taken):
+            k += 1
+            own = f"{name or f'Unnamed: {place}'}.{k}"
+        names.append(own)
+    return names
+
+
+def read_study_matrices(spark: SparkSession, folder: str, suffix: str = "_combined.csv", parse: bool = True, below_limit: str = "zero", study: str | None = None) -> DataFrame:
     """Wide CSV files, one per study (samples x features, the sample's id first), as long observations.
 
-    Files have different columns, so lines are split into cells (quotes are undone) and meet their
-    file's names, which are its first line: one plan, however many studies there are, and a large file
-    is read by many tasks. A cell must not contain a line break. The second of two equal names counts
-    as a feature of that name too; cells beyond the names are passed over, missing ones are NULL.
+    A study's id is its file's name without the suffix, or what the first group of the pattern ``study``
+    finds in the file's path.
+
+    Files have different columns, so records are split into cells (quotes are undone) and meet their
+    file's names, which are its first record: one plan, however many studies there are, and a large file
+    is read by many tasks, also where a quoted cell holds line breaks. Of equal names the second is
+    another feature with .1 after its name, and so on. Each record is a row of its own, row_id, also
+    where sample ids repeat. Cells beyond the names are passed over, missing ones are NULL.
     """
     lines = spark.read.option("pathGlobFilter", f"*{suffix}").text(folder)
-    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))  # in order within a file
-    lines = lines.select("value", F.col("_metadata.file_path").alias("path"), place.alias("place")).filter("value != ''")
-    out = pa.schema([("path", pa.string()), ("block", pa.int64()), ("line", pa.int64()), ("cells", pa.list_(pa.string()))])
+    lines = lines.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"), "value")  # in order within a split
+    records = _records(lines)
+    text = F.min_by("value", F.struct("block", "line")).alias("value"), F.min(F.struct("block", "line")).alias("place")
+    heads = records.filter("block = 0").groupBy("path").agg(*text)  # one row per study
+    out = pa.schema([("path", pa.string()), ("names", pa.list_(pa.string())), ("block", pa.int64()), ("line", pa.int64())])
 
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def split_head(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            cells = [next(csv.reader([line]), []) for line in part.column("value").to_pylist()]
+            names = [_distinct_names(next(csv.reader([x.removeprefix("\ufeff")]), [])) for x in part.column("value").to_pylist()]
             place = part.column("place")
-            yield pa.RecordBatch.from_arrays([part.column("path"), place.field("block"), place.field("line"), pa.array(cells, out.field("cells").type)], schema=out)
-
-    split = lines.mapInArrow(run, "path string, block long, line long, cells array<string>")
-    first = split.filter("block = 0").groupBy("path").agg(F.min(F.struct("block", "line", "cells")).alias("first"))  # one row per study
-    joined = split.join(first, "path").filter("line != first.line OR block != first.block")
-    study = F.regexp_replace(F.element_at(F.split("path", "/"), -1), F.lit(re.escape(suffix) + "$"), F.lit(""))
-    names = F.slice("first.cells", 2, 100_000_000)
-    pairs = F.transform(names, lambda name, k: F.struct(name.alias("feature"), F.get("cells", k + 1).alias("raw")))
-    long = joined.select(F.url_decode(F.replace(study, F.lit("+"), F.lit("%2B"))).alias("study_id"), F.col("cells")[0].alias("sample_id"), F.explode(pairs).alias("c"))
-    long = long.select("study_id", "sample_id", "c.feature", F.when(~F.col("c.raw").isin(MISSING), F.col("c.raw")).alias("raw"))
+            yield pa.RecordBatch.from_arrays([part.column("path"), pa.array(names, out.field("names").type), place.field("block"), place.field("line")], schema=out)
+
+    def split_rows(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            cells = [next(csv.reader([x]), []) for x in part.column("value").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(cells, pa.list_(pa.string()))], names=["path", "block", "line", "cells"])
+
+    heads = heads.mapInArrow(split_head, "path string, names array<string>, block long, line long").withColumnsRenamed({"block": "b0", "line": "l0"})
+    rows = records.select("path", "block", "line", "value").mapInArrow(split_rows, "path string, block long, line long, cells array<string>")
+    joined = rows.join(heads, "path").filter("line != l0 OR block != b0")
+    named = F.regexp_extract("path", study or f"([^/]*){re.escape(suffix)}$", 1)
+    pairs = F.transform("names", lambda name, k: F.struct(name.alias("feature"), F.get("cells", k + 1).alias("raw")))
+    row = F.concat_ws(":", F.lit("row"), F.hex(F.xxhash64("path")), "block", "line")
+    long = joined.select(F.url_decode(F.replace(named, F.lit("+"), F.lit("%2B"))).alias("study_id"), F.col("cells")[0].alias("sample_id"), row.alias("row_id"), F.explode(pairs).alias("c"))
+    long = long.select("study_id", "sample_id", "row_id", "c.feature", F.when(~F.col("c.raw").isin(MISSING), F.col("c.raw")).alias("raw"))
     return parse_cells(long, below_limit) if parse else long
 
 

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pairweave.operators.pooling import merge_states, pool_state
+from pairweave.plans.scratch import materialized
+
 
 def write_observations(obs: DataFrame, path: str, overwrite: bool = False) -> None:
     """Long observations as Parquet, a folder per study; studies that are there are kept unless ``overwrite``."""
@@ -28,8 +31,7 @@ def without_correlated(obs: DataFrame, path: str, method: str) -> DataFrame:
 
 def existing_keys(spark, path: str, keys: list[str]) -> DataFrame | None:
     """The partitions of a table that is there, from its folder names."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+    if not table_exists(spark, path):
         return None
     return spark.read.parquet(path).select(*(F.col(k).cast("string") for k in keys)).distinct()
 
@@ -39,6 +41,35 @@ def without_existing(df: DataFrame, path: str, keys: list[str]) -> DataFrame:
     return df if done is None else df.join(done, keys, "left_anti")
 
 
+def table_exists(spark, path: str) -> bool:
+    """Whether a folder is there, in any file system that Spark reaches."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+
+
+def refresh_pool_state(corr: DataFrame, path: str, buckets: int = 64) -> list[int]:
+    """Bring the stored state of pooling under ``path`` up to date with studies that are new or changed.
+
+    corr has all correlations of these studies. Only buckets that hold their pairs, now or before, are
+    read and replaced; their numbers are returned (there are at most ``buckets``). Studies replace what
+    the state has of them, so that a second call with the same rows changes nothing.
+    """
+    spark = corr.sparkSession
+    new = materialized(pool_state(corr, buckets))
+    touched = new.select("bucket")
+    old = None
+    if table_exists(spark, path):
+        old = spark.read.parquet(path)
+        seen = old.select("bucket", F.explode("studies.study_id").alias("study_id"))
+        touched = touched.union(seen.join(corr.select("study_id").distinct(), "study_id", "left_semi").select("bucket"))
+    numbers = sorted(r["bucket"] for r in touched.distinct().collect())
+    if old is not None:
+        new = merge_states(old.filter(F.col("bucket").isin(numbers)), new, corr.select("study_id"))
+    merged = materialized(new)  # whole before the first bucket is replaced
+    merged.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy("bucket").parquet(path)
+    return numbers
+
+
 def write_sorted(corr: DataFrame, path: str, partitions: int | None = None) -> None:
     """Combined correlations, zstd, sorted by pair: row groups then hold ranges of pairs."""
     by = ["feature_1", "feature_2", "study_id"]

@@ -129,3 +129,80 @@ def test_responses(spark):
     assert sorted(map(tuple, read_name_maps(maps).collect())) == [("1", "x", "X"), ("2", "x", "B"), ("2", "y", "")]
     found, none = read_matches(spark.createDataFrame([("a", 200, '{"refmet_id":"RM1"}'), ("b", 404, "gone"), ("c", 200, '{"refmet_id":"-"}'), ("d", 200, "[]"), ("e", 500, ""), ("f", None, '{"refmet_id":""}')], "ref_name string, status int, body string"))
     assert [tuple(r) for r in found.collect()] == [("a", "RM1")] and sorted(r[0] for r in none.collect()) == ["b", "c", "d", "f"]
+
+
+def messy_study(tmp_path):
+    """Five rows of three samples, and two columns of one name."""
+    (tmp_path / "ST1_combined.csv").write_text("sample_id,A,B,A\ns1,1,2,5\ns1,2,1,7\ns2,4,3,1\ns3,3,5,2\ns3,5,4,9\n")
+    return {"A": [1, 2, 4, 3, 5], "A.1": [5, 7, 1, 2, 9], "B": [2, 1, 3, 5, 4]}
+
+
+@pytest.mark.parametrize("method", ["join", "gram", "spearman", "kendall"])
+def test_repeated_columns_and_samples(spark, tmp_path, method):
+    import itertools
+
+    import numpy as np
+
+    from pairweave.operators import correlate
+    from pairweave.sources.readers import read_study_matrices
+
+    table = messy_study(tmp_path)
+    read = read_study_matrices(spark, str(tmp_path))
+    found = {"spearman": correlate.spearman, "kendall": correlate.kendall}.get(method, lambda o: correlate.pearson(o, method))(read)
+    got = {(r["feature_1"], r["feature_2"]): (r["n"], r["corr"]) for r in found.collect()}
+    assert set(got) == set(itertools.combinations(sorted(table), 2))
+    rank = lambda v: np.argsort(np.argsort(v))
+    for (a, b), (n, r) in got.items():
+        x, y = np.array(table[a], float), np.array(table[b], float)
+        if method == "kendall":
+            want = np.mean([np.sign(x[i] - x[j]) * np.sign(y[i] - y[j]) for i, j in itertools.combinations(range(5), 2)])
+        else:
+            want = np.corrcoef(rank(x), rank(y))[0, 1] if method == "spearman" else np.corrcoef(x, y)[0, 1]
+        assert n == 5 and r == pytest.approx(want)
+
+
+def test_repeated_cells_are_averaged_in_every_plan(spark):
+    from pairweave.operators import correlate
+
+    once = [("s", str(i), f, float(v)) for i, (x, y) in enumerate([(1, 2), (2, 1), (4, 3), (3, 5), (5, 4)]) for f, v in (("x", x), ("y", y))]
+    twice = [(s, i, f, v + d) for s, i, f, v in once if i == "2" for d in (-0.5, 0.5)] + [r for r in once if r[1] != "2"]
+    want = correlate.pearson(obs(spark, *once)).first()
+    for found in (correlate.pearson(obs(spark, *twice)), correlate.pearson(obs(spark, *twice), "gram"), correlate.spearman(obs(spark, *twice)), correlate.kendall(obs(spark, *twice))):
+        assert found.first()["n"] == 5.0
+    assert correlate.pearson(obs(spark, *twice)).first()["corr"] == pytest.approx(want["corr"])
+    assert correlate.pearson(obs(spark, *twice), "gram").first()["corr"] == pytest.approx(want["corr"])
+
+
+def test_names_of_columns():
+    from pairweave.sources.readers import _distinct_names
+
+    assert _distinct_names(["id", "A", "B", "A", "A"]) == ["A", "B", "A.1", "A.2"]
+    assert _distinct_names(["id", "A", "A.1", "A"]) == ["A", "A.1", "A.2"]
+    assert _distinct_names(["id", "A", "A", "A.1"]) == ["A", "A.2", "A.1"]
+    assert _distinct_names(["id", "", ""]) == ["Unnamed: 1", "Unnamed: 2"] and _distinct_names([]) == []
+
+
+@pytest.mark.parametrize("split", [40, 64, 4096])
+def test_line_breaks_in_cells_across_splits(spark, tmp_path, split):
+    """Records as Python's reader has them, however the file is cut."""
+    import csv
+    import io
+    import random
+
+    from pairweave.sources.readers import read_study_matrices
+
+    rng = random.Random(split)
+    for study in range(4):
+        rows = [["sample", "na\nme,1", 'say "b"', "c"]] + [[f"s{i}", *("".join(rng.choice(["a", "\n", '"', ",", "1", "\n\n"]) for _ in range(rng.choice([0, 1, 6, 60]))) + "z" for _ in range(3))] for i in range(25)]
+        text = io.StringIO()
+        csv.writer(text, lineterminator="\n").writerows(rows)
+        (tmp_path / f"ST{study}_combined.csv").write_text(text.getvalue() + ("" if study else 'last,5" pipe,x"y"z,\n'))
+        if study == 0:
+            want = {(r[0], n): v or None for r in [*rows[1:], ["last", '5" pipe', 'x"y"z', ""]] for n, v in zip(rows[0][1:], r[1:], strict=True)}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(split))
+    try:
+        rows = read_study_matrices(spark, str(tmp_path), parse=False).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len(rows) == 4 * 25 * 3 + 3 and len({(r["study_id"], r["row_id"]) for r in rows}) == 101
+    assert {(r["sample_id"], r["feature"]): r["raw"] for r in rows if r["study_id"] == "ST0"} == want

@@ -232,3 +232,55 @@ def test_normal_quantile(spark):
     df = spark.createDataFrame([(0.5,), (0.975,), (0.0,), (None,)], "p double")
     got = [r["z"] for r in df.select(normal_quantile(F.col("p")).alias("z")).collect()]
     assert got[0] == pytest.approx(0) and got[1] == pytest.approx(1.959964, abs=1e-6) and got[2] is None and got[3] is None
+
+
+def test_moments_of_slices_and_arrivals_add_up(spark):
+    from pairweave.operators.moments import merge_moments, moments_r, partial_moments
+
+    rng = np.random.default_rng(5)
+    table = {f"f{k}": [None if rng.random() < 0.2 else float(x) for x in 1e6 + rng.normal(size=60) * (k > 0)] for k in range(5)}
+    df = long(spark, table)
+    whole = by_pair(correlate.pearson(df, all_pairs=False))
+    sliced = partial_moments(df, block=2, slice_rows=7)
+    assert sliced.groupBy("feature_1", "feature_2").count().filter("count > 1").count() == 10
+    late = df.filter(F.col("sample_id").cast("int") % 3 == 0)
+    arrived = partial_moments(late).union(partial_moments(df.join(late, ["study_id", "sample_id"], "left_anti"), slice_rows=11))
+    for parts in (sliced, arrived):
+        got = by_pair(merge_moments(parts).withColumn("corr", moments_r()))
+        assert set(got) == set(whole)
+        for k, r in got.items():
+            assert r["n"] == whole[k]["n"] and (r["corr"] == pytest.approx(whole[k]["corr"], abs=1e-9) if "f0" not in k else True)
+            x, y = (np.array([v for v, w in zip(table[a], table[b], strict=True) if v is not None and w is not None]) for a, b in (k, k[::-1]))
+            assert r["mean_1"] == pytest.approx(x.mean()) and r["m2_2"] == pytest.approx(((y - y.mean()) ** 2).sum(), rel=1e-6, abs=1e-6)
+    assert merge_moments(partial_moments(df.limit(0))).count() == 0
+    constant = long(spark, {"a": [0.1] * 30, "b": [float(i) for i in range(30)]})
+    assert merge_moments(partial_moments(constant, slice_rows=4)).select(moments_r().alias("r")).first()["r"] is None
+
+
+def test_pool_state_is_refreshed(spark, tmp_path):
+    import os
+
+    from pairweave.sources.writers import refresh_pool_state
+
+    rng = np.random.default_rng(6)
+
+    def study(name, features, n=12.0):
+        return [(f"f{a}", f"f{b}", name, float(rng.uniform(-0.9, 0.9)), n) for a, b in itertools.combinations(features, 2)]
+
+    frame = lambda rows: spark.createDataFrame(rows, "feature_1 string, feature_2 string, study_id string, corr double, n double")
+    path, by = f"file://{tmp_path}/state", lambda df: {tuple(r[c] for c in ("feature_1", "feature_2")): tuple(r) for r in df.collect()}
+    first = {k: study(k, range(6)) for k in "abcd"}
+    refresh_pool_state(frame(sum(first.values(), [])), path, 16)
+    stamp = lambda: {d: sorted(os.listdir(tmp_path / "state" / d)) for d in os.listdir(tmp_path / "state") if d.startswith("bucket")}
+    before = stamp()
+    again = {"b": study("b", (1, 2, 3)), "e": study("e", (2, 3, 9)), "x": study("x", (2, 3), n=3.0)}  # b has lost pairs; x can't be pooled
+    numbers = refresh_pool_state(frame(sum(again.values(), [])), path, 16)
+    now = stamp()
+    assert {d for d in now if now[d] != before.get(d)} == {f"bucket={k}" for k in numbers}
+    want = pooling.pool(frame(sum((first | again).values(), [])))
+    assert by(pooling.pool_from_state(spark.read.parquet(path))) == by(want)
+    refresh_pool_state(frame(again["e"]), path, 16)
+    assert by(pooling.pool_from_state(spark.read.parquet(path))) == by(want)
+    small = study("e", (2, 3))
+    assert len(refresh_pool_state(frame(small), path, 16)) <= 2  # buckets of f2 and f3 only
+    assert by(pooling.pool_from_state(spark.read.parquet(path))) == by(pooling.pool(frame(sum((first | again | {"e": small}).values(), []))))
