@@ -66,11 +66,13 @@ def partial_moments(obs: DataFrame, block: int = 256, slice_rows: int = 1 << 15)
     def run(group: pa.Table) -> pa.Table:
         i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
         rows = group.column("row").combine_chunks().dictionary_encode()
+        place_of = np.empty(len(rows.dictionary), np.int64)  # sums in one order, however the rows come
+        place_of[np.argsort(np.array(rows.dictionary.to_pylist(), object))] = np.arange(len(place_of))
         column = group.column("f").to_numpy()
         numbers, at, place = np.unique(column, return_index=True, return_inverse=True)
         names = np.array(group.column("feature").take(pa.array(at)).to_pylist(), object)
         wide = np.full((len(rows.dictionary), len(numbers)), np.nan)
-        wide[rows.indices.to_numpy(), place] = group.column("value").to_numpy()
+        wide[place_of[rows.indices.to_numpy()], place] = group.column("value").to_numpy()
         first, second = numbers // block == i, numbers // block == j
         *found, n = _block_moments(wide[:, first], wide[:, second])
         a, b = np.nonzero((n > 0) & (numbers[first][:, None] < numbers[second]))

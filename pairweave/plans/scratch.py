@@ -17,6 +17,13 @@ def shared_folder(spark: SparkSession) -> str:
     Where that setting is absent, a session on one machine (tests) gets a temporary folder; on a
     cluster it is an error, as executors would write to their own disks.
     """
+    path = kept_folder(spark)
+    _CREATED.append((spark, path))
+    return path
+
+
+def kept_folder(spark: SparkSession) -> str:
+    """The same, for files that stay when the session ends."""
     context = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not base:
@@ -24,9 +31,7 @@ def shared_folder(spark: SparkSession) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder that the whole cluster shares")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="pairweave-"))
         base = context.getCheckpointDir()
-    path = f"{base.rstrip('/')}/pairweave/{uuid.uuid4().hex}"
-    _CREATED.append((spark, path))
-    return path
+    return f"{base.rstrip('/')}/pairweave/{uuid.uuid4().hex}"
 
 
 def drop_folder(spark: SparkSession, path: str) -> None:
