@@ -8,6 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pairweave.operators.order import exact_medians
+from pairweave.plans.scratch import materialized
+
 #: Cells that mean "below the limit of detection or quantification", trimmed and lower-cased.
 BELOW_LIMIT = ["lod", "blod", "< lod", "&lt; lod", "loq", "bloq", "< loq", "&lt; loq"]
 UNMAPPED = "UNMAPPED:"
@@ -108,16 +111,18 @@ def normalize_pqn(obs: DataFrame) -> DataFrame:
     """Probabilistic quotient normalisation of each sample's dilution.
 
     Each value as a share of its sample's sum; over the feature's median share; the sample's median
-    of these quotients divides the sample's values. Unmapped features take part.
+    of these quotients divides the sample's values. Unmapped features take part. A feature's median is
+    taken over all samples of a study, however many, by ``order.exact_medians``; a sample's is an
+    aggregate over its features.
     """
     obs = obs.withColumn("_row", row_key(obs))
     sample = Window.partitionBy("study_id", "_row")
-    shares = obs.withColumn("_share", F.try_divide("value", F.sum("value").over(sample)))
-    typical = shares.groupBy("study_id", "feature").agg(F.median("_share").alias("_typical"))
+    shares = materialized(obs.withColumn("_share", F.try_divide("value", F.sum("value").over(sample))))
+    typical = exact_medians(shares, ["study_id", "feature"], "_share", "_typical")
     quotients = shares.join(typical, ["study_id", "feature"]).withColumn("_quotient", F.try_divide("_share", "_typical"))
     dilution = quotients.groupBy("study_id", "_row").agg(F.median("_quotient").alias("_dilution"))
-    out = obs.join(dilution, ["study_id", "_row"], "left")
-    return out.withColumn("value", F.try_divide("value", "_dilution")).drop("_dilution", "_row")
+    out = shares.join(dilution, ["study_id", "_row"], "left")
+    return out.withColumn("value", F.try_divide("value", "_dilution")).drop("_dilution", "_row", "_share")
 
 
 def transform_values(obs: DataFrame, transform: str | None) -> DataFrame:

@@ -10,10 +10,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairweave.functions.special import adjust_p
+from pairweave.operators.order import numbered
 from pairweave.plans.scratch import materialized
 
 
@@ -130,11 +132,19 @@ def enrichment_scores(scores: DataFrame, sets: DataFrame, min_size: int = 2, max
     down elsewhere; and the members up to it (from it on, if it is negative) by rank.
 
     Only the ranks of members matter: between two members the sum falls linearly, so its extremes
-    are at a member or just before one. Each set is a window over its own members.
+    are at a member or just before one. Each set is a window over its own members; ranks come from range
+    partitions (``order.numbered``).
     """
-    ranked = ranking(scores)
-    order = Window.orderBy(F.desc("score"), "member_id")
-    ranked = ranked.withColumn("rank", F.row_number().over(order)).withColumn("total", F.count(F.lit(1)).over(Window.partitionBy()))
+    return _set_scores(ranks(scores), sets, min_size, max_size, prefix)
+
+
+def ranks(scores: DataFrame) -> DataFrame:
+    """member_id, score, rank from 1 by falling score, ties by id; a written table."""
+    return numbered(ranking(scores), F.desc("score"), "member_id")
+
+
+def _set_scores(ranked: DataFrame, sets: DataFrame, min_size: int = 2, max_size: int = 500, prefix: str | None = "C") -> DataFrame:
+    ranked = ranked.withColumn("total", F.lit(ranked.count()))
     own = ranked.join(set_members(sets, prefix), "member_id")
     group = Window.partitionBy("set_id")
     upto = group.orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -151,41 +161,54 @@ def enrichment_scores(scores: DataFrame, sets: DataFrame, min_size: int = 2, max
     return found.select("set_id", "set_name", "size", F.when(below, F.col("l.down")).otherwise(F.col("h.up")).alias("es"), F.transform(lead, lambda m: m.member_id).alias("lead"))
 
 
-def ranked_enrichment(scores: DataFrame, sets: DataFrame, permutations: int = 1000, seed: int = 0, max_members: int = 20_000_000, **limits) -> DataFrame:
+def _null_scores(ranked: DataFrame, sizes: DataFrame, permutations: int, seed: int) -> DataFrame:
+    """size, sets, null: ``permutations`` enrichment scores of random sets for each row (size, sets) of ``sizes``.
+
+    A task draws the places of a size's random sets; the scores there come by a join with the ranking,
+    and each set's running sum is folded over its few places in order. The ranking stays where it is.
+    """
+    n = ranked.count()
+    kind = pa.schema([("size", pa.int64()), ("draw", pa.int32()), ("rank", pa.int64())])
+
+    def draw(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for size in part.column("size").to_pylist():
+                rng = np.random.default_rng([seed, size])
+                for number in range(permutations):
+                    at = rng.choice(n, size, replace=False) + 1
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(size, size)), pa.array(np.full(size, number, np.int32)), pa.array(at)], schema=kind)
+
+    places = sizes.select("size").mapInArrow(draw, "size long, draw int, rank long")
+    drawn = places.join(ranked.select("rank", F.abs("score").alias("w")), "rank").groupBy("size", "draw").agg(F.array_sort(F.collect_list(F.struct("rank", "w"))).alias("s"))  # size entries
+    total = F.greatest(F.aggregate("s", F.lit(0.0), lambda a, x: a + x.w), F.lit(1e-300))
+    drawn = drawn.withColumn("s", F.transform("s", lambda x, i: F.struct((x.w / total).alias("step"), ((x["rank"] - 1 - i) / (F.lit(n) - F.col("size"))).alias("miss"))))
+    start = F.struct(F.lit(0.0).alias("hit"), F.lit(float("-inf")).alias("up"), F.lit(float("inf")).alias("down"))
+
+    def step(a: Column, x: Column) -> Column:
+        hit = a.hit + x.step
+        return F.struct(hit.alias("hit"), F.greatest(a.up, hit - x.miss).alias("up"), F.least(a.down, a.hit - x.miss).alias("down"))
+
+    drawn = drawn.withColumn("e", F.aggregate("s", start, step))
+    es = F.when(F.abs("e.down") > F.abs("e.up"), F.col("e.down")).otherwise(F.col("e.up"))
+    nulls = drawn.groupBy("size").agg(F.transform(F.array_sort(F.collect_list(F.struct("draw", es.alias("es")))), lambda x: x.es).alias("null"))
+    return sizes.join(nulls, "size")
+
+
+def ranked_enrichment(scores: DataFrame, sets: DataFrame, permutations: int = 1000, seed: int = 0, **limits) -> DataFrame:
     """set_id, set_name, size, es, nes, p, q, lead: against random sets of the same size, by sign.
 
     nes is es over the mean of its size's null scores of the same sign; p the share of these beyond
     es; q (the false discovery rate) the share of all sets' null scores of that sign, normalised too,
     that are beyond nes, over the share of the sets' own ones.
 
-    Null distributions depend on the size alone; each distinct size is one task's work on the ranking's
-    scores, 8 bytes a member, which are shipped; more than ``max_members`` are an error. The null scores
+    Null distributions depend on the size alone. The ranking may have any length: its scores at random
+    places are joined in, at most max_size x permutations of them for each distinct size. The null scores
     of all sizes (at most max_size times ``permutations``) are put together on the driver.
     """
-    found = materialized(enrichment_scores(scores, sets, **limits))
-    ranked = materialized(ranking(scores))
-    if ranked.count() > max_members:
-        raise ValueError(f"more than {max_members} members")
-    values = ranked.orderBy(F.desc("score"), "member_id").select("score").toArrow().column("score").to_numpy()
-    shipped = scores.sparkSession.sparkContext.broadcast(np.abs(values))
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        weight = shipped.value
-        n = len(weight)
-        for part in parts:
-            for size, sets in zip(part["size"], part["sets"], strict=True):
-                rng = np.random.default_rng([seed, int(size)])
-                null = np.empty(permutations)
-                for i in range(permutations):
-                    at = np.sort(rng.choice(n, size, replace=False))
-                    w = weight[at] / max(weight[at].sum(), 1e-300)
-                    miss = (at - np.arange(size)) / (n - size)
-                    up, down = (np.cumsum(w) - miss).max(), (np.cumsum(w) - w - miss).min()
-                    null[i] = down if abs(down) > abs(up) else up
-                yield pd.DataFrame({"size": [size], "sets": [sets], "null": [null.tolist()]})
-
+    ranked = ranks(scores)
+    found = materialized(_set_scores(ranked, sets, **limits))
     sizes = found.groupBy("size").agg(F.count(F.lit(1)).alias("sets"))
-    nulls = materialized(sizes.mapInPandas(run, "size long, sets long, null array<double>"))
+    nulls = materialized(_null_scores(ranked, materialized(sizes), permutations, seed))
     same = F.filter("null", lambda x: F.when(F.col("es") >= 0, x >= 0).otherwise(x < 0))
     mean = F.try_divide(F.aggregate(same, F.lit(0.0), lambda a, x: a + x), F.size(same))
     beyond = F.size(F.filter(same, lambda x: F.abs(x) >= F.abs("es")))

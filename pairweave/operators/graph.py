@@ -53,9 +53,10 @@ def degrees(edges: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node_id and component (its smallest node)."""
-    labels = nodes_of(edges).select(F.col("node_id").alias("node"), F.col("node_id").alias("root"))
-    found = connect(labels, edges.select(F.col("source").alias("a"), F.col("target").alias("b")))
+    """node_id and component (its smallest node); what ``edges`` stands for is computed once."""
+    links = materialized(edges.select(F.col("source").alias("a"), F.col("target").alias("b")))
+    nodes = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    found = connect(materialized(nodes.withColumn("root", F.col("node"))), links)
     return found.select(F.col("node").alias("node_id"), F.col("root").alias("component"))
 
 

@@ -181,8 +181,44 @@ def test_gsea(spark):
     assert set(got) == {"top", "low"} and got["top"]["es"] == pytest.approx(1.0) and got["low"]["es"] == pytest.approx(-1.0)
     assert got["top"]["nes"] > 0 > got["low"]["nes"] and 0 <= got["top"]["q"] <= 1
     assert got["top"]["lead"] == ["C0", "C1"] and got["low"]["lead"] == ["C8", "C9"] and got["low"]["set_name"] == "l"
-    with pytest.raises(ValueError):
-        enrich.ranked_enrichment(scores, sets, max_members=3)
+    assert enrich.ranked_enrichment(scores.limit(0), sets, permutations=5).count() == 0
+
+
+def test_null_scores_against_a_plain_version(spark):
+    """Random sets drawn as the operator draws them, scored by the running sum over the whole ranking."""
+    rng = np.random.default_rng(2)
+    values = np.round(rng.normal(size=300), 2)
+    scores = spark.createDataFrame([(f"C{i:03d}", float(v)) for i, v in enumerate(values)], "member_id string, score double").repartition(7)
+    sets = spark.createDataFrame([(f"s{k}", "x", [f"C{i:03d}" for i in rng.choice(300, n, replace=False)]) for k, n in enumerate((4, 4, 30))], "set_id string, set_name string, members array<string>")
+    order = sorted(range(300), key=lambda i: (-values[i], f"C{i:03d}"))
+    ranked = {r["member_id"]: r["rank"] for r in enrich.ranks(scores).collect()}
+    assert [ranked[f"C{i:03d}"] for i in order] == list(range(1, 301))
+
+    def score(members):
+        inside = np.array([i in members for i in order])
+        weight = np.where(inside, np.abs(values[order]), 0)
+        run = np.cumsum(weight / weight.sum() - ~inside / (300 - inside.sum()))
+        return min(run.min(), 0.0) if abs(run.min()) > abs(run.max()) else run.max()
+
+    null = {}
+    for size in (4, 30):
+        draws = np.random.default_rng([9, size])
+        null[size] = [score({order[a] for a in draws.choice(300, size, replace=False)}) for _ in range(40)]
+    found = {r["set_id"]: r for r in enrich.ranked_enrichment(scores, sets, permutations=40, seed=9).collect()}
+    for r in sets.collect():
+        es = score({int(m[1:]) for m in r["members"]})
+        same = [x for x in null[len(r["members"])] if (x >= 0) == (es >= 0)]
+        got = found[r["set_id"]]
+        assert got["es"] == pytest.approx(es) and got["nes"] == pytest.approx(es / abs(np.mean(same)))
+        assert got["p"] == pytest.approx(np.mean([abs(x) >= abs(es) for x in same]))
+
+
+def test_ranking_and_null_have_no_single_task(spark):
+    scores = spark.range(1000).select(F.col("id").cast("string").alias("member_id"), F.rand(1).alias("score"))
+    sets = spark.createDataFrame([("s", "x", ["1", "2", "3"])], "set_id string, set_name string, members array<string>")
+    plan = enrich.enrichment_scores(scores, sets, prefix=None)._jdf.queryExecution().executedPlan().toString()
+    single = plan.split("Exchange SinglePartition")
+    assert len(single) == 2 and "HashAggregate(keys=[_part" in single[1].splitlines()[1]  # a row per partition
 
 
 def test_discovery_rate():
