@@ -225,16 +225,26 @@ def sharded_rows(store: ShardStore) -> DataFrame:
     return store.read().select("doc_id", "shard", F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("text_sha256"))
 
 
+#: Appends of the query: eight shards whose sizes are within a factor of ``FAN`` lie in two tiers at most, so that four share one.
+ARRIVALS = 8
+
+
 def op8_sharding(spark, sf_dir: str) -> DataFrame:
-    """Rows of the committed version; tiered: no ``fan`` shards of one tier are left, and the manifest counts this row's shard right."""
-    store = shard_corpus(table(spark, sf_dir, "documents"))
-    seen = store.manifest()
-    listed = store.shards().filter(F.col("version") == seen.version).select("shard", F.col("rows").alias("_listed"))
+    """Rows of the committed version, with what the manifests say of it.
+
+    tiered: no ``FAN`` shards of one tier are left, and the manifest counts the rows of this row's shard
+    right. merged: there are more versions than appends, and fewer shards than have been written.
+    """
+    store = shard_corpus(table(spark, sf_dir, "documents"), arrivals=ARRIVALS)
+    seen, versions = store.manifest(), store.versions()
+    every = store.shards()
+    listed = every.filter(F.col("version") == seen.version).select("shard", F.col("rows").alias("_listed"))
     rows = sharded_rows(store)
     held = rows.groupBy("shard").agg(F.count(F.lit(1)).alias("_held")).join(listed, "shard", "left")
     right = held.select("shard", (F.coalesce("_held", F.lit(0)) == F.coalesce("_listed", F.lit(-1))).alias("_right"))
     tiered = F.col("_right") & F.lit(seen.version > 1 and not merge_runs(seen.shards, TARGET_BYTES, FAN))
-    return rows.join(right, "shard").select("doc_id", "n_bytes", "text_sha256", tiered.alias("tiered"), F.lit(len(store.versions()) >= 2).alias("versioned"))
+    merged = len(versions) > ARRIVALS and len(seen.shards) < every.select("shard").distinct().count()
+    return rows.join(right, "shard").select("doc_id", "n_bytes", "text_sha256", tiered.alias("tiered"), F.lit(len(versions) >= 2).alias("versioned"), F.lit(merged).alias("merged"))
 
 
-OP8_SQL = "SELECT doc_id, strlen(coalesce(text, ''))::BIGINT AS n_bytes, sha256(coalesce(text, '')) AS text_sha256, true AS tiered, true AS versioned FROM documents"
+OP8_SQL = "SELECT doc_id, strlen(coalesce(text, ''))::BIGINT AS n_bytes, sha256(coalesce(text, '')) AS text_sha256, true AS tiered, true AS versioned, true AS merged FROM documents"

@@ -9,7 +9,14 @@ def test_against_sql(spark):
     con = duckdb.connect()
     con.sql(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet'")
     want = sorted(con.sql(OP8_SQL).fetchall())
-    assert sorted(tuple(r) for r in op8_sharding(spark, folder).select("doc_id", "n_bytes", "text_sha256", "tiered", "versioned").collect()) == want
+    assert sorted(tuple(r) for r in op8_sharding(spark, folder).select("doc_id", "n_bytes", "text_sha256", "tiered", "versioned", "merged").collect()) == want
+
+
+def test_merges_are_seen(spark, monkeypatch):
+    """Without compaction the query's rows differ from the SQL."""
+    monkeypatch.setattr(ShardStore, "compact", lambda store, *_: store.manifest())
+    rows = op8_sharding(spark, "/root/testdata/sf0.001").select("tiered", "merged").distinct().collect()
+    assert [tuple(r) for r in rows] == [(False, False)]
 
 
 def test_rows_survive_merges(spark, tmp_path):
