@@ -12,6 +12,7 @@ from pairweave.operators import clean, cluster, correlate, enrich, graph, poolin
 from pairweave.plans import fixtures as fx
 from pairweave.plans.fixtures import LINES_SQL, PARTS_SQL, RAW_SQL, SMALL_SQL, VECTORS_SQL
 from pairweave.plans.scratch import materialized, shared_folder
+from pairweave.sources import responses
 from pairweave.sources.readers import read_raw_blocks, read_study_matrices
 from pairweave.sources.writers import refresh_pool_state
 
@@ -103,6 +104,45 @@ def raw_blocks(spark, d):
     return read_raw_blocks(docs)[0]
 
 
+def _answers(spark, d):
+    """Answers about parts, asked by id or by name: some refused, some empty, some without a part."""
+    k, part = F.col("p_partkey"), fx.table(spark, d, "part")
+    rm = fx.part_id("p_partkey")
+    asked = part.select(k, "p_name", "p_type", "p_brand", F.when(k % 3 == 0, F.concat("p_name", F.lit(" "), k.cast("string"))).otherwise(rm).alias("id"), rm.alias("rm"))
+    first = F.to_json(F.struct(F.when(k % 11 != 0, F.col("rm")).alias("refmet_id"), F.col("p_name").alias("name"), F.col("p_type").alias("super_class")))
+    whole = asked.select("id", F.lit("all").alias("part"), F.when(k % 13 == 0, 404).otherwise(200).alias("status"), first.alias("body"))
+    kegg = asked.filter(k % 17 != 0).select("id", F.lit("kegg_id"), F.lit(200), F.when(k % 4 == 0, F.lit("[]")).otherwise(F.to_json(F.struct(F.concat(F.lit("C"), F.floor(k / 2).cast("string")).alias("kegg_id")))))
+    smiles = asked.select("id", F.lit("smiles"), F.lit(200), F.to_json(F.struct(F.col("p_brand").alias("smiles"))))
+    return whole.union(kegg).union(smiles).withColumn("kind", F.lit("compound"))
+
+
+_ANSWERED = """asked AS (SELECT p_partkey AS k, p_name, p_type, p_brand, 'RM' || lpad(p_partkey::VARCHAR, 7, '0') AS rm, CASE WHEN p_partkey % 3 = 0 THEN p_name || ' ' || p_partkey ELSE 'RM' || lpad(p_partkey::VARCHAR, 7, '0') END AS query FROM part)"""
+
+
+@query("compound_records", f"""WITH {_ANSWERED} SELECT query, CASE WHEN k % 3 = 0 THEN 'name' ELSE 'refmet_id' END AS id_type, rm AS refmet_id, p_name AS name, p_type AS super_class,
+  CASE WHEN k % 4 <> 0 THEN 'C' || (k // 2) END AS kegg_id, p_brand AS smiles FROM asked WHERE k % 13 <> 0 AND k % 11 <> 0 AND k % 17 <> 0""")
+def compound_records(spark, d):
+    """Written in two halves, read again, put together."""
+    path, answers = shared_folder(spark), _answers(spark, d)
+    for half in (0, 1):
+        responses.write_answers(answers.filter(F.pmod(F.xxhash64("id"), F.lit(2)) == half), path)
+    found = responses.read_compounds(responses.read_answers(spark, path, "compound"))[0]
+    return found.select("query", "id_type", "refmet_id", "name", "super_class", "kegg_id", "smiles")
+
+
+@query("compound_failures", f"""WITH {_ANSWERED} SELECT query, CASE WHEN k % 13 = 0 THEN 'status 404' WHEN k % 11 = 0 THEN 'no entry' ELSE 'no answer: kegg_id' END AS reason FROM asked WHERE k % 13 = 0 OR k % 11 = 0 OR k % 17 = 0""")
+def compound_failures(spark, d):
+    return responses.read_compounds(_answers(spark, d))[1]
+
+
+@query("compound_requests", f"""WITH {_ANSWERED} SELECT query, 'all' AS part, CASE WHEN k % 3 = 0 THEN 'name' ELSE 'refmet_id' END || '/' || replace(replace(query, ' ', '%20'), '#', '%23') || '/all' AS path FROM asked WHERE k % 13 = 0
+  UNION ALL SELECT query, 'kegg_id', CASE WHEN k % 3 = 0 THEN 'name' ELSE 'refmet_id' END || '/' || replace(replace(query, ' ', '%20'), '#', '%23') || '/kegg_id' FROM asked WHERE k % 17 = 0""")
+def compound_requests(spark, d):
+    """What is to be asked again."""
+    answers = _answers(spark, d)
+    return responses.compound_requests(answers.select(F.col("id").alias("query")), answers)
+
+
 _ANALYSES_SQL = LINES_SQL + ", parts AS (SELECT study_id, analysis_id, sample_id, feature, sum(l_quantity) AS value FROM lines GROUP BY ALL)"
 
 
@@ -330,6 +370,15 @@ def pool_distribution(spark, d):
     return rounded(pooling.pooled_distribution(_pooled_lines(spark, d)).select("feature_1", "feature_2", "loc", "scale"))
 
 
+_NORMAL = [(0.025, -1.9599639845400545), (0.25, -0.6744897501960817), (0.5, 0.0), (0.975, 1.9599639845400545)]
+
+
+@query("pool_quantiles", f"WITH {_POOLED_LINES}, nq AS (SELECT unnest([{', '.join(f'{p}::DOUBLE' for p, _ in _NORMAL)}]) AS probability, unnest([{', '.join(f'{z}::DOUBLE' for _, z in _NORMAL)}]) AS z) "
+       f"SELECT feature_1, feature_2, probability, {r6('tanh(coalesce(z_random, z_fixed) + z * coalesce(se_random, se_fixed))', 'r')} FROM pooled, nq")
+def pool_quantiles(spark, d):
+    return rounded(pooling.pooled_quantiles(_pooled_lines(spark, d), [p for p, _ in _NORMAL]))
+
+
 @query("pool_sampling")
 def pool_sampling(spark, d):
     return pooling.sample_pooled(_pooled_lines(spark, d), 5)
@@ -611,6 +660,23 @@ def viewer_nodes(spark, d):
     return rounded(report.viewer_nodes(materialized(_edges(spark, d)), fx.annotation(spark)))
 
 
+@query("viewer_hover", f"WITH {_SMALL}{_VIEW} SELECT node_id, concat_ws(chr(10), node_id, super_class, 'super_class: ' || class, 'degree: ' || degree) AS hover FROM vw LEFT JOIN annotation ON feature = node_id")
+def viewer_hover(spark, d):
+    nodes = report.viewer_nodes(materialized(_edges(spark, d)), fx.annotation(spark))
+    return report.hover_text(nodes, fx.annotation(spark), ["super_class"], "super_class").select("node_id", "hover")
+
+
+@query("edge_categories", f"""WITH {_SMALL}{_VIEW}, ec AS (SELECT source, target, CASE WHEN v.class = u.class THEN 'within ' || v.class WHEN v.class <> 'unknown' AND u.class <> 'unknown' THEN 'between' ELSE 'unknown' END AS label
+  FROM edges JOIN vw v ON v.node_id = source JOIN vw u ON u.node_id = target) SELECT source, target, (dense_rank() OVER (ORDER BY label) - 1)::INT AS code, label FROM ec""")
+def edge_categories(spark, d):
+    """Edges coloured by whether their ends are of one class."""
+    edges = materialized(_edges(spark, d))
+    nodes = report.viewer_nodes(edges, fx.annotation(spark))
+    a, b = (nodes.select(F.col("node_id").alias(e), F.col("class").alias(f"c_{e}")) for e in ("source", "target"))
+    kind = F.when(F.col("c_source") == F.col("c_target"), F.concat(F.lit("within "), F.col("c_source"))).when((F.col("c_source") != "unknown") & (F.col("c_target") != "unknown"), "between")
+    return report.edge_groups(edges.join(a, "source").join(b, "target").withColumn("kind", kind), "kind")
+
+
 _POS = ", ps AS (SELECT node_id, round(sin(k), 4) AS x, round(cos(k), 4) AS y FROM vnodes)"
 
 

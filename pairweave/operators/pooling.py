@@ -6,6 +6,8 @@ studies) and everything else is arithmetic on it inside the JVM.
 
 from __future__ import annotations
 
+from statistics import NormalDist
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -127,6 +129,15 @@ def pooled_distribution(pooled: DataFrame) -> DataFrame:
     return pooled.withColumn("loc", F.coalesce("z_random", "z_fixed")).withColumn("scale", F.coalesce("se_random", "se_fixed"))
 
 
+def pooled_quantiles(pooled: DataFrame, probabilities: list[float]) -> DataFrame:
+    """feature_1, feature_2, probability, r: quantiles of each pair's pooled distribution, on the scale of r."""
+    if not all(0 < p < 1 for p in probabilities):
+        raise ValueError("probabilities lie between 0 and 1")
+    known = F.explode(F.array(*(F.struct(F.lit(float(p)).alias("p"), F.lit(NormalDist().inv_cdf(p)).alias("z")) for p in probabilities))).alias("q")
+    placed = pooled_distribution(pooled).select(*PAIR, "loc", "scale", known)
+    return placed.select(*PAIR, F.col("q.p").alias("probability"), F.tanh(F.col("loc") + F.col("scale") * F.col("q.z")).alias("r"))
+
+
 def sample_pooled(pooled: DataFrame, draws: int, seed: int = 0) -> DataFrame:
     """``draws`` draws of r from each pair's pooled distribution."""
     drawn = pooled_distribution(pooled).select(*PAIR, "loc", "scale", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw"))
