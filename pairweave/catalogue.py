@@ -240,6 +240,11 @@ def spearman_pairs(spark, d):
     return rounded(correlate.spearman(_prepared(spark, d)))
 
 
+@query("spearman_sorted", f"WITH {LINES_SQL}{_PREPARED}{_ROWS.format(t='prepared')}{_RANKS}{_CORR.replace('FROM pr', 'FROM rk')} {_RESULT.format(m='spearman')}")
+def spearman_sorted(spark, d):
+    return rounded(correlate.spearman(_prepared(spark, d), plan="sorted"))
+
+
 @query("spearman_complete", f"WITH {VECTORS_SQL}{_ROWS.format(t='obs')}{_RANKS}{_CORR.replace('FROM pr', 'FROM rk')} {_RESULT.format(m='spearman')}")
 def spearman_complete(spark, d):
     return rounded(correlate.spearman(fx.obs_vectors(spark, d)))

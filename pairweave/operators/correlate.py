@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from pairweave.functions.special import corr_p_value, kendall_tau
 from pairweave.operators.clean import finite, unique_cells
 from pairweave.operators.moments import dealt_blocks, merge_moments, moments_r, partial_moments
+from pairweave.operators.order import numbered
+from pairweave.plans.scratch import materialized
 
 PAIR = ["study_id", "feature_1", "feature_2"]
 
@@ -70,8 +72,16 @@ def pearson(obs: DataFrame, plan: str = "join", all_pairs: bool = True) -> DataF
     return found.select("feature_1", "feature_2", F.lit("pearson").alias("method"), "corr", F.col("n").cast("double").alias("n"), "study_id")
 
 
-def spearman(obs: DataFrame, block: int = 32) -> DataFrame:
-    """Pearson's r of average ranks, ranked within each pair's complete samples."""
+def spearman(obs: DataFrame, block: int = 32, plan: str = "blocks") -> DataFrame:
+    """Pearson's r of average ranks, ranked within each pair's complete rows.
+
+    ``plan``: "blocks" holds all rows of a study for two blocks of features in a task; "sorted" ranks the
+    joined rows of all pairs at once by range partitions, for studies of more rows than a task can hold.
+    """
+    if plan not in ("blocks", "sorted"):
+        raise ValueError(f"unknown plan {plan!r}")
+    if plan == "sorted":
+        return _on_grid(obs, _moments(_ranked_pairs(materialized(pair_rows(obs))), "x", "y"), "spearman")
 
     def kernel(x: np.ndarray, y: np.ndarray, same: bool) -> tuple[np.ndarray, ...]:
         n, r = np.zeros((x.shape[1], y.shape[1])), np.full((x.shape[1], y.shape[1]), np.nan)
@@ -91,6 +101,16 @@ def spearman(obs: DataFrame, block: int = 32) -> DataFrame:
     return _on_grid(obs, _by_blocks(obs, kernel, ("corr",), block), "spearman")
 
 
+def _ranked_pairs(rows: DataFrame) -> DataFrame:
+    """x and y of ``pair_rows`` as average ranks within their pair, up to a constant of the pair."""
+    for c in "xy":
+        placed = numbered(rows, *PAIR, c, name="_place")
+        mean = placed.groupBy(*PAIR, c).agg(F.avg("_place").alias("_rank"))  # equal values share their mean place
+        first = placed.groupBy(*PAIR).agg(F.min("_place").alias("_first"))  # small numbers keep their digits
+        rows = materialized(placed.join(mean, [*PAIR, c]).join(first, PAIR).withColumn(c, F.col("_rank") - F.col("_first")).select(*rows.columns))
+    return rows
+
+
 class Ranked:
     """Columns with missing cells: which are there, and for each the order of its values and where they tie."""
 

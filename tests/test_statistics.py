@@ -58,6 +58,19 @@ def test_spearman_ranks_within_pairs(spark):
     assert got["corr"] == pytest.approx(want) and got["n"] == 4
 
 
+def test_spearman_plans_agree(spark):
+    rng = np.random.default_rng(7)
+    table = {f"f{k}": [None if rng.random() < 0.15 else float(x) for x in rng.integers(0, 12, size=80)] for k in range(5)} | {"c": [1.0] * 80, "none": [None] * 80}
+    df = long(spark, table).union(long(spark, {"f0": [1, 2, 3], "f1": [3, 1, 2]}, "t"))
+    key = lambda out: {(r["study_id"], r["feature_1"], r["feature_2"]): r for r in out.collect()}
+    a, b = key(correlate.spearman(df)), key(correlate.spearman(df, plan="sorted"))
+    assert set(a) == set(b) and len(a) == 22
+    for k in a:
+        assert a[k]["n"] == b[k]["n"] and (a[k]["corr"] is None) == (b[k]["corr"] is None) and (a[k]["corr"] is None or a[k]["corr"] == pytest.approx(b[k]["corr"]))
+    with pytest.raises(ValueError):
+        correlate.spearman(df, plan="other")
+
+
 def test_kendall():
     x, y = np.array([1.0, 2, 3, 4, 5]), np.array([2.0, 1, 4, 3, 5])
     tau, p = kendall_tau(x, y)
