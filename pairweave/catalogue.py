@@ -192,7 +192,7 @@ def sample_studies(spark, d):
     return clean.first_studies(fx.obs_lines(spark, d).select("study_id").distinct(), 3)
 
 
-@query("sample_studies_random")
+@query("sample_studies_random", f"WITH {LINES_SQL} SELECT study_id FROM (SELECT DISTINCT study_id FROM obs) ORDER BY md5(study_id || '|1'), study_id LIMIT 3")
 def sample_studies_random(spark, d):
     return clean.first_studies(fx.obs_lines(spark, d).select("study_id").distinct(), 3, seed=1)
 
@@ -384,9 +384,13 @@ def pool_quantiles(spark, d):
     return rounded(pooling.pooled_quantiles(_pooled_lines(spark, d), [p for p, _ in _NORMAL]))
 
 
-@query("pool_sampling")
+_UNIFORM = "('0x' || substr(md5(feature_1 || '|' || feature_2 || '|' || draw || '|0'), {at}, 8))::BIGINT / 4294967296.0::DOUBLE"
+
+
+@query("pool_sampling", f"""WITH {_POOLED_LINES}, dw AS (SELECT *, {_UNIFORM.format(at=1)} AS u1, {_UNIFORM.format(at=9)} AS u2 FROM pooled, (SELECT unnest(range(1, 6))::INT AS draw))
+SELECT feature_1, feature_2, draw, {r6('tanh(coalesce(z_random, z_fixed) + coalesce(se_random, se_fixed) * sqrt(-2 * ln(1 - u1)) * cos(2 * pi() * u2))', 'r')} FROM dw""")
 def pool_sampling(spark, d):
-    return pooling.sample_pooled(_pooled_lines(spark, d), 5)
+    return rounded(pooling.sample_pooled(_pooled_lines(spark, d), 5))
 
 
 @query("pool_resume", f"WITH {_POOLED_LINES} SELECT feature_1, feature_2, n_studies, {_cols(['z_fixed'])} FROM pooled")
@@ -494,12 +498,35 @@ def _largest(spark, d):
     return graph.restrict_connected(graph.shortest_paths(edges), edges, "largest")
 
 
-@query("ward_clusters")
+# The distances of the largest component, then one merge per step: the nearest two clusters, and what Lance and Williams give to the others.
+_LARGEST = """, both_ways AS (SELECT source AS u, target AS v FROM edges WHERE r > 0 UNION SELECT target, source FROM edges WHERE r > 0),
+reach AS (SELECT DISTINCT u AS node_id, u AS other FROM both_ways UNION SELECT reach.node_id, v FROM reach JOIN both_ways ON reach.other = u),
+comp AS (SELECT node_id, min(other) AS component FROM reach GROUP BY 1), big AS (SELECT component FROM comp GROUP BY 1 ORDER BY count(*) DESC, component LIMIT 1),
+leaf AS (SELECT node_id, (row_number() OVER (ORDER BY node_id) - 1)::INT AS i FROM comp SEMI JOIN big USING (component)),
+dd AS (SELECT least(a.i, b.i) AS i, greatest(a.i, b.i) AS j, avg(d) AS d FROM sp JOIN leaf a ON a.node_id = source JOIN leaf b ON b.node_id = target WHERE a.i <> b.i GROUP BY ALL)"""
+_TO = "list_filter(ds, lambda x: x.i = least(c.id, m.{e}) AND x.j = greatest(c.id, m.{e}))[1].d"
+_MERGED = {
+    "average": f"(ni * {_TO.format(e='i')} + nj * {_TO.format(e='j')}) / (ni + nj)",
+    "ward": f"sqrt(greatest(0, ((ni + c.n) * pow({_TO.format(e='i')}, 2) + (nj + c.n) * pow({_TO.format(e='j')}, 2) - c.n * m.d * m.d) / (ni + nj + c.n)))",
+}
+_linkage_sql = lambda method: f"""{_PATHS}{_LARGEST},
+lk(k, n, cl, ds, a, b, h, s) AS (
+  SELECT 0, (SELECT count(*)::INT FROM leaf), (SELECT list({{'id': i, 'n': 1, 'leaves': [i]}} ORDER BY i) FROM leaf), (SELECT list({{'d': d, 'i': i, 'j': j}}) FROM dd), 0, 0, 0.0::DOUBLE, 0
+  UNION ALL
+  SELECT k + 1, n, list_append(list_filter(cl, lambda c: c.id <> m.i AND c.id <> m.j), {{'id': n + k, 'n': ni + nj, 'leaves': list_concat(p, q)}}),
+    list_concat(list_filter(ds, lambda x: x.i <> m.i AND x.i <> m.j AND x.j <> m.i AND x.j <> m.j),
+      list_transform(list_filter(cl, lambda c: c.id <> m.i AND c.id <> m.j), lambda c: {{'d': {_MERGED[method]}, 'i': c.id, 'j': n + k}})), m.i, m.j, m.d, ni + nj
+  FROM (SELECT *, list_filter(cl, lambda c: c.id = m.i)[1].n AS ni, list_filter(cl, lambda c: c.id = m.j)[1].n AS nj, list_filter(cl, lambda c: c.id = m.i)[1].leaves AS p, list_filter(cl, lambda c: c.id = m.j)[1].leaves AS q
+    FROM (SELECT *, list_sort(ds)[1] AS m FROM lk WHERE len(cl) > 1)))"""
+
+
+@query("ward_clusters", f"""WITH RECURSIVE {_NET}{_linkage_sql('ward')}, cut AS (SELECT unnest(cl) AS c FROM lk WHERE k = greatest(0, n - 6))
+SELECT node_id, dense_rank() OVER (ORDER BY first)::INT AS cluster FROM (SELECT list_min(c.leaves) AS first, unnest(c.leaves) AS i FROM cut) JOIN leaf USING (i)""")
 def ward_clusters(spark, d):
     return cluster.cluster_nodes(_largest(spark, d), 6)
 
 
-@query("avg_linkage")
+@query("avg_linkage", f"WITH RECURSIVE {_NET}{_linkage_sql('average')} SELECT k AS step, a AS left, b AS right, {r6('h', 'height')}, s AS size FROM lk WHERE k > 0")
 def avg_linkage(spark, d):
     return rounded(cluster.linkage_table(_largest(spark, d), "average"))
 

@@ -148,4 +148,4 @@ def first_studies(studies: DataFrame, n: int | None = None, seed: int | None = N
     """The first n studies by id, n at random with a seed, or all."""
     if n is None:
         return studies
-    return studies.orderBy("study_id" if seed is None else F.xxhash64("study_id", F.lit(seed))).limit(n)
+    return studies.orderBy("study_id" if seed is None else F.md5(F.concat_ws("|", "study_id", F.lit(str(seed)))), "study_id").limit(n)

@@ -139,6 +139,13 @@ def pooled_quantiles(pooled: DataFrame, probabilities: list[float]) -> DataFrame
 
 
 def sample_pooled(pooled: DataFrame, draws: int, seed: int = 0) -> DataFrame:
-    """``draws`` draws of r from each pair's pooled distribution."""
+    """``draws`` draws of r from each pair's pooled distribution.
+
+    A draw depends on the pair, its number and the seed alone, however rows are dealt: a digest of these
+    gives two uniform numbers, and these a normal one.
+    """
     drawn = pooled_distribution(pooled).select(*PAIR, "loc", "scale", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw"))
-    return drawn.withColumn("r", F.tanh(F.col("loc") + F.col("scale") * F.randn(seed))).drop("loc", "scale")
+    digest = F.md5(F.concat_ws("|", *PAIR, F.col("draw").cast("string"), F.lit(str(seed))))
+    uniform = lambda at: F.conv(F.substring(digest, at, 8), 16, 10).cast("double") / 2.0**32
+    z = F.sqrt(-2 * F.ln(1 - uniform(1))) * F.cos(2 * F.pi() * uniform(9))
+    return drawn.withColumn("r", F.tanh(F.col("loc") + F.col("scale") * z)).drop("loc", "scale")
