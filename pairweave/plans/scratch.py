@@ -31,7 +31,14 @@ def kept_folder(spark: SparkSession) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder that the whole cluster shares")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="pairweave-"))
         base = context.getCheckpointDir()
-    return f"{base.rstrip('/')}/pairweave/{uuid.uuid4().hex}"
+    return f"{_qualified(spark, base).rstrip('/')}/pairweave/{uuid.uuid4().hex}"
+
+
+def _qualified(spark: SparkSession, path: str) -> str:
+    """A plain path with the file system that Spark takes it for, so that tasks that open files themselves mean the same."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    whole = folder.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(folder).toString()
+    return f"file://{whole[5:]}" if whole.startswith("file:/") and not whole.startswith("file://") else whole
 
 
 def drop_folder(spark: SparkSession, path: str) -> None:
