@@ -23,6 +23,7 @@ the driver receives one row per range, and the last copy taken.
 Cases: null text has size 0; null source is a source of its own; texts of size 0 are taken 0 words;
 very long texts are one document; a document taken twice has its words counted twice; ties of finish
 times are broken by source, shuffle key, identifier and copy; repeated rows are separate documents;
+an identifier must be an integer or null, as text that is no number fails in the cut;
 an empty table gives an empty result; columns of the input with the names added here are replaced by
 ``mix`` and kept by ``mixed_documents``.
 """
@@ -37,6 +38,7 @@ from pairweave.llm.common import WORD, materialize, set_aside, table
 
 SEED = "7"
 _ADDED = ("size", "source_size", "target", "copies", "taken", "finish")
+_WITHIN = ("_absent", "_source", "_key", "_bucket", "_upto", "_offset", "_place")
 #: Digits of the shuffle key that make a bucket; ranges of finish times in which copies are counted.
 DIGITS, RANGES = 3, 4096
 _KEY = ["_absent", "_source"]
@@ -142,19 +144,21 @@ def mix(docs: DataFrame, epochs: int = 3, digits: int = DIGITS, size: Column | N
 
     ``size``: the tokens of a document, words if not given. All columns are kept.
     """
+    own = [c for c in docs.columns if c not in _ADDED]
+    docs, back = set_aside(docs, _WITHIN)
     rows, taken = _mixed(docs, epochs, digits, size, few)
     rows = rows.withColumn("copies", sum(t.cast("int") for t in taken)).withColumn("taken", F.col("size") * F.col("copies")).withColumn("finish", _finish(0))
-    return rows.select(*(c for c in docs.columns if c not in _ADDED), *_ADDED)
+    return rows.select(*(b for c, b in zip(docs.columns, back, strict=True) if c not in _ADDED), *_ADDED).toDF(*own, *_ADDED)
 
 
 def mixed_documents(docs: DataFrame, epochs: int = 3, few: int = 100_000) -> DataFrame:
     """The mix itself: each document as often as it is taken, in the global order of finish times."""
-    docs, own = set_aside(docs, _ADDED)
+    docs, own = set_aside(docs, (*_ADDED, *_WITHIN))
     rows, taken = _mixed(docs, epochs, DIGITS, None, few)
     copies = F.array_compact(F.array(*(F.when(t, _place(e)) for e, t in enumerate(taken))))
-    placed = rows.withColumn("_place", F.explode(copies)).select(*own, "_place")
+    placed = rows.withColumn("_place", F.explode(copies)).select(*docs.columns, "_place")
     order = ["_place.f", *(f"_place.{c}" for c in (*_KEY, "_key", "doc_id", "epoch"))]
-    return placed.repartitionByRange(*order).sortWithinPartitions(*order).drop("_place")
+    return placed.repartitionByRange(*order).sortWithinPartitions(*order).select(*own)
 
 
 def op3_mix_sources(spark, sf_dir: str) -> DataFrame:

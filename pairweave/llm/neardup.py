@@ -33,7 +33,8 @@ Cases: null text, empty text and text without words have no shingles and stay al
 word has one shingle; very long texts are read whole; ties (several pivots, hubs of one size) go to
 the smallest or largest identifier; rows with a null identifier stay alone, with a null component,
 and are kept; rows with one identifier are one document, and ``drop_near_duplicates`` keeps one of
-them; an empty table gives an empty result; other columns are not used, whatever their names.
+them; an identifier must be an integer, text that is no number fails; an empty table gives an empty
+result; other columns are not used, whatever their names.
 """
 
 from __future__ import annotations

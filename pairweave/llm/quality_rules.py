@@ -9,8 +9,10 @@ Scale: one pass over the texts, written as a narrow table of counts; one map-sid
 aggregation to at most 6561 rows; a broadcast join with these.
 
 Cases: null or empty text has no words and fails the base test; a text without a rule's grounds
-gets its abstention; an empty table gives an empty result; repeated rows are all kept; only doc_id
-and text are read, so other columns cannot clash.
+gets its abstention; a very long text is counted whole, as one row's arrays of words and windows;
+texts with equal votes tie and share one posterior, and a posterior of just the threshold keeps; an
+empty table gives an empty result; repeated rows are all kept; only doc_id and text are read, so other
+columns cannot clash.
 """
 
 from __future__ import annotations

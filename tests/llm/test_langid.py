@@ -1,4 +1,6 @@
+import functools
 import itertools
+import math
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -69,6 +71,7 @@ def brute_words(text):
     return [(w, next((n for c in w if c.isalpha() for n in ["latin" if c.isascii() else next(n for s, n in reversed(SCRIPTS) if s <= ord(c))]), None)) for w in out]
 
 
+@functools.cache
 def brute_grams(word):
     raw, out = b"\x01" + word.encode() + b"\x01", []
     for n in range(1, 6):
@@ -92,24 +95,47 @@ def brute_model(learn):
     return counts, scripts
 
 
-def brute_identify(text, counts, scripts, penalty=6.0):
+def brute_scores(counts, scripts):
+    """A function of a word and its script: each language's log posterior."""
     langs = sorted(counts)
-    words, rows = [(w, s) for w, s in brute_words(text) if s], []
-    if not words:
-        return "und", 0.0
-    for w, script in words:
-        some = [lang for lang in langs if scripts[lang].get(script, 0) / sum(scripts[lang].values()) >= 0.005]
+    sizes, known = {lang: sum(counts[lang].values()) for lang in langs}, {lang: sum(scripts[lang].values()) for lang in langs}
+
+    @functools.cache
+    def score(w, script):
+        some = [lang for lang in langs if scripts[lang].get(script, 0) / known[lang] >= 0.005]
         if not some:
-            rows.append([-np.log(len(langs))] * len(langs))
-            continue
-        total = {lang: sum(np.log((counts[lang].get(g, 0) + 0.5) / (sum(counts[lang].values()) + 0.5 * BUCKETS)) for g in brute_grams(w)) / 2.5 for lang in some}
+            return [-np.log(len(langs))] * len(langs)
+        total = {lang: sum(math.log((counts[lang].get(g, 0) + 0.5) / (sizes[lang] + 0.5 * BUCKETS)) for g in brute_grams(w)) / 2.5 for lang in some}
         top = max(total.values())
         norm = top + np.log(sum(np.exp(v - top) for v in total.values()))
-        rows.append([max(total[lang] - norm, -8) if lang in total else -1e6 for lang in langs])
-    best = [(v, [i]) for i, v in enumerate(rows[0])]
+        return [max(total[lang] - norm, -8) if lang in total else -1e6 for lang in langs]
+
+    return score
+
+
+def brute_path(text, counts, scripts, penalty=6.0, score=None):
+    """Words with letters, their scores, and the best language of each."""
+    langs, score = sorted(counts), score or brute_scores(counts, scripts)
+    words = [(w, s) for w, s in brute_words(text) if s]
+    rows = [score(w, s) for w, s in words]
+    if not words:
+        return [], [], []
+    value, back = rows[0], []
     for row in rows[1:]:
-        best = [max(((v - penalty * (p[-1] != i) + x, [*p, i]) for v, p in best), key=lambda y: y[0]) for i, x in enumerate(row)]
-    path = max(best, key=lambda y: y[0])[1]
+        come = [max(range(len(langs)), key=lambda p: value[p] - penalty * (p != i)) for i in range(len(langs))]  # noqa: B023
+        value = [value[p] - penalty * (p != i) + x for i, (p, x) in enumerate(zip(come, row, strict=True))]
+        back.append(come)
+    path = [max(range(len(langs)), key=value.__getitem__)]
+    for come in reversed(back):
+        path.append(come[path[-1]])
+    return words, rows, path[::-1]
+
+
+def brute_identify(text, counts, scripts, penalty=6.0):
+    langs = sorted(counts)
+    words, rows, path = brute_path(text, counts, scripts, penalty)
+    if not words:
+        return "und", 0.0
     letters = [sum(len(w.encode()) for (w, _), p in zip(words, path, strict=True) if p == i) for i in range(len(langs))]
     j = letters.index(max(letters))
     return langs[j], letters[j] / sum(letters) * np.mean([np.exp(r[j]) for r, p in zip(rows, path, strict=True) if p == j])

@@ -34,6 +34,27 @@ def test_language_keeps_texts(stages):
     assert after.count() >= 0.98 * before.filter("text RLIKE '[a-zA-Z]'").count()
 
 
+def test_language_id(spark, stages):
+    """Kept are texts whose words are sure enough of their spans' languages, by a plain version of model and path."""
+    import math
+    from zlib import crc32
+
+    from test_langid import brute_model, brute_path, brute_scores
+
+    before, after = stages["language_id"]
+    rows = before.collect()
+    learned = [(r["text"], r["lang"]) for r in rows if r["text"] is not None and r["lang"] is not None and crc32(str(r["doc_id"]).encode()) % 3 != 1]
+    counts, scripts = brute_model(learned)
+    score, want, margin = brute_scores(counts, scripts), set(), 1.0
+    for r in rows:
+        _, values, path = brute_path(r["text"], counts, scripts, score=score)
+        sure = sum(math.exp(v[p]) for v, p in zip(values, path, strict=True)) / len(path) if path else 0.0
+        margin = min(margin, abs(sure - corpus_pipeline.LEAST_LANGUAGE_SCORE))
+        if path and sure >= corpus_pipeline.LEAST_LANGUAGE_SCORE:
+            want.add(r["doc_id"])
+    assert margin > 1e-4 and {r["doc_id"] for r in after.collect()} == want
+
+
 def test_near_dedup(stages):
     before, after = stages["near_dedup"]
     texts = {r["doc_id"]: r["text"] for r in before.collect()}
@@ -63,4 +84,4 @@ def test_sharding(stages):
 
 def test_registered():
     assert __spark_entry__.queries()["pipeline"] is corpus_pipeline.run
-    assert {f"op{k}" for k in range(1, 11)} <= {name.split("_")[0] for name in __spark_entry__.queries()}
+    assert {f"op{k}" for k in range(1, 13)} <= {name.split("_")[0] for name in __spark_entry__.queries()}

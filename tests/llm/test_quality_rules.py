@@ -26,6 +26,12 @@ def test_counts(spark, k):
     assert (row["n_words"], row["word_chars"], row["n_symbols"], row["n_dup_lines"], row["n_repeat_words"]) == counts(TEXTS[k])
 
 
+def test_very_long_text(spark):
+    text = " ".join(f"word{i % 50_000} and\n" for i in range(150_000))
+    row = text_counts(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert (row["n_words"], row["word_chars"], row["n_symbols"], row["n_dup_lines"], row["n_repeat_words"]) == counts(text)
+
+
 def test_verdicts(spark):
     folder = "/root/testdata/sf0.01"
     judged = op1_quality_rules(spark, folder)

@@ -52,6 +52,15 @@ def test_empty(spark, path):
     assert read_tokens(write_tokens(docs, path)).count() == 0
 
 
+def test_clashing_columns_and_long_texts(spark, path):
+    rows = [(2, "word " * 60_000, 5, "x", 1), (1, "a b", 6, "y", 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, start long, ids string, n_tokens long")
+    out = sorted(read_tokens(write_tokens(docs, path)).collect(), key=lambda r: r["start"])
+    assert [(r["doc_id"], r["start"]) for r in out] == [(1, 0), (2, out[0]["n_tokens"])] and out[1]["n_tokens"] > 60_000
+    with pytest.raises(TypeError):
+        write_tokens(docs.withColumn("doc_id", docs["doc_id"].cast("string")), path)
+
+
 def test_memo_is_bounded_by_bytes(path, monkeypatch):
     from tokenizers import Tokenizer
 
