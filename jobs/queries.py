@@ -11,7 +11,9 @@ from pairweave import catalogue as c
 from pairweave.plans.scratch import kept_folder
 
 _COLUMNS = ["z_fixed", "r_fixed", "Q", "I2", "tau2", "z_random", "r_random", "ci_r_random_low", "ci_r_random_high"]
-_SELECT = "SELECT feature_1, feature_2, n_studies, " + ", ".join(c.r6({"Q": "qq"}.get(x, x), x) for x in _COLUMNS)
+#: Decimals: Fisher's z magnifies the last places of correlations near 1 (few documents have both terms) by up to 1e9.
+_DIGITS = 4
+_SELECT = "SELECT feature_1, feature_2, n_studies, " + ", ".join(f"round({'qq' if x == 'Q' else x}, {_DIGITS}) + 0.0 AS {x}" for x in _COLUMNS)
 
 
 def job1_term_network(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,7 +25,7 @@ def job1_term_network(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = spark.read.parquet(f"{out}/edges").select(F.col("source").alias("feature_1"), F.col("target").alias("feature_2"), F.lit(True).alias("edge"))
     degree = [nodes.select(F.col("node_id").alias(f"feature_{k}"), F.col("degree").alias(f"degree_{k}")) for k in (1, 2)]
     every = pooled.join(edges, ["feature_1", "feature_2"], "left").join(degree[0], "feature_1", "left").join(degree[1], "feature_2", "left")
-    return c.rounded(every.select("feature_1", "feature_2", "n_studies", *_COLUMNS, F.coalesce("edge", F.lit(False)).alias("edge"), *(F.coalesce(f"degree_{k}", F.lit(0)).alias(f"degree_{k}") for k in (1, 2))))
+    return c.rounded(every.select("feature_1", "feature_2", "n_studies", *_COLUMNS, F.coalesce("edge", F.lit(False)).alias("edge"), *(F.coalesce(f"degree_{k}", F.lit(0)).alias(f"degree_{k}") for k in (1, 2))), _DIGITS)
 
 
 def job2_sample_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,7 +34,7 @@ def job2_sample_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     for _ in range(2):
         sample_feed.run(spark, f"{sf_dir}/embeddings.parquet", f"{folder}/out", f"{folder}/checkpoint", config)
     pooled = spark.read.parquet(f"{folder}/out/pooled").filter("n_studies >= 4")
-    return c.rounded(pooled.select("feature_1", "feature_2", "n_studies", *_COLUMNS))
+    return c.rounded(pooled.select("feature_1", "feature_2", "n_studies", *_COLUMNS), _DIGITS)
 
 
 _TERMS = r"""
