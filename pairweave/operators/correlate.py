@@ -155,8 +155,8 @@ def kendall(obs: DataFrame, block: int = 16) -> DataFrame:
 def one_pair(df: DataFrame, x: str, y: str, method: str = "kendall") -> DataFrame:
     """corr, p_value and n of two columns of a table, over rows with both; one row, corr NULL where it isn't defined.
 
-    Pearson's r is one aggregate. Spearman's ranks come from counts of equal values, whose running
-    sums one task takes over the distinct values; Kendall's tau needs all rows in order in one task.
+    Pearson's r is one aggregate. Spearman's ranks are places by range partitions; Kendall's tau needs all
+    rows in order in one task.
     """
     rows = df.select(finite(F.col(x).cast("double")).alias("x"), finite(F.col(y).cast("double")).alias("y")).filter("x IS NOT NULL AND y IS NOT NULL")
     if method == "kendall":
@@ -171,10 +171,9 @@ def one_pair(df: DataFrame, x: str, y: str, method: str = "kendall") -> DataFram
         return total.join(found, "n", "left").select(nan("corr"), nan("p_value"), "n")
     if method == "spearman":
         for c in "xy":
-            upto = Window.orderBy(c).rowsBetween(Window.unboundedPreceding, -1)  # one row per distinct value
-            counts = rows.groupBy(c).agg(F.count(F.lit(1)).alias("k"))
-            ranks = counts.select(c, (F.coalesce(F.sum("k").over(upto), F.lit(0)) + (F.col("k") + 1) / 2).alias("r"))
-            rows = rows.join(ranks, c).withColumn(c, F.col("r")).drop("r")
+            placed = numbered(rows, c, name="_place")
+            ranks = placed.groupBy(c).agg(F.avg("_place").alias("_rank"))  # equal values share their mean place
+            rows = placed.join(ranks, c).withColumn(c, F.col("_rank")).select("x", "y")
     elif method != "pearson":
         raise ValueError(f"unknown method {method!r}")
     found = rows.agg(F.when(F.count(F.lit(1)) > 1, pearson_r("x", "y")).alias("corr"), F.count(F.lit(1)).cast("double").alias("n"))

@@ -52,9 +52,33 @@ def degrees(edges: DataFrame) -> DataFrame:
     return end_points(edges).groupBy("node_id").agg(F.count(F.lit(1)).alias("degree"))
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """node_id and component (its smallest node); what ``edges`` stands for is computed once."""
+def smallest_labels(u: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
+    """The smallest node of each node's component: minima over links, then jumps to the label's label."""
+    label = np.arange(n)
+    while True:
+        low, new = np.minimum(label[u], label[v]), label.copy()
+        for end in (u, v):
+            np.minimum.at(new, label[end], low)
+        while (new[new] != new).any():
+            new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
+def components(edges: DataFrame, max_bytes: int = 32 << 20) -> DataFrame:
+    """node_id and component (its smallest node); what ``edges`` stands for is computed once.
+
+    Links of up to ``max_bytes`` are labelled as arrays on the driver, more of them by rounds on tables
+    (``components.connect``); both give the same.
+    """
     links = materialized(edges.select(F.col("source").alias("a"), F.col("target").alias("b")))
+    size = links.agg(F.coalesce(F.sum(F.octet_length("a") + F.octet_length("b") + 8), F.lit(0))).first()[0]
+    if size <= max_bytes:
+        held = links.toArrow()
+        names = pc.unique(pa.chunked_array([*held.column("a").chunks, *held.column("b").chunks], pa.string())).sort()
+        label = smallest_labels(*(pc.index_in(held.column(c), names).to_numpy().astype(np.int64) for c in "ab"), len(names))
+        return edges.sparkSession.createDataFrame(pa.table({"node_id": names, "component": names.take(pa.array(label))}))
     nodes = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     found = connect(materialized(nodes.withColumn("root", F.col("node"))), links)
     return found.select(F.col("node").alias("node_id"), F.col("root").alias("component"))
@@ -70,6 +94,10 @@ def direct_distances(edges: DataFrame, weight: str = "distance") -> DataFrame:
     return grid.join(both, ["source", "target"], "left").select("source", "target", d.alias("d"))
 
 
+#: Lengths that a task relaxes at a time; rounds after which Dijkstra takes over.
+CELLS, MOST_ROUNDS = 1 << 22, 100
+
+
 @dataclass(frozen=True)
 class Adjacency:
     """A graph as arrays: the neighbours of node i are ends[starts[i] : starts[i + 1]]."""
@@ -104,12 +132,46 @@ class Adjacency:
         return np.fromiter(best.keys(), np.int64, len(best)), np.fromiter(best.values(), float, len(best))
 
 
+    def lengths(self, sources: np.ndarray) -> np.ndarray | None:
+        """Shortest lengths from each of ``sources`` to all nodes, infinite where there is no path; None if paths have too many links.
+
+        All sources relax all links at once, a link's end taking the least over its neighbours, until
+        nothing changes: as many rounds as the longest shortest path has links.
+        """
+        best = np.full((len(sources), len(self.names)), np.inf)
+        best[np.arange(len(sources)), sources] = 0.0
+        linked = np.flatnonzero(np.diff(self.starts))  # reduceat needs nodes that have links
+        if not len(linked):
+            return best
+        for _ in range(MOST_ROUNDS):
+            come = np.minimum.reduceat(best[:, self.ends] + self.weights, self.starts[linked], axis=1)
+            shorter = come < best[:, linked]
+            if not shorter.any():
+                return best
+            best[:, linked] = np.where(shorter, come, best[:, linked])
+        return None
+
+    def rows_of(self, sources: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """For each source the nodes that it reaches and the lengths, for some sources at a time."""
+        step = max(1, CELLS // max(1, len(self.ends), len(self.names)))
+        for start in range(0, len(sources), step):
+            some = sources[start : start + step]
+            best = self.lengths(some)
+            for k, source in enumerate(some.tolist()):
+                if best is None:
+                    yield source, *self.paths(source)
+                else:
+                    to = np.flatnonzero(np.isfinite(best[k]))
+                    yield source, to, best[k, to]
+
+
 def shortest_paths(edges: DataFrame, weight: str = "distance", max_bytes: int = 64 << 20) -> DataFrame:
     """Lengths of shortest paths between connected nodes, both directions and the diagonal.
 
-    A graph whose arrays and names take up to ``max_bytes`` is shipped to every task, which runs
-    Dijkstra from its share of the sources; the paths of a larger graph get shorter by joins until
-    no row changes. Both give the same lengths but for the order in which a path's weights add up.
+    A graph whose arrays and names take up to ``max_bytes`` is shipped to every task, which relaxes all
+    links from a block of its sources at once (and runs Dijkstra from each where paths have very many
+    links); the paths of a larger graph get shorter by joins until no row changes. All give the same
+    lengths but for the order in which a path's weights add up.
     """
     links = materialized(edges.select("source", "target", F.col(weight).alias("w")))
     size = links.agg(F.coalesce(F.sum(F.octet_length("source") + F.octet_length("target") + 24), F.lit(0))).first()[0]
@@ -122,8 +184,7 @@ def shortest_paths(edges: DataFrame, weight: str = "distance", max_bytes: int =
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         near = shipped.value
         for part in parts:
-            for source in part.column("id").to_pylist():
-                to, d = near.paths(source)
+            for source, to, d in near.rows_of(part.column("id").to_numpy()):
                 yield pa.RecordBatch.from_arrays([near.names.take(pa.array(np.full(len(to), source))), near.names.take(pa.array(to)), pa.array(d)], schema=out)
 
     spark = edges.sparkSession

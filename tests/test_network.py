@@ -305,3 +305,37 @@ def test_stream(spark, tmp_path):
     fx.obs_vectors(spark, "/root/testdata/sf0.001").filter("study_id IN ('ST0', 'ST1')").coalesce(1).write.parquet(str(tmp_path / "in"))
     follow_studies(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "cp"), methods=("pearson",), transform=None).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2 * 2016
+
+
+@pytest.mark.parametrize("links", [0, 1, 30, 60, 200])
+def test_components_as_arrays_and_as_tables(spark, links):
+    rng = np.random.default_rng(links)
+    ids = [f"n{k:03d}" for k in rng.permutation(80)]
+    pairs = sorted({tuple(sorted(rng.choice(80, 2, replace=False))) for _ in range(links)} | ({(a, a + 1) for a in range(60, 79)} if links == 30 else set()))
+    edges = spark.createDataFrame([(*sorted((ids[a], ids[b])), 0.5) for a, b in pairs], "source string, target string, r double")
+    found = [{r["node_id"]: r["component"] for r in graph.components(edges, m).collect()} for m in (1 << 20, -1)]
+    assert found[0] == found[1] and len(found[0]) == len({ids[x] for p in pairs for x in p})
+    for a, b in pairs:
+        assert found[0][ids[a]] == found[0][ids[b]] <= min(ids[a], ids[b])
+
+
+def test_blocks_of_sources_against_dijkstra(monkeypatch):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    u = rng.integers(0, 400, 700)
+    v = rng.integers(0, 400, 700)
+    keep = u != v
+    chain = np.arange(400, 700)  # a path of 300 links apart from the rest: more rounds than relaxing takes
+    table = pa.table({"source": [f"n{k:04d}" for k in [*u[keep], *chain[:-1]]], "target": [f"n{k:04d}" for k in [*v[keep], *chain[1:]]], "w": np.round(rng.random(int(keep.sum()) + 299), 3)})
+    near = graph.Adjacency.of(table)
+    assert near.lengths(np.array([len(near.names) - 1])) is None
+    monkeypatch.setattr(graph, "CELLS", 20 * len(near.ends))
+    sources = rng.permutation(len(near.names))
+    seen = 0
+    for source, to, d in near.rows_of(sources):
+        want = dict(zip(*(x.tolist() for x in near.paths(source)), strict=True))
+        assert dict(zip(to.tolist(), d.tolist(), strict=True)) == want
+        seen += 1
+    assert seen == len(sources)
+    assert graph.Adjacency.of(table.slice(0, 0)).lengths(np.zeros(0, np.int64)).shape == (0, 0)
