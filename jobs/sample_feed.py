@@ -7,7 +7,7 @@ again. No sample is read a second time, and no study that stays the same is touc
 
 Writes under ``out``:
 
-  samples       ids that have been counted, a folder per batch: a sample that comes again counts once
+  samples       ids that have been counted, a folder per batch: a study's sample that comes again counts once
   moments       moments of each batch's pairs, a folder per batch
   correlations  moments of all batches up to column through, r, p and n: a folder per study
   state         the studies of each pair, weight and z: a folder per bucket of feature_1
@@ -22,8 +22,8 @@ Checkpoint and output belong together: output without its checkpoint is an error
 count twice.
 
 Cases: rows with a null sample, study or vector take no part; null and non-finite values are missing;
-of rows of one sample in a batch the smallest (study, values) counts, over batches the first; an input
-without files leaves an empty output.
+of rows of one sample of a study in a batch the smallest values count, over batches the first; ids need
+be unique within a study only; an input without files leaves an empty output.
 """
 
 from __future__ import annotations
@@ -56,10 +56,10 @@ def take_batch(batch: DataFrame, number: int, out: str, config: dict) -> None:
     spark = batch.sparkSession
     sample, study = F.col(config["sample"]).cast("string"), F.col(config["study"]).cast("string")
     rows = batch.select(sample.alias("sample_id"), F.concat(F.lit(config["study_prefix"]), study).alias("study_id"), F.col(config["values"]).cast("array<double>").alias("v")).dropna()
-    rows = rows.groupBy("sample_id").agg(F.min(F.struct("study_id", "v")).alias("x")).select("sample_id", "x.*")
+    rows = rows.groupBy("study_id", "sample_id").agg(F.min("v").alias("v"))
     if table_exists(spark, f"{out}/samples"):
         before = spark.read.schema("sample_id string, study_id string, batch long").parquet(f"{out}/samples").filter(F.col("batch") < number)
-        rows = rows.join(before.select("sample_id"), "sample_id", "left_anti")
+        rows = rows.join(before.select("study_id", "sample_id"), ["study_id", "sample_id"], "left_anti")
     rows = materialized(rows)
     stamp = F.lit(number).cast("long").alias("batch")
     _put(rows.select("sample_id", "study_id", stamp), f"{out}/samples", "batch")

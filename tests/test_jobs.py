@@ -127,14 +127,15 @@ def test_a_batch_that_is_repeated(spark, tmp_path):
     out, config = f"file://{tmp_path}/out", settings("sample_feed", study_prefix="s", values="v", sample="id", study="k")
     frame = lambda rows: spark.createDataFrame(rows, "id long, k string, v array<double>, batch long, value double")
     a = [(i, "x", [float(i % 3), float(i % 5), None if i % 4 else float("nan")], 9, 0.0) for i in range(20)]
-    odd = [(None, "x", [1.0], 9, 0.0), (50, None, [1.0], 9, 0.0), (51, "x", None, 9, 0.0), (3, "x", [9.0, 9.0], 9, 0.0), (60, "y", [], 9, 0.0)]
+    odd = [(None, "x", [1.0], 9, 0.0), (50, None, [1.0], 9, 0.0), (51, "x", None, 9, 0.0), (3, "x", [9.0, 9.0], 9, 0.0), (60, "y", [], 9, 0.0), (3, "z", [1.0, 2.0], 9, 0.0)]
     for rows_, number in ((a + odd, 0), (a[:5] + [(70, "x", [1.0, 2.0, 3.0], 9, 0.0)], 1)):
         for _ in range(2):
             sample_feed.take_batch(frame(rows_), number, out, config)
     sample_feed.refresh(spark, out, config)
-    got = {(r["feature_1"], r["feature_2"]): (r["n"], r["through"]) for r in spark.read.parquet(f"{out}/correlations").collect()}
+    got = {(r["feature_1"], r["feature_2"]): (r["n"], r["through"]) for r in spark.read.parquet(f"{out}/correlations").filter("study_id = 'sx'").collect()}
+    assert spark.read.parquet(f"{out}/correlations").filter("study_id = 'sz'").first()["n"] == 1  # another study's sample of the same id
     assert got == {("RM0000001", "RM0000002"): (21, 1), ("RM0000001", "RM0000003"): (1, 1), ("RM0000002", "RM0000003"): (1, 1)}
-    assert spark.read.parquet(f"{out}/samples").groupBy("batch").count().orderBy("batch").collect() == [(0, 21), (1, 1)]
+    assert spark.read.parquet(f"{out}/samples").groupBy("batch").count().orderBy("batch").collect() == [(0, 22), (1, 1)]
 
 
 def test_empty_input(spark, tmp_path):
