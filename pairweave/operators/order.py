@@ -1,4 +1,4 @@
-"""Places in an order of all rows, and medians of groups of any size, by range partitions and their offsets.
+"""Places in an order of all rows, and medians and running totals of groups of any size, by range partitions and their offsets.
 
 Rows are sorted by range partitioning, so that no task sees more than its share; a row's place is its
 place in the partition plus the rows of the partitions before. Equal keys are dealt over partitions by a
@@ -31,6 +31,21 @@ def numbered(df: DataFrame, *order: Column | str, name: str = "rank") -> DataFra
     return held.join(F.broadcast(starts), "_part").withColumn(name, F.col("_start") + F.col("_at") + 1).drop("_part", "_at", "_start")
 
 
+def totals_before(df: DataFrame, by: list[str], order: str, amount: str, name: str, total: str) -> DataFrame:
+    """``df`` with ``name``: the sum of ``amount`` over the group's rows of smaller ``order``, and ``total``: that over the whole group.
+
+    A group's values of ``order`` must be distinct. Sums run within range partitions; those of the partitions
+    before, a row per group and partition, are added.
+    """
+    held = materialized(df.repartitionByRange(*by, order).withColumn("_part", F.spark_partition_id()))
+    group, keys = Window.partitionBy(*by), [*by, "_part"]
+    before = lambda w, c: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = held.groupBy(*keys).agg(F.sum(amount).alias("_sum"))
+    starts = starts.select(*keys, before(group.orderBy("_part"), "_sum").alias("_start"), F.sum("_sum").over(group).alias(total))
+    within = held.withColumn(name, before(Window.partitionBy(*keys).orderBy(order), amount))
+    return within.join(starts, keys).withColumn(name, F.col(name) + F.col("_start")).drop("_part", "_start")
+
+
 def exact_medians(df: DataFrame, by: list[str], value: str, name: str) -> DataFrame:
     """The median of ``value`` in each group, the mean of the middle two if their number is even; nulls don't count.
 
