@@ -14,8 +14,9 @@ Terms are runs of a-z (after A-Z are lowered) and characters beyond ASCII. A ter
 over the share, whatever the number of documents. Documents without a source belong to no study; rows
 without text or terms have no values; repeated rows and identifiers are documents of their own.
 
-Scale: one pass counts terms with map-side sums, one shuffle by (document, term); correlations are
-matrix products over slices of documents, so that a source may hold most of them.
+Scale: one pass counts the documents of each term with map-side sums; a second one counts the terms that
+take part within each document, without a shuffle. Correlations are matrix products over slices of
+documents, so that a source may hold most of them.
 """
 
 from __future__ import annotations
@@ -33,27 +34,40 @@ from pairweave.plans.scratch import materialized
 TERM = r"[^\x00-\x60\x7B-\x7F]+"
 
 
+def _terms(config: dict):
+    """A document's terms, repeats included."""
+    return F.regexp_extract_all(F.translate(F.col(config["text"]), string.ascii_uppercase, string.ascii_lowercase), F.lit(TERM), 0)
+
+
+def document_counts(docs: DataFrame, config: dict) -> DataFrame:
+    """feature, documents: how many documents have each term."""
+    return docs.select(F.explode(F.array_distinct(_terms(config))).alias("feature")).groupBy("feature").agg(F.count(F.lit(1)).alias("documents"))
+
+
 def term_counts(docs: DataFrame, config: dict) -> DataFrame:
-    """study_id, sample_id, row_id, words, feature, k: how often each document has each of its terms."""
-    lowered = F.translate(F.col(config["text"]), string.ascii_uppercase, string.ascii_lowercase)
+    """study_id, sample_id, row_id, words, feature, k: how often each document has each of its terms.
+
+    Equal terms are runs of a document's sorted terms, so that nothing is shuffled.
+    """
     ids = F.col(config["source"]).cast("string").alias("study_id"), F.col(config["document"]).cast("string").alias("sample_id")
-    rows = docs.select(*ids, F.monotonically_increasing_id().cast("string").alias("row_id"), F.regexp_extract_all(lowered, F.lit(TERM), 0).alias("terms"))
-    each = rows.select("study_id", "sample_id", "row_id", F.size("terms").alias("words"), F.explode("terms").alias("feature"))
-    return each.groupBy(*each.columns).agg(F.count(F.lit(1)).alias("k"))
+    rows = docs.select(*ids, F.monotonically_increasing_id().cast("string").alias("row_id"), F.array_sort(_terms(config)).alias("terms"))
+    begins = F.transform("terms", lambda t, i: F.when((i == 0) | (t != F.get("terms", i - 1)), i))
+    rows = rows.withColumn("words", F.size("terms")).withColumn("runs", F.array_compact(begins))
+    each = F.transform("runs", lambda p, j: F.struct(F.get("terms", p).alias("feature"), (F.coalesce(F.get("runs", j + 1), F.col("words")) - p).cast("long").alias("k")))
+    return rows.select("study_id", "sample_id", "row_id", "words", F.inline(each))
 
 
 def run(spark: SparkSession, documents: str, out: str, config: dict) -> None:
     docs = logged(spark.read.parquet(documents), "read documents", documents)
-    counts = materialized(term_counts(docs, config))
     overwrite = lambda df: df.write.mode("overwrite").option("partitionOverwriteMode", "static").option("compression", "zstd")
 
     least = config["min_share"] * docs.count()
-    held = counts.groupBy("feature").agg(F.count(F.lit(1)).alias("documents")).filter(F.col("documents") >= least)
-    overwrite(held).parquet(f"{out}/terms")
+    overwrite(document_counts(docs, config).filter(F.col("documents") >= least)).parquet(f"{out}/terms")
     terms = logged(spark.read.parquet(f"{out}/terms"), "wrote terms", f"{out}/terms")
 
     share = (F.col("k") * float(config["per_words"]) / F.col("words")).alias("value")
-    obs = counts.filter("study_id IS NOT NULL").join(terms, "feature", "left_semi").select("study_id", "sample_id", "row_id", "feature", share)
+    counts = term_counts(docs, config).filter("study_id IS NOT NULL").join(terms, "feature", "left_semi")
+    obs = materialized(counts.select("study_id", F.col("row_id").alias("sample_id"), "feature", share))  # only terms that take part are written
     prepared = materialized(clean.prepare(obs, keep_unmapped=True, transform="log", min_unique=config["min_unique"]))
     found = correlate.pearson(prepared, "gram", all_pairs=False).withColumn("p_value", corr_p_value(F.col("corr"), F.col("n")))
     overwrite(found).partitionBy("method", "study_id").parquet(f"{out}/correlations")
