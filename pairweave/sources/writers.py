@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairweave.operators.pooling import merge_states, pool_state
+from pairweave.operators.pooling import PAIR, merge_states, pool_state
 from pairweave.plans.scratch import materialized
 
 
@@ -55,6 +55,7 @@ def refresh_pool_state(corr: DataFrame, path: str, buckets: int = 64) -> list[in
     the state has of them, so that a second call with the same rows changes nothing.
     """
     spark = corr.sparkSession
+    corr = materialized(corr.select(*PAIR, "study_id", *(c for c in ("corr", "z", "n") if c in corr.columns)))  # read three times
     new = materialized(pool_state(corr, buckets))
     touched = new.select("bucket")
     old = None
