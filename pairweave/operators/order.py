@@ -31,19 +31,21 @@ def numbered(df: DataFrame, *order: Column | str, name: str = "rank") -> DataFra
     return held.join(F.broadcast(starts), "_part").withColumn(name, F.col("_start") + F.col("_at") + 1).drop("_part", "_at", "_start")
 
 
-def totals_before(df: DataFrame, by: list[str], order: str, amount: str, name: str, total: str) -> DataFrame:
+def totals_before(df: DataFrame, by: list[str], order: str, amount: str | list[str], name: str | list[str], total: str | list[str]) -> DataFrame:
     """``df`` with ``name``: the sum of ``amount`` over the group's rows of smaller ``order``, and ``total``: that over the whole group.
 
     A group's values of ``order`` must be distinct. Sums run within range partitions; those of the partitions
-    before, a row per group and partition, are added.
+    before, a row per group and partition, are added. Of several amounts, the three are lists.
     """
+    amounts, names, totals = ([c] if isinstance(c, str) else c for c in (amount, name, total))
+    sums, offsets = ([f"_{c}_{k}" for k in range(len(amounts))] for c in ("sum", "start"))
     held = materialized(df.repartitionByRange(*by, order).withColumn("_part", F.spark_partition_id()))
     group, keys = Window.partitionBy(*by), [*by, "_part"]
     before = lambda w, c: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = held.groupBy(*keys).agg(F.sum(amount).alias("_sum"))
-    starts = starts.select(*keys, before(group.orderBy("_part"), "_sum").alias("_start"), F.sum("_sum").over(group).alias(total))
-    within = held.withColumn(name, before(Window.partitionBy(*keys).orderBy(order), amount))
-    return within.join(starts, keys).withColumn(name, F.col(name) + F.col("_start")).drop("_part", "_start")
+    starts = held.groupBy(*keys).agg(*(F.sum(a).alias(s) for a, s in zip(amounts, sums, strict=True)))
+    starts = starts.select(*keys, *(before(group.orderBy("_part"), s).alias(o) for s, o in zip(sums, offsets, strict=True)), *(F.sum(s).over(group).alias(t) for s, t in zip(sums, totals, strict=True)))
+    within = held.withColumns({n: before(Window.partitionBy(*keys).orderBy(order), a) for n, a in zip(names, amounts, strict=True)})
+    return within.join(starts, keys).withColumns({n: F.col(n) + F.col(o) for n, o in zip(names, offsets, strict=True)}).drop("_part", *offsets)
 
 
 def exact_medians(df: DataFrame, by: list[str], value: str, name: str) -> DataFrame:
